@@ -70,21 +70,38 @@ def filter_max_size(df: DataFrame, n: int = 10 * 1024 * 1024, body_col: str = "b
     return df.where(F.octet_length(F.col(body_col)) <= F.lit(n))
 
 
+def _once(c) -> "F.Column":
+    """A one-element explode: its output is a new attribute, so the optimizer
+    cannot inline the (regex-heavy) expression into every later use of it."""
+    return F.explode(F.array(c))
+
+
 def extract_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                   html_col: str = "html", with_text: bool = False) -> DataFrame:
     """Every ``<a href>`` of a page in document order, duplicates and any scheme kept.
 
-    Returns (id, url, pos, href[, raw_text]) with ``pos`` 0-based. The page's
-    ``<base href>`` (if any) is carried as ``base_url`` for resolution.
+    Returns (id, url, base_url, pos, href[, link_text]) with ``pos`` 0-based;
+    ``base_url`` is the page URL, or its ``<base href>`` resolved against it.
+    Per page the HTML is scanned once for the base and once for anchors; per
+    link only the short match string is parsed again.
     """
     clean = pages.select(F.col(id_col), F.col(url_col), strip_inert(html_col).alias("_h"))
-    df = clean.select(F.col(id_col), F.col(url_col),
-                      resolve_url(F.col(url_col), base_href("_h", stripped=True)).alias("base_url"),
-                      F.posexplode(link_matches("_h", stripped=True)).alias("pos", "_m"))
+    clean = clean.select(id_col, url_col, "_h", base_href("_h", stripped=True).alias("_b"))
+    base = F.when(F.col("_b") == "", F.col(url_col)).otherwise(resolve_url(F.col(url_col), F.col("_b")))
+    per_page = clean.select(id_col, url_col, _once(base).alias("base_url"),
+                            link_matches("_h", stripped=True).alias("_ms"))
+    def parse(m):
+        out = [unquote_attr(F.regexp_extract(m, LINK_RE, 1)).alias("href")]
+        if with_text:
+            out.append(anchor_text(F.regexp_extract(m, LINK_RE, 2)).alias("link_text"))
+        return F.struct(*out)
+
+    parsed = F.transform("_ms", parse)
+    df = per_page.select(id_col, url_col, "base_url", F.posexplode(parsed).alias("pos", "_l"))
     cols = [F.col(id_col), F.col(url_col), "base_url", F.col("pos").cast("int").alias("pos"),
-            unquote_attr(F.regexp_extract("_m", LINK_RE, 1)).alias("href")]
+            F.col("_l.href").alias("href")]
     if with_text:
-        cols.append(anchor_text(F.regexp_extract("_m", LINK_RE, 2)).alias("link_text"))
+        cols.append(F.col("_l.link_text").alias("link_text"))
     return df.select(*cols)
 
 
@@ -124,7 +141,8 @@ def extract_unique_links(pages: DataFrame, id_col: str = "page_id", url_col: str
                            (F.col("pos").cast("int") + F.lit(1 << 30)).alias("pos"),
                            unquote_attr("_raw").alias("href"), F.lit("").alias("link_text"))
         links = links.unionByName(area)
-    links = resolve_links(links)
+    links = links.select(*[c for c in links.columns if c != "base_url"],
+                         _once(resolve_url(F.col("base_url"), F.col("href"))).alias("target_url"))
     scheme = F.lower(F.regexp_extract("target_url", r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     links = links.where(scheme.isin(FOLLOW_SCHEMES) & ~_extension("target_url").isin(IGNORED_EXTENSIONS))
     first = (links.groupBy(id_col, url_col, "target_url")

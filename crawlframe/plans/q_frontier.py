@@ -1 +1,161 @@
-"""Registered queries."""
+"""Queries for the frontier tables (F1-F10, J1) over a queue derived from pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.urls import host_crc32, host_fingerprint, host_partition, url_fingerprint, url_host
+from ..operators import frontier as Q
+from . import inputs as I
+from . import sqlgen as sg
+from .catalog import register
+
+REQ_SQL = I.queue_requests_sql(sg)
+QUEUE_SQL = f"""
+SELECT {sg.host_partition('url', 2)} AS partition_id, score, url, fingerprint,
+       {sg.crc32(sg.host('url'))} AS host_crc32, created_at, depth, host
+FROM ({REQ_SQL})"""
+
+BATCH_N = 25  # per-partition batch size for the test queue (the limit is the feature)
+
+
+def queue(spark, sf_dir):
+    req = I.queue_requests(spark, sf_dir)
+    return Q.to_queue(req).withColumn("host", url_host("url"))
+
+
+@register("f1_url_fingerprint", f"SELECT page_id, url, {sg.url_fingerprint('url')} AS fingerprint FROM pages")
+def f1_url_fingerprint(spark, sf_dir):
+    return I.table(spark, sf_dir, "pages").select("page_id", "url", url_fingerprint("url").alias("fingerprint"))
+
+
+@register("f2_host_fingerprint", f"""
+SELECT page_id, {sg.host('url')} AS host, {sg.host_fingerprint('url')} AS host_fp FROM pages""")
+def f2_host_fingerprint(spark, sf_dir):
+    return I.table(spark, sf_dir, "pages").select("page_id", url_host("url").alias("host"),
+                                                   host_fingerprint("url").alias("host_fp"))
+
+
+@register("f3_assign_partition", f"""
+SELECT page_id, {sg.host('url')} AS host, {sg.crc32(sg.host('url'))} AS host_crc32,
+       {sg.host_partition('url', 2)} AS partition_id FROM pages""")
+def f3_assign_partition(spark, sf_dir):
+    p = I.table(spark, sf_dir, "pages")
+    return p.select("page_id", url_host("url").alias("host"), host_crc32("url").alias("host_crc32"),
+                    host_partition("url", 2).alias("partition_id"))
+
+
+# Candidates: every page URL and its other-scheme copy (same fingerprint, a day
+# later); seen: pages whose id is a multiple of 3.
+_CAND_SQL = """
+SELECT url, created_at FROM ({r})
+UNION ALL
+SELECT CASE WHEN starts_with(url, 'https:') THEN 'http:' || substr(url, 7) ELSE 'https:' || substr(url, 6) END AS url,
+       created_at + INTERVAL 1 DAY AS created_at FROM ({r})""".format(r=REQ_SQL)
+
+
+def candidates(spark, sf_dir):
+    r = I.queue_requests(spark, sf_dir).select("url", "created_at")
+    other = F.when(F.col("url").startswith("https:"), F.concat(F.lit("http:"), F.substr("url", F.lit(7))))\
+        .otherwise(F.concat(F.lit("https:"), F.substr("url", F.lit(6))))
+    copy = r.select(other.alias("url"), (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("created_at"))
+    return r.unionByName(copy).withColumn("fingerprint", url_fingerprint("url"))
+
+
+@register("j1_filter_unseen", f"""
+WITH c AS (SELECT url, created_at, {sg.url_fingerprint('url')} AS fingerprint FROM ({_CAND_SQL})),
+first AS (SELECT fingerprint, arg_min(url, (created_at, url)) AS url, min(created_at) AS created_at
+          FROM c GROUP BY fingerprint),
+seen AS (SELECT {sg.url_fingerprint('url')} AS fingerprint FROM pages WHERE page_id % 3 = 0)
+SELECT fingerprint, url, created_at FROM first WHERE fingerprint NOT IN (SELECT fingerprint FROM seen)""")
+def j1_filter_unseen(spark, sf_dir):
+    seen = I.table(spark, sf_dir, "pages").where(F.col("page_id") % 3 == 0) \
+        .select(url_fingerprint("url").alias("fingerprint"))
+    return Q.filter_unseen(candidates(spark, sf_dir), seen).select("fingerprint", "url", "created_at")
+
+
+def _batch_sql(order: str) -> str:
+    return f"""
+SELECT partition_id, url, fingerprint, score, created_at, depth FROM (
+  SELECT *, row_number() OVER (PARTITION BY partition_id ORDER BY {order}) AS rn FROM ({QUEUE_SQL})
+  WHERE partition_id IN (0, 1)
+) WHERE rn <= {BATCH_N}"""
+
+
+_SCORE_ORDER = "score DESC, created_at, fingerprint"
+_BFS_ORDER = "depth, created_at, fingerprint"
+
+
+@register("f4_next_batch", _batch_sql(_SCORE_ORDER))
+def f4_next_batch(spark, sf_dir):
+    return Q.next_batch(queue(spark, sf_dir), [0, 1], BATCH_N).select(
+        "partition_id", "url", "fingerprint", "score", "created_at", "depth")
+
+
+@register("f5_next_batch_bfs", _batch_sql(_BFS_ORDER))
+def f5_next_batch_bfs(spark, sf_dir):
+    return Q.next_batch(queue(spark, sf_dir), [0, 1], BATCH_N, order="bfs").select(
+        "partition_id", "url", "fingerprint", "score", "created_at", "depth")
+
+
+@register("f6_consume_batch", f"""
+SELECT q.partition_id, q.fingerprint, q.created_at FROM ({QUEUE_SQL}) q
+WHERE NOT EXISTS (SELECT 1 FROM ({_batch_sql(_SCORE_ORDER)}) b
+                  WHERE b.fingerprint = q.fingerprint AND b.created_at = q.created_at)""")
+def f6_consume_batch(spark, sf_dir):
+    q = queue(spark, sf_dir)
+    remaining, _ = Q.consume_batch(q, Q.next_batch(q, [0, 1], BATCH_N))
+    return remaining.select("partition_id", "fingerprint", "created_at")
+
+
+@register("f6_mark_queued", f"""
+SELECT DISTINCT fingerprint, CAST(1 AS SMALLINT) AS state FROM ({_batch_sql(_SCORE_ORDER)})""")
+def f6_mark_queued(spark, sf_dir):
+    q = queue(spark, sf_dir)
+    _, states = Q.consume_batch(q, Q.next_batch(q, [0, 1], BATCH_N))
+    return states
+
+
+@register("f7_cap_per_host", f"""
+SELECT host, url, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY host ORDER BY {_SCORE_ORDER}) AS rn FROM ({QUEUE_SQL})
+) WHERE rn <= 10""")
+def f7_cap_per_host(spark, sf_dir):
+    return Q.cap_per_host(queue(spark, sf_dir), 10).select("host", "url", "score")
+
+
+# Metadata: a page was fetched page_id hours after the epoch, except every 7th.
+_MD_SQL = f"""
+SELECT {sg.url_fingerprint('url')} AS fingerprint, url,
+       CASE WHEN page_id % 7 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01 00:00:00' + to_hours(page_id) END AS fetched_at
+FROM pages"""
+NOW = "2024-01-08 00:00:00"
+
+
+def metadata(spark, sf_dir):
+    p = I.table(spark, sf_dir, "pages")
+    fetched = F.timestamp_add("HOUR", F.col("page_id"), F.lit(I.EPOCH).cast("timestamp_ntz"))
+    return p.select(url_fingerprint("url").alias("fingerprint"), "url",
+                    F.when(F.col("page_id") % 7 == 0, F.lit(None).cast("timestamp_ntz")).otherwise(fetched)
+                    .alias("fetched_at"))
+
+
+@register("f8_due_for_revisit", f"""
+SELECT fingerprint, url, fetched_at FROM ({_MD_SQL})
+WHERE fetched_at IS NULL OR fetched_at <= TIMESTAMP '{NOW}' - INTERVAL 3 DAY""")
+def f8_due_for_revisit(spark, sf_dir):
+    now = F.lit(NOW).cast("timestamp_ntz")
+    return Q.due_for_revisit(metadata(spark, sf_dir), now).select("fingerprint", "url", "fetched_at")
+
+
+@register("f10_peek_queue", f"""
+SELECT partition_id, fingerprint, url, score FROM ({QUEUE_SQL}) ORDER BY fingerprint, created_at LIMIT 50""")
+def f10_peek_queue(spark, sf_dir):
+    return Q.peek(queue(spark, sf_dir), 50, ["fingerprint", "created_at"]).select(
+        "partition_id", "fingerprint", "url", "score")
+
+
+@register("f10_peek_metadata", f"""
+SELECT fingerprint, url, fetched_at FROM ({_MD_SQL}) ORDER BY fingerprint, url LIMIT 10""")
+def f10_peek_metadata(spark, sf_dir):
+    return Q.peek(metadata(spark, sf_dir), 10, ["fingerprint", "url"])
