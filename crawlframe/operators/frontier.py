@@ -192,9 +192,9 @@ def apply_events(metadata: DataFrame | None, crawled: DataFrame, errors: DataFra
     is reduced to one row per fingerprint first (partial aggregates), then
     a single full outer join merges them with the old table.
     """
-    new = latest_by_key(links.withColumn("_neg", -F.col("ts").cast("double")), "fingerprint", "_neg",
-                        ["url", "depth", "ts"]).withColumnRenamed("ts", "created_at_new") \
-        .withColumnRenamed("url", "url_new").withColumnRenamed("depth", "depth_new")
+    first = links.groupBy("fingerprint").agg(F.min_by(F.struct("url", "depth", "ts"), F.col("ts")).alias("_v"))
+    new = first.select("fingerprint", F.col("_v.url").alias("url_new"), F.col("_v.depth").alias("depth_new"),
+                       F.col("_v.ts").alias("created_at_new"))
     cr = latest_by_key(crawled, "fingerprint", "ts", ["url", "status_code", "ts"]) \
         .withColumnRenamed("ts", "fetched_at_new").withColumnRenamed("url", "url_cr") \
         .withColumnRenamed("status_code", "status_new")

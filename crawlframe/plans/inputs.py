@@ -148,3 +148,63 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").alias("request_id"), F.col("turn").cast("int").alias("seq"),
                     F.encode(F.col("text"), "UTF-8").alias("data"))
+
+
+# ----------------------------------------------------------------- messages
+# Events become spider-log messages: click -> page_crawled, view ->
+# links_extracted, error -> request_error, signup -> update_score,
+# purchase -> offset. Every 97th message is cut in half (undecodable).
+EVENT_TYPE_MAP = [("click", "page_crawled"), ("view", "links_extracted"), ("error", "request_error"),
+                  ("signup", "update_score"), ("purchase", "offset")]
+
+
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    t = None
+    for src, dst in EVENT_TYPE_MAP:
+        t = F.when(F.col("event_type") == src, F.lit(dst)) if t is None else t.when(F.col("event_type") == src, F.lit(dst))
+    host = F.concat(F.lit("h"), (F.col("user_id") % 17).cast("string"), F.lit(".example.org"))
+    url = F.concat(F.lit("http://"), host, F.lit("/u/"), F.col("user_id").cast("string"), F.lit("/p"),
+                   (F.col("event_id") % 7).cast("string"))
+    return e.select("event_id", F.col("ts"), "user_id", t.alias("type"), host.alias("host"), url.alias("url"),
+                    "value", "props")
+
+
+EVENT_ROWS_SQL = """
+SELECT event_id, ts, user_id,
+  CASE event_type WHEN 'click' THEN 'page_crawled' WHEN 'view' THEN 'links_extracted'
+    WHEN 'error' THEN 'request_error' WHEN 'signup' THEN 'update_score' WHEN 'purchase' THEN 'offset' END AS type,
+  'h' || CAST(user_id % 17 AS VARCHAR) || '.example.org' AS host,
+  'http://h' || CAST(user_id % 17 AS VARCHAR) || '.example.org/u/' || CAST(user_id AS VARCHAR) || '/p'
+    || CAST(event_id % 7 AS VARCHAR) AS url,
+  value, props
+FROM events"""
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spider-log messages (key, value, partition, offset, timestamp, ts) built with the K4 encoder."""
+    from ..streaming.spiderlog import domain_meta, encode_event, request_struct, spider_log_key
+    r = event_rows(spark, sf_dir)
+    hfp = F.sha1(F.col("host").cast("binary"))
+    # links k = 0 .. event_id % 3; the third link carries no domain fingerprint
+    ks = F.sequence(F.lit(0), (F.col("event_id") % 3).cast("int"))
+    links = F.transform(ks, lambda k: request_struct(
+        F.concat(F.lit("http://h"), ((F.col("user_id") + k) % 17).cast("string"), F.lit(".example.org/l/"),
+                 F.col("event_id").cast("string"), F.lit("/"), k.cast("string")),
+        domain_meta(F.when(k < 2, F.sha1(F.concat(F.lit("h"), ((F.col("user_id") + k) % 17).cast("string"),
+                                                  F.lit(".example.org")).cast("binary"))))))
+    value = encode_event(
+        F.col("type"), F.col("url"), hfp,
+        status_code=F.when(F.floor("value") % 5 == 0, F.lit(500)).otherwise(F.lit(200)),
+        body=F.base64(F.encode(F.col("props"), "UTF-8")),
+        links=links,
+        error=F.concat(F.lit("err"), (F.col("event_id") % 4).cast("string")),
+        score=F.col("value") / 100.0,
+        schedule=(F.col("event_id") % 2 == 0),
+        partition_id=(F.col("user_id") % 2).cast("int"),
+        offset=F.col("event_id"))
+    cut = F.when(F.col("event_id") % 97 == 0, F.substr(value, F.lit(1), (F.length(value) / 2).cast("int"))) \
+        .otherwise(value)
+    return r.select(spider_log_key(F.col("type"), hfp).alias("key"), cut.cast("binary").alias("value"),
+                    (F.col("user_id") % 2).cast("int").alias("partition"), F.col("event_id").alias("offset"),
+                    F.col("ts").alias("ts"))

@@ -1 +1,236 @@
-"""Registered queries."""
+"""Queries for the spider-log event jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.urls import url_fingerprint
+from ..operators import frontier as Q
+from ..streaming import spiderlog as S
+from . import inputs as I
+from . import sqlgen as sg
+from .catalog import register
+
+GOOD = f"SELECT * FROM ({I.EVENT_ROWS_SQL}) WHERE event_id % 97 <> 0"
+# links of links_extracted events, k = 0 .. event_id % 3 (the third has no fingerprint)
+LINKS_SQL = f"""
+SELECT event_id, ts, url AS source_url, CAST(k AS INTEGER) AS pos,
+       'http://h' || CAST((user_id + k) % 17 AS VARCHAR) || '.example.org/l/' || CAST(event_id AS VARCHAR)
+         || '/' || CAST(k AS VARCHAR) AS url,
+       CASE WHEN k < 2 THEN sha1('h' || CAST((user_id + k) % 17 AS VARCHAR) || '.example.org') END AS host_fp
+FROM ({GOOD}) CROSS JOIN LATERAL (SELECT unnest(range(0, event_id % 3 + 1)) AS k)
+WHERE type = 'links_extracted'"""
+
+
+def decoded(spark, sf_dir):
+    good, _ = S.decode_spider_log(I.messages(spark, sf_dir))
+    return good
+
+
+@register("k4_spider_log_keys", f"""
+SELECT event_id AS offset, CASE WHEN type = 'offset' THEN {sg.q(S.OFFSET_KEY)} ELSE sha1(host) END AS key_text,
+       CAST(user_id % 2 AS INTEGER) AS partition
+FROM ({I.EVENT_ROWS_SQL})""")
+def k4_spider_log_keys(spark, sf_dir):
+    m = I.messages(spark, sf_dir)
+    return m.select("offset", F.col("key").cast("string").alias("key_text"), "partition")
+
+
+@register("e1_decode_events", f"""
+SELECT event_id AS offset, type,
+  CASE WHEN type <> 'offset' THEN url END AS url,
+  CASE WHEN type <> 'offset' THEN sha1(host) END AS host_fp,
+  CASE WHEN type = 'page_crawled' THEN CAST(CASE WHEN CAST(floor(value) AS BIGINT) % 5 = 0 THEN 500 ELSE 200 END AS INTEGER) END AS status_code,
+  CASE WHEN type = 'page_crawled' THEN props END AS body_text,
+  CASE WHEN type = 'links_extracted' THEN CAST(event_id % 3 + 1 AS INTEGER) END AS n_links,
+  CASE WHEN type = 'request_error' THEN 'err' || CAST(event_id % 4 AS VARCHAR) END AS error,
+  CASE WHEN type = 'update_score' THEN value / 100.0 END AS score,
+  CASE WHEN type = 'update_score' THEN event_id % 2 = 0 END AS schedule,
+  CASE WHEN type = 'offset' THEN CAST(user_id % 2 AS INTEGER) END AS partition_id,
+  CASE WHEN type = 'offset' THEN event_id END AS event_offset
+FROM ({GOOD})""")
+def e1_decode_events(spark, sf_dir):
+    d = decoded(spark, sf_dir)
+    return d.select("offset", "type", "url", F.col("meta.domain.fingerprint").alias("host_fp"), "status_code",
+                    F.col("body").cast("string").alias("body_text"), F.size("links").cast("int").alias("n_links"),
+                    "error", "score", "schedule", "partition_id", "event_offset") \
+        .withColumn("n_links", F.when(F.col("type") == "links_extracted", F.col("n_links")))
+
+
+@register("e2_bad_messages", f"""
+SELECT event_id AS offset, 'undecodable' AS reason FROM events WHERE event_id % 97 = 0""")
+def e2_bad_messages(spark, sf_dir):
+    _, bad = S.decode_spider_log(I.messages(spark, sf_dir))
+    return bad.select("offset", "reason")
+
+
+@register("e4_request_errors", f"""
+SELECT event_id AS offset, url, 'err' || CAST(event_id % 4 AS VARCHAR) AS error
+FROM ({GOOD}) WHERE type = 'request_error'""")
+def e4_request_errors(spark, sf_dir):
+    return S.events_of(decoded(spark, sf_dir), "request_error").select("offset", "url", "error")
+
+
+@register("e4_update_scores", f"""
+SELECT event_id AS offset, url, value / 100.0 AS score, event_id % 2 = 0 AS schedule
+FROM ({GOOD}) WHERE type = 'update_score'""")
+def e4_update_scores(spark, sf_dir):
+    return S.events_of(decoded(spark, sf_dir), "update_score").select("offset", "url", "score", "schedule")
+
+
+@register("e4_offsets", f"""
+SELECT event_id AS offset, CAST(user_id % 2 AS INTEGER) AS partition_id, event_id AS event_offset
+FROM ({GOOD}) WHERE type = 'offset'""")
+def e4_offsets(spark, sf_dir):
+    return S.events_of(decoded(spark, sf_dir), "offset").select("offset", "partition_id", "event_offset")
+
+
+# Bare requests on the feed: the request part of every message, every 97th cut.
+@register("e5_decode_requests", f"""
+SELECT event_id AS offset, url, 'GET' AS method FROM ({GOOD}) WHERE type <> 'page_crawled'""")
+def e5_decode_requests(spark, sf_dir):
+    r = I.event_rows(spark, sf_dir).where(F.col("type") != "page_crawled")
+    req = F.to_json(S.request_struct(F.col("url"), S.domain_meta(F.sha1(F.col("host").cast("binary")))))
+    cut = F.when(F.col("event_id") % 97 == 0, F.substr(req, F.lit(1), (F.length(req) / 2).cast("int"))).otherwise(req)
+    feed = r.select(F.col("event_id").alias("offset"), cut.cast("binary").alias("value"))
+    good, _ = S.decode_requests(feed)
+    return good.select("offset", "url", "method")
+
+
+@register("e6_links_of", f"SELECT event_id AS offset, source_url, pos, url, host_fp FROM ({LINKS_SQL})")
+def e6_links_of(spark, sf_dir):
+    return S.links_of(decoded(spark, sf_dir)).select("offset", "source_url", "pos", "url", "host_fp")
+
+
+@register("a1_links_per_host", f"""
+SELECT event_id AS offset, source_url, host_fp, count(*) AS n_links, string_agg(url, chr(10) ORDER BY pos) AS links
+FROM ({LINKS_SQL}) WHERE host_fp IS NOT NULL GROUP BY event_id, source_url, host_fp""")
+def a1_links_per_host(spark, sf_dir):
+    links = S.links_of(decoded(spark, sf_dir))
+    g = Q.links_per_host(links.withColumn("source", F.struct("offset", "source_url")), source_col="source")
+    return g.select(F.col("source.offset").alias("offset"), F.col("source.source_url").alias("source_url"),
+                    "host_fp", "n_links",
+                    F.array_join(F.transform("links", lambda x: x["url"]), "\n").alias("links"))
+
+
+@register("a3_latest_offsets", f"""
+SELECT CAST(user_id % 2 AS INTEGER) AS partition_id, arg_max(event_id, (ts, event_id)) AS offset, max(ts) AS ts
+FROM ({GOOD}) WHERE type = 'offset' GROUP BY user_id % 2""")
+def a3_latest_offsets(spark, sf_dir):
+    off = S.events_of(decoded(spark, sf_dir), "offset").select("partition_id", F.col("event_offset").alias("offset"),
+                                                                 "ts")
+    return Q.latest_offsets(off)
+
+
+@register("a4_crawl_stats", f"""
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
+       type, count(*) AS n_events
+FROM ({GOOD}) GROUP BY 1, 2, 3""")
+def a4_crawl_stats(spark, sf_dir):
+    return S.crawl_stats(decoded(spark, sf_dir), "1 hour")
+
+
+# Domain metadata: per host fingerprint, the last crawled URL and its status.
+@register("a5_domain_metadata", f"""
+SELECT sha1(host) AS key, arg_max(url, (ts, event_id)) AS last_url,
+       arg_max(CAST(CASE WHEN CAST(floor(value) AS BIGINT) % 5 = 0 THEN 500 ELSE 200 END AS INTEGER), (ts, event_id)) AS last_status
+FROM ({GOOD}) WHERE type = 'page_crawled' GROUP BY sha1(host)""")
+def a5_domain_metadata(spark, sf_dir):
+    pc = S.events_of(decoded(spark, sf_dir), "page_crawled")
+    rows = pc.select(F.col("meta.domain.fingerprint").alias("key"), F.col("url").alias("last_url"),
+                     F.col("status_code").alias("last_status"), F.struct("ts", "offset").alias("_t"))
+    return Q.domain_metadata(rows, "key", ("last_url", "last_status"), "_t")
+
+
+def _fp(col):
+    return url_fingerprint(F.col(col))
+
+
+def _event_tables(spark, sf_dir):
+    d = decoded(spark, sf_dir)
+    links = S.links_of(d).select(_fp("url").alias("fingerprint"), "url", F.lit(1).alias("depth"), "ts")
+    crawled = S.events_of(d, "page_crawled").select(_fp("url").alias("fingerprint"), "url", "status_code", "ts")
+    errors = S.events_of(d, "request_error").select(_fp("url").alias("fingerprint"), "url", "error", "ts")
+    return d, links, crawled, errors
+
+
+_FPX = sg.url_fingerprint
+J5_SQL = f"""
+WITH l AS (SELECT {_FPX('url')} AS fingerprint, url, ts FROM ({LINKS_SQL})),
+nl AS (SELECT fingerprint, arg_min(url, ts) AS url_new, min(ts) AS created_at_new FROM l GROUP BY fingerprint),
+c AS (SELECT {_FPX('url')} AS fingerprint, url, ts,
+             CAST(CASE WHEN CAST(floor(value) AS BIGINT) % 5 = 0 THEN 500 ELSE 200 END AS INTEGER) AS status_code
+      FROM ({GOOD}) WHERE type = 'page_crawled'),
+cr AS (SELECT fingerprint, arg_max(url, ts) AS url_cr, arg_max(status_code, ts) AS status_new, max(ts) AS fetched_at_new
+       FROM c GROUP BY fingerprint),
+e AS (SELECT {_FPX('url')} AS fingerprint, url, ts, 'err' || CAST(event_id % 4 AS VARCHAR) AS error
+      FROM ({GOOD}) WHERE type = 'request_error'),
+er AS (SELECT fingerprint, arg_max(url, ts) AS url_er, arg_max(error, ts) AS error_new, max(ts) AS error_at
+       FROM e GROUP BY fingerprint),
+k AS (SELECT fingerprint FROM nl UNION SELECT fingerprint FROM cr UNION SELECT fingerprint FROM er)
+SELECT k.fingerprint, coalesce(url_new, url_cr, url_er) AS url,
+       CAST(CASE WHEN nl.fingerprint IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS depth,
+       coalesce(created_at_new, fetched_at_new, error_at) AS created_at,
+       fetched_at_new AS fetched_at, status_new AS status_code,
+       CASE WHEN error_at IS NOT NULL AND (fetched_at_new IS NULL OR error_at >= fetched_at_new) THEN error_new END AS error
+FROM k LEFT JOIN nl ON k.fingerprint = nl.fingerprint LEFT JOIN cr ON k.fingerprint = cr.fingerprint
+       LEFT JOIN er ON k.fingerprint = er.fingerprint"""
+
+
+@register("j5_apply_events", J5_SQL)
+def j5_apply_events(spark, sf_dir):
+    _, links, crawled, errors = _event_tables(spark, sf_dir)
+    return Q.apply_events(None, crawled, errors, links)
+
+
+J6_SQL = f"""
+WITH t AS (
+  SELECT {_FPX('url')} AS fingerprint, CAST(0 AS SMALLINT) AS state, ts FROM ({LINKS_SQL})
+  UNION ALL
+  SELECT {_FPX('url')}, CAST(CASE type WHEN 'update_score' THEN 1 WHEN 'page_crawled' THEN 2 ELSE 3 END AS SMALLINT), ts
+  FROM ({GOOD}) WHERE type IN ('page_crawled', 'request_error') OR (type = 'update_score' AND event_id % 2 = 0)
+)
+SELECT fingerprint, CAST(arg_max(state, (ts, state)) AS SMALLINT) AS state FROM t GROUP BY fingerprint"""
+
+
+@register("j6_url_states", J6_SQL)
+def j6_url_states(spark, sf_dir):
+    d, links, crawled, errors = _event_tables(spark, sf_dir)
+    sched = S.events_of(d, "update_score").where("schedule").select(_fp("url").alias("fingerprint"), "ts")
+    t = (links.select("fingerprint", F.lit(Q.NOT_CRAWLED).alias("state"), "ts")
+         .unionByName(sched.select("fingerprint", F.lit(Q.QUEUED).alias("state"), "ts"))
+         .unionByName(crawled.select("fingerprint", F.lit(Q.CRAWLED).alias("state"), "ts"))
+         .unionByName(errors.select("fingerprint", F.lit(Q.ERROR).alias("state"), "ts")))
+    return Q.url_states(t)
+
+
+# Score updates: metadata = every URL seen in a decoded event (score unset).
+F9_UPD = f"""SELECT {_FPX('url')} AS fingerprint, url, value / 100.0 AS score, event_id % 2 = 0 AS schedule, ts
+             FROM ({GOOD}) WHERE type = 'update_score'"""
+F9_LAST = f"""SELECT fingerprint, arg_max(url, (ts, score)) AS url, arg_max(score, (ts, score)) AS score,
+                     arg_max(schedule, (ts, score)) AS schedule, max(ts) AS ts FROM ({F9_UPD}) GROUP BY fingerprint"""
+
+
+def _f9(spark, sf_dir):
+    d = decoded(spark, sf_dir)
+    md = d.where(F.col("url").isNotNull()).select(_fp("url").alias("fingerprint")).distinct() \
+        .withColumn("score", F.lit(None).cast("double"))
+    upd = S.events_of(d, "update_score").select(_fp("url").alias("fingerprint"), "url", "score", "schedule", "ts")
+    empty_q = Q.to_queue(upd.limit(0).select("url", "score", F.col("ts").alias("created_at"), F.lit(0).alias("depth")))
+    return Q.apply_scores(md, empty_q, upd)
+
+
+@register("f9_metadata_scores", f"""
+WITH md AS (SELECT DISTINCT {_FPX('url')} AS fingerprint FROM ({GOOD}) WHERE type <> 'offset')
+SELECT md.fingerprint, l.score FROM md LEFT JOIN ({F9_LAST}) l ON md.fingerprint = l.fingerprint""")
+def f9_metadata_scores(spark, sf_dir):
+    md, _ = _f9(spark, sf_dir)
+    return md.select("fingerprint", "score")
+
+
+@register("f9_queue_appended", f"""
+SELECT {sg.host_partition('url', 2)} AS partition_id, fingerprint, url, score, ts AS created_at
+FROM ({F9_LAST}) WHERE schedule""")
+def f9_queue_appended(spark, sf_dir):
+    _, q = _f9(spark, sf_dir)
+    return q.select("partition_id", "fingerprint", "url", "score", "created_at")
