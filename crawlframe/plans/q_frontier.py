@@ -159,3 +159,49 @@ def f10_peek_queue(spark, sf_dir):
 SELECT fingerprint, url, fetched_at FROM ({_MD_SQL}) ORDER BY fingerprint, url LIMIT 10""")
 def f10_peek_metadata(spark, sf_dir):
     return Q.peek(metadata(spark, sf_dir), 10, ["fingerprint", "url"])
+
+
+# Robots rules for every page host: '*' disallows /fr/ except /fr/8..., and
+# any path with ?page=; hosts of even name length also have a group of their
+# own that disallows /en/ (and so ignores the '*' group).
+AGENT = "crawlframe"
+_RULES_SQL = f"""
+WITH h AS (SELECT DISTINCT {sg.host('url')} AS host FROM pages)
+SELECT host, '*' AS agent, false AS allow, '/fr/' AS pattern FROM h
+UNION ALL SELECT host, '*', true, '/fr/8' FROM h
+UNION ALL SELECT host, '*', false, '/*?page=' FROM h
+UNION ALL SELECT host, '{AGENT}', false, '/en/' FROM h WHERE length(host) % 2 = 0"""
+
+
+def robots_rules(spark, sf_dir):
+    h = I.table(spark, sf_dir, "pages").select(url_host("url").alias("host")).distinct()
+    star = [("*", False, "/fr/"), ("*", True, "/fr/8"), ("*", False, "/*?page=")]
+    rows = None
+    for agent, allow, pat in star:
+        part = h.select("host", F.lit(agent).alias("agent"), F.lit(allow).alias("allow"), F.lit(pat).alias("pattern"))
+        rows = part if rows is None else rows.unionByName(part)
+    own = h.where(F.length("host") % 2 == 0).select("host", F.lit(AGENT).alias("agent"), F.lit(False).alias("allow"),
+                                                    F.lit("/en/").alias("pattern"))
+    return rows.unionByName(own)
+
+
+@register("t8_robots", f"""
+WITH r AS ({_RULES_SQL}),
+own AS (SELECT host, bool_or(agent = '{AGENT}') AS has_own FROM r GROUP BY host),
+eff AS (SELECT r.* FROM r JOIN own USING (host) WHERE (has_own AND agent = '{AGENT}') OR (NOT has_own AND agent = '*')),
+u AS (SELECT page_id, url, {sg.host('url')} AS host,
+             CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^#]*)', 1) = '' THEN '/'
+                  ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^#]*)', 1) END AS pq FROM pages),
+m AS (SELECT u.page_id, arg_max(eff.allow, (length(eff.pattern), eff.allow)) AS allow
+      FROM u JOIN eff ON u.host = eff.host
+      WHERE u.pq LIKE replace(CASE WHEN ends_with(eff.pattern, '$') THEN substr(eff.pattern, 1, length(eff.pattern) - 1)
+                                   ELSE eff.pattern END, '*', '%')
+                      || CASE WHEN ends_with(eff.pattern, '$') THEN '' ELSE '%' END
+      GROUP BY u.page_id)
+SELECT u.page_id, u.url, coalesce(m.allow, true) AS allowed,
+       CAST(CASE WHEN coalesce(m.allow, true) THEN NULL ELSE -9998 END AS INTEGER) AS status_code
+FROM u LEFT JOIN m ON u.page_id = m.page_id""")
+def t8_robots(spark, sf_dir):
+    from ..operators.robots import apply_robots
+    urls = I.table(spark, sf_dir, "pages").select("page_id", "url")
+    return apply_robots(urls, robots_rules(spark, sf_dir), AGENT)
