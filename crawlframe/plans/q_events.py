@@ -122,10 +122,13 @@ def a3_latest_offsets(spark, sf_dir):
     return Q.latest_offsets(off)
 
 
-@register("a4_crawl_stats", f"""
+A4_SQL = f"""
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
        type, count(*) AS n_events
-FROM ({GOOD}) GROUP BY 1, 2, 3""")
+FROM ({GOOD}) GROUP BY 1, 2, 3"""
+
+
+@register("a4_crawl_stats", A4_SQL)
 def a4_crawl_stats(spark, sf_dir):
     return S.crawl_stats(decoded(spark, sf_dir), "1 hour")
 
@@ -234,3 +237,42 @@ FROM ({F9_LAST}) WHERE schedule""")
 def f9_queue_appended(spark, sf_dir):
     _, q = _f9(spark, sf_dir)
     return q.select("partition_id", "fingerprint", "url", "score", "created_at")
+
+
+# ---------------------------------------------------------------- streaming
+def _message_stream(spark, sf_dir, n_files: int, per_trigger: int | None):
+    from ..streaming.jobs import write_message_files
+    path = write_message_files(spark, I.messages(spark, sf_dir), n_files)
+    schema = spark.read.parquet(path).schema
+    return S.read_messages(spark, path, schema=schema, max_files_per_trigger=per_trigger)
+
+
+@register("e7_stream_states", J6_SQL)
+def e7_stream_states(spark, sf_dir):
+    """J6 as a stream: four message files, one per micro-batch, folded in the state store."""
+    from ..session import scratch_path
+    from ..streaming.jobs import read_states, stream_url_states
+    good, _ = S.decode_spider_log(_message_stream(spark, sf_dir, 4, 1))
+    links = S.links_of(good).select(_fp("url").alias("fingerprint"), F.lit(Q.NOT_CRAWLED).alias("state"), "ts")
+    sched = good.where((F.col("type") == "update_score") & F.col("schedule")).select(
+        _fp("url").alias("fingerprint"), F.lit(Q.QUEUED).alias("state"), "ts")
+    crawled = good.where(F.col("type") == "page_crawled").select(_fp("url").alias("fingerprint"),
+                                                                 F.lit(Q.CRAWLED).alias("state"), "ts")
+    errs = good.where(F.col("type") == "request_error").select(_fp("url").alias("fingerprint"),
+                                                               F.lit(Q.ERROR).alias("state"), "ts")
+    out, ckpt = scratch_path(spark, "states-out"), scratch_path(spark, "states-ckpt")
+    q = stream_url_states(links.unionByName(sched).unionByName(crawled).unionByName(errs), out, ckpt)
+    q.awaitTermination()
+    return read_states(spark, out)
+
+
+@register("e7_stream_stats", A4_SQL)
+def e7_stream_stats(spark, sf_dir):
+    """A4 as a stream (watermarked window counts, update mode, newest row per window)."""
+    from ..session import scratch_path
+    from ..streaming.jobs import read_stats, stream_crawl_stats
+    good, _ = S.decode_spider_log(_message_stream(spark, sf_dir, 4, None))
+    out, ckpt = scratch_path(spark, "stats-out"), scratch_path(spark, "stats-ckpt")
+    q = stream_crawl_stats(good, out, ckpt, interval="1 hour", watermark="1 hour")
+    q.awaitTermination()
+    return read_stats(spark, out)
