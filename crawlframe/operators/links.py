@@ -183,8 +183,10 @@ def extract_embeds(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     cleaned = F.regexp_replace(
         F.regexp_replace(F.col(html_col), r"(?is)<!--.*?-->|<style\b.*?</style\s*>", ""),
         r"(?is)(<script\b[^>]*>).*?</script\s*>", "$1")
-    parts = [F.transform(F.regexp_extract_all(cleaned, F.lit(tag_link_re(t, a, False)), F.lit(1)),
-                         lambda v, t=t: F.struct(F.lit(t).alias("tag"), v.alias("raw")))
+    def tagged(tag):
+        return lambda v: F.struct(F.lit(tag).alias("tag"), v.alias("raw"))
+
+    parts = [F.transform(F.regexp_extract_all(cleaned, F.lit(tag_link_re(t, a, False)), F.lit(1)), tagged(t))
              for t, a in EMBED_TAGS]
     df = pages.select(F.col(id_col), F.col(url_col),
                       resolve_url(F.col(url_col), base_href(html_col)).alias("base_url"),

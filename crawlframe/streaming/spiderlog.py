@@ -188,6 +188,8 @@ def encode_event(event_type: Column, url: Column, host_fp: Column, status_code=N
                  stats=None) -> Column:
     """K4: one spider-log event as JSON text, shaped by its type."""
     null = lambda t: F.lit(None).cast(t)
+    status_code = status_code if status_code is not None else null("int")
+    body = body if body is not None else null("string")
     links = links if links is not None else null(T.ArrayType(REQUEST))
     error = error if error is not None else null("string")
     score = score if score is not None else null("double")
@@ -198,8 +200,7 @@ def encode_event(event_type: Column, url: Column, host_fp: Column, status_code=N
     stats = stats if stats is not None else null(T.MapType(T.StringType(), T.StringType()))
     req = request_struct(url, domain_meta(host_fp))
     resp = F.struct(url.alias("url"), F.coalesce(status_code, F.lit(200)).alias("status_code"),
-                    domain_meta(host_fp).alias("meta"), body.alias("body") if body is not None else
-                    F.lit(None).cast("string").alias("body"))
+                    domain_meta(host_fp).alias("meta"), body.alias("body"))
     t = event_type
     lit_t = lambda s: F.lit(s).alias("type")
     return (F.when(t == "page_crawled", F.to_json(F.struct(lit_t("page_crawled"), resp.alias("r"))))
