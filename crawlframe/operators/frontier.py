@@ -188,25 +188,50 @@ def apply_events(metadata: DataFrame | None, crawled: DataFrame, errors: DataFra
 
     links (fingerprint, url, depth, ts) insert rows not yet known; crawled
     (fingerprint, url, status_code, ts) set status and fetched_at; errors
-    (fingerprint, url, error, ts) set the error. Later events win. Each kind
-    is reduced to one row per fingerprint first (partial aggregates), then
-    a single full outer join merges them with the old table.
+    (fingerprint, url, error, ts) set the error. Later events win.
     """
-    first = links.groupBy("fingerprint").agg(F.min_by(F.struct("url", "depth", "ts"), F.col("ts")).alias("_v"))
-    new = first.select("fingerprint", F.col("_v.url").alias("url_new"), F.col("_v.depth").alias("depth_new"),
-                       F.col("_v.ts").alias("created_at_new"))
-    cr = latest_by_key(crawled, "fingerprint", "ts", ["url", "status_code", "ts"]) \
-        .withColumnRenamed("ts", "fetched_at_new").withColumnRenamed("url", "url_cr") \
-        .withColumnRenamed("status_code", "status_new")
-    er = latest_by_key(errors, "fingerprint", "ts", ["url", "error", "ts"]) \
-        .withColumnRenamed("ts", "error_at").withColumnRenamed("url", "url_er").withColumnRenamed("error", "error_new")
-    ev = new.join(cr, "fingerprint", "full_outer").join(er, "fingerprint", "full_outer")
+    n = lambda t: F.lit(None).cast(t)
+    facts = (links.select("fingerprint", F.lit("link").alias("kind"), "url", F.col("depth").cast("int").alias("depth"),
+                          n("int").alias("status_code"), n("string").alias("error"), "ts")
+             .unionByName(crawled.select("fingerprint", F.lit("crawl").alias("kind"), "url", n("int").alias("depth"),
+                                         F.col("status_code").cast("int").alias("status_code"),
+                                         n("string").alias("error"), "ts"))
+             .unionByName(errors.select("fingerprint", F.lit("error").alias("kind"), "url", n("int").alias("depth"),
+                                        n("int").alias("status_code"), "error", "ts")))
+    return apply_event_facts(metadata, facts)
+
+
+def apply_event_facts(metadata: DataFrame | None, facts: DataFrame) -> DataFrame:
+    """J5 core: facts (fingerprint, kind in link/crawl/error, url, depth,
+    status_code, error, ts) reduced in ONE group-by per fingerprint
+    (conditional min_by/max_by, partial aggregation map-side), then merged
+    with the old table by a single full outer join."""
+    k = F.col("kind")
+    ev = facts.groupBy("fingerprint").agg(
+        F.min_by(F.struct("url", "depth", "ts"), F.when(k == "link", F.col("ts"))).alias("_l"),
+        F.max_by(F.struct("url", "status_code", "ts"), F.when(k == "crawl", F.col("ts"))).alias("_c"),
+        F.max_by(F.struct("url", "error", "ts"), F.when(k == "error", F.col("ts"))).alias("_e"),
+        F.max(F.when(k == "link", F.lit(1))).alias("_has_l"),
+        F.max(F.when(k == "crawl", F.lit(1))).alias("_has_c"),
+        F.max(F.when(k == "error", F.lit(1))).alias("_has_e"))
+    ev = ev.select(
+        "fingerprint",
+        F.when(F.col("_has_l") == 1, F.col("_l.url")).alias("url_new"),
+        F.when(F.col("_has_l") == 1, F.col("_l.depth")).alias("depth_new"),
+        F.when(F.col("_has_l") == 1, F.col("_l.ts")).alias("created_at_new"),
+        F.when(F.col("_has_c") == 1, F.col("_c.url")).alias("url_cr"),
+        F.when(F.col("_has_c") == 1, F.col("_c.status_code")).alias("status_new"),
+        F.when(F.col("_has_c") == 1, F.col("_c.ts")).alias("fetched_at_new"),
+        F.when(F.col("_has_e") == 1, F.col("_e.url")).alias("url_er"),
+        F.when(F.col("_has_e") == 1, F.col("_e.error")).alias("error_new"),
+        F.when(F.col("_has_e") == 1, F.col("_e.ts")).alias("error_at"))
     if metadata is None:
-        metadata = ev.sparkSession.createDataFrame(
-            [], "fingerprint string, url string, depth int, created_at timestamp_ntz, fetched_at timestamp_ntz, "
-                "status_code int, error string")
-    md = metadata.select("fingerprint", "url", "depth", "created_at", "fetched_at", "status_code", "error")
-    j = md.join(ev, "fingerprint", "full_outer")
+        j = ev.select("*", *[F.lit(None).cast(t).alias(c) for c, t in
+                             [("url", "string"), ("depth", "int"), ("created_at", "timestamp_ntz"),
+                              ("fetched_at", "timestamp_ntz"), ("status_code", "int"), ("error", "string")]])
+    else:
+        md = metadata.select("fingerprint", "url", "depth", "created_at", "fetched_at", "status_code", "error")
+        j = md.join(ev, "fingerprint", "full_outer")
     # the error stands only if no later successful fetch replaced it
     err_wins = F.col("error_at").isNotNull() & (F.col("fetched_at_new").isNull()
                                                 | (F.col("error_at") >= F.col("fetched_at_new")))

@@ -182,8 +182,8 @@ FROM k LEFT JOIN nl ON k.fingerprint = nl.fingerprint LEFT JOIN cr ON k.fingerpr
 
 @register("j5_apply_events", J5_SQL)
 def j5_apply_events(spark, sf_dir):
-    _, links, crawled, errors = _event_tables(spark, sf_dir)
-    return Q.apply_events(None, crawled, errors, links)
+    facts = S.event_facts(decoded(spark, sf_dir), url_fingerprint).where(F.col("kind") != "queued")
+    return Q.apply_event_facts(None, facts)
 
 
 J6_SQL = f"""
@@ -198,13 +198,8 @@ SELECT fingerprint, CAST(arg_max(state, (ts, state)) AS SMALLINT) AS state FROM
 
 @register("j6_url_states", J6_SQL)
 def j6_url_states(spark, sf_dir):
-    d, links, crawled, errors = _event_tables(spark, sf_dir)
-    sched = S.events_of(d, "update_score").where("schedule").select(_fp("url").alias("fingerprint"), "ts")
-    t = (links.select("fingerprint", F.lit(Q.NOT_CRAWLED).alias("state"), "ts")
-         .unionByName(sched.select("fingerprint", F.lit(Q.QUEUED).alias("state"), "ts"))
-         .unionByName(crawled.select("fingerprint", F.lit(Q.CRAWLED).alias("state"), "ts"))
-         .unionByName(errors.select("fingerprint", F.lit(Q.ERROR).alias("state"), "ts")))
-    return Q.url_states(t)
+    facts = S.event_facts(decoded(spark, sf_dir), url_fingerprint)
+    return Q.url_states(facts.select("fingerprint", "state", "ts"))
 
 
 # Score updates: metadata = every URL seen in a decoded event (score unset).
@@ -253,15 +248,9 @@ def e7_stream_states(spark, sf_dir):
     from ..session import scratch_path
     from ..streaming.jobs import read_states, stream_url_states
     good, _ = S.decode_spider_log(_message_stream(spark, sf_dir, 4, 1))
-    links = S.links_of(good).select(_fp("url").alias("fingerprint"), F.lit(Q.NOT_CRAWLED).alias("state"), "ts")
-    sched = good.where((F.col("type") == "update_score") & F.col("schedule")).select(
-        _fp("url").alias("fingerprint"), F.lit(Q.QUEUED).alias("state"), "ts")
-    crawled = good.where(F.col("type") == "page_crawled").select(_fp("url").alias("fingerprint"),
-                                                                 F.lit(Q.CRAWLED).alias("state"), "ts")
-    errs = good.where(F.col("type") == "request_error").select(_fp("url").alias("fingerprint"),
-                                                               F.lit(Q.ERROR).alias("state"), "ts")
+    facts = S.event_facts(good, url_fingerprint).select("fingerprint", "state", "ts")
     out, ckpt = scratch_path(spark, "states-out"), scratch_path(spark, "states-ckpt")
-    q = stream_url_states(links.unionByName(sched).unionByName(crawled).unionByName(errs), out, ckpt)
+    q = stream_url_states(facts, out, ckpt)
     q.awaitTermination()
     return read_states(spark, out)
 

@@ -226,3 +226,35 @@ def write_spider_log(messages: DataFrame, servers: str, topic: str, checkpoint:
     return (messages.select("key", "value").writeStream.format("kafka")
             .option("kafka.bootstrap.servers", servers).option("topic", topic)
             .option("checkpointLocation", checkpoint).start())
+
+
+def event_facts(decoded: DataFrame, fingerprint) -> DataFrame:
+    """One row per fact an event carries, from a single decode: its own request
+    (crawl / error / scheduled score) and every extracted link.
+
+    Output (fingerprint, kind, url, depth, status_code, error, state, ts);
+    ``fingerprint`` is a function url-column -> fingerprint column.
+    """
+    t = F.col("type")
+    own_kind = (F.when(t == "page_crawled", F.lit("crawl")).when(t == "request_error", F.lit("error"))
+                .when((t == "update_score") & F.col("schedule"), F.lit("queued")))
+    own_state = F.when(t == "page_crawled", F.lit(2)).when(t == "request_error", F.lit(3)).when(
+        (t == "update_score") & F.col("schedule"), F.lit(1))
+
+    def fact(url, kind, depth, status, error, state):
+        return F.struct(fingerprint(url).alias("fingerprint"), kind.alias("kind"), url.alias("url"),
+                        depth.cast("int").alias("depth"), status.cast("int").alias("status_code"),
+                        error.cast("string").alias("error"), state.cast("smallint").alias("state"))
+
+    own = F.when(own_kind.isNotNull(), F.array(fact(F.col("url"), own_kind, F.lit(None), F.col("status_code"),
+                                                    F.col("error"), own_state)))
+    links = F.transform(F.coalesce(F.col("links"), F.array().cast(T.ArrayType(REQUEST))),
+                        lambda l: fact(l["url"], F.lit("link"), F.lit(1), F.lit(None), F.lit(None), F.lit(0)))
+    all_facts = F.concat(F.coalesce(own, F.array().cast(T.ArrayType(_FACT))), links)
+    return decoded.select("ts", F.explode(all_facts).alias("_f")).select("_f.*", "ts")
+
+
+_FACT = T.StructType([T.StructField("fingerprint", T.StringType()), T.StructField("kind", T.StringType()),
+                      T.StructField("url", T.StringType()), T.StructField("depth", T.IntegerType()),
+                      T.StructField("status_code", T.IntegerType()), T.StructField("error", T.StringType()),
+                      T.StructField("state", T.ShortType())])
