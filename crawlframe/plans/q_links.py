@@ -185,6 +185,22 @@ def j3_discover(spark, sf_dir):
     return D.discover(parents, links)
 
 
-@register("x7_embeds", None)
+_EMBED_CLEAN = ("regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<style\\b.*?</style\\s*>', '', 'g'), "
+                "'(?is)(<script\\b[^>]*>).*?</script\\s*>', '\\1', 'g')")
+_EMBED_LISTS = ", ".join(
+    f"list_transform(regexp_extract_all(c, {sg.q(L.tag_link_re(t, a, False))}, 1), lambda v: {{'tag': {sg.q(t)}, 'raw': v}})"
+    for t, a in L.EMBED_TAGS)
+_X7_SQL = f"""
+SELECT page_id, url, CAST(pos AS INTEGER) AS pos, e.tag AS tag,
+       {sg.resolve('base_url', sg.unquote_attr('e.raw'))} AS target_url, 'E' AS hop
+FROM (
+  SELECT page_id, url, base_url, unnest(es) AS e, generate_subscripts(es, 1) - 1 AS pos
+  FROM (SELECT page_id, url, {sg.resolve('url', sg.base_href('html'))} AS base_url,
+               flatten([{_EMBED_LISTS}]) AS es
+        FROM (SELECT page_id, url, html, {_EMBED_CLEAN} AS c FROM pages))
+)"""
+
+
+@register("x7_embeds", _X7_SQL)
 def x7_embeds(spark, sf_dir):
     return L.extract_embeds(_pages(spark, sf_dir))
