@@ -124,26 +124,33 @@ def discovery_paths(spark: SparkSession, seeds: DataFrame, edges: DataFrame, max
     Breadth-first, one join per hop: frontier x edges (shuffled on the parent
     URL; AQE splits a hub with a huge fan-out), first arrival per child by
     (hop_path, via, seed) through a group-by whose partial aggregate runs
-    map-side, minus everything already reached. Each level is checkpointed to
-    the shared checkpoint folder, so lineage stays one hop deep and a lost
-    executor recomputes one level at most.
+    map-side, minus everything already reached. Each level is written as a
+    table under the shared checkpoint folder and read back, so lineage stays
+    one hop deep, every level is computed exactly once, and a lost executor
+    recomputes one level at most.
 
     seeds: (url[, source, *carry]); edges: (parent_url, child_url, hop).
     Output: (url, depth, hop_path, via, seed, *carry).
     """
-    scratch_path(spark, "paths")  # make sure the checkpoint folder is set
+    root = scratch_path(spark, "paths")
     carry = list(carry)
+
+    def persist(df: DataFrame, depth: int) -> DataFrame:
+        path = f"{root}/level={depth}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
     src = F.col("source") if "source" in seeds.columns else F.lit(None).cast("string")
     level = (seeds.select(F.col("url"), F.coalesce(src, F.col("url")).alias("seed"), *carry)
              .groupBy("url").agg(F.min(F.struct("seed", *carry)).alias("_s"))
              .select("url", F.lit(0).alias("depth"), F.lit("").alias("hop_path"),
                      F.lit(None).cast("string").alias("via"), F.col("_s.seed").alias("seed"),
                      *[F.col(f"_s.{c}").alias(c) for c in carry]))
-    level = level.checkpoint()
-    levels = [level]
-    visited = level.select("url")
+    level = persist(level, 0)
+    cols = level.columns
     e = edges.select(F.col("parent_url").alias("url"), "child_url", F.coalesce("hop", F.lit("L")).alias("hop"))
     for depth in range(1, max_hops + 1):
+        visited = spark.read.parquet(root).select("url")
         cand = level.join(e, "url").select(
             F.col("child_url").alias("url"),
             F.struct(F.concat("hop_path", "hop").alias("hop_path"), F.col("url").alias("via"),
@@ -152,13 +159,7 @@ def discovery_paths(spark: SparkSession, seeds: DataFrame, edges: DataFrame, max
                .join(visited, "url", "left_anti")
                .select("url", F.lit(depth).alias("depth"), "_c.hop_path", "_c.via", "_c.seed",
                        *[F.col(f"_c.{c}").alias(c) for c in carry]))
-        nxt = nxt.checkpoint()
-        if nxt.isEmpty():
+        level = persist(nxt, depth)
+        if level.isEmpty():
             break
-        levels.append(nxt)
-        visited = visited.unionByName(nxt.select("url"))
-        level = nxt
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
+    return spark.read.parquet(root).select(*cols)
