@@ -2,9 +2,9 @@
 after a date (X1), SURT prefix scope (X2), digest de-duplication (X3), the
 capture index (X4), per-host quotas (X5) and the domain scan report (X8).
 
-Ordered scans per key are split by time bucket: a key holding a third of all
-rows is still cut into one window partition per (key, bucket), and only a
-small per-(key, bucket) summary is scanned per key.
+Ordered scans per key (X1, X5) are split into range slices of (key, time):
+a key holding a third of all rows spans many slices and tasks, and only a
+small per-(key, slice) summary is scanned per key.
 """
 
 from __future__ import annotations
@@ -72,18 +72,33 @@ def dedupe_digests(captures: DataFrame, key_cols=("url", "digest"), order_cols=(
                     F.col(f"_first.{order_cols[-1]}").alias(f"original_{order_cols[-1]}")).drop("_first")
 
 
-def _bucket(ts, bucket: str):
-    return F.window(ts, bucket).start
+def range_slices(df: DataFrame, order_cols: list, n_parts: int | None = None) -> DataFrame:
+    """Cut ``df`` into contiguous slices of the (key, order...) sequence.
+
+    ``repartitionByRange`` samples the keys, so one key holding a third of
+    the rows is spread over many slices; ``_b`` is the slice number, which
+    grows along the order (AQE only ever merges neighbouring slices).
+
+    The range bounds come from a positional sample of each input partition,
+    so the input is first sorted within its partitions: every plan branch
+    that re-derives the slices (and every retry) then samples the same keys
+    and gets the same bounds, even when the input arrives from a shuffle in
+    varying order.
+    """
+    n = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (df.sortWithinPartitions(*order_cols).repartitionByRange(n, *order_cols)
+            .withColumn("_b", F.spark_partition_id()))
 
 
 def capture_lookup(requests: DataFrame, captures: DataFrame, key: str = "key", asked: str = "asked",
-                   ts: str = "ts", cid: str = "capture_id", bucket: str = "1 day") -> DataFrame:
+                   ts: str = "ts", cid: str = "capture_id", n_parts: int | None = None) -> DataFrame:
     """For each (key, asked) the first capture at or after ``asked``; none -> 'fetch'.
 
-    Same bucket: a window per (key, bucket) over requests and captures in time
-    order. Later buckets: the first capture of each (key, bucket), scanned per
-    key in bucket order -- that summary has one row per non-empty bucket, not
-    per capture, so no window ever holds a whole hot key.
+    Requests and captures are cut into range slices of (key, time). Inside a
+    slice: a window per (key, slice) in time order. Beyond it: the first
+    capture of each (key, slice), scanned per key in slice order -- that
+    summary has at most one row per slice, so no window ever holds a whole hot
+    key and no request is paired with every capture of its key.
     """
     caps = captures.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.col(cid).alias("_cid"))
     reqs = requests.select(F.col(key).alias("_key"), F.col(asked).alias("_ts"), *[
@@ -94,12 +109,11 @@ def capture_lookup(requests: DataFrame, captures: DataFrame, key: str = "key", a
                            *[F.lit(None).alias(c) for c in extra])
     req_rows = reqs.select("_key", "_ts", F.lit(0).alias("_kind"), F.lit(None).cast(cap_rows.schema["_cap"].dataType)
                            .alias("_cap"), *extra)
-    u = cap_rows.unionByName(req_rows).withColumn("_b", _bucket(F.col("_ts"), bucket))
+    u = range_slices(cap_rows.unionByName(req_rows), ["_key", "_ts", "_kind"], n_parts)
     # requests sort before captures of the same instant: "on or after" includes it
     w_same = Window.partitionBy("_key", "_b").orderBy("_ts", "_kind").rowsBetween(0, Window.unboundedFollowing)
     same = u.withColumn("_hit", F.first("_cap", ignorenulls=True).over(w_same)).where(F.col("_kind") == 0)
-    firsts = caps.withColumn("_b", _bucket(F.col("_ts"), bucket)).groupBy("_key", "_b").agg(
-        F.min(F.struct(F.col("_ts").alias("ts"), F.col("_cid").alias("id"))).alias("_first"))
+    firsts = u.where(F.col("_kind") == 1).groupBy("_key", "_b").agg(F.min("_cap").alias("_first"))
     req_b = same.select("_key", "_b").distinct().select("_key", "_b", F.lit(0).alias("_kind"),
                                                         F.lit(None).cast(firsts.schema["_first"].dataType).alias("_first"))
     ladder = firsts.select("_key", "_b", F.lit(1).alias("_kind"), "_first").unionByName(req_b)
@@ -114,13 +128,15 @@ def capture_lookup(requests: DataFrame, captures: DataFrame, key: str = "key", a
 
 
 def quota_per_host(df: DataFrame, quota: int, host_col: str = "host", size_col: str = "content_length",
-                   ts_col: str = "ts", tie_col: str = "id", bucket: str = "1 day") -> DataFrame:
+                   ts_col: str = "ts", tie_col: str = "id", n_parts: int | None = None) -> DataFrame:
     """Rows of each host while its running byte total stays within ``quota``.
 
-    Running total = bytes of the host's earlier buckets (a per-(host, bucket)
-    sum, scanned per host) + running sum inside the (host, bucket) window.
+    A distributed prefix sum: rows are cut into range slices of (host, time);
+    running total = bytes of the host's earlier slices (a per-(host, slice)
+    sum, scanned per host: at most one row per slice) + the running sum inside
+    the (host, slice) window. A hot host spans many slices and many tasks.
     """
-    d = df.withColumn("_b", _bucket(F.col(ts_col), bucket))
+    d = range_slices(df, [host_col, ts_col, tie_col], n_parts)
     tot = d.groupBy(host_col, "_b").agg(F.sum(size_col).alias("_t"))
     w_prev = Window.partitionBy(host_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = tot.withColumn("_before", F.coalesce(F.sum("_t").over(w_prev), F.lit(0))).drop("_t")

@@ -180,20 +180,26 @@ def parse_h3_line(lines: DataFrame, line_col: str = "line"):
     return good, bad
 
 
+MAX_BODY_BYTES = 10 * 1024 * 1024  # fixed value: configured maximum response size (10 MiB)
+
+
 def response_digest(chunks: DataFrame, key_col: str = "request_id", seq_col: str = "seq",
-                    data_col: str = "data") -> DataFrame:
+                    data_col: str = "data", max_bytes: int = MAX_BODY_BYTES) -> DataFrame:
     """A2: per request, wire size (sum of chunk lengths) and base32 SHA-1 of the
     chunks concatenated in arrival order.
 
-    The byte count is a plain partial/final sum. The digest needs one request's
-    chunks together; that group is one response body, bounded by the body-size
-    limit (T7), never a whole host or table.
+    Two phases so no task ever holds an unbounded group: the byte count is a
+    partial/final sum over all requests; only requests within ``max_bytes``
+    (the download limit, past which a fetch is aborted) have their chunks
+    gathered and hashed. Larger ones keep their size and get a null digest.
     """
-    agg = chunks.groupBy(key_col).agg(
-        F.sum(F.octet_length(F.col(data_col))).cast("bigint").alias("response_bytes"),
+    sizes = chunks.groupBy(key_col).agg(
+        F.sum(F.octet_length(F.col(data_col))).cast("bigint").alias("response_bytes"))
+    within = sizes.where(F.col("response_bytes") <= max_bytes).select(key_col)
+    gathered = chunks.join(within, key_col, "left_semi").groupBy(key_col).agg(
         F.array_sort(F.collect_list(F.struct(F.col(seq_col).alias("s"), F.col(data_col).cast("binary")
                                              .alias("d")))).alias("_c"))
     # hex round trip: array_join is linear where folding binary concat is quadratic
     body = F.unhex(F.array_join(F.transform(F.col("_c"), lambda x: F.hex(x["d"])), ""))
-    return agg.select(key_col, "response_bytes",
-                      base32_of_sha1_hex(F.sha1(body)).alias("response_digest"))
+    digests = gathered.select(key_col, base32_of_sha1_hex(F.sha1(body)).alias("response_digest"))
+    return sizes.join(digests, key_col, "left")

@@ -82,3 +82,9 @@ def test_response_digest_any_order(spark):
 def test_all_outcomes_items(spark):
     log = C.to_crawl_log(_responses(spark).withColumn("status_code", F.lit(404)))
     assert C.items_feed(log).count() == 0 and C.all_outcomes(log, log).count() == 2
+
+
+def test_response_digest_size_limit(spark):
+    ch = spark.createDataFrame([(1, 0, b"ab"), (1, 1, b"c"), (2, 0, b"abcd")], "request_id long, seq int, data binary")
+    got = {r.request_id: (r.response_bytes, r.response_digest) for r in C.response_digest(ch, max_bytes=3).collect()}
+    assert got == {1: (3, "VGMT4NSHA2AWVOR6EVYXQUGCNSONBWE5"), 2: (4, None)}
