@@ -39,18 +39,37 @@ def effective_rules(rules: DataFrame, agent: str) -> DataFrame:
 
 
 def apply_robots(urls: DataFrame, rules: DataFrame, agent: str, url_col: str = "url") -> DataFrame:
-    """Urls + ``allowed`` (boolean) and ``status_code`` (-9998 when disallowed)."""
-    eff = effective_rules(rules, agent).select(F.lower("host").alias("_h"), "allow", "pattern",
-                                               pattern_regex(F.col("pattern")).alias("_re"))
+    """Urls + ``allowed`` (boolean) and ``status_code`` (-9998 when disallowed).
+
+    Decided once per distinct (host, path). Plain prefix rules -- nearly all
+    of them -- match through an equi-join on (host, path prefix): each path
+    offers its prefixes at the distinct rule lengths (a bounded list,
+    collected once), so no path is paired with every rule of its host. Only
+    wildcard rules (``*`` or a final ``$``) are tested by regex against the
+    paths of their own host; a host's rule list is capped by the robots file
+    size limit.
+    """
+    eff = effective_rules(rules, agent).select(F.lower("host").alias("_h"), "allow", "pattern")
+    wild = F.col("pattern").contains("*") | F.col("pattern").endswith("$")
+    plain = eff.where(~wild)
+    wildcard = eff.where(wild).withColumn("_re", pattern_regex(F.col("pattern")))
     u = urls.withColumn("_h", url_host(F.col(url_col))).withColumn(
         "_pq", F.regexp_extract(F.col(url_col), _PATH_QUERY_RE, 1))
     u = u.withColumn("_pq", F.when(F.col("_pq") == "", F.lit("/")).otherwise(F.col("_pq")))
-    # decide once per distinct (host, path); rules of one host are a short list
     paths = u.select("_h", "_pq").distinct()
-    hits = (paths.join(eff, "_h").where(F.regexp_like(F.col("_pq"), F.col("_re")))
-            .groupBy("_h", "_pq").agg(F.max_by(F.col("allow"), F.struct(F.length("pattern"), F.col("allow")))
-                                      .alias("_allow")))
-    out = u.join(hits, ["_h", "_pq"], "left")
+    lengths = sorted(r[0] for r in plain.select(F.length("pattern")).distinct().collect() if r[0] is not None)
+    matches = []
+    if lengths:
+        cands = paths.select("_h", "_pq", F.explode(F.array_distinct(F.array(
+            *[F.substr(F.col("_pq"), F.lit(1), F.lit(n)) for n in lengths]))).alias("pattern"))
+        # a prefix shorter than asked (short path) only equals a rule of that length
+        matches.append(cands.join(plain, ["_h", "pattern"]).select("_h", "_pq", "allow", "pattern"))
+    matches.append(paths.join(wildcard, "_h").where(F.regexp_like(F.col("_pq"), F.col("_re")))
+                   .select("_h", "_pq", "allow", "pattern"))
+    hit = matches[0] if len(matches) == 1 else matches[0].unionByName(matches[1])
+    decided = hit.groupBy("_h", "_pq").agg(
+        F.max_by(F.col("allow"), F.struct(F.length("pattern"), F.col("allow"))).alias("_allow"))
+    out = u.join(decided, ["_h", "_pq"], "left")
     allowed = F.coalesce(F.col("_allow"), F.lit(True))
     return out.select(*urls.columns, allowed.alias("allowed"),
                       F.when(allowed, F.lit(None)).otherwise(F.lit(IGNORED_STATUS)).cast("int").alias("status_code"))
