@@ -25,14 +25,19 @@ def _part(url: Column, idx: int) -> Column:
 
 
 def url_parts(url) -> dict[str, Column]:
-    """scheme (with ':'), authority (with '//'), path, query (with '?'), fragment (with '#')."""
+    """scheme (with ':'), authority (with '//'), path, query (with '?'), fragment (with '#').
+
+    An empty query ('?') or fragment ('#') counts as absent, as in the
+    standard library's join the crawler used.
+    """
     u = col_of(url)
+    q, f = _part(u, 4), _part(u, 5)
     return {
         "scheme": _part(u, 1),
         "authority": _part(u, 2),
         "path": _part(u, 3),
-        "query": _part(u, 4),
-        "fragment": _part(u, 5),
+        "query": F.when(q == "?", F.lit("")).otherwise(q),
+        "fragment": F.when(f == "#", F.lit("")).otherwise(f),
     }
 
 
@@ -71,10 +76,25 @@ def remove_dot_segments(path: Column) -> Column:
     return F.when(trailing, F.concat(joined, F.lit("/"))).otherwise(joined)
 
 
+def squeeze_inner_slashes(path: Column) -> Column:
+    """Drop empty segments between the first and the last: '/a//b/' -> '/a/b/'."""
+    segs = F.split(path, "/", -1)
+    n = F.size(segs)
+    inner = F.filter(F.slice(segs, 2, F.greatest(n - 2, F.lit(0))), lambda x: x != "")
+    return F.when(n > 2, F.array_join(F.concat(F.slice(segs, 1, 1), inner, F.slice(segs, -1, 1)), "/")) \
+        .otherwise(path)
+
+
 def resolve_url(base, ref) -> Column:
-    """Resolve ``ref`` against ``base`` (RFC 3986 §5.2, strict), raw: no percent-encoding."""
+    """Resolve ``ref`` against ``base`` like the standard library's join that
+    the crawler used: RFC 3986 §5.2, except that a relative reference merged
+    with the base directory loses empty inner segments ('g//h' -> 'g/h'), a
+    network-path reference ('//h/p') keeps its path as written, an empty
+    reference returns the base unchanged (fragment included), and an empty
+    query or fragment counts as absent. Raw: no percent-encoding."""
     b = url_parts(base)
     r = url_parts(ref)
+    r["authority"] = F.when(r["authority"] == "//", F.lit("")).otherwise(r["authority"])  # '///p' has none
     has = lambda c: c != ""  # noqa: E731 - delimiters are inside the groups
     # merge(): base has authority and empty path -> '/' + ref; else base up to its last '/'
     base_dir = F.regexp_extract(b["path"], r"^(.*/)", 1)
@@ -85,13 +105,14 @@ def resolve_url(base, ref) -> Column:
     path_rel = (
         F.when(r["path"] == "", b["path"])
         .when(r["path"].startswith("/"), remove_dot_segments(r["path"]))
-        .otherwise(remove_dot_segments(merged))
+        .otherwise(remove_dot_segments(squeeze_inner_slashes(merged)))
     )
     query_rel = F.when((r["path"] == "") & ~has(r["query"]), b["query"]).otherwise(r["query"])
     resolved = (
-        F.when(has(r["scheme"]), col_of(ref))
+        F.when(col_of(ref) == "", col_of(base))
+        .when(has(r["scheme"]), col_of(ref))
         .when(has(r["authority"]),
-              F.concat(b["scheme"], r["authority"], remove_dot_segments(r["path"]), r["query"], r["fragment"]))
+              F.concat(b["scheme"], r["authority"], r["path"], r["query"], r["fragment"]))
         .otherwise(F.concat(b["scheme"], b["authority"], path_rel, query_rel, r["fragment"]))
     )
     return resolved

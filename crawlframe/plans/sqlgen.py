@@ -72,16 +72,27 @@ def remove_dot_segments(p: str) -> str:
             f"THEN array_to_string({kept}, '/') || '/' ELSE array_to_string({kept}, '/') END)")
 
 
+def squeeze_inner_slashes(p: str) -> str:
+    segs = f"string_split({p}, '/')"
+    return (f"(CASE WHEN len({segs}) > 2 THEN array_to_string(list_concat(list_concat([{segs}[1]], "
+            f"list_filter({segs}[2:len({segs}) - 1], lambda x: x <> '')), [{segs}[-1]]), '/') ELSE {p} END)")
+
+
 def resolve(b: str, r: str) -> str:
-    bs, ba, bp, bq = part(b, 1), part(b, 2), part(b, 3), part(b, 4)
-    rs, ra, rp, rq, rf = part(r, 1), part(r, 2), part(r, 3), part(r, 4), part(r, 5)
+    nz = lambda x, d: f"nullif({x}, '{d}')"  # noqa: E731 - empty '?' / '#' count as absent
+    bs, ba, bp = part(b, 1), part(b, 2), part(b, 3)
+    bq = f"coalesce({nz(part(b, 4), '?')}, '')"
+    rs, rp = part(r, 1), part(r, 3)
+    ra = f"coalesce({nz(part(r, 2), '//')}, '')"
+    rq = f"coalesce({nz(part(r, 4), '?')}, '')"
+    rf = f"coalesce({nz(part(r, 5), '#')}, '')"
     base_dir = f"regexp_extract({bp}, '^(.*/)', 1)"
     merged = f"(CASE WHEN {ba} <> '' AND {bp} = '' THEN '/' || {rp} ELSE {base_dir} || {rp} END)"
     path_rel = (f"(CASE WHEN {rp} = '' THEN {bp} WHEN starts_with({rp}, '/') THEN {remove_dot_segments(rp)} "
-                f"ELSE {remove_dot_segments(merged)} END)")
+                f"ELSE {remove_dot_segments(squeeze_inner_slashes(merged))} END)")
     query_rel = f"(CASE WHEN {rp} = '' AND {rq} = '' THEN {bq} ELSE {rq} END)"
-    return (f"(CASE WHEN {rs} <> '' THEN {r} "
-            f"WHEN {ra} <> '' THEN {bs} || {ra} || {remove_dot_segments(rp)} || {rq} || {rf} "
+    return (f"(CASE WHEN {r} = '' THEN {b} WHEN {rs} <> '' THEN {r} "
+            f"WHEN {ra} <> '' THEN {bs} || {ra} || {rp} || {rq} || {rf} "
             f"ELSE {bs} || {ba} || {path_rel} || {query_rel} || {rf} END)")
 
 
