@@ -62,12 +62,15 @@ def candidates(spark, sf_dir):
     return r.unionByName(copy).withColumn("fingerprint", url_fingerprint("url"))
 
 
-@register("j1_filter_unseen", f"""
+J1_SQL = f"""
 WITH c AS (SELECT url, created_at, {sg.url_fingerprint('url')} AS fingerprint FROM ({_CAND_SQL})),
 first AS (SELECT fingerprint, arg_min(url, (created_at, url)) AS url, min(created_at) AS created_at
           FROM c GROUP BY fingerprint),
 seen AS (SELECT {sg.url_fingerprint('url')} AS fingerprint FROM pages WHERE page_id % 3 = 0)
-SELECT fingerprint, url, created_at FROM first WHERE fingerprint NOT IN (SELECT fingerprint FROM seen)""")
+SELECT fingerprint, url, created_at FROM first WHERE fingerprint NOT IN (SELECT fingerprint FROM seen)"""
+
+
+@register("j1_filter_unseen", J1_SQL)
 def j1_filter_unseen(spark, sf_dir):
     seen = I.table(spark, sf_dir, "pages").where(F.col("page_id") % 3 == 0) \
         .select(url_fingerprint("url").alias("fingerprint"))
@@ -205,3 +208,20 @@ def t8_robots(spark, sf_dir):
     from ..operators.robots import apply_robots
     urls = I.table(spark, sf_dir, "pages").select("page_id", "url")
     return apply_robots(urls, robots_rules(spark, sf_dir), AGENT)
+
+
+@register("e7_stream_unseen", J1_SQL)
+def e7_stream_unseen(spark, sf_dir):
+    """J1 as a stream: candidates arrive one file set per day; each micro-batch
+    is filtered against the seen table and everything earlier batches let through."""
+    from ..session import scratch_path
+    from ..streaming.jobs import read_batches, stream_unseen, write_files_by_day
+    seen = I.table(spark, sf_dir, "pages").where(F.col("page_id") % 3 == 0) \
+        .select(url_fingerprint("url").alias("fingerprint"))
+    feed = write_files_by_day(spark, candidates(spark, sf_dir), "created_at")
+    schema = spark.read.parquet(feed).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    out, added, ckpt = (scratch_path(spark, "unseen-out"), scratch_path(spark, "unseen-seen"),
+                        scratch_path(spark, "unseen-ckpt"))
+    stream_unseen(stream, seen, added, out, ckpt).awaitTermination()
+    return read_batches(spark, out).select("fingerprint", "url", "created_at")

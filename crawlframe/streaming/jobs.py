@@ -82,29 +82,47 @@ def read_states(spark: SparkSession, out_path: str) -> DataFrame:
     return df.groupBy("fingerprint").agg(F.max_by("state", "batch_id").cast("smallint").alias("state"))
 
 
-def stream_unseen(candidates: DataFrame, seen_path: str, out_path: str, checkpoint: str, key: str = "fingerprint",
-                  trigger: dict | None = None):
-    """J1 continuously: each micro-batch keeps its first row per key, drops keys
-    in the seen table (a stream-static anti-join against the whole, unbounded
-    seen set), writes the survivors and appends their keys to the seen table.
-    Re-running a batch first removes what that batch added, so retries are exact."""
+def stream_unseen(candidates: DataFrame, seen: DataFrame | None, added_path: str, out_path: str, checkpoint: str,
+                  key: str = "fingerprint", order=("created_at", "url"), trigger: dict | None = None):
+    """J1 continuously: each micro-batch keeps its first row per key and drops
+    keys already seen -- the static seen table plus every key an earlier batch
+    let through (a stream-static anti-join against the whole, unbounded seen
+    set, never a watermark). Survivors are written under ``batch_id=N`` and
+    their keys appended to ``added_path``; a retried batch ignores its own
+    earlier keys and overwrites its output, so retries are exact."""
+    from ..operators.frontier import filter_unseen
+
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        mine = f"{seen_path}/batch_id={batch_id}"
+        known = seen.select(key) if seen is not None else spark.createDataFrame([], f"{key} string")
         try:
-            seen = spark.read.parquet(seen_path).where(F.col("batch_id") != batch_id).select(key)
-        except Exception:  # noqa: BLE001 - no seen table yet
-            seen = spark.createDataFrame([], f"{key} string")
-        cols = [c for c in batch.columns if c != key]
-        first = batch.groupBy(key).agg(F.min(F.struct(*cols)).alias("_f")).select(
-            key, *[F.col(f"_f.{c}").alias(c) for c in cols])
-        new = first.join(seen.distinct(), key, "left_anti")
+            added = spark.read.parquet(added_path).where(F.col("batch_id") != batch_id).select(key)
+            known = known.unionByName(added)
+        except Exception:  # noqa: BLE001 - nothing added yet
+            pass
+        new = filter_unseen(batch, known, key, order)
         new.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-        spark.read.parquet(f"{out_path}/batch_id={batch_id}").select(key).write.mode("overwrite").parquet(mine)
+        spark.read.parquet(f"{out_path}/batch_id={batch_id}").select(key) \
+            .write.mode("overwrite").parquet(f"{added_path}/batch_id={batch_id}")
     w = candidates.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
     return _start(w, trigger)
 
 
+def read_batches(spark: SparkSession, out_path: str) -> DataFrame:
+    """All rows a foreachBatch sink wrote, without the batch id."""
+    return spark.read.parquet(out_path).drop("batch_id")
+
+
+def write_files_by_day(spark: SparkSession, df: DataFrame, ts_col: str) -> str:
+    """Drop ``df`` as one set of files per day of ``ts_col``, day after day, so
+    a file stream reads them in time order (a stand-in for an arriving feed)."""
+    path = scratch_path(spark, "feed")
+    days = [r[0] for r in df.select(F.to_date(ts_col).alias("d")).distinct().orderBy("d").collect()]
+    for d in days:  # one small job per day; the day list is bounded by the time span
+        df.where(F.to_date(ts_col) == F.lit(d)).write.mode("append").parquet(path)
+    return path
+
+
 def write_message_files(spark: SparkSession, messages: DataFrame, n_files: int, order_col: str = "offset") -> str:
     """Drop messages as ``n_files`` parquet files in offset order under the
     shared checkpoint folder (a stand-in for a topic in tests and local runs)."""
