@@ -41,10 +41,13 @@ LINK_RE = tag_link_re("a", "href", True)
 AREA_RE = tag_link_re("area", "href", False)
 BASE_RE = tag_link_re("base", "href", False)
 
-# Character references decoded in attribute values and text
-# ('&amp;' is decoded last so '&amp;lt;' stays '&lt;').
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"),
-            ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+# Named character references decoded in attribute values and text.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+# One token per named or numeric reference, run of text, or lone '&': every
+# token is decoded once, so '&amp;#39;' stays '&#39;'.
+ENTITY_TOKEN_RE = (r"&(?:" + "|".join(e[1:-1] for e, _ in ENTITIES) + r");|&#[0-9]{1,8};|&#[xX][0-9a-fA-F]{1,8};"
+                   r"|[^&]+|&")
+REPLACEMENT_CHAR = "\ufffd"
 
 HTML_SPACE_RE = r"^[\t\n\f\r ]+|[\t\n\f\r ]+$"
 TEXT_SPACE_RE = r"[\t\n\f\r ]+"
@@ -55,11 +58,27 @@ def strip_inert(html) -> Column:
     return F.regexp_replace(col_of(html), STRIP_RE, "")
 
 
+def _code_point_char(cp: Column) -> Column:
+    """The character of a code point; invalid ones (0, surrogates, > U+10FFFF) give U+FFFD."""
+    ok = (cp > 0) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
+    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")).otherwise(F.lit(REPLACEMENT_CHAR))
+
+
 def unescape(c) -> Column:
-    out = col_of(c)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Decode character references (named ones above, decimal, hex) in one pass."""
+    def token(t):
+        out = None
+        for ent, ch in ENTITIES:
+            out = F.when(t == ent, F.lit(ch)) if out is None else out.when(t == ent, F.lit(ch))
+        body = F.substr(t, F.lit(3), F.length(t) - 3)
+        dec = body.cast("bigint")
+        hx = F.conv(F.substr(t, F.lit(4), F.length(t) - 4), 16, 10).cast("bigint")
+        return (out.when(t.rlike("^&#[xX]"), _code_point_char(hx))
+                .when(t.rlike("^&#[0-9]"), _code_point_char(dec))
+                .otherwise(t))
+    s = col_of(c)
+    decoded = F.array_join(F.transform(F.regexp_extract_all(s, F.lit(ENTITY_TOKEN_RE), F.lit(0)), token), "")
+    return F.when(s.contains("&"), decoded).otherwise(s)
 
 
 def unquote_attr(raw) -> Column:

@@ -96,11 +96,19 @@ def resolve(b: str, r: str) -> str:
             f"ELSE {bs} || {ba} || {path_rel} || {query_rel} || {rf} END)")
 
 
+def _cp_char(cp: str) -> str:
+    return (f"(CASE WHEN {cp} > 0 AND {cp} <= 1114111 AND NOT ({cp} BETWEEN 55296 AND 57343) "
+            f"THEN chr(CAST({cp} AS INTEGER)) ELSE {q(H.REPLACEMENT_CHAR)} END)")
+
+
 def unescape(s: str) -> str:
-    out = s
-    for ent, ch in H.ENTITIES:
-        out = f"replace({out}, {q(ent)}, {q(ch)})"
-    return out
+    named = " ".join(f"WHEN t = {q(e)} THEN {q(ch)}" for e, ch in H.ENTITIES)
+    dec = "TRY_CAST(substr(t, 3, length(t) - 3) AS BIGINT)"
+    hx = "TRY_CAST('0x' || substr(t, 4, length(t) - 4) AS BIGINT)"
+    tok = (f"CASE {named} WHEN regexp_matches(t, '^&#[xX]') THEN {_cp_char(hx)} "
+           f"WHEN regexp_matches(t, '^&#[0-9]') THEN {_cp_char(dec)} ELSE t END")
+    return (f"(CASE WHEN contains({s}, '&') THEN array_to_string(list_transform("
+            f"regexp_extract_all({s}, {q(H.ENTITY_TOKEN_RE)}, 0), lambda t: {tok}), '') ELSE {s} END)")
 
 
 def unquote_attr(raw: str) -> str:

@@ -73,3 +73,14 @@ def test_embeds_and_sitemap(spark):
     sm = spark.createDataFrame([(1, "http://h/sitemap.xml", "<urlset><url><loc> http://h/a?x=1&amp;y=2 </loc></url></urlset>")],
                                "id long, url string, body string")
     assert L.extract_sitemap_urls(sm, "id", "url", "body").first().target_url == "http://h/a?x=1&y=2"
+
+
+def test_character_references(spark):
+    from pyspark.sql import functions as F
+    from crawlframe.functions.html import unescape
+    cases = {"/a&amp;b": "/a&b", "&amp;#39;": "&#39;", "&#39;x&#x2F;": "'x/", "&#128512;": "\U0001F600",
+             "&#0;": "�", "&#xD800;": "�", "a & b": "a & b", "&lt;&gt;&quot;&nbsp;": "<>\" ",
+             "&unknown;": "&unknown;", "plain": "plain"}
+    df = spark.createDataFrame([(k,) for k in cases], "s string")
+    for r in df.select("s", unescape(F.col("s")).alias("u")).collect():
+        assert r.u == cases[r.s], r.s
