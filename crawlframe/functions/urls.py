@@ -61,19 +61,21 @@ def url_after_authority(url) -> Column:
 
 
 def remove_dot_segments(path: Column) -> Column:
-    """RFC 3986 §5.2.4 on a column: drop '.', pop on '..' (never above the root)."""
+    """Dot-segment removal as the standard library's join does it: drop '.',
+    let '..' pop the previous segment (the root's empty one too, nothing when
+    empty), add '/' after a final '.' or '..', and keep a rooted path rooted."""
     segs = F.split(path, "/", -1)
     kept = F.aggregate(
         segs,
         F.array().cast("array<string>"),
         lambda acc, s: F.when(s == ".", acc)
-        .when(s == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc))
+        .when(s == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc))
         .otherwise(F.concat(acc, F.array(s))),
     )
-    joined = F.array_join(kept, "/")
     last = F.element_at(segs, -1)
     trailing = (F.size(segs) > 1) & last.isin(".", "..")
-    return F.when(trailing, F.concat(joined, F.lit("/"))).otherwise(joined)
+    joined = F.array_join(F.when(trailing, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    return F.when(path.startswith("/") & ~joined.startswith("/"), F.concat(F.lit("/"), joined)).otherwise(joined)
 
 
 def squeeze_inner_slashes(path: Column) -> Column:
@@ -85,16 +87,27 @@ def squeeze_inner_slashes(path: Column) -> Column:
         .otherwise(path)
 
 
+# Schemes whose references resolve relative to a base of the same scheme.
+RELATIVE_SCHEMES = ["", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms",
+                    "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss"]
+
+
 def resolve_url(base, ref) -> Column:
     """Resolve ``ref`` against ``base`` like the standard library's join that
     the crawler used: RFC 3986 §5.2, except that a relative reference merged
     with the base directory loses empty inner segments ('g//h' -> 'g/h'), a
-    network-path reference ('//h/p') keeps its path as written, an empty
+    network-path reference ('//h/p') keeps its path as written, 'http:g' is
+    relative to an http base, the scheme comes out lower-cased, an empty
     reference returns the base unchanged (fragment included), and an empty
     query or fragment counts as absent. Raw: no percent-encoding."""
     b = url_parts(base)
     r = url_parts(ref)
     r["authority"] = F.when(r["authority"] == "//", F.lit("")).otherwise(r["authority"])  # '///p' has none
+    b["scheme"] = F.lower(b["scheme"])
+    # 'http:g' against an http base is relative; any other scheme stands alone
+    r_scheme = F.lower(r["scheme"])
+    same_scheme = (r_scheme == b["scheme"]) & F.substring_index(r_scheme, ":", 1).isin(RELATIVE_SCHEMES[1:])
+    stands_alone = (r_scheme != "") & ~same_scheme
     has = lambda c: c != ""  # noqa: E731 - delimiters are inside the groups
     # merge(): base has authority and empty path -> '/' + ref; else base up to its last '/'
     base_dir = F.regexp_extract(b["path"], r"^(.*/)", 1)
@@ -110,7 +123,7 @@ def resolve_url(base, ref) -> Column:
     query_rel = F.when((r["path"] == "") & ~has(r["query"]), b["query"]).otherwise(r["query"])
     resolved = (
         F.when(col_of(ref) == "", col_of(base))
-        .when(has(r["scheme"]), col_of(ref))
+        .when(stands_alone, col_of(ref))
         .when(has(r["authority"]),
               F.concat(b["scheme"], r["authority"], r["path"], r["query"], r["fragment"]))
         .otherwise(F.concat(b["scheme"], b["authority"], path_rel, query_rel, r["fragment"]))

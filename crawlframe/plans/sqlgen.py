@@ -65,11 +65,12 @@ def base32_sha1(s: str) -> str:
 def remove_dot_segments(p: str) -> str:
     segs = f"string_split({p}, '/')"
     kept = (f"list_reduce({segs}, lambda acc, s: CASE WHEN s = '.' THEN acc WHEN s = '..' THEN "
-            f"(CASE WHEN len(acc) > 1 THEN acc[1:len(acc) - 1] ELSE acc END) "
+            f"(CASE WHEN len(acc) > 0 THEN acc[1:len(acc) - 1] ELSE acc END) "
             f"ELSE list_append(acc, s) END, []::VARCHAR[])")
     last = f"{segs}[-1]"
-    return (f"(CASE WHEN len({segs}) > 1 AND {last} IN ('.', '..') "
-            f"THEN array_to_string({kept}, '/') || '/' ELSE array_to_string({kept}, '/') END)")
+    joined = (f"(CASE WHEN len({segs}) > 1 AND {last} IN ('.', '..') "
+              f"THEN array_to_string(list_append({kept}, ''), '/') ELSE array_to_string({kept}, '/') END)")
+    return f"(CASE WHEN starts_with({p}, '/') AND NOT starts_with({joined}, '/') THEN '/' || {joined} ELSE {joined} END)"
 
 
 def squeeze_inner_slashes(p: str) -> str:
@@ -80,9 +81,11 @@ def squeeze_inner_slashes(p: str) -> str:
 
 def resolve(b: str, r: str) -> str:
     nz = lambda x, d: f"nullif({x}, '{d}')"  # noqa: E731 - empty '?' / '#' count as absent
-    bs, ba, bp = part(b, 1), part(b, 2), part(b, 3)
+    bs, ba, bp = f"lower({part(b, 1)})", part(b, 2), part(b, 3)
     bq = f"coalesce({nz(part(b, 4), '?')}, '')"
-    rs, rp = part(r, 1), part(r, 3)
+    rsl, rp = f"lower({part(r, 1)})", part(r, 3)
+    rel = ", ".join(q(x) for x in U.RELATIVE_SCHEMES[1:])
+    alone = f"({rsl} <> '' AND NOT ({rsl} = {bs} AND split_part({rsl}, ':', 1) IN ({rel})))"
     ra = f"coalesce({nz(part(r, 2), '//')}, '')"
     rq = f"coalesce({nz(part(r, 4), '?')}, '')"
     rf = f"coalesce({nz(part(r, 5), '#')}, '')"
@@ -91,7 +94,7 @@ def resolve(b: str, r: str) -> str:
     path_rel = (f"(CASE WHEN {rp} = '' THEN {bp} WHEN starts_with({rp}, '/') THEN {remove_dot_segments(rp)} "
                 f"ELSE {remove_dot_segments(squeeze_inner_slashes(merged))} END)")
     query_rel = f"(CASE WHEN {rp} = '' AND {rq} = '' THEN {bq} ELSE {rq} END)"
-    return (f"(CASE WHEN {r} = '' THEN {b} WHEN {rs} <> '' THEN {r} "
+    return (f"(CASE WHEN {r} = '' THEN {b} WHEN {alone} THEN {r} "
             f"WHEN {ra} <> '' THEN {bs} || {ra} || {rp} || {rq} || {rf} "
             f"ELSE {bs} || {ba} || {path_rel} || {query_rel} || {rf} END)")
 
