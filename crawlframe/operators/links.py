@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import col_of
-from ..functions.html import (LINK_RE, anchor_text, base_href, link_matches, strip_inert,
+from ..functions.html import (AREA_RE, LINK_RE, anchor_text, base_href, link_matches, strip_inert,
                               tag_link_re, unquote_attr)
 from ..functions.urls import domain_suffixes, resolve_url, url_host
 
@@ -72,12 +72,13 @@ def filter_max_size(df: DataFrame, n: int = 10 * 1024 * 1024, body_col: str = "b
 
 def _once(c) -> "F.Column":
     """A one-element explode: its output is a new attribute, so the optimizer
-    cannot inline the (regex-heavy) expression into every later use of it."""
-    return F.explode(F.array(c))
+    cannot inline the (regex-heavy) expression into every later use of it.
+    (``_outer``: no inferred ``size > 0`` filter, which would evaluate it twice.)"""
+    return F.explode_outer(F.array(c))
 
 
 def extract_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
-                  html_col: str = "html", with_text: bool = False) -> DataFrame:
+                  html_col: str = "html", with_text: bool = False, include_area: bool = False) -> DataFrame:
     """Every ``<a href>`` of a page in document order, duplicates and any scheme kept.
 
     Returns (id, url, base_url, pos, href[, link_text]) with ``pos`` 0-based;
@@ -88,8 +89,9 @@ def extract_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     clean = pages.select(F.col(id_col), F.col(url_col), strip_inert(html_col).alias("_h"))
     clean = clean.select(id_col, url_col, "_h", base_href("_h", stripped=True).alias("_b"))
     base = F.when(F.col("_b") == "", F.col(url_col)).otherwise(resolve_url(F.col(url_col), F.col("_b")))
+    extra = [F.regexp_extract_all(F.col("_h"), F.lit(AREA_RE), F.lit(1)).alias("_as")] if include_area else []
     per_page = clean.select(id_col, url_col, _once(base).alias("base_url"),
-                            link_matches("_h", stripped=True).alias("_ms"))
+                            link_matches("_h", stripped=True).alias("_ms"), *extra)
     def parse(m):
         out = [unquote_attr(F.regexp_extract(m, LINK_RE, 1)).alias("href")]
         if with_text:
@@ -97,7 +99,17 @@ def extract_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         return F.struct(*out)
 
     parsed = F.transform("_ms", parse)
-    df = per_page.select(id_col, url_col, "base_url", F.posexplode(parsed).alias("pos", "_l"))
+    if include_area:  # <area href> after the anchors, no text
+        def area(v):
+            out = [unquote_attr(v).alias("href")]
+            if with_text:
+                out.append(F.lit("").alias("link_text"))
+            return F.struct(*out)
+        parsed = F.concat(parsed, F.transform("_as", area))
+    # posexplode_outer + filter on its output: plain posexplode makes Catalyst
+    # infer size(array) > 0 and push it to the scan, running the extraction twice
+    df = per_page.select(id_col, url_col, "base_url", F.posexplode_outer(parsed).alias("pos", "_l")) \
+        .where(F.col("pos").isNotNull())
     cols = [F.col(id_col), F.col(url_col), "base_url", F.col("pos").cast("int").alias("pos"),
             F.col("_l.href").alias("href")]
     if with_text:
@@ -106,8 +118,12 @@ def extract_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def resolve_links(links: DataFrame, base_col: str = "base_url", href_col: str = "href") -> DataFrame:
-    """``target_url`` = href resolved against the page (its ``<base>`` first), raw."""
-    return links.withColumn("target_url", resolve_url(F.col(base_col), F.col(href_col)))
+    """``target_url`` = href resolved against the page (its ``<base>`` first), raw.
+
+    Computed once per link behind a generator barrier: later host, key and
+    filter expressions read the column instead of re-inlining the resolver.
+    """
+    return links.select("*", _once(resolve_url(F.col(base_col), F.col(href_col))).alias("target_url"))
 
 
 def count_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -130,17 +146,7 @@ def extract_unique_links(pages: DataFrame, id_col: str = "page_id", url_col: str
     aggregate runs map-side (all links of a page sit in one task already), so
     only distinct links cross the shuffle.
     """
-    links = extract_links(pages, id_col, url_col, html_col, with_text=True)
-    if include_area:
-        area = pages.select(
-            F.col(id_col), F.col(url_col),
-            resolve_url(F.col(url_col), base_href(html_col)).alias("base_url"),
-            F.posexplode(F.regexp_extract_all(strip_inert(html_col), F.lit(tag_link_re("area", "href", False)),
-                                              F.lit(1))).alias("pos", "_raw"))
-        area = area.select(F.col(id_col), F.col(url_col), "base_url",
-                           (F.col("pos").cast("int") + F.lit(1 << 30)).alias("pos"),
-                           unquote_attr("_raw").alias("href"), F.lit("").alias("link_text"))
-        links = links.unionByName(area)
+    links = extract_links(pages, id_col, url_col, html_col, with_text=True, include_area=include_area)
     links = links.select(*[c for c in links.columns if c != "base_url"],
                          _once(resolve_url(F.col("base_url"), F.col("href"))).alias("target_url"))
     scheme = F.lower(F.regexp_extract("target_url", r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
@@ -186,21 +192,25 @@ def extract_embeds(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     def tagged(tag):
         return lambda v: F.struct(F.lit(tag).alias("tag"), v.alias("raw"))
 
-    parts = [F.transform(F.regexp_extract_all(cleaned, F.lit(tag_link_re(t, a, False)), F.lit(1)), tagged(t))
+    per_page = pages.select(F.col(id_col), F.col(url_col), cleaned.alias("_c"), base_href(html_col).alias("_b"))
+    base = F.when(F.col("_b") == "", F.col(url_col)).otherwise(resolve_url(F.col(url_col), F.col("_b")))
+    parts = [F.transform(F.regexp_extract_all(F.col("_c"), F.lit(tag_link_re(t, a, False)), F.lit(1)), tagged(t))
              for t, a in EMBED_TAGS]
-    df = pages.select(F.col(id_col), F.col(url_col),
-                      resolve_url(F.col(url_col), base_href(html_col)).alias("base_url"),
-                      F.posexplode(F.concat(*parts)).alias("pos", "_e"))
-    return df.select(F.col(id_col), F.col(url_col), F.col("pos").cast("int").alias("pos"),
-                     F.col("_e.tag").alias("tag"),
-                     resolve_url(F.col("base_url"), unquote_attr(F.col("_e.raw"))).alias("target_url"),
-                     F.lit("E").alias("hop"))
+    df = per_page.select(id_col, url_col, _once(base).alias("base_url"), F.concat(*parts).alias("_es")) \
+        .select(id_col, url_col, "base_url", F.posexplode_outer("_es").alias("pos", "_e")) \
+        .where(F.col("pos").isNotNull())
+    found = df.select(F.col(id_col), F.col(url_col), F.col("pos").cast("int").alias("pos"),
+                      F.col("_e.tag").alias("tag"), "base_url", unquote_attr(F.col("_e.raw")).alias("_href"))
+    return found.select(id_col, url_col, "pos", "tag",
+                        _once(resolve_url(F.col("base_url"), F.col("_href"))).alias("target_url"),
+                        F.lit("E").alias("hop"))
 
 
 def extract_sitemap_urls(docs: DataFrame, id_col: str, url_col: str, body_col: str) -> DataFrame:
     """``<loc>`` entries of sitemap XML as hop ``M`` requests."""
     locs = F.regexp_extract_all(F.col(body_col), F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
-    df = docs.select(F.col(id_col), F.col(url_col), F.posexplode(locs).alias("pos", "_loc"))
+    df = docs.select(F.col(id_col), F.col(url_col), F.posexplode_outer(locs).alias("pos", "_loc")) \
+        .where(F.col("pos").isNotNull())
     return df.select(F.col(id_col), F.col(url_col), F.col("pos").cast("int").alias("pos"),
                      resolve_url(F.col(url_col), F.trim(F.regexp_replace(
                          F.replace(F.col("_loc"), F.lit("&amp;"), F.lit("&")), r"<!\[CDATA\[|\]\]>", "")))

@@ -251,7 +251,9 @@ def event_facts(decoded: DataFrame, fingerprint) -> DataFrame:
     links = F.transform(F.coalesce(F.col("links"), F.array().cast(T.ArrayType(REQUEST))),
                         lambda l: fact(l["url"], F.lit("link"), F.lit(1), F.lit(None), F.lit(None), F.lit(0)))
     all_facts = F.concat(F.coalesce(own, F.array().cast(T.ArrayType(_FACT))), links)
-    return decoded.select("ts", F.explode(all_facts).alias("_f")).select("_f.*", "ts")
+    # explode_outer + filter: no inferred size() filter re-running the fingerprints
+    return decoded.select("ts", F.explode_outer(all_facts).alias("_f")).where(F.col("_f").isNotNull()) \
+        .select("_f.*", "ts")
 
 
 _FACT = T.StructType([T.StructField("fingerprint", T.StringType()), T.StructField("kind", T.StringType()),
