@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import col_of
+from ..functions.common import col_of, once
 from ..functions.html import (AREA_RE, LINK_RE, anchor_text, base_href, link_matches, strip_inert,
                               tag_link_re, unquote_attr)
 from ..functions.urls import domain_suffixes, resolve_url, url_host
@@ -70,13 +70,6 @@ def filter_max_size(df: DataFrame, n: int = 10 * 1024 * 1024, body_col: str = "b
     return df.where(F.octet_length(F.col(body_col)) <= F.lit(n))
 
 
-def _once(c) -> "F.Column":
-    """A one-element explode: its output is a new attribute, so the optimizer
-    cannot inline the (regex-heavy) expression into every later use of it.
-    (``_outer``: no inferred ``size > 0`` filter, which would evaluate it twice.)"""
-    return F.explode_outer(F.array(c))
-
-
 def extract_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                   html_col: str = "html", with_text: bool = False, include_area: bool = False) -> DataFrame:
     """Every ``<a href>`` of a page in document order, duplicates and any scheme kept.
@@ -90,7 +83,7 @@ def extract_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     clean = clean.select(id_col, url_col, "_h", base_href("_h", stripped=True).alias("_b"))
     base = F.when(F.col("_b") == "", F.col(url_col)).otherwise(resolve_url(F.col(url_col), F.col("_b")))
     extra = [F.regexp_extract_all(F.col("_h"), F.lit(AREA_RE), F.lit(1)).alias("_as")] if include_area else []
-    per_page = clean.select(id_col, url_col, _once(base).alias("base_url"),
+    per_page = clean.select(id_col, url_col, once(base).alias("base_url"),
                             link_matches("_h", stripped=True).alias("_ms"), *extra)
     def parse(m):
         out = [unquote_attr(F.regexp_extract(m, LINK_RE, 1)).alias("href")]
@@ -123,7 +116,7 @@ def resolve_links(links: DataFrame, base_col: str = "base_url", href_col: str =
     Computed once per link behind a generator barrier: later host, key and
     filter expressions read the column instead of re-inlining the resolver.
     """
-    return links.select("*", _once(resolve_url(F.col(base_col), F.col(href_col))).alias("target_url"))
+    return links.select("*", once(resolve_url(F.col(base_col), F.col(href_col))).alias("target_url"))
 
 
 def count_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -148,7 +141,7 @@ def extract_unique_links(pages: DataFrame, id_col: str = "page_id", url_col: str
     """
     links = extract_links(pages, id_col, url_col, html_col, with_text=True, include_area=include_area)
     links = links.select(*[c for c in links.columns if c != "base_url"],
-                         _once(resolve_url(F.col("base_url"), F.col("href"))).alias("target_url"))
+                         once(resolve_url(F.col("base_url"), F.col("href"))).alias("target_url"))
     scheme = F.lower(F.regexp_extract("target_url", r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     links = links.where(scheme.isin(FOLLOW_SCHEMES) & ~_extension("target_url").isin(IGNORED_EXTENSIONS))
     first = (links.groupBy(id_col, url_col, "target_url")
@@ -196,13 +189,13 @@ def extract_embeds(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     base = F.when(F.col("_b") == "", F.col(url_col)).otherwise(resolve_url(F.col(url_col), F.col("_b")))
     parts = [F.transform(F.regexp_extract_all(F.col("_c"), F.lit(tag_link_re(t, a, False)), F.lit(1)), tagged(t))
              for t, a in EMBED_TAGS]
-    df = per_page.select(id_col, url_col, _once(base).alias("base_url"), F.concat(*parts).alias("_es")) \
+    df = per_page.select(id_col, url_col, once(base).alias("base_url"), F.concat(*parts).alias("_es")) \
         .select(id_col, url_col, "base_url", F.posexplode_outer("_es").alias("pos", "_e")) \
         .where(F.col("pos").isNotNull())
     found = df.select(F.col(id_col), F.col(url_col), F.col("pos").cast("int").alias("pos"),
                       F.col("_e.tag").alias("tag"), "base_url", unquote_attr(F.col("_e.raw")).alias("_href"))
     return found.select(id_col, url_col, "pos", "tag",
-                        _once(resolve_url(F.col("base_url"), F.col("_href"))).alias("target_url"),
+                        once(resolve_url(F.col("base_url"), F.col("_href"))).alias("target_url"),
                         F.lit("E").alias("hop"))
 
 

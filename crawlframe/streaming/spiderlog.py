@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.common import once
+
 # The event types of the spider log.
 EVENT_TYPES = ["page_crawled", "links_extracted", "request_error", "update_score", "new_job_id",
                "offset", "stats"]
@@ -90,7 +92,9 @@ def decode_spider_log(messages: DataFrame, strict: bool = False, value_col: str
     job, as the original decoder raised on it.
     """
     raw = F.col(value_col).cast("string")
-    df = messages.withColumn("_e", F.from_json(raw, EVENT, _JSON_OPTS)).withColumn("_raw", raw)
+    # parse once per message: filters and the many field reads below use the result
+    df = messages.select("*", raw.alias("_raw")).select(
+        "*", once(F.from_json(F.col("_raw"), EVENT, _JSON_OPTS)).alias("_e"))
     corrupt = F.col("_e._corrupt_record").isNotNull() | F.col("_e").isNull()
     known = F.col("_e.type").isin(EVENT_TYPES)
     if strict:
@@ -145,7 +149,8 @@ def decode_requests(messages: DataFrame, value_col: str = "value"):
     """E5: bare requests of the feed. Returns (good, bad): undecodable messages
     are set aside and the batch continues."""
     raw = F.col(value_col).cast("string")
-    df = messages.withColumn("_r", F.from_json(raw, REQUEST_MSG, _JSON_OPTS)).withColumn("_raw", raw)
+    df = messages.select("*", raw.alias("_raw")).select(
+        "*", once(F.from_json(F.col("_raw"), REQUEST_MSG, _JSON_OPTS)).alias("_r"))
     bad_c = F.col("_r._corrupt_record").isNotNull() | F.col("_r").isNull() | F.col("_r.url").isNull()
     keep = [c for c in messages.columns if c != value_col]
     good = df.where(~bad_c).select(*keep, "_r.url", "_r.method", "_r.headers", "_r.cookies", "_r.meta")
