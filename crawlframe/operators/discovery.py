@@ -148,9 +148,16 @@ def discovery_paths(spark: SparkSession, seeds: DataFrame, edges: DataFrame, max
                      *[F.col(f"_s.{c}").alias(c) for c in carry]))
     level = persist(level, 0)
     cols = level.columns
-    e = edges.select(F.col("parent_url").alias("url"), "child_url", F.coalesce("hop", F.lit("L")).alias("hop"))
+    # edges once, as a table bucketed by parent URL: each level's join then
+    # shuffles only the (small) frontier, never the edge table again
+    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e_name = "crawlframe_edges_" + root.rstrip("/").rsplit("-", 1)[-1]
+    (edges.select(F.col("parent_url").alias("url"), "child_url", F.coalesce("hop", F.lit("L")).alias("hop"))
+     .write.mode("overwrite").bucketBy(n_buckets, "url").sortBy("url")
+     .option("path", f"{root}/edges").saveAsTable(e_name))
+    e = spark.table(e_name)
     for depth in range(1, max_hops + 1):
-        visited = spark.read.parquet(root).select("url")
+        visited = spark.read.parquet(f"{root}/level=*").select("url")
         cand = level.join(e, "url").select(
             F.col("child_url").alias("url"),
             F.struct(F.concat("hop_path", "hop").alias("hop_path"), F.col("url").alias("via"),
@@ -162,4 +169,4 @@ def discovery_paths(spark: SparkSession, seeds: DataFrame, edges: DataFrame, max
         level = persist(nxt, depth)
         if level.isEmpty():
             break
-    return spark.read.parquet(root).select(*cols)
+    return spark.read.option("basePath", root).parquet(f"{root}/level=*").select(*cols)
