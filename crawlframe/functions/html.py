@@ -81,18 +81,20 @@ def unescape(c) -> Column:
     return F.when(s.contains("&"), decoded).otherwise(s)
 
 
-def unquote_attr(raw) -> Column:
-    """Attribute value: drop surrounding quotes, decode entities, strip HTML spaces."""
+def unquote_attr(raw, strip: bool = True) -> Column:
+    """Attribute value: drop surrounding quotes, decode entities; with ``strip``
+    also drop leading/trailing HTML spaces (the link extractor does, a plain
+    attribute selector does not)."""
     r = col_of(raw)
     quoted = r.startswith('"') | r.startswith("'")
-    v = F.when(quoted, F.substr(r, F.lit(2), F.length(r) - 2)).otherwise(r)
-    return F.regexp_replace(unescape(v), HTML_SPACE_RE, "")
+    v = unescape(F.when(quoted, F.substr(r, F.lit(2), F.length(r) - 2)).otherwise(r))
+    return F.regexp_replace(v, HTML_SPACE_RE, "") if strip else v
 
 
 def anchor_text(raw) -> Column:
-    """Visible text of an anchor: tags dropped, entities decoded, spaces collapsed."""
-    t = unescape(F.regexp_replace(col_of(raw), r"<[^>]*>", ""))
-    return F.trim(F.regexp_replace(t, TEXT_SPACE_RE, " "))
+    """String value of an anchor: its text with tags dropped and entities
+    decoded, whitespace kept as written (an XPath ``string()``)."""
+    return unescape(F.regexp_replace(col_of(raw), r"<[^>]*>", ""))
 
 
 def link_matches(html, stripped: bool = False) -> Column:

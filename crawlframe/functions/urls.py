@@ -100,6 +100,9 @@ def resolve_url(base, ref) -> Column:
     relative to an http base, the scheme comes out lower-cased, an empty
     reference returns the base unchanged (fragment included), and an empty
     query or fragment counts as absent. Raw: no percent-encoding."""
+    raw_ref = col_of(ref)
+    # the join strips leading C0 controls/spaces and drops tab, CR, LF first
+    ref = F.regexp_replace(F.regexp_replace(raw_ref, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
     b = url_parts(base)
     r = url_parts(ref)
     r["authority"] = F.when(r["authority"] == "//", F.lit("")).otherwise(r["authority"])  # '///p' has none
@@ -122,8 +125,8 @@ def resolve_url(base, ref) -> Column:
     )
     query_rel = F.when((r["path"] == "") & ~has(r["query"]), b["query"]).otherwise(r["query"])
     resolved = (
-        F.when(col_of(ref) == "", col_of(base))
-        .when(stands_alone, col_of(ref))
+        F.when(raw_ref == "", col_of(base))
+        .when(stands_alone, raw_ref)
         .when(has(r["authority"]),
               F.concat(b["scheme"], r["authority"], r["path"], r["query"], r["fragment"]))
         .otherwise(F.concat(b["scheme"], b["authority"], path_rel, query_rel, r["fragment"]))

@@ -71,9 +71,13 @@ def filter_max_size(df: DataFrame, n: int = 10 * 1024 * 1024, body_col: str = "b
 
 
 def extract_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
-                  html_col: str = "html", with_text: bool = False, include_area: bool = False) -> DataFrame:
+                  html_col: str = "html", with_text: bool = False, include_area: bool = False,
+                  strip_href: bool = False) -> DataFrame:
     """Every ``<a href>`` of a page in document order, duplicates and any scheme kept.
 
+    The href is the attribute value as an attribute selector returns it:
+    quotes removed and references decoded, surrounding whitespace kept
+    (``strip_href`` strips it, as the unique-link extractor does).
     Returns (id, url, base_url, pos, href[, link_text]) with ``pos`` 0-based;
     ``base_url`` is the page URL, or its ``<base href>`` resolved against it.
     Per page the HTML is scanned once for the base and once for anchors; per
@@ -86,7 +90,7 @@ def extract_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     per_page = clean.select(id_col, url_col, once(base).alias("base_url"),
                             link_matches("_h", stripped=True).alias("_ms"), *extra)
     def parse(m):
-        out = [unquote_attr(F.regexp_extract(m, LINK_RE, 1)).alias("href")]
+        out = [unquote_attr(F.regexp_extract(m, LINK_RE, 1), strip_href).alias("href")]
         if with_text:
             out.append(anchor_text(F.regexp_extract(m, LINK_RE, 2)).alias("link_text"))
         return F.struct(*out)
@@ -94,7 +98,7 @@ def extract_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     parsed = F.transform("_ms", parse)
     if include_area:  # <area href> after the anchors, no text
         def area(v):
-            out = [unquote_attr(v).alias("href")]
+            out = [unquote_attr(v, strip_href).alias("href")]
             if with_text:
                 out.append(F.lit("").alias("link_text"))
             return F.struct(*out)
@@ -139,7 +143,8 @@ def extract_unique_links(pages: DataFrame, id_col: str = "page_id", url_col: str
     aggregate runs map-side (all links of a page sit in one task already), so
     only distinct links cross the shuffle.
     """
-    links = extract_links(pages, id_col, url_col, html_col, with_text=True, include_area=include_area)
+    links = extract_links(pages, id_col, url_col, html_col, with_text=True, include_area=include_area,
+                          strip_href=True)
     links = links.select(*[c for c in links.columns if c != "base_url"],
                          once(resolve_url(F.col("base_url"), F.col("href"))).alias("target_url"))
     scheme = F.lower(F.regexp_extract("target_url", r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))

@@ -12,7 +12,7 @@ from . import sqlgen as sg
 from .catalog import register
 
 LINKS = sg.links_cte("pages")
-LINKS_TEXT = sg.links_cte("pages", with_text=True)
+LINKS_TEXT = sg.links_cte("pages", with_text=True, strip_href=True)
 RESOLVED = f"SELECT *, {sg.resolve('base_url', 'href')} AS target_url FROM ({LINKS})"
 
 

@@ -83,6 +83,8 @@ def resolve(b: str, r: str) -> str:
     nz = lambda x, d: f"nullif({x}, '{d}')"  # noqa: E731 - empty '?' / '#' count as absent
     bs, ba, bp = f"lower({part(b, 1)})", part(b, 2), part(b, 3)
     bq = f"coalesce({nz(part(b, 4), '?')}, '')"
+    raw_r = r
+    r = f"regexp_replace(regexp_replace({r}, '[\\t\\r\\n]', '', 'g'), '^[\\x00-\\x20]+', '')"
     rsl, rp = f"lower({part(r, 1)})", part(r, 3)
     rel = ", ".join(q(x) for x in U.RELATIVE_SCHEMES[1:])
     alone = f"({rsl} <> '' AND NOT ({rsl} = {bs} AND split_part({rsl}, ':', 1) IN ({rel})))"
@@ -94,7 +96,7 @@ def resolve(b: str, r: str) -> str:
     path_rel = (f"(CASE WHEN {rp} = '' THEN {bp} WHEN starts_with({rp}, '/') THEN {remove_dot_segments(rp)} "
                 f"ELSE {remove_dot_segments(squeeze_inner_slashes(merged))} END)")
     query_rel = f"(CASE WHEN {rp} = '' AND {rq} = '' THEN {bq} ELSE {rq} END)"
-    return (f"(CASE WHEN {r} = '' THEN {b} WHEN {alone} THEN {r} "
+    return (f"(CASE WHEN {raw_r} = '' THEN {b} WHEN {alone} THEN {raw_r} "
             f"WHEN {ra} <> '' THEN {bs} || {ra} || {rp} || {rq} || {rf} "
             f"ELSE {bs} || {ba} || {path_rel} || {query_rel} || {rf} END)")
 
@@ -114,15 +116,14 @@ def unescape(s: str) -> str:
             f"regexp_extract_all({s}, {q(H.ENTITY_TOKEN_RE)}, 0), lambda t: {tok}), '') ELSE {s} END)")
 
 
-def unquote_attr(raw: str) -> str:
-    v = (f"(CASE WHEN starts_with({raw}, '\"') OR starts_with({raw}, '''') "
-         f"THEN substr({raw}, 2, length({raw}) - 2) ELSE {raw} END)")
-    return f"regexp_replace({unescape(v)}, {q(H.HTML_SPACE_RE)}, '', 'g')"
+def unquote_attr(raw: str, strip: bool = True) -> str:
+    v = unescape(f"(CASE WHEN starts_with({raw}, '\"') OR starts_with({raw}, '''') "
+                 f"THEN substr({raw}, 2, length({raw}) - 2) ELSE {raw} END)")
+    return f"regexp_replace({v}, {q(H.HTML_SPACE_RE)}, '', 'g')" if strip else v
 
 
 def anchor_text(raw: str) -> str:
-    t = unescape(f"regexp_replace({raw}, '<[^>]*>', '', 'g')")
-    return f"trim(regexp_replace({t}, {q(H.TEXT_SPACE_RE)}, ' ', 'g'))"
+    return unescape(f"regexp_replace({raw}, '<[^>]*>', '', 'g')")
 
 
 def strip_inert(html: str) -> str:
@@ -137,12 +138,12 @@ def is_homepage(u: str) -> str:
     return f"regexp_matches({u}, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+/([;?].*)?$')"
 
 
-def links_cte(pages: str = "pages", with_text: bool = False) -> str:
+def links_cte(pages: str = "pages", with_text: bool = False, strip_href: bool = False) -> str:
     """SQL for T1 (+ text): (page_id, url, base_url, pos, href[, link_text])."""
     text = f", {anchor_text(f'regexp_extract(m, {q(H.LINK_RE)}, 2)')} AS link_text" if with_text else ""
     return f"""
     SELECT page_id, url, base_url, CAST(pos AS INTEGER) AS pos,
-           {unquote_attr(f"regexp_extract(m, {q(H.LINK_RE)}, 1)")} AS href{text}
+           {unquote_attr(f"regexp_extract(m, {q(H.LINK_RE)}, 1)", strip_href)} AS href{text}
     FROM (
       SELECT page_id, url, base_url, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS pos
       FROM (

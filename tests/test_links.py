@@ -84,3 +84,12 @@ def test_character_references(spark):
     df = spark.createDataFrame([(k,) for k in cases], "s string")
     for r in df.select("s", unescape(F.col("s")).alias("u")).collect():
         assert r.u == cases[r.s], r.s
+
+
+def test_href_whitespace_and_text(spark):
+    df = spark.createDataFrame([(1, "http://h/a/", '<a href=" b ">  two\n words </a>')],
+                               "page_id long, url string, html string")
+    r = L.resolve_links(L.extract_links(df)).first()
+    assert r.href == " b " and r.target_url == "http://h/a/b "      # as the attribute selector + urljoin give it
+    u = L.extract_unique_links(df).first()
+    assert u.target_url == "http://h/a/b" and u.link_text == "  two\n words "

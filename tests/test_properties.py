@@ -12,7 +12,8 @@ from crawlframe.functions.urls import resolve_url
 SEG = st.sampled_from(["g", "h", ".", "..", "", "a;x", "b.c", "%7E"])
 REF = st.builds(
     lambda lead, segs, q, f: lead + "/".join(segs) + q + f,
-    st.sampled_from(["", "/", "./", "../", "//x.org/", "http:", "https:", "HTTP:", "mailto:", "///"]),
+    st.sampled_from(["", "/", "./", "../", "//x.org/", "http:", "https:", "HTTP:", "mailto:", "///", " ", "\t/",
+                     " \n./"]),
     st.lists(SEG, min_size=0, max_size=5),
     st.sampled_from(["", "?", "?y=1"]),
     st.sampled_from(["", "#", "#s"]),
