@@ -190,14 +190,21 @@ def k1_crawl_log_lines(spark, sf_dir):
     return crawl_log_partitions(all_outcomes_log(spark, sf_dir))
 
 
-_ITEM_JSON = ("json_object('timestamp', " + _LOG_TS + ", 'status_code', status_code, 'content_length', content_length,"
-              " 'url', url, 'hop_path', hop_path, 'via', via, 'mimetype', mimetype, 'thread', thread,"
-              " 'start_time_plus_duration', start_time_plus_duration, 'content_digest', content_digest,"
-              " 'seed', seed, 'annotations', annotations)")
+def _item_json_sql() -> str:
+    from ..sinks.files import ITEM_LINE_ORDER, NUMERIC_FIELDS
+    parts = []
+    for i, n in enumerate(ITEM_LINE_ORDER):
+        v = (sg.json_string(_LOG_TS) if n == "timestamp" else
+             sg.json_number(n) if n in NUMERIC_FIELDS else sg.json_string(n))
+        parts.append(sg.q(("{" if i == 0 else ", ") + '"' + n + '": ') + " || " + v)
+    return " || ".join(parts) + " || '}'"
+
+
+_ITEM_JSON = _item_json_sql()
 
 
 @register("k2_items_jsonl", f"""
-SELECT page_id, CAST({_ITEM_JSON} AS VARCHAR) AS json FROM ({ALL_LOG}) WHERE status_code >= 200 AND status_code < 300""")
+SELECT page_id, {_ITEM_JSON} AS json FROM ({ALL_LOG}) WHERE status_code >= 200 AND status_code < 300""")
 def k2_items_jsonl(spark, sf_dir):
     items = C.items_feed(all_outcomes_log(spark, sf_dir))
     return items.select("page_id", items_json(items).alias("json"))

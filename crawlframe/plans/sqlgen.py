@@ -152,3 +152,19 @@ def links_cte(pages: str = "pages", with_text: bool = False, strip_href: bool =
         FROM {pages}
       )
     )"""
+
+
+def json_string(s: str) -> str:
+    """Python-style JSON string literal (ASCII escapes, surrogate pairs); 'null' for NULL."""
+    u = "unicode(c)"
+    esc = ("CASE c WHEN '\\' THEN '\\\\' WHEN '\"' THEN '\\\"' WHEN chr(10) THEN '\\n' "
+           "WHEN chr(13) THEN '\\r' WHEN chr(9) THEN '\\t' WHEN chr(8) THEN '\\b' WHEN chr(12) THEN '\\f' "
+           f"ELSE CASE WHEN {u} < 32 OR {u} >= 127 THEN (CASE WHEN {u} > 65535 THEN "
+           f"printf('\\u%04x\\u%04x', 55296 + (({u} - 65536) >> 10), 56320 + (({u} - 65536) & 1023)) "
+           f"ELSE printf('\\u%04x', {u}) END) ELSE c END END")
+    return (f"(CASE WHEN {s} IS NULL THEN 'null' ELSE '\"' || "
+            f"array_to_string(list_transform(string_split({s}, ''), lambda c: {esc}), '') || '\"' END)")
+
+
+def json_number(x: str) -> str:
+    return f"coalesce(CAST({x} AS VARCHAR), 'null')"

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsonfmt import json_number, json_object, json_string
 from ..functions.timefmt import format_log_ts
 from ..operators.crawllog import h3_line
 
@@ -32,10 +33,23 @@ def write_crawl_log_stream(log: DataFrame, path: str, checkpoint: str, trigger:
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
+# Item fields in the order the original filled them (the order of its lines).
+ITEM_LINE_ORDER = ["url", "timestamp", "status_code", "content_length", "mimetype", "hop_path", "seed", "via",
+                   "thread", "start_time_plus_duration", "content_digest", "annotations"]
+NUMERIC_FIELDS = {"status_code", "content_length"}
+
+
 def items_json(items: DataFrame) -> Column:
-    """K2: one JSON object per item, fields in log order, timestamp as text."""
-    fields = [format_log_ts(F.col("timestamp")).alias("timestamp")] + [F.col(c) for c in ITEM_FIELDS[1:]]
-    return F.to_json(F.struct(*fields))
+    """K2: one JSON object per item, as the original's JSON-lines exporter wrote
+    it: fields in fill order, ``", "`` / ``": "`` separators, ASCII escapes,
+    the timestamp as ISO text and the content type whole."""
+    def value(name):
+        if name == "timestamp":
+            return json_string(format_log_ts(F.col("timestamp")))
+        if name in NUMERIC_FIELDS:
+            return json_number(F.col(name))
+        return json_string(F.col(name))
+    return json_object([(n, value(n)) for n in ITEM_LINE_ORDER])
 
 
 def write_items_jsonl(items: DataFrame, path: str, mode: str = "append") -> None:

@@ -88,3 +88,15 @@ def test_response_digest_size_limit(spark):
     ch = spark.createDataFrame([(1, 0, b"ab"), (1, 1, b"c"), (2, 0, b"abcd")], "request_id long, seq int, data binary")
     got = {r.request_id: (r.response_bytes, r.response_digest) for r in C.response_digest(ch, max_bytes=3).collect()}
     assert got == {1: (3, "VGMT4NSHA2AWVOR6EVYXQUGCNSONBWE5"), 2: (4, None)}
+
+
+def test_items_json_line(spark):
+    import json
+    from crawlframe.sinks.files import items_json
+    log = C.to_crawl_log(D.extend_hop_path(_responses(spark).withColumn("url", F.lit("http://h.org/für"))))
+    line = log.select(items_json(log)).first()[0]
+    want = {"url": "http://h.org/für", "timestamp": "2024-01-01T00:00:01.000000", "status_code": 200,
+            "content_length": 3, "mimetype": "text/html; charset=utf-8", "hop_path": "", "seed": "http://h.org/",
+            "via": "-", "thread": "-", "start_time_plus_duration": "20240101000000000000+1000.0",
+            "content_digest": "VGMT4NSHA2AWVOR6EVYXQUGCNSONBWE5", "annotations": "-"}
+    assert line == json.dumps(want)
