@@ -107,11 +107,13 @@ def _cp_char(cp: str) -> str:
 
 
 def unescape(s: str) -> str:
-    named = " ".join(f"WHEN t = {q(e)} THEN {q(ch)}" for e, ch in H.ENTITIES)
+    names = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in sorted(H.NAMED_REFERENCES.items())) + "}"
+    named = f"coalesce(map_extract_value({names}, substr(t, 2, length(t) - 2)), t)"
     dec = "TRY_CAST(substr(t, 3, length(t) - 3) AS BIGINT)"
     hx = "TRY_CAST('0x' || substr(t, 4, length(t) - 4) AS BIGINT)"
-    tok = (f"CASE {named} WHEN regexp_matches(t, '^&#[xX]') THEN {_cp_char(hx)} "
-           f"WHEN regexp_matches(t, '^&#[0-9]') THEN {_cp_char(dec)} ELSE t END")
+    tok = (f"CASE WHEN regexp_matches(t, '^&#[xX]') THEN {_cp_char(hx)} "
+           f"WHEN regexp_matches(t, '^&#[0-9]') THEN {_cp_char(dec)} "
+           f"WHEN regexp_matches(t, '^&[A-Za-z]') THEN {named} ELSE t END")
     return (f"(CASE WHEN contains({s}, '&') THEN array_to_string(list_transform("
             f"regexp_extract_all({s}, {q(H.ENTITY_TOKEN_RE)}, 0), lambda t: {tok}), '') ELSE {s} END)")
 

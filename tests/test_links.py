@@ -80,7 +80,8 @@ def test_character_references(spark):
     from crawlframe.functions.html import unescape
     cases = {"/a&amp;b": "/a&b", "&amp;#39;": "&#39;", "&#39;x&#x2F;": "'x/", "&#128512;": "\U0001F600",
              "&#0;": "�", "&#xD800;": "�", "a & b": "a & b", "&lt;&gt;&quot;&nbsp;": "<>\" ",
-             "&unknown;": "&unknown;", "plain": "plain"}
+             "&unknown;": "&unknown;", "plain": "plain", "caf&eacute; &copy;&Eacute;": "café ©É",
+             "&amp": "&amp"}
     df = spark.createDataFrame([(k,) for k in cases], "s string")
     for r in df.select("s", unescape(F.col("s")).alias("u")).collect():
         assert r.u == cases[r.s], r.s
