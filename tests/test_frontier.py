@@ -83,3 +83,16 @@ def test_reset_frontier(spark):
     assert spark.table("frontier_test.states").count() == 1
     Q.reset_frontier(spark, "frontier_test")
     assert spark.sql("SHOW TABLES IN frontier_test").count() == 0
+
+
+def test_next_batch_prunes_stored_partitions(spark):
+    from crawlframe.session import scratch_path
+    rows = [(f"http://h{i % 7}.org/{i}", 0.01 * i, T0 + dt.timedelta(seconds=i), i % 3) for i in range(200)]
+    req = spark.createDataFrame(rows, "url string, score double, created_at timestamp_ntz, depth int")
+    path = scratch_path(spark, "queue")
+    Q.write_queue(Q.to_queue(req), path)
+    stored = spark.read.parquet(path)
+    batch = Q.next_batch(stored, [1], 5)
+    plan = batch._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(partition_id" in plan and "WindowGroupLimit" in plan
+    assert {r.partition_id for r in batch.collect()} == {1} and batch.count() == 5
