@@ -204,3 +204,52 @@ FROM (
 @register("x7_embeds", _X7_SQL)
 def x7_embeds(spark, sf_dir):
     return L.extract_embeds(_pages(spark, sf_dir))
+
+
+# -- seeds and responses (S1, S2, S4, T10) ----------------------------------
+# Seed files are written from the page URLs into the checkpoint folder and read
+# back through the readers: text lines (every third with trailing spaces, a
+# blank line after every tenth page) and tab-separated rows (every seventh
+# without a URL).
+@register("s1_seed_lines", "SELECT url, CAST(NULL AS VARCHAR) AS source_page FROM pages")
+def s1_seed_lines(spark, sf_dir):
+    from ..session import scratch_path
+    from ..sources.seeds import read_seeds
+    p = _pages(spark, sf_dir)
+    lines = p.select(F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("  \t"))).otherwise(F.col("url"))
+                     .alias("value")).unionByName(p.where(F.col("page_id") % 10 == 0).select(F.lit("").alias("value")))
+    path = scratch_path(spark, "seeds") + "/seeds.txt"
+    lines.write.text(path)
+    return read_seeds(spark, path)
+
+
+@register("s2_seed_csv", """
+SELECT url, 'landing-' || CAST(page_id AS VARCHAR) AS source_page FROM pages WHERE page_id % 7 <> 0""")
+def s2_seed_csv(spark, sf_dir):
+    from ..session import scratch_path
+    from ..sources.seeds import read_seeds
+    p = _pages(spark, sf_dir)
+    rows = p.select(F.concat(F.lit("landing-"), F.col("page_id").cast("string")).alias("source_page"),
+                    F.when(F.col("page_id") % 7 == 0, F.lit("")).otherwise(F.col("url")).alias("url"))
+    path = scratch_path(spark, "seeds") + "/list.csv"
+    rows.write.option("sep", "\t").option("quote", '"').option("escape", '"').csv(path)
+    return read_seeds(spark, path)
+
+
+@register("s4_read_responses", """
+SELECT page_id, url, CAST(200 AS INTEGER) AS status_code, 'text/html' AS content_type,
+       CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes FROM pages""")
+def s4_read_responses(spark, sf_dir):
+    from ..sources.seeds import read_responses
+    r = read_responses(_pages(spark, sf_dir))
+    return r.select("page_id", "url", "status_code", "content_type", F.octet_length("body").cast("bigint").alias("n_bytes"))
+
+
+@register("t10_tag_seeds", """
+SELECT url, coalesce(CASE WHEN page_id % 2 = 1 THEN 'http://seed.example.com/' || CAST(page_id % 11 AS VARCHAR) END, url)
+       AS source FROM pages""")
+def t10_tag_seeds(spark, sf_dir):
+    p = _pages(spark, sf_dir)
+    src = F.when(F.col("page_id") % 2 == 1, F.concat(F.lit("http://seed.example.com/"), (F.col("page_id") % 11)
+                                                     .cast("string")))
+    return D.tag_seeds(p.select("url", src.alias("source"))).select("url", "source")
