@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import col_of
 from ..functions.urls import url_host
+from ..session import scratch_path
 
 SURT_PATH_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^#]*)"
 
@@ -79,15 +80,16 @@ def range_slices(df: DataFrame, order_cols: list, n_parts: int | None = None) ->
     the rows is spread over many slices; ``_b`` is the slice number, which
     grows along the order (AQE only ever merges neighbouring slices).
 
-    The range bounds come from a positional sample of each input partition,
-    so the input is first sorted within its partitions: every plan branch
-    that re-derives the slices (and every retry) then samples the same keys
-    and gets the same bounds, even when the input arrives from a shuffle in
-    varying order.
+    The range bounds come from a sample seeded per exchange, so two plan
+    branches re-deriving the slices could cut differently. The slices are
+    therefore computed once and written as a table under the shared
+    checkpoint folder; every branch (and every retry) reads the same ids.
     """
-    n = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (df.sortWithinPartitions(*order_cols).repartitionByRange(n, *order_cols)
-            .withColumn("_b", F.spark_partition_id()))
+    spark = df.sparkSession
+    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "slices")
+    df.repartitionByRange(n, *order_cols).withColumn("_b", F.spark_partition_id()).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def capture_lookup(requests: DataFrame, captures: DataFrame, key: str = "key", asked: str = "asked",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
+
 def _start(df_writer, trigger: dict | None):
     q = df_writer.trigger(**(trigger or {"availableNow": True})).start()
     return q
