@@ -92,7 +92,12 @@ RELATIVE_SCHEMES = ["", "ftp", "http", "gopher", "nntp", "imap", "wais", "file",
                     "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss"]
 
 
-def resolve_url(base, ref) -> Column:
+def clean_reference(ref) -> Column:
+    """The join's input cleanup: drop tab/CR/LF, strip leading C0 controls and spaces."""
+    return F.regexp_replace(F.regexp_replace(col_of(ref), r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
+
+
+def resolve_url(base, ref, cleaned_ref=None) -> Column:
     """Resolve ``ref`` against ``base`` like the standard library's join that
     the crawler used: RFC 3986 §5.2, except that a relative reference merged
     with the base directory loses empty inner segments ('g//h' -> 'g/h'), a
@@ -102,7 +107,8 @@ def resolve_url(base, ref) -> Column:
     query or fragment counts as absent. Raw: no percent-encoding."""
     raw_ref = col_of(ref)
     # the join strips leading C0 controls/spaces and drops tab, CR, LF first
-    ref = F.regexp_replace(F.regexp_replace(raw_ref, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
+    # (pass ``cleaned_ref`` when it is already computed once per row)
+    ref = cleaned_ref if cleaned_ref is not None else clean_reference(raw_ref)
     b = url_parts(base)
     r = url_parts(ref)
     r["authority"] = F.when(r["authority"] == "//", F.lit("")).otherwise(r["authority"])  # '///p' has none

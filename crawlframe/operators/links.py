@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.common import col_of, once
 from ..functions.html import (AREA_RE, LINK_RE, anchor_text, base_href, link_matches, strip_inert,
                               tag_link_re, unquote_attr)
-from ..functions.urls import domain_suffixes, resolve_url, url_host
+from ..functions.urls import clean_reference, domain_suffixes, resolve_url, url_host
 
 # Response types parsed as text and as HTML.
 HTML_TYPES = ["text/html", "application/xhtml+xml", "application/vnd.wap.xhtml+xml"]
@@ -120,7 +120,10 @@ def resolve_links(links: DataFrame, base_col: str = "base_url", href_col: str =
     Computed once per link behind a generator barrier: later host, key and
     filter expressions read the column instead of re-inlining the resolver.
     """
-    return links.select("*", once(resolve_url(F.col(base_col), F.col(href_col))).alias("target_url"))
+    cleaned = links.select("*", once(clean_reference(F.col(href_col))).alias("_ref"))
+    return cleaned.select(
+        "*", once(resolve_url(F.col(base_col), F.col(href_col), cleaned_ref=F.col("_ref"))).alias("target_url")) \
+        .drop("_ref")
 
 
 def count_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -145,8 +148,7 @@ def extract_unique_links(pages: DataFrame, id_col: str = "page_id", url_col: str
     """
     links = extract_links(pages, id_col, url_col, html_col, with_text=True, include_area=include_area,
                           strip_href=True)
-    links = links.select(*[c for c in links.columns if c != "base_url"],
-                         once(resolve_url(F.col("base_url"), F.col("href"))).alias("target_url"))
+    links = resolve_links(links).drop("base_url")
     scheme = F.lower(F.regexp_extract("target_url", r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     links = links.where(scheme.isin(FOLLOW_SCHEMES) & ~_extension("target_url").isin(IGNORED_EXTENSIONS))
     first = (links.groupBy(id_col, url_col, "target_url")
