@@ -253,3 +253,19 @@ def t10_tag_seeds(spark, sf_dir):
     src = F.when(F.col("page_id") % 2 == 1, F.concat(F.lit("http://seed.example.com/"), (F.col("page_id") % 11)
                                                      .cast("string")))
     return D.tag_seeds(p.select("url", src.alias("source"))).select("url", "source")
+
+
+# -- sitemaps (X9) ----------------------------------------------------------
+# One sitemap document per page, listing that page's own hrefs (XML-escaped),
+# built inside the row; the extractor must give back the resolved URLs, hop M.
+@register("x9_sitemap_urls", f"""
+SELECT page_id, url, pos, {sg.resolve('url', 'trim(href)')} AS target_url, 'M' AS hop FROM ({LINKS})""")
+def x9_sitemap_urls(spark, sf_dir):
+    from ..functions.html import LINK_RE, link_matches, unquote_attr
+    p = _pages(spark, sf_dir)
+    hrefs = F.transform(link_matches("html"), lambda m: unquote_attr(F.regexp_extract(m, LINK_RE, 1), False))
+    locs = F.transform(hrefs, lambda h: F.concat(F.lit("<url><loc>"), F.replace(h, F.lit("&"), F.lit("&amp;")),
+                                                 F.lit("</loc></url>")))
+    docs = p.select("page_id", "url", F.concat(F.lit('<?xml version="1.0"?><urlset>'), F.array_join(locs, ""),
+                                               F.lit("</urlset>")).alias("body"))
+    return L.extract_sitemap_urls(docs, "page_id", "url", "body")
