@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm import classify, neardup
+from crawlframe.llm import classify, neardup, sentencepiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return (docs.select("doc_id", sentencepiece.encode(spark, "text").alias("e"))
+            .select("doc_id", F.size("e.ids").cast("long").alias("n_tokens"), "e.ids",
+                    F.size("e.best_ids").cast("long").alias("n_best"), "e.best_score", "e.exact"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     learn = (docs.where(classify.bucket_of("doc_id", 5) != 0)
@@ -34,6 +41,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
     "op5_near_duplicates": op5_near_duplicates,
     "op9_language_id": op9_language_id,
