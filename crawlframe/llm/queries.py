@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm import classify, neardup, sentencepiece
+from crawlframe.llm import classify, decontaminate, neardup, sentencepiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", (classify.bucket_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.matches(docs, _table(spark, sf_dir, "benchmark")).where("leaked").drop("text_key", "leaked")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return neardup.near_duplicates(docs, shingle=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
@@ -43,6 +48,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
+    "op4_decontamination": op4_decontamination,
     "op5_near_duplicates": op5_near_duplicates,
     "op9_language_id": op9_language_id,
 }
