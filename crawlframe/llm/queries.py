@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm import classify, decontaminate, linedup, neardup, sentencepiece
+from crawlframe.llm import classify, decontaminate, linedup, neardup, sentencepiece, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,14 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, shingle=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(_table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    records = warc.read_archives(spark, manifest, with_payload=False)
+    page = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).try_cast("long")
+    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                          page("refers_to").alias("refers_to"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return linedup.remove_spread_lines(docs).drop("source")
@@ -55,6 +63,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_decontamination": op4_decontamination,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_warc": op6_warc,
     "op7_line_dedup": op7_line_dedup,
     "op9_language_id": op9_language_id,
 }
