@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm import classify, decontaminate, linedup, neardup, sentencepiece, warc
+from crawlframe.llm import classify, decontaminate, extract, linedup, neardup, sentencepiece, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.remove_spread_lines(docs).drop("source")
 
 
+def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = classify.fit(docs.where(classify.bucket_of("doc_id", 3) != 1), "text", "lang", classify.LANGUAGE)
@@ -65,6 +69,7 @@ QUERIES = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_warc": op6_warc,
     "op7_line_dedup": op7_line_dedup,
+    "op8_extraction": op8_extraction,
     "op9_language_id": op9_language_id,
 }
 
