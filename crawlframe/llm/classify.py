@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from crawlframe.llm import subword, text
 
-SAMPLE_PER_CLASS = 1500
-SAMPLE_BYTES_PER_CLASS = 16 << 20
+SAMPLE_PER_CLASS = 600
+SAMPLE_BYTES_PER_CLASS = 4 << 20
 
 QUALITY = subword.Params(repeat_weight=8)
 LANGUAGE = subword.Params()
@@ -35,13 +35,21 @@ def bucket_of(doc_id: str, modulus: int) -> Column:
 
 def labelled_sample(df: DataFrame, text_col: str, label_col: str, per_class: int = SAMPLE_PER_CLASS,
                     bytes_per_class: int = SAMPLE_BYTES_PER_CLASS) -> tuple[list, list]:
-    """At most ``per_class`` rows and ``bytes_per_class`` bytes of each label, in order of a hash of the text.
+    """At most ``per_class`` distinct texts and ``bytes_per_class`` bytes of each label, in order of a hash of the text.
 
-    The first window is a group limit (each task ships at most ``per_class`` rows of a label).
+    Rows far down that order are dropped by their hash before anything is shuffled, so the sample costs a scan and
+    a few thousand rows, whatever the table's size; the labels are a small set (they become classes).
     """
-    order = Window.partitionBy("label").orderBy(F.xxhash64("text"), "text")
     rows = (df.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-            .where("text is not null and label is not null")
+            .where("text is not null and label is not null"))
+    counts = rows.groupBy("label").count().collect()
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col("label") == F.lit(r["label"]), F.lit(min(1.0, 4 * per_class / r["count"]))).otherwise(share)
+    order = Window.partitionBy("label").orderBy("hash", "text")
+    rows = (rows.withColumn("hash", F.xxhash64("text"))
+            .where(F.col("hash") / 2.0**64 + 0.5 <= share)
+            .groupBy("label", "hash").agg(F.min("text").alias("text"))
             .withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class)
             .withColumn("size", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
             .where((F.col("n") == 1) | (F.col("size") <= bytes_per_class))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from crawlframe.llm.text import hash_words, mix, tokens
+from crawlframe.llm.text import hash_words, mix, slices, tokens
 
 
 @dataclass
@@ -117,7 +117,8 @@ def train(texts: list[str], labels: list, p: Params = Params(), calibrate_share:
         return Model(classes or [None], np.zeros((p.buckets, max(1, len(classes))), dtype=np.float32),
                      np.zeros(max(1, len(classes)), dtype=np.float32), p)
     rng = np.random.default_rng(p.seed)
-    docs = _documents(pa.array(texts, pa.string()), p)
+    batch = pa.record_batch([pa.array(texts, pa.string())], names=["t"])
+    docs = [d for part in slices(batch, "t", 1 << 20) for d in _documents(part.column(0), p)]
     y = np.array([classes.index(x) for x in labels])
     order = rng.permutation(len(docs))
     held = order[: int(len(docs) * calibrate_share)] if len(docs) >= 50 else order[:0]
