@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm import classify, decontaminate, extract, linedup, neardup, sentencepiece, warc
+from crawlframe.llm import ann, classify, decontaminate, extract, linedup, neardup, sentencepiece, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", (classify.bucket_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
@@ -71,6 +75,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_extraction": op8_extraction,
     "op9_language_id": op9_language_id,
+    "op10_nearest": op10_nearest,
 }
 
 ORACLES: dict[str, str] = {
