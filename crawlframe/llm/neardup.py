@@ -13,12 +13,14 @@ similarity 0.8 shares no bucket with probability 5e-8.
 2. In each bucket of classes, every member is compared with two centres; the
    confirmed links give first components.
 3. In buckets that still hold several components, the members outside the
-   largest one are compared with all members of other components. Pairs are
-   ruled out before the exact test only by set sizes, or by more differing bits
-   of a 128-bit sketch than a pair at the threshold has but once in 1e7 times.
-
-All links are confirmed on the full sets. Links inside a component that is
-already connected need no test, as only components are returned.
+   largest one are compared with all members of other components, in blocks of
+   bounded size (members outside x all members), each pair in the first bucket
+   that it shares. A block returns one link per member and component at most.
+
+Pairs are ruled out before the exact test only by set sizes, or by more
+differing bits of a 128-bit sketch than a pair at the threshold has but once in
+1e7 times. All links are confirmed on the full sets. Links inside a component
+that is already connected need no test, as only components are returned.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from crawlframe.llm import text
 from crawlframe.llm.components import _written, connected_components
 
 COORDS, ROWS = 128, 4
+REST_ITEMS, ALL_ITEMS = 1 << 17, 1 << 19  # shingles in the two sides of a block, about
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -173,6 +176,56 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.col("common") * 100 >= union * percent).select("a", "b")
 
 
+def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of runs that begin at ``first`` and are ``size`` long, one after the other."""
+    end = np.cumsum(size)
+    return np.repeat(first - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+
+
+def _block_links(percent: int):
+    """Exact comparison of a block's members outside the largest component with its other members."""
+    worst = _most_differing_bits(percent)
+
+    def links(block: pa.Table) -> pa.Table:
+        rest = block["rest"].to_numpy()
+        cls, comp = (np.array(block[c].to_pylist(), dtype=object) for c in ("cls", "comp"))
+        bits = np.stack([block["x0"].to_numpy(), block["x1"].to_numpy()], axis=1)
+        bands = np.array(block["bands"].to_pylist(), dtype=np.int64)
+        sets = [np.frombuffer(x, np.uint64) for x in block["items"].to_pylist()]
+        key = block["key"][0].as_py()
+        band = int(np.flatnonzero(bands[0] == key)[0])  # pairs that share an earlier band are compared there
+        size = np.array([len(x) for x in sets])
+        in_top = block["in_top"].to_numpy()
+        others = np.flatnonzero(~rest)
+        pool = np.concatenate([sets[i] for i in others]) if len(others) else np.zeros(0, np.uint64)
+        first = np.cumsum(size[others]) - size[others]
+        found_a, found_b = [], []
+        for r in np.flatnonzero(rest):
+            n, m = size[r], size[others]
+            ok = (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+            ok &= np.bitwise_count((bits[others] ^ bits[r]).view(np.uint64)).sum(axis=1) <= worst
+            ok &= ~(bands[others, :band] == bands[r, :band]).any(axis=1)
+            ok &= comp[others] != comp[r]
+            ok &= in_top[others] | (cls[others] < cls[r])  # two members outside the largest: once
+            near = np.flatnonzero(ok)
+            if len(near) == 0:
+                continue
+            items = pool[_ragged(first[near], m[near])]
+            at = np.searchsorted(sets[r], items)
+            hit = sets[r][np.minimum(at, n - 1)] == items
+            common = np.add.reduceat(hit.astype(np.int64), np.cumsum(m[near]) - m[near])
+            seen = set()
+            for k in near[common * 100 >= (n + m[near] - common) * percent]:
+                other = others[k]
+                if comp[other] not in seen:
+                    seen.add(comp[other])
+                    found_a.append(max(cls[r], cls[other]))
+                    found_b.append(min(cls[r], cls[other]))
+        return pa.table({"a": pa.array(found_a, pa.binary()), "b": pa.array(found_b, pa.binary())})
+
+    return links
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                     percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, text_key (xxhash64 of the text), n_shingles, component_id, kept.
@@ -213,16 +266,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = _written(member.select("key", "cls", "n_a", "x0", "x1").join(
         label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
         .drop("component"), "neardup-placed")
-    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    largest = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.count("*").alias("parts"))
-    largest = _written(largest.where("parts > 1").drop("parts"), "neardup-largest")
-    open_ = _written(placed.join(largest, "key"), "neardup-open")
-    rest = open_.where("comp != top").select("key", F.col("cls").alias("b"), F.col("comp").alias("comp_b"),
-                                             F.col("n_a").alias("n_b"), F.col("x0").alias("y0"), F.col("x1").alias("y1"))
-    second = (open_.withColumnRenamed("cls", "a").join(rest, "key").where("comp != comp_b").where(_plausible(percent))
-              .where((F.col("comp") == F.col("top")) | (F.col("a") < F.col("b")))
-              .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    more = _written(_confirmed(second, sets, percent), "neardup-more")
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("n_a").alias("items"))
+    largest = parts.groupBy("key").agg(F.max_by(F.struct("comp", "items"), F.struct("m", "comp")).alias("top"),
+                                       F.sum("items").alias("items"), F.count("*").alias("parts"))
+    # blocks per bucket: of members outside the largest component, and of all members
+    largest = _written(largest.where("parts > 1").select(
+        "key", F.col("top.comp").alias("top"), F.ceil((F.col("items") - F.col("top.items")) / REST_ITEMS).alias("rest_blocks"),
+        F.ceil(F.col("items") / ALL_ITEMS).alias("all_blocks")), "neardup-largest")
+    full = classes.select("cls", "bands").join(sets, "cls")
+    open_ = _written(placed.join(largest, "key"), "neardup-open").join(full, "cls")
+    all_of = F.pmod(F.xxhash64("cls", F.lit(3)), "all_blocks")
+    rest_of = F.pmod(F.xxhash64("cls", F.lit(5)), "rest_blocks")
+
+    def dealt(rows: DataFrame, rest: bool) -> DataFrame:
+        """One copy of each row for every block of the other side."""
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_blocks" if rest else "rest_blocks") - 1))
+        rows = rows.withColumn("other", other).withColumns(
+            {"rest_block": rest_of, "all_block": F.col("other")} if rest else {"rest_block": F.col("other"), "all_block": all_of})
+        return rows.select("key", "rest_block", "all_block", F.lit(rest).alias("rest"), (F.col("comp") == F.col("top")).alias("in_top"),
+                           "cls", "comp", "x0", "x1", "bands", "items")
+
+    blocks = dealt(open_.where("comp != top"), True).union(dealt(open_, False))
+    more = _written(blocks.groupBy("key", "rest_block", "all_block").applyInArrow(_block_links(percent), "a binary, b binary"), "neardup-more")
     # the first components stand for their links
     label = connected_components(more.union(label.select(F.col("node").alias("a"), F.col("component").alias("b"))), "neardup-all")
 
