@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm import ann, classify, decontaminate, extract, linedup, neardup, sentencepiece, warc
+from crawlframe.llm import ann, classify, decontaminate, extract, linedup, neardup, pitman_yor, sentencepiece, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return (docs.select("doc_id", sentencepiece.encode(spark, "text").alias("e"))
-            .select("doc_id", F.size("e.ids").cast("long").alias("n_tokens"), "e.ids",
-                    F.size("e.best_ids").cast("long").alias("n_best"), "e.best_score", "e.exact"))
+            .select("doc_id", F.size("e.ids").cast("long").alias("n_tokens"), "e.ids", "e.n_best", "e.best_score", "e.exact"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +27,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", (classify.bucket_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(_table(spark, sf_dir, "documents"), classify.bucket_of("doc_id", 7) == 2)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.matches(docs, _table(spark, sf_dir, "benchmark")).where("leaked").drop("text_key", "leaked")
@@ -69,6 +72,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_decontamination": op4_decontamination,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_warc": op6_warc,
