@@ -96,7 +96,7 @@ class Directory:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), -1 if len(column) else 0)
 
 
 def _lists(m: np.ndarray) -> pa.Array:
@@ -137,6 +137,8 @@ def _top(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, ids: np.n
 def probes_needed(rows: DataFrame, sample: DataFrame, hashes: Hashes, directory: Directory, k: int, target: float) -> int:
     """Least number of buckets per table that finds ``target`` of the sample's true neighbours."""
     held = sample.toArrow().combine_chunks()
+    if held.num_rows == 0:
+        return 1
     ids, queries = held["vec_id"].to_numpy(), _matrix(held["v"].combine_chunks())
     shared = rows.sparkSession.sparkContext.broadcast((ids, queries))
 
