@@ -4,28 +4,31 @@ One pass of an Aho-Corasick automaton over a text lists, by its output links,
 every piece that ends at each position; each is relaxed against the best state
 of the position where it starts, and the states are followed back from the end.
 
-* Scores (a UNIGRAM model; ``best_ids``): Viterbi, the state of a position is its best sum of piece scores.
-* Merges (a BPE model; ``ids`` of such a file): sums of scores can't give the library's result there, as a BPE score
-  is only a merge's rank. The state is the last piece of the prefix's segmentation, and a piece is accepted if it
-  and the piece before it are what merging their joined text yields. A segmentation whose neighbours all pass is
-  the merged one, and each prefix has exactly one, so the same single pass gives it.
+* Viterbi: the best sum of piece scores to each position and the number of pieces of that path. Its path is the
+  encoding of a UNIGRAM model, and of any model with ``by="scores"``.
+* Merges: of a BPE model, sums of scores can't give the library's result, as a BPE score is only a merge's rank. In
+  the same pass each position keeps the last piece of its prefix's merged segmentation; a piece is accepted if it and
+  the piece before it are what merging their joined text yields. A segmentation whose neighbours all pass is the
+  merged one, and each prefix has exactly one.
 
 Texts are cut into units that no piece crosses (found from the vocabulary: before a run of word marks, around a line
-end, and after a letter if only letters follow one inside pieces) and each distinct unit is segmented once per task. Unknown characters become
-their UTF-8 byte pieces, or the unknown id where the model has none.
+end, and after a letter if only letters follow one inside pieces) and a task segments a unit once while it is cached.
+Unknown characters become their UTF-8 byte pieces, or the unknown id where the model has none.
 
 Defined results: null and empty texts have no ids; a text decodes to itself, except that a literal U+2581 decodes to
-a space and characters unknown to a model without byte pieces to its unknown surface. Of Viterbi paths with equal
-scores, the one whose last differing piece is longest wins.
+a space and characters unknown to a model without byte pieces to its unknown surface (``exact`` is false then). Of
+Viterbi paths with equal scores, the one whose last differing piece is longest wins. Repeated rows get equal ids.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +39,8 @@ from crawlframe.llm import text
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6  # fixed values of the model format
-CACHED_UNITS = 400_000
+CACHED_UNITS = 350_000  # of each of two generations; bounds memory only
+_NEVER = float("-inf")
 
 
 def default_model() -> str:
@@ -49,7 +53,7 @@ def default_model() -> str:
 class Segmenter:
     """Encoder and decoder of one model, built from the bytes of a ``.model`` file."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, by: str = "model"):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -57,7 +61,9 @@ class Segmenter:
         spec = proto.normalizer_spec
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
             raise ValueError("only models with the identity normalizer are supported")
-        self.kind = proto.trainer_spec.model_type
+        if by not in ("model", "scores"):
+            raise ValueError("by must be model or scores")
+        self.kind = UNIGRAM if by == "scores" else proto.trainer_spec.model_type
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are supported")
         self.prefix = MARK if spec.add_dummy_prefix else ""
@@ -83,147 +89,162 @@ class Segmenter:
             self.unit = regex.compile(f"{own + '|' if own else ''}{MARK}+[^{rest}]*|[^{rest}]+")
         else:  # no piece goes on after a letter but with a letter
             self.unit = regex.compile(f"{own + '|' if own else ''}{MARK}+[^{rest}\\p{{L}}]*\\p{{L}}*|[^{rest}\\p{{L}}]+\\p{{L}}*|\\p{{L}}+")
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.known = {p for p in self.ids if len(p) == 1}
+        self.follows: dict[int, bool] = {}
+        self.whole: dict[int, bool] = {}
         self.cache: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
 
     def _merged(self, joined: str) -> list[str]:
         """Pieces left when the best-scored neighbouring pair (the leftmost of equals) is merged until none can be."""
         parts = list(joined)
+        ids, scores = self.ids, self.scores
         while True:
             best, at = None, -1
             for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.scores[i] > best):
-                    best, at = self.scores[i], k
+                i = ids.get(parts[k] + parts[k + 1])
+                if i is not None and (best is None or scores[i] > best):
+                    best, at = scores[i], k
             if at < 0:
                 return parts
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
     def _may_follow(self, a: int, b: int) -> bool:
-        ok = self.follows.get((a, b))
+        """Whether merging yields piece b after piece a (-1: after nothing, or after an unknown character)."""
+        if a < 0:
+            ok = self.whole.get(b)
+            if ok is None:
+                ok = self.whole[b] = len(self._merged(self.pieces[b])) == 1
+            return ok
+        key = (a << 32) | b
+        ok = self.follows.get(key)
         if ok is None:
             if len(self.follows) >= 1_000_000:
                 self.follows.clear()
-            ok = self.follows[a, b] = self._merged(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
+            ok = self.follows[key] = self._merged(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
         return ok
 
-    def segment(self, unit: str) -> tuple[tuple[int, ...], tuple[int, ...], float]:
-        """(ids by the model's own kind, ids of the best path by scores, its score) of one unit."""
+    def segment(self, unit: str) -> tuple[tuple[int, ...], int, float, bool]:
+        """(ids, number of pieces of the best path by scores, its score, whether the ids decode to the unit)."""
         n = len(unit)
-        best = [0.0] + [-np.inf] * n
-        by_score: list = [None] * (n + 1)  # last piece's (length, id) of the best path to each position
-        by_merge: list = [None] * (n + 1)
-        merges, done = self.kind == BPE, 0
-        reached = [True] + [False] * n
-
-        def close(end: int) -> None:  # positions that no piece reaches take their character as unknown
-            nonlocal done
-            for j in range(done + 1, end + 1):
-                if unit[j - 1] not in self.ids:
-                    score = best[j - 1] + self.unknown_score
-                    if score > best[j]:
-                        best[j], by_score[j] = score, (1, -1)
-                    if reached[j - 1] and by_merge[j] is None:
-                        by_merge[j], reached[j] = (1, -1), True
-            done = end
+        best, count = [0.0] + [_NEVER] * n, [0] * (n + 1)
+        last: list = [-1] + [None] * n  # last piece of the chosen segmentation of each prefix; -1: unknown character
+        merges, follow = self.kind == BPE, self._may_follow
+        unknown = set() if self.known.issuperset(unit) else {j for j, c in enumerate(unit, 1) if c not in self.known}
+        at = 0
+
+        def pass_unknown(to: int) -> None:  # in text order, as later pieces start from these positions
+            nonlocal at
+            for j in range(at + 1, to + 1):
+                if j in unknown and best[j - 1] + self.unknown_score > best[j]:
+                    best[j], count[j] = best[j - 1] + self.unknown_score, count[j - 1] + 1
+                    if last[j] is None or not merges:
+                        last[j] = -1
+            at = max(at, to)
 
         for end, (size, i, score) in self.automaton.iter(unit):
             end += 1
-            if done < end - 1:
-                close(end - 1)
+            if unknown and at < end - 1:
+                pass_unknown(end - 1)
             start = end - size
             total = best[start] + score
             if total > best[end]:
-                best[end], by_score[end] = total, (size, i)
-            if merges and by_merge[end] is None and reached[start]:
-                before = by_merge[start]
-                if size == 1 or self._whole(i):
-                    if before is None or before[1] < 0 or self._may_follow(before[1], i):
-                        by_merge[end], reached[end] = (size, i), True
-        close(n)
-        top = self._path(unit, by_score)
-        return (self._path(unit, by_merge) if merges else top), top, best[n]
-
-    def _whole(self, i: int) -> bool:
-        """Whether merging the piece's own characters yields it (some pieces can't be reached)."""
-        ok = self.follows.get((-1, i))
-        if ok is None:
-            ok = self.follows[-1, i] = len(self._merged(self.pieces[i])) == 1
-        return ok
+                best[end], count[end] = total, count[start] + 1
+                if not merges:
+                    last[end] = i
+            if merges and last[end] is None:
+                before = last[start]
+                if before is not None and follow(before, i):
+                    last[end] = i
+        if unknown:
+            pass_unknown(n)
+        ids = self._path(unit, last)
+        exact = self._joined(ids) == unit.encode().replace(b"\xe2\x96\x81", b" ")
+        return ids, count[n], best[n], exact
 
     def _path(self, unit: str, last: list) -> tuple[int, ...]:
         at, out = len(unit), []
         while at:
-            size, i = last[at]
+            i = last[at]
             if i >= 0:
                 out.append(i)
-            elif self.bytes:
+                at -= len(self.pieces[i])
+                continue
+            if self.bytes:
                 out += [self.bytes[b] for b in reversed(unit[at - 1].encode())]
             else:  # one unknown id for neighbouring unknown characters
-                while at > 1 and last[at - 1][1] < 0:
+                while at > 1 and last[at - 1] == -1:
                     at -= 1
                 out.append(self.unknown)
-            at -= size
+            at -= 1
         return tuple(reversed(out))
 
-    def _units(self, whole: str) -> list[str]:
-        marked = self.prefix + whole.replace(" ", MARK)
-        return [marked] if self.unit is None else self.unit.findall(marked)
-
-    def encode(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
-        """Per whole text (null: empty) its ids, the ids of its best path by scores, and that path's score."""
-        units, sizes = [], np.zeros(len(texts), dtype=np.int64)
-        for k, whole in enumerate(texts.to_pylist()):
-            if whole:
-                found = self._units(whole)
-                units += found
-                sizes[k] = len(found)
-        coded = pa.array(units, pa.string()).dictionary_encode()
+    def _joined(self, ids) -> bytes:
+        return b"".join([self.surface[i] for i in ids])
+
+    def _found(self, unit: str) -> tuple:
+        found = self.cache.get(unit)
+        if found is None:
+            found = self.older.get(unit) or self.segment(unit)
+            if len(unit) < 64:
+                if len(self.cache) >= CACHED_UNITS:
+                    self.older, self.cache = self.cache, {}
+                self.cache[unit] = found
+        return found
+
+    def _word(self, word: str) -> tuple:
+        """As ``segment``, of a run of text that begins with the dummy mark or a space."""
+        marked = self.prefix + word.replace(" ", MARK)
+        if not marked:
+            return (), 0, 0.0, True
+        units = [marked] if self.unit is None else self.unit.findall(marked)
+        if len(units) == 1:
+            ids, n, score, exact = self._found(units[0])
+        else:
+            parts = [self._found(u) for u in units]
+            ids, n, score = tuple(chain.from_iterable(p[0] for p in parts)), sum(p[1] for p in parts), sum(p[2] for p in parts)
+            exact = all(p[3] for p in parts)
+        return ids, n, score, exact
+
+    def encode(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Per whole text (null: empty) its ids, pieces and score of the best path by scores, and exactness."""
+        texts = text.plain(texts)
+        if self.unit is None or not self.prefix:
+            row, words = np.arange(len(texts)), texts
+        else:
+            split = pc.split_pattern(texts, " ")  # one mark per word: the dummy one, or the space before it
+            words, row = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy(zero_copy_only=False)
+            runs = row[pc.binary_length(words).to_numpy(zero_copy_only=False) == 0]
+            marked = np.flatnonzero(pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False))
+            runs = np.union1d(runs, marked)
+            if len(runs):  # rows with runs of spaces or literal marks, or without text: a word keeps its run
+                keep = ~np.isin(row, runs)
+                own = [(r, w[1:]) for r in runs.tolist() if texts[r].as_py()
+                       for w in re.findall(f"[ {MARK}]+[^ {MARK}]*", " " + texts[r].as_py())]
+                row = np.concatenate([row[keep], np.array([r for r, _ in own], dtype=row.dtype)])
+                words = pa.concat_arrays([words.filter(pa.array(keep)), pa.array([w for _, w in own], pa.string())])
+                order = np.argsort(row, kind="stable")
+                row, words = row[order], words.take(pa.array(order))
+        coded = words.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
-        cache, own = self.cache, []
-        if len(cache) > CACHED_UNITS:
-            cache.clear()
-        for u in coded.dictionary.to_pylist():
-            found = cache.get(u)
-            if found is None:
-                found = self.segment(u)
-                if len(u) < 64:
-                    cache[u] = found
-            own.append(found)
-        row_end = np.r_[0, np.cumsum(sizes)]
-        ids = _gathered([f[0] for f in own], code, row_end)
-        best = _gathered([f[1] for f in own], code, row_end) if self.kind == BPE else ids
-        score = np.array([f[2] for f in own], dtype=float)[code] if own else np.zeros(0)
-        return ids, best, np.bincount(np.repeat(np.arange(len(texts)), sizes), weights=score, minlength=len(texts))
-
-    def decode(self, ids: list[int]) -> str:
-        out = b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace")
-        return out[1:] if self.prefix and out.startswith(" ") else out
-
-    def decodes_to(self, ids: pa.Array, texts: pa.Array) -> np.ndarray:
-        """Per row whether its ids decode to its text."""
-        return np.array([(self.decode(i) == t) for i, t in zip(ids.to_pylist(), texts.to_pylist())], dtype=bool)
-
+        empty = ((), 0, 0.0, True)
+        own = [self._word(w) if w or self.unit is not None else empty for w in coded.dictionary.to_pylist()]
+        ids = _gathered([f[0] for f in own], code, np.searchsorted(row, np.arange(len(texts) + 1)))
+        n, score, exact = (np.array([f[k] for f in own], dtype=float)[code] if own else np.zeros(0) for k in (1, 2, 3))
 
-_built: dict[int, Segmenter] = {}
+        def total(x: np.ndarray) -> np.ndarray:
+            return np.bincount(row, weights=x, minlength=len(texts))
 
+        plain_marks = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False)
+        return ids, total(n).astype(np.int64), total(score), (total(1 - exact) == 0) & ~plain_marks
 
-def _segmenter(shared) -> Segmenter:
-    """The task process's segmenter of a broadcast model (one at a time)."""
-    key = hash(shared.value)
-    if key not in _built:
-        _built.clear()
-        _built[key] = Segmenter(shared.value)
-    return _built[key]
-
-
-_ENCODED = T.StructType([
-    T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("best_ids", T.ArrayType(T.IntegerType())),
-    T.StructField("best_score", T.DoubleType()), T.StructField("exact", T.BooleanType())])
+    def decode(self, ids: list[int]) -> str:
+        out = self._joined(ids).decode("utf-8", "replace")
+        return out[1:] if self.prefix and out.startswith(" ") else out
 
 
 def _gathered(segments: list[tuple[int, ...]], code: np.ndarray, row_end: np.ndarray) -> pa.Array:
-    """Lists per row of the ids of its units; ``row_end`` counts units."""
+    """Lists per row of the ids of its words; ``row_end`` counts words."""
     size = np.array([len(x) for x in segments], dtype=np.int64)
     flat = np.fromiter(chain.from_iterable(segments), np.int32, int(size.sum()))
     first = np.cumsum(size) - size
@@ -233,28 +254,42 @@ def _gathered(segments: list[tuple[int, ...]], code: np.ndarray, row_end: np.nda
     return pa.ListArray.from_arrays(pa.array(end[row_end].astype(np.int32)), pa.array(flat[at]))
 
 
-def _shared(spark: SparkSession, model_path: str | None):
+_built: dict[tuple, Segmenter] = {}
+
+
+def _segmenter(shared) -> Segmenter:
+    """The task process's segmenter of a broadcast (model, by), one at a time."""
+    if shared.value not in _built:
+        _built.clear()
+        _built[shared.value] = Segmenter(*shared.value)
+    return _built[shared.value]
+
+
+def _shared(spark: SparkSession, model_path: str | None, by: str = "model"):
     with open(model_path or default_model(), "rb") as f:
-        return spark.sparkContext.broadcast(f.read())
+        return spark.sparkContext.broadcast((f.read(), by))
+
+
+_ENCODED = T.StructType([
+    T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_best", T.LongType()),
+    T.StructField("best_score", T.DoubleType()), T.StructField("exact", T.BooleanType())])
 
 
-def encode(spark: SparkSession, column: str, model_path: str | None = None) -> Column:
-    """Struct (ids, best_ids, best_score, exact) of a text column; the model file is read on the driver.
+def encode(spark: SparkSession, column: str, model_path: str | None = None, by: str = "model") -> Column:
+    """Struct (ids, n_best, best_score, exact) of a text column; the model file is read on the driver.
 
-    ``exact`` says whether both lists of ids decode to the text.
+    ``n_best`` and ``best_score`` are of the best path by scores; ``exact`` says whether the ids decode to the text.
     """
-    shared = _shared(spark, model_path)
+    shared = _shared(spark, model_path, by)
 
     @F.arrow_udf(_ENCODED)
     def run(texts: pa.Array) -> pa.Array:
         own = _segmenter(shared)
         batch = pa.record_batch([text.plain(texts)], names=["t"])
-        parts = []
-        for part in [*text.slices(batch, "t")] or [batch]:
-            ids, best, score = own.encode(part.column(0))
-            exact = own.decodes_to(ids, part.column(0))
-            parts.append((ids, best, pa.array(score), pa.array(exact & own.decodes_to(best, part.column(0)) if best is not ids else exact)))
-        return pa.StructArray.from_arrays([pa.concat_arrays(x) for x in zip(*parts)], names=_ENCODED.fieldNames())
+        parts = [own.encode(part.column(0)) for part in [*text.slices(batch, "t", 12 << 20)] or [batch]]
+        return pa.StructArray.from_arrays(
+            [pa.concat_arrays([p[0] for p in parts]), *(pa.array(np.concatenate([p[k] for p in parts])) for k in (1, 2, 3))],
+            names=_ENCODED.fieldNames())
 
     return run(F.col(column))
 
@@ -266,6 +301,6 @@ def decode(spark: SparkSession, column: str, model_path: str | None = None) -> C
     @F.arrow_udf(T.StringType())
     def run(ids: pa.Array) -> pa.Array:
         own = _segmenter(shared)
-        return pa.array([None if not x.is_valid else own.decode(x.as_py()) for x in ids], pa.string())
+        return pa.array([None if x is None else own.decode(x) for x in ids.to_pylist()], pa.string())
 
     return run(F.col(column))
