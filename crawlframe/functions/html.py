@@ -1,8 +1,10 @@
 """HTML link patterns as Spark regular expressions.
 
-The same pattern text runs in Spark (Java regex) and in DuckDB (RE2), so the
-oracle queries reuse these constants. Patterns go through ``F.lit``, never
-through SQL text, so backslashes are not escaped twice.
+Java matches a repeated group by recursion unless the repetition is possessive,
+so every loop over a group here is: a page may hold any number of tags and
+attributes. RE2 has no possessive loops; the oracles spell their own patterns
+(``plans/sqlgen.py``). Patterns go through ``F.lit``, never through SQL text, so
+backslashes are not escaped twice.
 """
 
 from __future__ import annotations
@@ -17,38 +19,47 @@ from .common import col_of
 # Regions whose markup is not part of the document's links.
 STRIP_RE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 
-_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
-_ATTR = r"""(?:\s+[^\s"'>=]+(?:\s*=\s*""" + _VALUE + r")?)"
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+_ATTR = r"""(?:\s++[^\s"'>=]++(?:\s*+=\s*+""" + _VALUE + r")?+)"
 # Text of an anchor: anything up to the next <a ...> or </a>, other tags allowed.
-_TEXT = r"""([^<]*(?:<(?:[^aA/]|/[^aA]|[aA][^\s>]|/[aA][^\s>])[^<]*)*)"""
+_TEXT = r"""(?:[^<]++|<(?!/?a[\s>]))*+"""
 
 
-def tag_link_re(tag: str = "a", attr: str = "href", with_text: bool = True) -> str:
-    """Start tag ``tag`` with attribute ``attr`` in any position and any quoting.
+def _until(attr: str) -> str:
+    """Attributes before the first ``attr`` with a value, and that value (one group)."""
+    other = r"""(?:\s++(?!""" + attr + r"""\s*+=)[^\s"'>=]++(?:\s*+=\s*+""" + _VALUE + r")?+)*+"
+    return other + r"\s++" + attr + r"\s*+=\s*+(" + _VALUE + ")"
+
+
+def tag_attr_re(tag: str, attr: str) -> str:
+    """Start tag ``tag`` with attribute ``attr`` in any position and any quoting; group 1 is the raw value.
 
-    Group 1 is the raw (still quoted) attribute value; with ``with_text``
-    group 2 is the raw inner markup up to the closing tag ('' if unclosed).
     The first attribute of that name wins. ``data-href`` and ``<abbr>`` do not
     match; a ``>`` inside a quoted value does not end the tag.
     """
-    head = r"(?i)<" + tag + _ATTR + r"*?\s+" + attr + r"\s*=\s*(" + _VALUE + r")"
-    if not with_text:
-        return head
-    if tag.lower() != "a":
-        raise ValueError("anchor text is only defined for <a>")
-    return head + _ATTR + r"*\s*/?>(?:" + _TEXT + r"</a\s*>)?"
+    return r"(?i)<" + tag + _until(attr)
+
+
+# Anchors with an end of the start tag; links of both kinds in document order
+# (group 1: tag, 2: value), and the same with the text up to </a> as group 3,
+# looked at but not consumed, so that tags inside it are still found.
+LINK_RE = tag_attr_re("a", "href") + _ATTR + r"*+\s*+/?>"
+ANY_LINK_RE = r"(?i)<(a|area)" + _until("href") + _ATTR + r"*+\s*+/?>"
+ANY_LINK_TEXT_RE = ANY_LINK_RE + r"(?:(?=(" + _TEXT + r")</a\s*+>))?+"
+BASE_RE = tag_attr_re("base", "href")
+
 
+def embed_re(src_tags: list[str], href_tags: list[str]) -> str:
+    """Embed tags in document order: groups 1, 2 are tag and raw value of a ``src`` tag, 3, 4 of an ``href`` tag."""
+    return (r"(?i)<(?:(" + "|".join(src_tags) + ")" + _until("src") + "|(" + "|".join(href_tags) + ")" + _until("href") + ")")
 
-LINK_RE = tag_link_re("a", "href", True)
-AREA_RE = tag_link_re("area", "href", False)
-BASE_RE = tag_link_re("base", "href", False)
 
 # Named character references an HTML 4 parser decodes: the HTML 4.01 set, taken
 # from the standard library rather than written out here, plus XML's &apos;.
 NAMED_REFERENCES = {**{name: chr(cp) for name, cp in name2codepoint.items()}, "apos": "'"}
 # One token per named or numeric reference, run of text, or lone '&': every
 # token is decoded once, so '&amp;#39;' stays '&#39;'.
-ENTITY_TOKEN_RE = r"&[A-Za-z][A-Za-z0-9]{1,31};|&#[0-9]{1,8};|&#[xX][0-9a-fA-F]{1,8};|[^&]+|&"
+ENTITY_TOKEN_RE = r"&[A-Za-z][A-Za-z0-9]{1,31};|&#[0-9]+;|&#[xX][0-9a-fA-F]+;|[^&]+|&"
 REPLACEMENT_CHAR = "\ufffd"
 
 HTML_SPACE_RE = r"^[\t\n\f\r ]+|[\t\n\f\r ]+$"
@@ -73,10 +84,13 @@ def unescape(c) -> Column:
 
     def token(t):
         named = F.try_element_at(names, F.substr(t, F.lit(2), F.length(t) - 2))
-        dec = F.substr(t, F.lit(3), F.length(t) - 3).cast("bigint")
-        hx = F.conv(F.substr(t, F.lit(4), F.length(t) - 4), 16, 10).cast("bigint")
-        return (F.when(t.rlike("^&#[xX]"), _code_point_char(hx))
-                .when(t.rlike("^&#[0-9]"), _code_point_char(dec))
+        # digits without leading zeros; more than 8 are no code point
+        dec = F.regexp_extract(t, "^&#0*([0-9]*);", 1)
+        hx = F.regexp_extract(t, "^&#[xX]0*([0-9a-fA-F]*);", 1)
+        known = lambda digits, value: _code_point_char(
+            F.when(F.length(digits) <= 8, F.coalesce(value.try_cast("bigint"), F.lit(0))).otherwise(0))
+        return (F.when(t.rlike("^&#[xX]"), known(hx, F.conv(F.substr(hx, F.lit(1), F.lit(8)), 16, 10)))
+                .when(t.rlike("^&#[0-9]"), known(dec, dec))
                 .when(t.rlike("^&[A-Za-z]"), F.coalesce(named, t))
                 .otherwise(t))
     s = col_of(c)
@@ -100,10 +114,10 @@ def anchor_text(raw) -> Column:
     return unescape(F.regexp_replace(col_of(raw), r"<[^>]*>", ""))
 
 
-def link_matches(html, stripped: bool = False) -> Column:
-    """All anchor matches of a page (array of raw match strings), in document order."""
+def link_values(html, stripped: bool = False) -> Column:
+    """Raw ``href`` values of all anchors of a page, in document order."""
     h = col_of(html) if stripped else strip_inert(html)
-    return F.regexp_extract_all(h, F.lit(LINK_RE), F.lit(0))
+    return F.regexp_extract_all(h, F.lit(LINK_RE), F.lit(1))
 
 
 def base_href(html, stripped: bool = False) -> Column:

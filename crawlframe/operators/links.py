@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import col_of, once
-from ..functions.html import (AREA_RE, LINK_RE, anchor_text, base_href, link_matches, strip_inert,
-                              tag_link_re, unquote_attr)
+from ..functions.html import (ANY_LINK_RE, ANY_LINK_TEXT_RE, anchor_text, base_href, embed_re, link_values,
+                              strip_inert, unquote_attr)
 from ..functions.urls import clean_reference, domain_suffixes, resolve_url, url_host
 
 # Response types parsed as text and as HTML.
@@ -80,29 +80,32 @@ def extract_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     (``strip_href`` strips it, as the unique-link extractor does).
     Returns (id, url, base_url, pos, href[, link_text]) with ``pos`` 0-based;
     ``base_url`` is the page URL, or its ``<base href>`` resolved against it.
-    Per page the HTML is scanned once for the base and once for anchors; per
-    link only the short match string is parsed again.
+    With ``include_area``, ``<area href>`` counts as well, in document order and
+    without text. Only start tags are matched; anchor text is what stands
+    between the tag and ``</a>``, '' if the anchor is not closed.
     """
     clean = pages.select(F.col(id_col), F.col(url_col), strip_inert(html_col).alias("_h"))
     clean = clean.select(id_col, url_col, "_h", base_href("_h", stripped=True).alias("_b"))
     base = F.when(F.col("_b") == "", F.col(url_col)).otherwise(resolve_url(F.col(url_col), F.col("_b")))
-    extra = [F.regexp_extract_all(F.col("_h"), F.lit(AREA_RE), F.lit(1)).alias("_as")] if include_area else []
-    per_page = clean.select(id_col, url_col, once(base).alias("base_url"),
-                            link_matches("_h", stripped=True).alias("_ms"), *extra)
+    if include_area or with_text:
+        group = lambda re, k: F.regexp_extract_all(F.col("_h"), F.lit(re), F.lit(k))
+        both = [group(ANY_LINK_RE, 1).alias("tag"), group(ANY_LINK_RE, 2).alias("raw")]
+        both += [group(ANY_LINK_TEXT_RE, 3).alias("text")] if with_text else []
+        found = F.arrays_zip(*both)
+        if not include_area:
+            found = F.filter(found, lambda m: F.lower(m["tag"]) == "a")
+    else:
+        found = F.transform(link_values("_h", stripped=True), lambda v: F.struct(v.alias("raw")))
+    per_page = clean.select(id_col, url_col, once(base).alias("base_url"), found.alias("_ms"))
+
     def parse(m):
-        out = [unquote_attr(F.regexp_extract(m, LINK_RE, 1), strip_href).alias("href")]
+        out = [unquote_attr(m["raw"], strip_href).alias("href")]
         if with_text:
-            out.append(anchor_text(F.regexp_extract(m, LINK_RE, 2)).alias("link_text"))
+            text = F.when(F.lower(m["tag"]) == "a", anchor_text(m["text"])).otherwise("")
+            out.append(text.alias("link_text"))
         return F.struct(*out)
 
     parsed = F.transform("_ms", parse)
-    if include_area:  # <area href> after the anchors, no text
-        def area(v):
-            out = [unquote_attr(v, strip_href).alias("href")]
-            if with_text:
-                out.append(F.lit("").alias("link_text"))
-            return F.struct(*out)
-        parsed = F.concat(parsed, F.transform("_as", area))
     # posexplode_outer + filter on its output: plain posexplode makes Catalyst
     # infer size(array) > 0 and push it to the scan, running the extraction twice
     df = per_page.select(id_col, url_col, "base_url", F.posexplode_outer(parsed).alias("pos", "_l")) \
@@ -128,7 +131,7 @@ def resolve_links(links: DataFrame, base_col: str = "base_url", href_col: str =
 
 def count_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """T4: number of ``<a href>`` per page, 0 when none (no explode, no shuffle)."""
-    return pages.select(F.col(id_col), F.size(link_matches(html_col)).cast("bigint").alias("n_links"))
+    return pages.select(F.col(id_col), F.size(link_values(html_col)).cast("bigint").alias("n_links"))
 
 
 def _extension(url) -> "F.Column":
@@ -160,7 +163,7 @@ def extract_unique_links(pages: DataFrame, id_col: str = "page_id", url_col: str
 def minimal_domains(domains: DataFrame, domain_col: str = "domain") -> DataFrame:
     """Allowed domains minus those already covered by an allowed parent domain."""
     d = domains.select(F.lower(F.col(domain_col)).alias("domain")).distinct()
-    parents = d.select("domain", F.explode(F.slice(domain_suffixes("domain"), 2, 1 << 20)).alias("parent"))
+    parents = d.select("domain", F.explode(F.slice(domain_suffixes("domain"), F.lit(2), F.size(domain_suffixes("domain")))).alias("parent"))
     covered = parents.join(d.withColumnRenamed("domain", "parent"), "parent", "left_semi").select("domain")
     return d.join(covered, "domain", "left_anti")
 
@@ -183,20 +186,20 @@ def extract_embeds(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                    html_col: str = "html") -> DataFrame:
     """Embedded resources (img, script, link, iframe, ...) as hop ``E``.
 
-    Comments and style bodies are dropped and script *bodies* emptied, so a
+    ``pos`` counts all embed tags of a page in document order. Comments and
+    style bodies are dropped and script *bodies* emptied, so a
     script's own ``src`` is kept but tags inside script text are not.
     """
     cleaned = F.regexp_replace(
         F.regexp_replace(F.col(html_col), r"(?is)<!--.*?-->|<style\b.*?</style\s*>", ""),
         r"(?is)(<script\b[^>]*>).*?</script\s*>", "$1")
-    def tagged(tag):
-        return lambda v: F.struct(F.lit(tag).alias("tag"), v.alias("raw"))
-
     per_page = pages.select(F.col(id_col), F.col(url_col), cleaned.alias("_c"), base_href(html_col).alias("_b"))
     base = F.when(F.col("_b") == "", F.col(url_col)).otherwise(resolve_url(F.col(url_col), F.col("_b")))
-    parts = [F.transform(F.regexp_extract_all(F.col("_c"), F.lit(tag_link_re(t, a, False)), F.lit(1)), tagged(t))
-             for t, a in EMBED_TAGS]
-    df = per_page.select(id_col, url_col, once(base).alias("base_url"), F.concat(*parts).alias("_es")) \
+    pattern = F.lit(embed_re([t for t, a in EMBED_TAGS if a == "src"], [t for t, a in EMBED_TAGS if a == "href"]))
+    src_tag, src, href_tag, href = (F.regexp_extract_all(F.col("_c"), pattern, F.lit(k)) for k in (1, 2, 3, 4))
+    found = F.transform(F.arrays_zip(src_tag.alias("t"), src.alias("v"), href_tag.alias("ht"), href.alias("hv")),
+                        lambda m: F.struct(F.lower(F.concat(m["t"], m["ht"])).alias("tag"), F.concat(m["v"], m["hv"]).alias("raw")))
+    df = per_page.select(id_col, url_col, once(base).alias("base_url"), found.alias("_es")) \
         .select(id_col, url_col, "base_url", F.posexplode_outer("_es").alias("pos", "_e")) \
         .where(F.col("pos").isNotNull())
     found = df.select(F.col(id_col), F.col(url_col), F.col("pos").cast("int").alias("pos"),

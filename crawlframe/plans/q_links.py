@@ -12,7 +12,9 @@ from . import sqlgen as sg
 from .catalog import register
 
 LINKS = sg.links_cte("pages")
-LINKS_TEXT = sg.links_cte("pages", with_text=True, strip_href=True)
+# T3 reads the pages with two area links in front, one of which repeats the page's first anchor.
+AREA_PAGES = """(SELECT page_id, url, '<map><area shape=rect href="/map/' || page_id || '"><AREA alt="x > y" href=/The></map>' || html AS html FROM pages)"""
+LINKS_TEXT = sg.links_cte(AREA_PAGES, with_text=True, strip_href=True, areas=True)
 RESOLVED = f"SELECT *, {sg.resolve('base_url', 'href')} AS target_url FROM ({LINKS})"
 
 
@@ -68,11 +70,13 @@ SELECT page_id, url, pos, href, target_url, link_text FROM (
 
 @register("t3_unique_links", _T3_SQL)
 def t3_unique_links(spark, sf_dir):
-    return L.extract_unique_links(_pages(spark, sf_dir))
+    areas = F.concat(F.lit('<map><area shape=rect href="/map/'), F.col("page_id").cast("string"),
+                     F.lit('"><AREA alt="x > y" href=/The></map>'), F.col("html"))
+    return L.extract_unique_links(_pages(spark, sf_dir).withColumn("html", areas))
 
 
 @register("t4_count_links", f"""
-SELECT page_id, CAST(len(regexp_extract_all({sg.strip_inert('html')}, {sg.q(L.LINK_RE)}, 0)) AS BIGINT) AS n_links
+SELECT page_id, CAST(len(regexp_extract_all({sg.strip_inert('html')}, {sg.q(sg.A_RE)}, 0)) AS BIGINT) AS n_links
 FROM pages""")
 def t4_count_links(spark, sf_dir):
     return L.count_links(_pages(spark, sf_dir))
@@ -185,25 +189,31 @@ def j3_discover(spark, sf_dir):
     return D.discover(parents, links)
 
 
+# The tables' pages embed nothing: every page gets an image, a script, a style sheet and a frame around its html.
+_EMBED_HTML = ("'<LINK rel=stylesheet href=\"/s/' || page_id || '.css\"><img alt=\"a > b\" src=''i.png''>' || html || "
+               "'<script async src=/s.js>var x = \"<img src=no.png>\";</script><iframe src=\"//f.example.org/?p=' || page_id || "
+               "'&amp;q\"></iframe><img src=last.gif><!-- <img src=none> -->'")
 _EMBED_CLEAN = ("regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<style\\b.*?</style\\s*>', '', 'g'), "
                 "'(?is)(<script\\b[^>]*>).*?</script\\s*>', '\\1', 'g')")
-_EMBED_LISTS = ", ".join(
-    f"list_transform(regexp_extract_all(c, {sg.q(L.tag_link_re(t, a, False))}, 1), lambda v: {{'tag': {sg.q(t)}, 'raw': v}})"
-    for t, a in L.EMBED_TAGS)
+_EMBED_RE = "(?i)<(?:" + "|".join(t + sg._SQL_ATTR + r"*?\s+" + a + r"\s*=\s*" + sg._SQL_VALUE for t, a in L.EMBED_TAGS) + ")"
+_EMBED_RAW = "CASE lower(regexp_extract(m, '^<([A-Za-z]+)', 1)) " + " ".join(
+    f"WHEN {sg.q(t)} THEN regexp_extract(m, {sg.q(sg.tag_re(t, a))}, 1)" for t, a in L.EMBED_TAGS) + " END"
 _X7_SQL = f"""
-SELECT page_id, url, CAST(pos AS INTEGER) AS pos, e.tag AS tag,
-       {sg.resolve('base_url', sg.unquote_attr('e.raw'))} AS target_url, 'E' AS hop
+SELECT page_id, url, CAST(pos AS INTEGER) AS pos, tag, {sg.resolve('base_url', sg.unquote_attr('raw'))} AS target_url, 'E' AS hop
 FROM (
-  SELECT page_id, url, base_url, unnest(es) AS e, generate_subscripts(es, 1) - 1 AS pos
-  FROM (SELECT page_id, url, {sg.resolve('url', sg.base_href('html'))} AS base_url,
-               flatten([{_EMBED_LISTS}]) AS es
-        FROM (SELECT page_id, url, html, {_EMBED_CLEAN} AS c FROM pages))
+  SELECT page_id, url, base_url, pos, lower(regexp_extract(m, '^<([A-Za-z]+)', 1)) AS tag, {_EMBED_RAW} AS raw
+  FROM (
+    SELECT page_id, url, base_url, unnest(es) AS m, generate_subscripts(es, 1) - 1 AS pos
+    FROM (SELECT page_id, url, {sg.resolve('url', sg.base_href('html'))} AS base_url,
+                 regexp_extract_all({_EMBED_CLEAN}, {sg.q(_EMBED_RE)}, 0) AS es
+          FROM (SELECT page_id, url, {_EMBED_HTML} AS html FROM pages))
+  )
 )"""
 
 
 @register("x7_embeds", _X7_SQL)
 def x7_embeds(spark, sf_dir):
-    return L.extract_embeds(_pages(spark, sf_dir))
+    return L.extract_embeds(_pages(spark, sf_dir).withColumn("html", F.expr(_EMBED_HTML.replace("''i.png''", "\\'i.png\\'"))))
 
 
 # -- seeds and responses (S1, S2, S4, T10) ----------------------------------
@@ -261,9 +271,9 @@ def t10_tag_seeds(spark, sf_dir):
 @register("x9_sitemap_urls", f"""
 SELECT page_id, url, pos, {sg.resolve('url', 'trim(href)')} AS target_url, 'M' AS hop FROM ({LINKS})""")
 def x9_sitemap_urls(spark, sf_dir):
-    from ..functions.html import LINK_RE, link_matches, unquote_attr
+    from ..functions.html import link_values, unquote_attr
     p = _pages(spark, sf_dir)
-    hrefs = F.transform(link_matches("html"), lambda m: unquote_attr(F.regexp_extract(m, LINK_RE, 1), False))
+    hrefs = F.transform(link_values("html"), lambda v: unquote_attr(v, False))
     locs = F.transform(hrefs, lambda h: F.concat(F.lit("<url><loc>"), F.replace(h, F.lit("&"), F.lit("&amp;")),
                                                  F.lit("</loc></url>")))
     docs = p.select("page_id", "url", F.concat(F.lit('<?xml version="1.0"?><urlset>'), F.array_join(locs, ""),

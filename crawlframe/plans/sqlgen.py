@@ -109,8 +109,8 @@ def _cp_char(cp: str) -> str:
 def unescape(s: str) -> str:
     names = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in sorted(H.NAMED_REFERENCES.items())) + "}"
     named = f"coalesce(map_extract_value({names}, substr(t, 2, length(t) - 2)), t)"
-    dec = "TRY_CAST(substr(t, 3, length(t) - 3) AS BIGINT)"
-    hx = "TRY_CAST('0x' || substr(t, 4, length(t) - 4) AS BIGINT)"
+    dec = "coalesce(TRY_CAST(substr(t, 3, length(t) - 3) AS BIGINT), 0)"
+    hx = "coalesce(TRY_CAST('0x' || right('0000000000000000' || ltrim(substr(t, 4, length(t) - 4), '0'), 16) AS BIGINT), 0)"
     tok = (f"CASE WHEN regexp_matches(t, '^&#[xX]') THEN {_cp_char(hx)} "
            f"WHEN regexp_matches(t, '^&#[0-9]') THEN {_cp_char(dec)} "
            f"WHEN regexp_matches(t, '^&[A-Za-z]') THEN {named} ELSE t END")
@@ -128,29 +128,53 @@ def anchor_text(raw: str) -> str:
     return unescape(f"regexp_replace({raw}, '<[^>]*>', '', 'g')")
 
 
+# The oracles' own tag patterns, for RE2 (no lookahead, no possessive loops).
+_SQL_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+_SQL_ATTR = r"""(?:\s+[^\s"'>=]+(?:\s*=\s*""" + _SQL_VALUE + r")?)"
+_SQL_TEXT = r"""([^<]*(?:<(?:[^aA/]|/[^aA]|[aA][^\s>]|/[aA][^\s>])[^<]*)*)"""
+
+
+def tag_re(tag: str, attr: str) -> str:
+    return r"(?i)<" + tag + _SQL_ATTR + r"*?\s+" + attr + r"\s*=\s*(" + _SQL_VALUE + r")"
+
+
+A_RE = tag_re("a", "href") + _SQL_ATTR + r"*\s*/?>(?:" + _SQL_TEXT + r"</a\s*>)?"
+# An area, or an anchor with its text; areas inside anchor text do not occur in the tables.
+ANY_RE = r"(?i)<area" + _SQL_ATTR + r"*\s*/?>|" + A_RE
+AREA_RE = tag_re("area", "href")
+
+
 def strip_inert(html: str) -> str:
     return f"regexp_replace({html}, {q(H.STRIP_RE)}, '', 'g')"
 
 
 def base_href(html: str) -> str:
-    return unquote_attr(f"regexp_extract({strip_inert(html)}, {q(H.BASE_RE)}, 1)")
+    return unquote_attr(f"regexp_extract({strip_inert(html)}, {q(tag_re('base', 'href'))}, 1)")
 
 
 def is_homepage(u: str) -> str:
     return f"regexp_matches({u}, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+/([;?].*)?$')"
 
 
-def links_cte(pages: str = "pages", with_text: bool = False, strip_href: bool = False) -> str:
-    """SQL for T1 (+ text): (page_id, url, base_url, pos, href[, link_text])."""
-    text = f", {anchor_text(f'regexp_extract(m, {q(H.LINK_RE)}, 2)')} AS link_text" if with_text else ""
+def links_cte(pages: str = "pages", with_text: bool = False, strip_href: bool = False, areas: bool = False) -> str:
+    """SQL for T1 (+ text): (page_id, url, base_url, pos, href[, link_text]); ``areas`` keeps area links in page order."""
+    raw, inner = f"regexp_extract(m, {q(A_RE)}, 1)", f"regexp_extract(m, {q(A_RE)}, 2)"
+    all_re = ANY_RE if areas else A_RE
+    if areas:
+        is_area = "regexp_matches(m, '(?i)^<area')"
+        raw = f"(CASE WHEN {is_area} THEN regexp_extract(m, {q(AREA_RE)}, 1) ELSE {raw} END)"
+        inner = f"(CASE WHEN {is_area} THEN '' ELSE {inner} END)"
+    text = f", {anchor_text(inner)} AS link_text" if with_text else ""
+    matches = f"regexp_extract_all({strip_inert('html')}, {q(all_re)}, 0)"
+    if areas:
+        matches = f"list_filter({matches}, lambda m: NOT regexp_matches(m, '(?i)^<area') OR regexp_matches(m, {q(AREA_RE)}))"
     return f"""
     SELECT page_id, url, base_url, CAST(pos AS INTEGER) AS pos,
-           {unquote_attr(f"regexp_extract(m, {q(H.LINK_RE)}, 1)", strip_href)} AS href{text}
+           {unquote_attr(raw, strip_href)} AS href{text}
     FROM (
       SELECT page_id, url, base_url, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS pos
       FROM (
-        SELECT page_id, url, {resolve('url', base_href('html'))} AS base_url,
-               regexp_extract_all({strip_inert('html')}, {q(H.LINK_RE)}, 0) AS ms
+        SELECT page_id, url, {resolve('url', base_href('html'))} AS base_url, {matches} AS ms
         FROM {pages}
       )
     )"""

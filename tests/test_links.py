@@ -94,3 +94,24 @@ def test_href_whitespace_and_text(spark):
     assert r.href == " b " and r.target_url == "http://h/a/b "      # as the attribute selector + urljoin give it
     u = L.extract_unique_links(df).first()
     assert u.target_url == "http://h/a/b" and u.link_text == "  two\n words "
+
+
+def test_huge_and_unclosed_pages_keep_document_order(spark):
+    from crawlframe.operators import links as L
+    pages = [(1, "http://h/", "<a href=/x>" + "<b>i</b><i>" * 50_000 + "<a href='/y' id=q>t</a>"),
+             (2, "http://h/", "<a " + "x=1 " * 20_000 + "href=/many>n</a>"),
+             (3, "http://h/", "<area href=/m1><a href=/a1>one <area href=/m2> two</a><a href=/m1>late</a>"),
+             (4, "http://h/", "<a href=/l&#0000000000065;&#x00000000041;&#99999999999;>z</a>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {}
+    for r in L.extract_links(df, with_text=True, include_area=True).orderBy("page_id", "pos").collect():
+        got.setdefault(r.page_id, []).append((r.href, r.link_text))
+    assert got[1] == [("/x", ""), ("/y", "t")] and got[2] == [("/many", "n")]
+    assert got[3] == [("/m1", ""), ("/a1", "one  two"), ("/m2", ""), ("/m1", "late")]
+    assert got[4] == [("/lAA�", "z")]
+    assert {r.page_id: r.n_links for r in L.count_links(df).collect()} == {1: 2, 2: 1, 3: 2, 4: 1}
+    first = [r.link_text for r in L.extract_unique_links(df).where("target_url = 'http://h/m1'").collect()]
+    assert first == [""]
+    embeds = L.extract_embeds(spark.createDataFrame([(1, "http://h/", "<img src=a><script src=b></script><img src=c><link href=d>")],
+                                                    "page_id long, url string, html string"))
+    assert [r.tag for r in embeds.orderBy("pos").collect()] == ["img", "script", "img", "link"]
