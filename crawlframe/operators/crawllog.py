@@ -2,17 +2,21 @@
 archive-style text lines (T18, T18b) and their parser, the all-outcomes log
 and the items feed (J2), and wire size/digest from body chunks (A2).
 
-Every job here is a projection or a union except A2, whose groups are the
-chunks of one response (bounded by the body-size limit, T7).
+Every job here is a projection or a union except A2, which hashes the sorted
+chunks of a response batch by batch.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import col_of
-from ..functions.digest import base32_of_sha1_hex, content_digest
+from ..functions.digest import content_digest
 from ..functions.timefmt import format_fetch_time, format_log_ts
 from ..functions.urls import url_host
 
@@ -161,45 +165,73 @@ def to_h3_line(log: DataFrame, legacy: bool = False, keep=()) -> DataFrame:
 def parse_h3_line(lines: DataFrame, line_col: str = "line"):
     """Inverse of T18: split on ONE space (an empty hop path leaves two in a row).
 
-    Returns (good, bad): rows without exactly 12 columns go to ``bad``.
+    Returns (good, bad): rows without exactly 12 columns, or with a time,
+    status or size that is neither '-' nor readable, go to ``bad``. Times are
+    read with and without fractional seconds (writers drop zero microseconds).
     """
-    parts = F.split(F.col(line_col), " ", -1)
-    df = lines.withColumn("_p", parts)
-    good = df.where(F.size("_p") == H3_FIELDS)
-    bad = df.where(F.size("_p") != H3_FIELDS).drop("_p")
-    g = lambda i: F.element_at(F.col("_p"), i)
-    stpd = g(9)
-    good = good.select(
+    df = lines.withColumn("_p", F.split(F.col(line_col), " ", -1))
+    g = lambda i: F.get("_p", F.lit(i - 1))
+    time = F.when(g(1).rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,6})?$"), g(1).try_cast("timestamp_ntz"))
+    number = lambda i, kind: F.when(g(i).rlike(r"^-?\d+$"), g(i).try_cast(kind))
+    df = df.withColumn("_v", F.struct(time.alias("ts"), number(2, "int").alias("status"), number(3, "bigint").alias("size")))
+    readable = [(1, "ts"), (2, "status"), (3, "size")]
+    ok = F.size("_p") == H3_FIELDS
+    for i, name in readable:
+        ok = ok & ((g(i) == "-") | F.col(f"_v.{name}").isNotNull())
+    ok = F.coalesce(ok, F.lit(False))
+    bad = df.where(~ok).drop("_p", "_v")
+    good = df.where(ok).select(
         *[c for c in lines.columns if c != line_col],
-        F.to_timestamp_ntz(g(1), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("timestamp"),
-        g(2).cast("int").alias("status_code"),
-        g(3).cast("bigint").alias("content_length"),
+        F.col("_v.ts").alias("timestamp"), F.col("_v.status").alias("status_code"), F.col("_v.size").alias("content_length"),
         g(4).alias("url"), g(5).alias("hop_path"), g(6).alias("via"), g(7).alias("mimetype"),
-        g(8).alias("thread"), stpd.alias("start_time_plus_duration"),
+        g(8).alias("thread"), g(9).alias("start_time_plus_duration"),
         g(10).alias("content_digest"), g(11).alias("seed"), g(12).alias("annotations"))
     return good, bad
 
 
-MAX_BODY_BYTES = 10 * 1024 * 1024  # fixed value: configured maximum response size (10 MiB)
-
-
 def response_digest(chunks: DataFrame, key_col: str = "request_id", seq_col: str = "seq",
-                    data_col: str = "data", max_bytes: int = MAX_BODY_BYTES) -> DataFrame:
+                    data_col: str = "data") -> DataFrame:
     """A2: per request, wire size (sum of chunk lengths) and base32 SHA-1 of the
-    chunks concatenated in arrival order.
+    chunks concatenated in arrival order, for responses of any size.
 
-    Two phases so no task ever holds an unbounded group: the byte count is a
-    partial/final sum over all requests; only requests within ``max_bytes``
-    (the download limit, past which a fetch is aborted) have their chunks
-    gathered and hashed. Larger ones keep their size and get a null digest.
+    Chunks are dealt out by request and sorted inside their task; the hash runs
+    over them one batch at a time, so a task holds a batch and one hash state
+    however large a response is. Null chunks count as empty, equal positions
+    are taken in order of their bytes.
     """
-    sizes = chunks.groupBy(key_col).agg(
-        F.sum(F.octet_length(F.col(data_col))).cast("bigint").alias("response_bytes"))
-    within = sizes.where(F.col("response_bytes") <= max_bytes).select(key_col)
-    gathered = chunks.join(within, key_col, "left_semi").groupBy(key_col).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(seq_col).alias("s"), F.col(data_col).cast("binary")
-                                             .alias("d")))).alias("_c"))
-    # hex round trip: array_join is linear where folding binary concat is quadratic
-    body = F.unhex(F.array_join(F.transform(F.col("_c"), lambda x: F.hex(x["d"])), ""))
-    digests = gathered.select(key_col, base32_of_sha1_hex(F.sha1(body)).alias("response_digest"))
-    return sizes.join(digests, key_col, "left")
+    rows = chunks.select(F.col(key_col).alias("key"), F.col(seq_col).alias("seq"),
+                         F.coalesce(F.col(data_col).cast("binary"), F.lit(b"")).alias("data"))
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def digest(batches):
+        key, state, size, started = None, None, 0, False
+        done = []
+
+        def close():
+            done.append((key, size, base64.b32encode(state.digest()).decode()))
+
+        for batch in batches:
+            keys, data = batch.column("key"), batch.column("data")
+            for i, k in enumerate(keys.to_pylist()):
+                if not started or k != key:
+                    if started:
+                        close()
+                    key, state, size, started = k, hashlib.sha1(), 0, True
+                piece = data[i].as_buffer()
+                state.update(piece)
+                size += piece.size
+            if done:
+                yield _digests(done, keys.type)
+                done = []
+        if started:
+            close()
+            yield _digests(done, keys.type)
+
+    return (rows.repartition("key").sortWithinPartitions("key", "seq", "data")
+            .mapInArrow(digest, f"key {kind}, response_bytes bigint, response_digest string")
+            .withColumnRenamed("key", key_col))
+
+
+def _digests(rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[0] for r in rows], key_type), pa.array([r[1] for r in rows], pa.int64()),
+                            pa.array([r[2] for r in rows], pa.string())], names=["key", "response_bytes", "response_digest"])

@@ -5,7 +5,7 @@ paths over a whole crawl (J4) and hop-path limits (X6).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.common import col_of
@@ -117,56 +117,72 @@ def limit_hop_path(df: DataFrame, max_len: int, hop_col: str = "hop_path") -> Da
     return df.where(F.length(F.col(hop_col)) <= max_len)
 
 
-def discovery_paths(spark: SparkSession, seeds: DataFrame, edges: DataFrame, max_hops: int = 64,
-                    carry=()) -> DataFrame:
-    """Discovery path of every URL reachable from the seeds.
+HUB_EDGES = 100_000  # edges of one parent per salted part
 
-    Breadth-first, one join per hop: frontier x edges (shuffled on the parent
-    URL; AQE splits a hub with a huge fan-out), first arrival per child by
-    (hop_path, via, seed) through a group-by whose partial aggregate runs
-    map-side, minus everything already reached. Each level is written as a
-    table under the shared checkpoint folder and read back, so lineage stays
-    one hop deep, every level is computed exactly once, and a lost executor
-    recomputes one level at most.
+
+def discovery_paths(spark: SparkSession, seeds: DataFrame, edges: DataFrame, max_hops: int | None = None,
+                    carry=(), hub_edges: int = HUB_EDGES) -> DataFrame:
+    """Discovery path of every URL reachable from the seeds (``max_hops`` levels only, if given).
+
+    Breadth-first, one join per hop: frontier x edges, first arrival per child
+    by (hop_path, via, seed) through a group-by whose partial aggregate runs
+    map-side, minus everything already reached. Edges and reached URLs are
+    tables bucketed by URL, so a hop shuffles the frontier and its children
+    only. The edges of a parent with more than ``hub_edges`` of them are cut
+    into salted parts in different buckets, and only its own frontier row is
+    repeated for each. Every level is a table under the shared checkpoint
+    folder, so lineage stays one hop deep; its row count comes with the write.
 
     seeds: (url[, source, *carry]); edges: (parent_url, child_url, hop).
-    Output: (url, depth, hop_path, via, seed, *carry).
+    Output: (url, depth, hop_path, via, seed, *carry). Of one URL's equal
+    arrivals any one's carried columns stay.
     """
     root = scratch_path(spark, "paths")
     carry = list(carry)
+    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    suffix = root.rstrip("/").rsplit("-", 1)[-1]
+    edge_table, seen_table = f"crawlframe_edges_{suffix}", f"crawlframe_seen_{suffix}"
 
-    def persist(df: DataFrame, depth: int) -> DataFrame:
-        path = f"{root}/level={depth}"
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    def persist(df: DataFrame, depth: int) -> tuple[DataFrame, int]:
+        path, rows = f"{root}/level={depth}", Observation()
+        df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+        level = spark.read.schema(df.schema).parquet(path)
+        level.select("url").write.mode("append").bucketBy(n_buckets, "url").option("path", f"{root}/seen").saveAsTable(seen_table)
+        return level, rows.get["n"]
 
     src = F.col("source") if "source" in seeds.columns else F.lit(None).cast("string")
     level = (seeds.select(F.col("url"), F.coalesce(src, F.col("url")).alias("seed"), *carry)
-             .groupBy("url").agg(F.min(F.struct("seed", *carry)).alias("_s"))
+             .groupBy("url").agg(F.min_by(F.struct("seed", *carry), "seed").alias("_s"))
              .select("url", F.lit(0).alias("depth"), F.lit("").alias("hop_path"),
                      F.lit(None).cast("string").alias("via"), F.col("_s.seed").alias("seed"),
                      *[F.col(f"_s.{c}").alias(c) for c in carry]))
-    level = persist(level, 0)
-    cols = level.columns
-    # edges once, as a table bucketed by parent URL: each level's join then
-    # shuffles only the (small) frontier, never the edge table again
-    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    e_name = "crawlframe_edges_" + root.rstrip("/").rsplit("-", 1)[-1]
-    (edges.select(F.col("parent_url").alias("url"), "child_url", F.coalesce("hop", F.lit("L")).alias("hop"))
-     .write.mode("overwrite").bucketBy(n_buckets, "url").sortBy("url")
-     .option("path", f"{root}/edges").saveAsTable(e_name))
-    e = spark.table(e_name)
-    for depth in range(1, max_hops + 1):
-        visited = spark.read.parquet(f"{root}/level=*").select("url")
-        cand = level.join(e, "url").select(
-            F.col("child_url").alias("url"),
-            F.struct(F.concat("hop_path", "hop").alias("hop_path"), F.col("url").alias("via"),
-                     "seed", *carry).alias("_c"))
-        nxt = (cand.groupBy("url").agg(F.min("_c").alias("_c"))
-               .join(visited, "url", "left_anti")
-               .select("url", F.lit(depth).alias("depth"), "_c.hop_path", "_c.via", "_c.seed",
-                       *[F.col(f"_c.{c}").alias(c) for c in carry]))
-        level = persist(nxt, depth)
-        if level.isEmpty():
-            break
-    return spark.read.option("basePath", root).parquet(f"{root}/level=*").select(*cols)
+    e = edges.select(F.col("parent_url").alias("url"), "child_url", F.coalesce("hop", F.lit("L")).alias("hop"))
+    try:
+        level, rows = persist(level, 0)
+        hubs = e.groupBy("url").count().where(F.col("count") > hub_edges) \
+            .select("url", F.ceil(F.col("count") / hub_edges).cast("int").alias("_parts"))
+        hubs.write.parquet(f"{root}/hubs")
+        hubs = spark.read.parquet(f"{root}/hubs")
+        salt = F.pmod(F.xxhash64("child_url"), F.coalesce("_parts", F.lit(1))).cast("int").alias("_salt")
+        e.join(hubs, "url", "left").select("url", salt, "child_url", "hop").write.mode("overwrite") \
+            .bucketBy(n_buckets, "url", "_salt").sortBy("url").option("path", f"{root}/edges").saveAsTable(edge_table)
+        e = spark.table(edge_table)
+        depth = 0
+        while rows and (max_hops is None or depth < max_hops):
+            depth += 1
+            parts = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_salt")
+            front = level.join(hubs, "url", "left").select(*level.columns, parts)
+            spark.catalog.refreshTable(seen_table)
+            cand = front.join(e, ["url", "_salt"]).select(
+                F.col("child_url").alias("url"),
+                F.struct(F.concat("hop_path", "hop").alias("hop_path"), F.col("url").alias("via"),
+                         "seed", *carry).alias("_c"))
+            nxt = (cand.groupBy("url").agg(F.min_by("_c", F.struct("_c.hop_path", "_c.via", "_c.seed")).alias("_c"))
+                   .join(spark.table(seen_table), "url", "left_anti")
+                   .select("url", F.lit(depth).alias("depth"), "_c.hop_path", "_c.via", "_c.seed",
+                           *[F.col(f"_c.{c}").alias(c) for c in carry]))
+            level, rows = persist(nxt, depth)
+    finally:  # the result reads the levels; both helper tables leave the catalog
+        for name in (edge_table, seen_table):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return spark.read.option("basePath", root).parquet(f"{root}/level=*").select(*level.columns)

@@ -84,10 +84,26 @@ def test_all_outcomes_items(spark):
     assert C.items_feed(log).count() == 0 and C.all_outcomes(log, log).count() == 2
 
 
-def test_response_digest_size_limit(spark):
-    ch = spark.createDataFrame([(1, 0, b"ab"), (1, 1, b"c"), (2, 0, b"abcd")], "request_id long, seq int, data binary")
-    got = {r.request_id: (r.response_bytes, r.response_digest) for r in C.response_digest(ch, max_bytes=3).collect()}
-    assert got == {1: (3, "VGMT4NSHA2AWVOR6EVYXQUGCNSONBWE5"), 2: (4, None)}
+def test_response_digest_of_any_size(spark):
+    import base64
+    import hashlib
+    ch = [(1, 0, b"ab"), (1, 1, b"c"), (2, 0, None), (None, 1, b"y"), (None, 0, b"x")]
+    ch += [(3, k, bytes([k % 251]) * 100_000) for k in range(120)]  # 12 MB in one response
+    df = spark.createDataFrame(ch, "request_id long, seq int, data binary").repartition(7)
+    got = {r.request_id: (r.response_bytes, r.response_digest) for r in C.response_digest(df).collect()}
+    b32 = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    big = b"".join(d for k, _, d in ch if k == 3)
+    assert got == {1: (3, "VGMT4NSHA2AWVOR6EVYXQUGCNSONBWE5"), 2: (0, b32(b"")), None: (2, b32(b"xy")), 3: (len(big), b32(big))}
+
+
+def test_parse_h3_keeps_bad_rows_apart(spark):
+    line = "{} {} {} http://h/ L - text/html - - - s -"
+    rows = [line.format("2024-01-01T00:00:01.000002", 200, 3), line.format("2024-01-01T00:00:01", "-", 0), line.format("-", -1, "-"),
+            line.format("2024-13-01T00:00:01", 200, 3), line.format("2024-01-01T00:00:01", "2x0", 3), line.format("yesterday", 200, 3),
+            line.format("2024-01-01T00:00:01", 99999999999, 3), "too few", None]
+    good, bad = C.parse_h3_line(spark.createDataFrame([(r,) for r in rows], "line string"))
+    assert [(str(r.timestamp), r.status_code) for r in good.collect()] == [("2024-01-01 00:00:01.000002", 200), ("2024-01-01 00:00:01", None), ("None", -1)]
+    assert sorted(map(str, (r.line for r in bad.collect()))) == sorted(map(str, rows[3:]))
 
 
 def test_items_json_line(spark):
