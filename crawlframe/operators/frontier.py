@@ -58,10 +58,16 @@ def assign_partition(df: DataFrame, n: int = QUEUE_PARTITIONS, url_col: str = "u
     """partition id by host; every URL of a host lands in one partition."""
     return df.withColumn("partition_id", host_partition(F.col(url_col), n))
 
+SALTS = 32  # parts of one queue partition in the first step of a batch's top-n
+
 
 def write_queue(queue: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store the queue partitioned by ``partition_id`` so a batch read prunes to its partitions."""
-    queue.repartition("partition_id").write.mode(mode).partitionBy("partition_id").parquet(path)
+    """Store the queue partitioned by ``partition_id`` so a batch read prunes to its partitions.
+
+    The rebalance keeps files few and lets Spark split a partition that is too
+    large for one task.
+    """
+    queue.hint("rebalance", "partition_id").write.mode(mode).partitionBy("partition_id").parquet(path)
 
 
 def filter_unseen(candidates: DataFrame, seen: DataFrame, key: str = "fingerprint",
@@ -70,10 +76,12 @@ def filter_unseen(candidates: DataFrame, seen: DataFrame, key: str = "fingerprin
 
     The per-key pick is a group-by (partial aggregate map-side, so a hot key
     costs one row per task); the seen set is an anti-join, broadcast by AQE
-    only when it is measured small, sort-merge otherwise.
+    only when it is measured small, sort-merge otherwise. Only ``order`` is
+    compared, so the other columns may be of any type (headers and cookies are
+    maps); rows that agree in all of it are interchangeable.
     """
     cols = [c for c in candidates.columns if c != key]
-    firsts = candidates.groupBy(key).agg(F.min(F.struct(*order, *[c for c in cols if c not in order])).alias("_f"))
+    firsts = candidates.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_f"))
     firsts = firsts.select(key, *[F.col(f"_f.{c}").alias(c) for c in cols])
     return firsts.join(seen.select(key).distinct(), key, "left_anti")
 
@@ -82,7 +90,7 @@ def check_partitions(partitions, n_partitions: int = QUEUE_PARTITIONS) -> list[i
     parts = list(partitions)
     for p in parts:
         if p < 0 or p >= n_partitions:
-            raise ValueError("Spider partition id cannot be less than 0 or more than the number of partitions.")
+            raise ValueError(f"partition id {p} is outside 0 to {n_partitions - 1}")
     return parts
 
 
@@ -91,22 +99,25 @@ def next_batch(queue: DataFrame, partitions, n: int = BATCH_SIZE, order: str | l
     """up to ``n`` best rows of each requested partition, concatenated.
 
     The partition filter is pushed to a ``partitionBy('partition_id')`` layout
-    (partition pruning); the per-partition top-n is a window limited by a
-    partial ``WindowGroupLimit`` before its shuffle.
+    (partition pruning). The top-n is taken in two steps, first of (partition,
+    salt) and then of partition, each with a partial ``WindowGroupLimit`` before
+    its shuffle: the last task gets at most ``n`` rows per salt, however many
+    tasks read the queue.
     """
     parts = check_partitions(partitions, n_partitions)
     ords = _order(order)
+    salted = Window.partitionBy("partition_id", "_salt").orderBy(*ords)
     w = Window.partitionBy("partition_id").orderBy(*ords)
     return (queue.where(F.col("partition_id").isin(parts))
-            .withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") <= n).drop("_rn"))
+            .withColumn("_salt", F.pmod(F.xxhash64("fingerprint"), F.lit(SALTS)))
+            .withColumn("_rn", F.row_number().over(salted)).where(F.col("_rn") <= n).drop("_rn")
+            .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn", "_salt"))
 
 
 def consume_batch(queue: DataFrame, batch: DataFrame, states: DataFrame | None = None):
-    """remaining queue (batch rows removed) and the states table with the
-    batch marked queued (upsert: new state wins)."""
-    keys = ["fingerprint", "created_at"]
-    remaining = queue.join(batch.select(*keys), keys, "left_anti")
+    """remaining queue (every row of the batch's fingerprints removed) and
+    the states table with the batch marked queued (upsert: new state wins)."""
+    remaining = queue.join(batch.select("fingerprint").distinct(), "fingerprint", "left_anti")
     marked = batch.select("fingerprint", F.lit(QUEUED).cast("smallint").alias("state")).distinct()
     if states is None:
         return remaining, marked
@@ -139,19 +150,26 @@ def latest_by_key(df: DataFrame, key: str, ts_col: str, cols: list[str], tie: st
 
 
 def apply_scores(metadata: DataFrame, queue: DataFrame, updates: DataFrame, partitions: int = QUEUE_PARTITIONS):
-    """latest score per fingerprint sets the metadata score; updates with
-    ``schedule`` true are appended to the queue (one row per fingerprint).
+    """the latest score of a fingerprint becomes the metadata score (a URL
+    that metadata does not know yet gets a row); updates with ``schedule`` true
+    are appended to the queue (one row per fingerprint, at the update's depth).
 
-    updates: (fingerprint, url, score, schedule, ts[, depth]). Returns (metadata, queue).
+    updates: (fingerprint, url, score, schedule, ts[, depth][, offset]); of
+    equal times the larger message offset wins, without offsets the larger
+    (score, url). Returns (metadata, queue).
     """
-    last = latest_by_key(updates, "fingerprint", "ts", ["url", "score", "schedule", "ts"], tie="score")
-    md = (metadata.join(last.select("fingerprint", F.col("score").alias("_new")), "fingerprint", "left")
-          .withColumn("score", F.coalesce("_new", "score")).drop("_new"))
     depth = F.col("depth") if "depth" in updates.columns else F.lit(0)
-    sched = last.where(F.col("schedule")).select("url", "score", F.col("ts").alias("created_at"),
-                                                 F.lit(0).alias("depth"))
-    new_rows = to_queue(sched, partitions)
-    return md, queue.unionByName(new_rows, allowMissingColumns=True)
+    tie = ["offset"] if "offset" in updates.columns else ["score", "url"]
+    last = (updates.withColumn("_depth", depth.cast("int")).groupBy("fingerprint")
+            .agg(F.max_by(F.struct("url", "score", "schedule", "ts", "_depth"), F.struct("ts", *tie)).alias("_u")))
+    known = {"url": "_u.url", "created_at": "_u.ts", "depth": "_u._depth"}
+    joined = metadata.join(last, "fingerprint", "full_outer")
+    md = joined.select(*[
+        F.coalesce("_u.score", c).alias(c) if c == "score"
+        else F.coalesce(F.col(c), F.col(known[c]).cast(metadata.schema[c].dataType)).alias(c) if c in known
+        else F.col(c) for c in metadata.columns])
+    sched = last.where("_u.schedule").select("_u.url", "_u.score", F.col("_u.ts").alias("created_at"), F.col("_u._depth").alias("depth"))
+    return md, queue.unionByName(to_queue(sched, partitions), allowMissingColumns=True)
 
 
 def peek(df: DataFrame, n: int, order: list) -> DataFrame:
@@ -159,13 +177,18 @@ def peek(df: DataFrame, n: int, order: list) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def links_per_host(links: DataFrame, source_col: str = "source_url", fp_col: str = "host_fp",
+def links_per_host(links: DataFrame, source_col: str | list[str], fp_col: str = "host_fp",
                    pos_col: str = "pos", url_col: str = "url") -> DataFrame:
     """A1: links of each source request grouped by target-host fingerprint, in
     link order; links without a fingerprint are dropped. One row per
-    (source, host) -- the unit of one outgoing message keyed by host."""
+    (source, host) -- the unit of one outgoing message keyed by host.
+
+    ``source_col`` must identify one fetch (the message's partition and offset,
+    not a URL that is crawled again and again), so a row holds one page's links.
+    """
+    source_col = [source_col] if isinstance(source_col, str) else list(source_col)
     return (links.where(F.col(fp_col).isNotNull())
-            .groupBy(source_col, fp_col)
+            .groupBy(*source_col, fp_col)
             .agg(F.count(F.lit(1)).alias("n_links"),
                  F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("pos"), F.col(url_col).alias("url"))))
                  .alias("links")))
@@ -205,46 +228,50 @@ def apply_event_facts(metadata: DataFrame | None, facts: DataFrame) -> DataFrame
     """J5 core: facts (fingerprint, kind in link/crawl/error, url, depth,
     status_code, error, ts) reduced in ONE group-by per fingerprint
     (conditional min_by/max_by, partial aggregation map-side), then merged
-    with the old table by a single full outer join."""
+    with the old table by a single full outer join.
+
+    Batches may come in any order and more than once: a stored fetch or error
+    is replaced by a later one only (of equal times the larger status, error
+    and URL), and an error stands only if it is not older than the last fetch.
+    Every other metadata column (score, method, headers, ...) is kept; rows the
+    table did not know get nulls there. The result has ``error_at``, the time
+    of the error; for stored errors without one the row's creation counts.
+    """
     k = F.col("kind")
+    of = lambda kind, c: F.when(k == kind, c)
     ev = facts.groupBy("fingerprint").agg(
-        F.min_by(F.struct("url", "depth", "ts"), F.when(k == "link", F.col("ts"))).alias("_l"),
-        F.max_by(F.struct("url", "status_code", "ts"), F.when(k == "crawl", F.col("ts"))).alias("_c"),
-        F.max_by(F.struct("url", "error", "ts"), F.when(k == "error", F.col("ts"))).alias("_e"),
-        F.max(F.when(k == "link", F.lit(1))).alias("_has_l"),
-        F.max(F.when(k == "crawl", F.lit(1))).alias("_has_c"),
-        F.max(F.when(k == "error", F.lit(1))).alias("_has_e"))
-    ev = ev.select(
-        "fingerprint",
-        F.when(F.col("_has_l") == 1, F.col("_l.url")).alias("url_new"),
-        F.when(F.col("_has_l") == 1, F.col("_l.depth")).alias("depth_new"),
-        F.when(F.col("_has_l") == 1, F.col("_l.ts")).alias("created_at_new"),
-        F.when(F.col("_has_c") == 1, F.col("_c.url")).alias("url_cr"),
-        F.when(F.col("_has_c") == 1, F.col("_c.status_code")).alias("status_new"),
-        F.when(F.col("_has_c") == 1, F.col("_c.ts")).alias("fetched_at_new"),
-        F.when(F.col("_has_e") == 1, F.col("_e.url")).alias("url_er"),
-        F.when(F.col("_has_e") == 1, F.col("_e.error")).alias("error_new"),
-        F.when(F.col("_has_e") == 1, F.col("_e.ts")).alias("error_at"))
+        F.min_by(F.struct("url", "depth", "ts"), of("link", F.struct("ts", "url", "depth"))).alias("_l"),
+        F.max(of("crawl", F.struct("ts", "status_code", "url"))).alias("_c"),
+        F.max(of("error", F.struct("ts", "error", "url"))).alias("_e"),
+        F.max(of("link", F.lit(1))).alias("_has_l"))
+    ev = ev.withColumn("_l", F.when(F.col("_has_l") == 1, F.col("_l"))).drop("_has_l")
+    own = [("url", "string"), ("depth", "int"), ("created_at", "timestamp_ntz"), ("fetched_at", "timestamp_ntz"),
+           ("status_code", "int"), ("error", "string"), ("error_at", "timestamp_ntz")]
     if metadata is None:
-        j = ev.select("*", *[F.lit(None).cast(t).alias(c) for c, t in
-                             [("url", "string"), ("depth", "int"), ("created_at", "timestamp_ntz"),
-                              ("fetched_at", "timestamp_ntz"), ("status_code", "int"), ("error", "string")]])
+        j = ev.select("*", *[F.lit(None).cast(t).alias(c) for c, t in own])
+        extra = []
     else:
-        md = metadata.select("fingerprint", "url", "depth", "created_at", "fetched_at", "status_code", "error")
+        md = metadata if "error_at" in metadata.columns else metadata.withColumn(
+            "error_at", F.when(F.col("error").isNotNull(), F.col("created_at")))
+        extra = [c for c in metadata.columns if c not in {"fingerprint", *[c for c, _ in own]}]
         j = md.join(ev, "fingerprint", "full_outer")
-    # the error stands only if no later successful fetch replaced it
-    err_wins = F.col("error_at").isNotNull() & (F.col("fetched_at_new").isNull()
-                                                | (F.col("error_at") >= F.col("fetched_at_new")))
+    newer = lambda new, old: F.col(new).isNotNull() & (F.col(old).isNull() | (F.col(new) >= F.col(old)))
+    fetch = newer("_c.ts", "fetched_at") & ~(F.col("_c.ts").eqNullSafe(F.col("fetched_at"))
+                                             & F.coalesce(F.col("status_code") > F.col("_c.status_code"), F.lit(False)))
+    fail = newer("_e.ts", "error_at") & ~(F.col("_e.ts").eqNullSafe(F.col("error_at"))
+                                          & F.coalesce(F.col("error") > F.col("_e.error"), F.lit(False)))
+    j = j.select("*", F.when(fetch, F.col("_c.ts")).otherwise(F.col("fetched_at")).alias("_fetched"),
+                 F.when(fetch, F.col("_c.status_code")).otherwise(F.col("status_code")).alias("_status"),
+                 F.when(fail, F.col("_e.ts")).otherwise(F.col("error_at")).alias("_failed"),
+                 F.when(fail, F.col("_e.error")).otherwise(F.col("error")).alias("_error"))
+    stands = F.col("_failed").isNotNull() & (F.col("_fetched").isNull() | (F.col("_failed") >= F.col("_fetched")))
     return j.select(
         "fingerprint",
-        F.coalesce("url", "url_new", "url_cr", "url_er").alias("url"),
-        F.coalesce(F.col("depth"), F.col("depth_new"), F.lit(0)).cast("int").alias("depth"),
-        F.coalesce("created_at", "created_at_new", "fetched_at_new", "error_at").alias("created_at"),
-        F.coalesce("fetched_at_new", "fetched_at").alias("fetched_at"),
-        F.coalesce("status_new", "status_code").cast("int").alias("status_code"),
-        F.when(err_wins, F.col("error_new"))
-        .when(F.col("fetched_at_new").isNotNull(), F.lit(None).cast("string"))
-        .otherwise(F.col("error")).alias("error"))
+        F.coalesce(F.col("url"), F.col("_l.url"), F.col("_c.url"), F.col("_e.url")).alias("url"),
+        F.coalesce(F.col("depth"), F.col("_l.depth"), F.lit(0)).cast("int").alias("depth"),
+        F.coalesce(F.col("created_at"), F.col("_l.ts"), F.col("_c.ts"), F.col("_e.ts")).alias("created_at"),
+        F.col("_fetched").alias("fetched_at"), F.col("_status").cast("int").alias("status_code"),
+        F.when(stands, F.col("_error")).alias("error"), F.when(stands, F.col("_failed")).alias("error_at"), *extra)
 
 
 def url_states(transitions: DataFrame) -> DataFrame:

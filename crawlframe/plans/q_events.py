@@ -86,15 +86,21 @@ def e4_offsets(spark, sf_dir):
 
 
 # Bare requests on the feed: the request part of every message, every 97th cut.
-@register("e5_decode_requests", f"""
-SELECT event_id AS offset, url, 'GET' AS method FROM ({GOOD}) WHERE type <> 'page_crawled'""")
-def e5_decode_requests(spark, sf_dir):
-    r = I.event_rows(spark, sf_dir).where(F.col("type") != "page_crawled")
+def _request_feed(spark, sf_dir):
+    r = I.event_rows(spark, sf_dir)
     req = F.to_json(S.request_struct(F.col("url"), S.domain_meta(F.sha1(F.col("host").cast("binary")))))
     cut = F.when(F.col("event_id") % 97 == 0, F.substr(req, F.lit(1), (F.length(req) / 2).cast("int"))).otherwise(req)
-    feed = r.select(F.col("event_id").alias("offset"), cut.cast("binary").alias("value"))
-    good, _ = S.decode_requests(feed)
-    return good.select("offset", "url", "method")
+    return S.decode_requests(r.select(F.col("event_id").alias("offset"), cut.cast("binary").alias("value")))
+
+
+@register("e5_decode_requests", f"SELECT event_id AS offset, url, 'GET' AS method FROM ({GOOD})")
+def e5_decode_requests(spark, sf_dir):
+    return _request_feed(spark, sf_dir)[0].select("offset", "url", "method")
+
+
+@register("e5_bad_requests", "SELECT event_id AS offset FROM events WHERE event_id % 97 = 0")
+def e5_bad_requests(spark, sf_dir):
+    return _request_feed(spark, sf_dir)[1].select("offset")
 
 
 @register("e6_links_of", f"SELECT event_id AS offset, source_url, pos, url, host_fp FROM ({LINKS_SQL})")
@@ -183,7 +189,48 @@ FROM k LEFT JOIN nl ON k.fingerprint = nl.fingerprint LEFT JOIN cr ON k.fingerpr
 @register("j5_apply_events", J5_SQL)
 def j5_apply_events(spark, sf_dir):
     facts = S.event_facts(decoded(spark, sf_dir), url_fingerprint).where(F.col("kind") != "queued")
-    return Q.apply_event_facts(None, facts)
+    return Q.apply_event_facts(None, facts).drop("error_at")
+
+
+# A table that knows the URL of every third event, with a score and a fetch in the middle of the period; then the
+# events in two batches out of order: first the later two thirds, then all (the overlap counts once).
+MID = "2024-01-16 00:00:00"
+J5_MERGE_SQL = f"""
+WITH b AS (SELECT DISTINCT {_FPX('url')} AS fingerprint, url, CAST(user_id % 10 AS DOUBLE) AS score FROM ({GOOD}) WHERE user_id % 3 = 0 AND type <> 'offset'),
+ev AS ({J5_SQL}),
+raw_c AS (SELECT {_FPX('url')} AS fingerprint, max(ts) AS ts FROM ({GOOD}) WHERE type = 'page_crawled' GROUP BY 1),
+raw_e AS (SELECT {_FPX('url')} AS fingerprint, max(ts) AS ts, arg_max('err' || CAST(event_id % 4 AS VARCHAR), ts) AS error
+          FROM ({GOOD}) WHERE type = 'request_error' GROUP BY 1),
+m AS (SELECT coalesce(b.fingerprint, ev.fingerprint) AS fingerprint, coalesce(b.url, ev.url) AS url,
+             CASE WHEN b.fingerprint IS NOT NULL THEN 5 ELSE ev.depth END AS depth, b.score,
+             CASE WHEN b.fingerprint IS NOT NULL THEN TIMESTAMP '2024-01-01 00:00:00' ELSE ev.created_at END AS created_at,
+             CASE WHEN b.fingerprint IS NOT NULL AND (raw_c.ts IS NULL OR raw_c.ts < TIMESTAMP '{MID}') THEN TIMESTAMP '{MID}' ELSE raw_c.ts END AS fetched_at,
+             CASE WHEN b.fingerprint IS NOT NULL AND (raw_c.ts IS NULL OR raw_c.ts < TIMESTAMP '{MID}') THEN 299 ELSE ev.status_code END AS status_code,
+             raw_e.ts AS error_at, raw_e.error AS err
+      FROM b FULL OUTER JOIN ev ON b.fingerprint = ev.fingerprint
+      LEFT JOIN raw_c ON coalesce(b.fingerprint, ev.fingerprint) = raw_c.fingerprint
+      LEFT JOIN raw_e ON coalesce(b.fingerprint, ev.fingerprint) = raw_e.fingerprint)
+SELECT fingerprint, url, CAST(depth AS INTEGER) AS depth, score, created_at, fetched_at, CAST(status_code AS INTEGER) AS status_code,
+       CASE WHEN fetched_at IS NULL OR error_at >= fetched_at THEN err END AS error
+FROM m"""
+
+
+@register("j5_two_batches", J5_MERGE_SQL)
+def j5_two_batches(spark, sf_dir):
+    d = decoded(spark, sf_dir)
+    facts = S.event_facts(d, url_fingerprint).where(F.col("kind") != "queued")
+    base = I.event_rows(spark, sf_dir).where("event_id % 97 != 0 and user_id % 3 = 0 and type != 'offset'").select(
+        _fp("url").alias("fingerprint"), "url", (F.col("user_id") % 10).cast("double").alias("score")).distinct().select(
+        "*", F.lit(5).alias("depth"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"),
+        F.lit(MID).cast("timestamp_ntz").alias("fetched_at"), F.lit(299).alias("status_code"), F.lit(None).cast("string").alias("error"))
+    # a link's first sight is the earliest of the batch that brings it, so links come with the second batch only
+    later = facts.where((F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")) & (F.col("kind") != "link"))
+    first = Q.apply_event_facts(base, later)
+    known = base.select("fingerprint")
+    # URLs that only the first batch brought are created by it; the oracle creates every unknown URL from all events
+    first = first.join(known, "fingerprint", "left_semi")
+    return Q.apply_event_facts(first, facts).select("fingerprint", "url", "depth", "score", "created_at", "fetched_at",
+                                                    "status_code", "error")
 
 
 J6_SQL = f"""
@@ -203,35 +250,45 @@ def j6_url_states(spark, sf_dir):
 
 
 # Score updates: metadata = every URL seen in a decoded event (score unset).
-F9_UPD = f"""SELECT {_FPX('url')} AS fingerprint, url, value / 100.0 AS score, event_id % 2 = 0 AS schedule, ts
-             FROM ({GOOD}) WHERE type = 'update_score'"""
-F9_LAST = f"""SELECT fingerprint, arg_max(url, (ts, score)) AS url, arg_max(score, (ts, score)) AS score,
-                     arg_max(schedule, (ts, score)) AS schedule, max(ts) AS ts FROM ({F9_UPD}) GROUP BY fingerprint"""
+F9_UPD = f"""SELECT {_FPX('url')} AS fingerprint, url, value / 100.0 AS score, event_id % 2 = 0 AS schedule, ts, event_id,
+                    event_id % 9 AS depth FROM ({GOOD}) WHERE type = 'update_score'"""
+F9_LAST = f"""SELECT fingerprint, arg_max(url, (ts, event_id)) AS url, arg_max(score, (ts, event_id)) AS score,
+                     arg_max(schedule, (ts, event_id)) AS schedule, max(ts) AS ts, arg_max(depth, (ts, event_id)) AS depth
+              FROM ({F9_UPD}) GROUP BY fingerprint"""
 
 
 def _f9(spark, sf_dir):
     d = decoded(spark, sf_dir)
-    md = d.where(F.col("url").isNotNull()).select(_fp("url").alias("fingerprint")).distinct() \
-        .withColumn("score", F.lit(None).cast("double"))
-    upd = S.events_of(d, "update_score").select(_fp("url").alias("fingerprint"), "url", "score", "schedule", "ts")
-    empty_q = Q.to_queue(upd.limit(0).select("url", "score", F.col("ts").alias("created_at"), F.lit(0).alias("depth")))
-    return Q.apply_scores(md, empty_q, upd)
+    # metadata knows the crawled URLs only (with a score that updates replace); the queue starts with one row per error
+    md = d.where(F.col("type") == "page_crawled").select(_fp("url").alias("fingerprint"), "url").distinct() \
+        .select("*", F.lit(-1.0).alias("score"), F.lit(3).alias("depth"))
+    upd = S.events_of(d, "update_score").select(_fp("url").alias("fingerprint"), "url", "score", "schedule", "ts",
+                                                (F.col("offset") % 9).cast("int").alias("depth"), "offset")
+    errors = S.events_of(d, "request_error").select("url", F.lit(0.5).alias("score"), F.col("ts").alias("created_at"), F.lit(1).alias("depth"))
+    queue = Q.to_queue(errors).withColumn("headers", F.create_map(F.lit("a"), F.array(F.lit("b"))))
+    return Q.apply_scores(md, queue, upd)
 
 
 @register("f9_metadata_scores", f"""
-WITH md AS (SELECT DISTINCT {_FPX('url')} AS fingerprint FROM ({GOOD}) WHERE type <> 'offset')
-SELECT md.fingerprint, l.score FROM md LEFT JOIN ({F9_LAST}) l ON md.fingerprint = l.fingerprint""")
+WITH md AS (SELECT DISTINCT {_FPX('url')} AS fingerprint, url FROM ({GOOD}) WHERE type = 'page_crawled')
+SELECT coalesce(md.fingerprint, l.fingerprint) AS fingerprint, coalesce(md.url, l.url) AS url,
+       coalesce(l.score, CASE WHEN md.fingerprint IS NOT NULL THEN -1.0 END) AS score,
+       CAST(CASE WHEN md.fingerprint IS NOT NULL THEN 3 ELSE l.depth END AS INTEGER) AS depth
+FROM md FULL OUTER JOIN ({F9_LAST}) l ON md.fingerprint = l.fingerprint""")
 def f9_metadata_scores(spark, sf_dir):
     md, _ = _f9(spark, sf_dir)
-    return md.select("fingerprint", "score")
+    return md.select("fingerprint", "url", "score", "depth")
 
 
 @register("f9_queue_appended", f"""
-SELECT {sg.host_partition('url', 2)} AS partition_id, fingerprint, url, score, ts AS created_at
-FROM ({F9_LAST}) WHERE schedule""")
+SELECT {sg.host_partition('url', 2)} AS partition_id, fingerprint, url, score, ts AS created_at, CAST(depth AS INTEGER) AS depth, FALSE AS has_headers
+FROM ({F9_LAST}) WHERE schedule
+UNION ALL
+SELECT {sg.host_partition('url', 2)}, {_FPX('url')}, url, 0.5, ts, 1, TRUE FROM ({GOOD}) WHERE type = 'request_error'""")
 def f9_queue_appended(spark, sf_dir):
     _, q = _f9(spark, sf_dir)
-    return q.select("partition_id", "fingerprint", "url", "score", "created_at")
+    return q.select("partition_id", "fingerprint", "url", "score", "created_at", F.col("depth").cast("int").alias("depth"),
+                    F.col("headers").isNotNull().alias("has_headers"))
 
 
 # ---------------------------------------------------------------- streaming

@@ -104,7 +104,7 @@ def f5_next_batch_bfs(spark, sf_dir):
 @register("f6_consume_batch", f"""
 SELECT q.partition_id, q.fingerprint, q.created_at FROM ({QUEUE_SQL}) q
 WHERE NOT EXISTS (SELECT 1 FROM ({_batch_sql(_SCORE_ORDER)}) b
-                  WHERE b.fingerprint = q.fingerprint AND b.created_at = q.created_at)""")
+                  WHERE b.fingerprint = q.fingerprint)""")
 def f6_consume_batch(spark, sf_dir):
     q = queue(spark, sf_dir)
     remaining, _ = Q.consume_batch(q, Q.next_batch(q, [0, 1], BATCH_N))
@@ -119,6 +119,22 @@ def f6_mark_queued(spark, sf_dir):
     return states
 
 
+# States: every fifth page was crawled (2), every seventh failed (3); the batch overwrites what it takes.
+@register("f6_states_upsert", f"""
+WITH b AS (SELECT DISTINCT fingerprint FROM ({_batch_sql(_SCORE_ORDER)})),
+s AS (SELECT DISTINCT {sg.url_fingerprint('url')} AS fingerprint, CASE WHEN page_id % 5 = 0 THEN 2 ELSE 3 END AS state
+      FROM pages WHERE page_id % 5 = 0 OR page_id % 7 = 0)
+SELECT coalesce(b.fingerprint, s.fingerprint) AS fingerprint,
+       CAST(CASE WHEN b.fingerprint IS NOT NULL THEN 1 ELSE s.state END AS SMALLINT) AS state
+FROM s FULL OUTER JOIN b ON s.fingerprint = b.fingerprint""")
+def f6_states_upsert(spark, sf_dir):
+    q = queue(spark, sf_dir)
+    p = I.table(spark, sf_dir, "pages").where((F.col("page_id") % 5 == 0) | (F.col("page_id") % 7 == 0))
+    states = p.select(url_fingerprint("url").alias("fingerprint"),
+                      F.when(F.col("page_id") % 5 == 0, 2).otherwise(3).cast("smallint").alias("state")).distinct()
+    return Q.consume_batch(q, Q.next_batch(q, [0, 1], BATCH_N), states)[1]
+
+
 @register("f7_cap_per_host", f"""
 SELECT host, url, score FROM (
   SELECT *, row_number() OVER (PARTITION BY host ORDER BY {_SCORE_ORDER}) AS rn FROM ({QUEUE_SQL})

@@ -46,7 +46,7 @@ def test_links_and_per_host(spark):
     links = S.links_of(good)
     assert [(r.pos, r.url, r.host_fp) for r in links.orderBy("pos").collect()] == [
         (0, "http://h.org/a", "ab"), (1, "http://x.org/b", None)]
-    per_host = Q.links_per_host(links)
+    per_host = Q.links_per_host(links, "source_url")
     assert [(r.host_fp, r.n_links) for r in per_host.collect()] == [("ab", 1)]
 
 

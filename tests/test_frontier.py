@@ -96,3 +96,53 @@ def test_next_batch_prunes_stored_partitions(spark):
     plan = batch._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(partition_id" in plan and "WindowGroupLimit" in plan
     assert {r.partition_id for r in batch.collect()} == {1} and batch.count() == 5
+
+
+def test_event_merge_is_ordered_by_time_and_keeps_other_columns(spark):
+    from datetime import datetime as D
+    md = spark.createDataFrame([("f", "u", 2, D(2024, 1, 1), D(2024, 1, 20), 200, None, 7.5, {"h": ["v"]})],
+                               "fingerprint string, url string, depth int, created_at timestamp_ntz, fetched_at timestamp_ntz, "
+                               "status_code int, error string, score double, headers map<string,array<string>>")
+    fact = "fingerprint string, kind string, url string, depth int, status_code int, error string, ts timestamp_ntz"
+    old = spark.createDataFrame([("f", "crawl", "u", None, 500, None, D(2024, 1, 5)), ("f", "error", "u", None, None, "late", D(2024, 1, 6)),
+                                 ("g", "crawl", "v", None, 301, None, D(2024, 1, 2))], fact)
+    new = spark.createDataFrame([("f", "error", "u", None, None, "down", D(2024, 1, 21)), ("f", "crawl", "u", None, 404, None, D(2024, 1, 20))], fact)
+    once = Q.apply_event_facts(md, old)
+    row = {r.fingerprint: r for r in once.collect()}
+    assert (row["f"].fetched_at, row["f"].status_code, row["f"].error, row["f"].score, row["f"].headers) == (D(2024, 1, 20), 200, None, 7.5, {"h": ["v"]})
+    assert (row["g"].status_code, row["g"].score) == (301, None)
+    a = Q.apply_event_facts(Q.apply_event_facts(once, new), old)
+    b = Q.apply_event_facts(Q.apply_event_facts(md, new), old)
+    assert sorted(map(str, a.select(b.columns).collect())) == sorted(map(str, b.collect()))
+    final = {r.fingerprint: r for r in a.collect()}["f"]
+    assert (final.status_code, final.error, final.error_at) == (404, "down", D(2024, 1, 21))
+
+
+def test_scores_reach_unknown_urls_and_map_columns_pass_the_seen_filter(spark):
+    from datetime import datetime as D
+    queue = Q.to_queue(spark.createDataFrame([("http://a/", 1.0, D(2024, 1, 1), 0)], "url string, score double, created_at timestamp_ntz, depth int"))
+    queue = queue.withColumn("headers", F.create_map(F.lit("a"), F.array(F.lit("b"))))
+    upd = spark.createDataFrame([("x", "http://b/", 0.1, True, D(2024, 1, 2), 7, 1), ("x", "http://b/", 0.9, False, D(2024, 1, 2), 7, 0)],
+                                "fingerprint string, url string, score double, schedule boolean, ts timestamp_ntz, depth int, offset long")
+    md = spark.createDataFrame([("y", 5.0)], "fingerprint string, score double")
+    metadata, after = Q.apply_scores(md, queue, upd)
+    assert {r.fingerprint: r.score for r in metadata.collect()} == {"x": 0.1, "y": 5.0}
+    assert {(r.url, r.depth) for r in after.collect()} == {("http://a/", 0), ("http://b/", 7)}
+    assert {r.url for r in Q.filter_unseen(after, after.where("url = 'http://a/'")).collect()} == {"http://b/"}
+
+
+def test_hot_partition_is_written_and_batched_by_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        rows = spark.range(60_000).select(F.concat(F.lit("http://same/"), F.sha2(F.col("id").cast("string"), 256)).alias("url"),
+                                          (F.col("id") / 7).alias("score"), F.lit("2024-01-01").cast("timestamp_ntz").alias("created_at"), F.lit(0).alias("depth"))
+        Q.write_queue(Q.to_queue(rows.repartition(8)), str(tmp_path / "q"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    (part,) = [p for p in (tmp_path / "q").iterdir() if p.name.startswith("partition_id=")]
+    assert len(list(part.glob("*.parquet"))) > 1
+    stored = spark.read.parquet(str(tmp_path / "q"))
+    top = Q.next_batch(stored, [0, 1], 10)
+    assert sorted(r.score for r in top.collect()) == [k / 7 for k in range(59_990, 60_000)]
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 4
