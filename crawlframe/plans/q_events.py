@@ -85,6 +85,115 @@ def e4_offsets(spark, sf_dir):
     return S.events_of(decoded(spark, sf_dir), "offset").select("offset", "partition_id", "event_offset")
 
 
+# Messages of every kind with odd parts: extra meta keys, ids as text, stats events, bodies that are no base64 (every
+# 13th crawl), ids that are no numbers (every 11th job id) and unknown types (every 17th view).
+_ODD_KIND = {"click": "page_crawled", "view": "links_extracted", "error": "new_job_id", "signup": "stats", "purchase": "offset"}
+_ODD_CASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _ODD_KIND.items()) + " END"
+ODD_SQL = f"""
+SELECT event_id, ts, user_id, {_ODD_CASE} AS type,
+       CASE WHEN event_type = 'click' AND event_id % 13 = 0 THEN 'undecodable body'
+            WHEN event_type = 'error' AND event_id % 11 = 0 THEN 'id is no number'
+            WHEN event_type = 'view' AND event_id % 17 = 0 THEN 'unknown type' END AS reason
+FROM events"""
+
+
+def odd_messages(spark, sf_dir):
+    e = I.table(spark, sf_dir, "events")
+    i, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    meta = text('"meta":{"depth":2,"redirect_urls":["http://r', u, '/",{"k":', i, '}],"own key":"v', i, '"}')
+    body = F.when(F.col("event_id") % 13 == 0, F.lit("Y")).otherwise(F.base64(F.encode(i, "UTF-8")))
+    job = F.when(F.col("event_id") % 11 == 0, F.lit('"seven"')).when(F.col("event_id") % 2 == 0, text('"', i, '"')).otherwise(i)
+    kind = F.when(F.col("event_id") % 17 == 0, F.lit("links_lost")).otherwise(F.lit("links_extracted"))
+    t = F.col("event_type")
+    value = (F.when(t == "click", text('{"type":"page_crawled","r":{"url":"http://h', u, '/","status_code":200,"body":"', body, '",', meta, "}}"))
+             .when(t == "view", text('{"type":"', kind, '","r":{"url":"http://h', u, '/","method":"GET",', meta,
+                                     '},"links":[{"url":"http://l', i, '/","method":"GET"}]}'))
+             .when(t == "error", text('{"type":"new_job_id","job_id":', job, "}"))
+             .when(t == "signup", text('{"type":"stats","stats":{"pages":', u, ',"rate":"', i, '.5","note":"n","deep":{"a":', i, "}}}"))
+             .when(t == "purchase", text('{"type":"offset","partition_id":"', (F.col("user_id") % 2).cast("string"), '","offset":', i, "}")))
+    return e.select(value.cast("binary").alias("value"), F.col("event_id").alias("offset"), "ts")
+
+
+def _odd(spark, sf_dir):
+    return S.decode_spider_log(odd_messages(spark, sf_dir))
+
+
+@register("e1_odd_messages", f"""
+SELECT event_id AS offset, type, CASE WHEN type IN ('page_crawled', 'links_extracted') THEN 'v' || event_id END AS own_key,
+       CASE WHEN type IN ('page_crawled', 'links_extracted') THEN event_id END AS nested,
+       CASE WHEN type = 'page_crawled' THEN CAST(event_id AS VARCHAR) END AS body_text,
+       CASE WHEN type = 'new_job_id' THEN event_id END AS job_id, CASE WHEN type = 'offset' THEN event_id END AS event_offset
+FROM ({ODD_SQL}) WHERE reason IS NULL""")
+def e1_odd_messages(spark, sf_dir):
+    good, _ = _odd(spark, sf_dir)
+    return good.select("offset", "type", F.variant_get("meta_all", "$['own key']", "string").alias("own_key"),
+                       F.variant_get("meta_all", "$.redirect_urls[1].k", "bigint").alias("nested"),
+                       F.col("body").cast("string").alias("body_text"), "job_id", "event_offset")
+
+
+@register("e2_odd_messages_bad", f"SELECT event_id AS offset, reason FROM ({ODD_SQL}) WHERE reason IS NOT NULL")
+def e2_odd_messages_bad(spark, sf_dir):
+    return _odd(spark, sf_dir)[1].select("offset", "reason")
+
+
+@register("e4_page_crawled", f"""
+SELECT event_id AS offset, 'http://h' || user_id || '/' AS url, CAST(200 AS INTEGER) AS status_code, CAST(event_id AS VARCHAR) AS body_text,
+       'http://r' || user_id || '/' AS redirect
+FROM ({ODD_SQL}) WHERE type = 'page_crawled' AND reason IS NULL""")
+def e4_page_crawled(spark, sf_dir):
+    v = S.events_of(_odd(spark, sf_dir)[0], "page_crawled")
+    return v.select("offset", "url", "status_code", F.col("body").cast("string").alias("body_text"),
+                    F.variant_get("meta_all", "$.redirect_urls[0]", "string").alias("redirect"))
+
+
+@register("e4_links_extracted", f"""
+SELECT event_id AS offset, 'http://h' || user_id || '/' AS url, 'GET' AS method, CAST(2 AS INTEGER) AS depth, 'http://l' || event_id || '/' AS first_link
+FROM ({ODD_SQL}) WHERE type = 'links_extracted' AND reason IS NULL""")
+def e4_links_extracted(spark, sf_dir):
+    v = S.events_of(_odd(spark, sf_dir)[0], "links_extracted")
+    return v.select("offset", "url", "method", "meta.depth", F.col("links")[0]["url"].alias("first_link"))
+
+
+@register("e4_new_job_ids", f"SELECT event_id AS offset, event_id AS job_id FROM ({ODD_SQL}) WHERE type = 'new_job_id' AND reason IS NULL")
+def e4_new_job_ids(spark, sf_dir):
+    return S.events_of(_odd(spark, sf_dir)[0], "new_job_id").select("offset", "job_id")
+
+
+@register("e4_stats", f"""
+SELECT event_id AS offset, CAST(user_id AS VARCHAR) AS pages, event_id AS deep FROM ({ODD_SQL}) WHERE type = 'stats'""")
+def e4_stats(spark, sf_dir):
+    v = S.events_of(_odd(spark, sf_dir)[0], "stats")
+    return v.select("offset", F.col("stats")["pages"].alias("pages"), F.variant_get("stats_all", "$.deep.a", "bigint").alias("deep"))
+
+
+@register("e3_strict_events", f"SELECT type, count(*) AS n FROM ({GOOD}) GROUP BY type")
+def e3_strict_events(spark, sf_dir):
+    """Strict decoding of messages whose types are all known: nothing fails, undecodable ones are still set aside."""
+    good, _ = S.decode_spider_log(I.messages(spark, sf_dir), strict=True)
+    return good.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("a4_carried_stats", f"""
+WITH s AS (SELECT event_id, ts, CAST(user_id AS DOUBLE) AS pages, event_id + 0.5 AS rate FROM ({ODD_SQL}) WHERE type = 'stats')
+SELECT 'pages' AS name, count(*) AS n_events, sum(pages) AS total, arg_max(pages, (ts, pages)) AS latest FROM s
+UNION ALL SELECT 'rate', count(*), CAST(sum(rate) AS DOUBLE), CAST(arg_max(rate, (ts, rate)) AS DOUBLE) FROM s
+UNION ALL SELECT n, count(*), NULL, NULL FROM s, (VALUES ('note'), ('deep')) AS v(n) GROUP BY n""")
+def a4_carried_stats(spark, sf_dir):
+    return S.carried_stats(_odd(spark, sf_dir)[0])
+
+
+@register("k4_spider_log_values", f"""
+SELECT event_id AS offset, CASE type
+  WHEN 'offset' THEN '{{"type":"offset","partition_id":' || user_id % 2 || ',"offset":' || event_id || '}}'
+  WHEN 'request_error' THEN '{{"type":"request_error","r":{{"url":"' || url || '","method":"GET","headers":{{}},"cookies":{{}},"meta":{{"domain":{{"fingerprint":"'
+       || sha1(host) || '"}}}}}},"error":"err' || event_id % 4 || '"}}' END AS value
+FROM ({GOOD}) WHERE type IN ('offset', 'request_error')""")
+def k4_spider_log_values(spark, sf_dir):
+    m = I.messages(spark, sf_dir).where("offset % 97 != 0").select("offset", F.col("value").cast("string").alias("value"))
+    return m.where(F.get_json_object("value", "$.type").isin("offset", "request_error"))
+
+
 # Bare requests on the feed: the request part of every message, every 97th cut.
 def _request_feed(spark, sf_dir):
     r = I.event_rows(spark, sf_dir)
@@ -314,11 +423,11 @@ def e7_stream_states(spark, sf_dir):
 
 @register("e7_stream_stats", A4_SQL)
 def e7_stream_stats(spark, sf_dir):
-    """A4 as a stream (watermarked window counts, update mode, newest row per window)."""
+    """A4 as a stream: four micro-batches of partial window counts, added up by the reader."""
     from ..session import scratch_path
     from ..streaming.jobs import read_stats, stream_crawl_stats
-    good, _ = S.decode_spider_log(_message_stream(spark, sf_dir, 4, None))
+    good, _ = S.decode_spider_log(_message_stream(spark, sf_dir, 4, 1))
     out, ckpt = scratch_path(spark, "stats-out"), scratch_path(spark, "stats-ckpt")
-    q = stream_crawl_stats(good, out, ckpt, interval="1 hour", watermark="1 hour")
+    q = stream_crawl_stats(good, out, ckpt, interval="1 hour", late_after="1 hour")
     q.awaitTermination()
-    return read_stats(spark, out)
+    return read_stats(spark, out).drop("n_late")

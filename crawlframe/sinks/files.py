@@ -21,8 +21,10 @@ def crawl_log_partitions(log: DataFrame) -> DataFrame:
 
 
 def write_crawl_log(log: DataFrame, path: str, mode: str = "append") -> None:
-    """K1: one text line per outcome under ``log_date=YYYY-MM-DD/`` folders."""
-    (crawl_log_partitions(log).repartition("log_date")
+    """K1: one text line per outcome under ``log_date=YYYY-MM-DD/`` folders.
+
+    The rebalance gathers a day's lines, and splits days too large for one task."""
+    (crawl_log_partitions(log).hint("rebalance", "log_date")
      .write.mode(mode).partitionBy("log_date").text(path))
 
 

@@ -27,23 +27,63 @@ def _batch_writer(path: str):
 
 
 def stream_crawl_stats(decoded: DataFrame, out_path: str, checkpoint: str, interval: str = "10 seconds",
-                       watermark: str = "1 hour", trigger: dict | None = None):
-    """A4 continuously: events per type per tumbling window, state bounded by a
-    watermark (rows later than it are dropped). Update mode: each micro-batch
-    writes the windows it changed; readers take the newest row per window."""
-    ev = decoded.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    agg = ev.groupBy(F.window("ts", interval).alias("w"), "type").agg(F.count(F.lit(1)).alias("n_events"))
-    w = agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint) \
-        .foreachBatch(_batch_writer(out_path))
-    return _start(w, trigger)
+                       late_after: str = "1 hour", trigger: dict | None = None):
+    """A4 continuously: events per type per tumbling window.
+
+    Each micro-batch writes the counts of its own events under its batch id and
+    readers add them up, so there is no state to bound and no event is ever
+    dropped, however late it comes. ``n_late`` counts the events that were more
+    than ``late_after`` older than the newest event of earlier micro-batches.
+    """
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        earlier = spark.read.parquet(out_path).where(F.col("batch_id") < batch_id).agg(F.max("max_ts")).first()[0]
+        ts = F.col("ts").cast("timestamp")
+        limit = F.lit(earlier).cast("timestamp") - F.expr(f"INTERVAL {late_after}")
+        counts = batch.groupBy(F.window(ts, interval).alias("w"), "type").agg(
+            F.count(F.lit(1)).alias("n_events"), F.count_if(F.coalesce(ts < limit, F.lit(False))).alias("n_late"), F.max(ts).alias("max_ts"))
+        counts.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+
+    _empty(decoded.sparkSession, out_path,
+           "w struct<start:timestamp,end:timestamp>, type string, n_events bigint, n_late bigint, max_ts timestamp")
+    return _start(decoded.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step), trigger)
+
+
+def _empty(spark: SparkSession, path: str, schema: str) -> None:
+    """An empty first batch, so that the folder can always be read and any read error is a real one."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch_id=-1")
 
 
 def read_stats(spark: SparkSession, out_path: str) -> DataFrame:
-    """Current window counts from a stats sink: the newest micro-batch row wins."""
-    df = spark.read.parquet(out_path)
-    return df.groupBy("w", "type").agg(F.max_by("n_events", "batch_id").alias("n_events")).select(
+    """Window counts of a stats sink: window_start, window_end, type, n_events, n_late."""
+    df = _snapshot_and_later(spark, out_path)
+    return df.groupBy("w", "type").agg(F.sum("n_events").alias("n_events"), F.sum("n_late").alias("n_late")).select(
         F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"), "type", "n_events")
+        F.col("w.end").cast("timestamp_ntz").alias("window_end"), "type", "n_events", "n_late")
+
+
+def _snapshot_and_later(spark: SparkSession, out_path: str) -> DataFrame:
+    """The newest snapshot, if any, and the batches after it."""
+    batches = spark.read.parquet(out_path)
+    _empty(spark, f"{out_path}-snapshots", batches.drop("batch_id").schema)
+    snapshots = spark.read.option("basePath", f"{out_path}-snapshots").parquet(f"{out_path}-snapshots/*")
+    upto = snapshots.agg(F.max("batch_id")).first()[0]
+    if upto is None:
+        return batches
+    return snapshots.where(F.col("batch_id") == upto).unionByName(batches.where(F.col("batch_id") > upto))
+
+
+def compact(spark: SparkSession, out_path: str, kind: str) -> None:
+    """Fold all batches of a ``stats`` or ``states`` sink into a snapshot, so that readers scan it and newer batches only."""
+    df = _snapshot_and_later(spark, out_path)
+    last = spark.read.parquet(out_path).agg(F.max("batch_id")).first()[0]
+    if last is None or last < 0:
+        return
+    if kind == "stats":
+        folded = df.groupBy("w", "type").agg(F.sum("n_events").alias("n_events"), F.sum("n_late").alias("n_late"), F.max("max_ts").alias("max_ts"))
+    else:
+        folded = df.groupBy("fingerprint").agg(F.max_by("state", "batch_id").alias("state"))
+    folded.write.mode("overwrite").parquet(f"{out_path}-snapshots/batch_id={last}")
 
 
 def stream_url_states(transitions: DataFrame, out_path: str, checkpoint: str, trigger: dict | None = None):
@@ -57,11 +97,17 @@ def stream_url_states(transitions: DataFrame, out_path: str, checkpoint: str, tr
         F.max_by(F.col("state"), F.struct(F.col("ts"), F.col("state"))).alias("state"))
     w = out.writeStream.outputMode("update").option("checkpointLocation", checkpoint) \
         .foreachBatch(_batch_writer(out_path))
-    return _start(w, trigger)
+    spark, provider = transitions.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:  # a query takes the setting when it starts: state on local disk, not in the executors' heap
+        return _start(w, trigger)
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
 
 
 def read_states(spark: SparkSession, out_path: str) -> DataFrame:
-    df = spark.read.parquet(out_path)
+    df = _snapshot_and_later(spark, out_path)
     return df.groupBy("fingerprint").agg(F.max_by("state", "batch_id").cast("smallint").alias("state"))
 
 
@@ -77,16 +123,15 @@ def stream_unseen(candidates: DataFrame, seen: DataFrame | None, added_path: str
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = seen.select(key) if seen is not None else spark.createDataFrame([], f"{key} string")
-        try:
-            added = spark.read.parquet(added_path).where(F.col("batch_id") != batch_id).select(key)
-            known = known.unionByName(added)
-        except Exception:  # noqa: BLE001 - nothing added yet
-            pass
+        known = spark.read.parquet(added_path).where(F.col("batch_id") != batch_id).select(key)
+        if seen is not None:
+            known = known.unionByName(seen.select(key))
         new = filter_unseen(batch, known, key, order)
         new.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
         spark.read.parquet(f"{out_path}/batch_id={batch_id}").select(key) \
             .write.mode("overwrite").parquet(f"{added_path}/batch_id={batch_id}")
+
+    _empty(candidates.sparkSession, added_path, candidates.select(key).schema)
     w = candidates.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
     return _start(w, trigger)
 
@@ -99,10 +144,12 @@ def read_batches(spark: SparkSession, out_path: str) -> DataFrame:
 def write_files_by_day(spark: SparkSession, df: DataFrame, ts_col: str) -> str:
     """Drop ``df`` as one set of files per day of ``ts_col``, day after day, so
     a file stream reads them in time order (a stand-in for an arriving feed)."""
-    path = scratch_path(spark, "feed")
-    days = [r[0] for r in df.select(F.to_date(ts_col).alias("d")).distinct().orderBy("d").collect()]
-    for d in days:  # one small job per day; the day list is bounded by the time span
-        df.where(F.to_date(ts_col) == F.lit(d)).write.mode("append").parquet(path)
+    path, staged = scratch_path(spark, "feed"), scratch_path(spark, "feed-days")
+    df.withColumn("_day", F.to_date(ts_col)).write.partitionBy("_day").parquet(staged)
+    by_day = spark.read.parquet(staged)
+    days = [r[0] for r in by_day.select("_day").distinct().orderBy("_day").collect()]  # folder names: one per day of the span
+    for d in days:  # each reads its own folder only
+        by_day.where(F.col("_day").eqNullSafe(F.lit(d))).drop("_day").write.mode("append").parquet(path)
     return path
 
 

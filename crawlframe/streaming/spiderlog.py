@@ -42,9 +42,10 @@ EVENT = T.StructType([
     T.StructField("error", T.StringType()),
     T.StructField("score", T.DoubleType()),
     T.StructField("schedule", T.BooleanType()),
-    T.StructField("job_id", T.LongType()),
-    T.StructField("partition_id", T.LongType()),
-    T.StructField("offset", T.LongType()),
+    # ids come as numbers or as their text
+    T.StructField("job_id", T.StringType()),
+    T.StructField("partition_id", T.StringType()),
+    T.StructField("offset", T.StringType()),
     T.StructField("stats", T.MapType(T.StringType(), T.StringType())),
     T.StructField("_corrupt_record", T.StringType()),
 ])
@@ -87,9 +88,14 @@ def read_topic(spark: SparkSession, servers: str, topic: str, partitions=None,
 def decode_spider_log(messages: DataFrame, strict: bool = False, value_col: str = "value"):
     """JSON bytes -> typed columns. Returns (good, bad).
 
-    Undecodable messages and unknown types go to ``bad`` with the raw text and
-    a reason; the batch continues. With ``strict`` an unknown type fails the
-    job, as the original decoder raised on it.
+    Undecodable messages, bodies that are no base64, ids that are no numbers and
+    unknown types go to ``bad`` with the raw text and a reason; the batch
+    continues. With ``strict`` an unknown type fails the job, as the original
+    decoder raised on it.
+
+    ``meta`` holds the meta keys that jobs here read, typed; ``meta_all`` and
+    ``stats_all`` are the whole objects as VARIANT, any key and nesting kept
+    (parsed from the message again, and only where they are selected).
     """
     raw = F.col(value_col).cast("string")
     # parse once per message: filters and the many field reads below use the result
@@ -102,17 +108,25 @@ def decode_spider_log(messages: DataFrame, strict: bool = False, value_col: str
             F.raise_error(F.concat(F.lit("Unknown message type: "), F.coalesce(F.col("_e.type"), F.lit("null"))))
             .cast("boolean"))
     keep = [c for c in messages.columns if c != value_col]
-    bad = df.where(corrupt | ~known).select(
-        *keep, F.col("_raw").alias("raw"),
-        F.when(corrupt, F.lit("undecodable")).otherwise(F.lit("unknown type")).alias("reason"))
     e = F.col("_e")
-    good = df.where(~corrupt & known).select(
+    body = F.try_to_binary(e["r"]["body"], F.lit("base64"))
+    ids = {c: e[c].try_cast("bigint") for c in ("job_id", "partition_id", "offset")}
+    bad_body = e["r"]["body"].isNotNull() & body.isNull()
+    bad_id = F.lit(False)
+    for c, value in ids.items():
+        bad_id = bad_id | (e[c].isNotNull() & value.isNull())
+    reason = (F.when(corrupt, F.lit("undecodable")).when(~F.coalesce(known, F.lit(False)), F.lit("unknown type"))
+              .when(bad_body, F.lit("undecodable body")).when(bad_id, F.lit("id is no number")))
+    df = df.select("*", once(reason).alias("_reason"))
+    bad = df.where(F.col("_reason").isNotNull()).select(*keep, F.col("_raw").alias("raw"), F.col("_reason").alias("reason"))
+    variant = lambda path: F.try_parse_json(F.get_json_object(F.col("_raw"), path))
+    good = df.where(F.col("_reason").isNull()).select(
         *keep,
         e["type"].alias("type"),
         e["r"]["url"].alias("url"),
         e["r"]["method"].alias("method"),
         e["r"]["status_code"].alias("status_code"),
-        F.unbase64(e["r"]["body"]).alias("body"),
+        body.alias("body"),
         e["r"]["headers"].alias("headers"),
         e["r"]["cookies"].alias("cookies"),
         e["r"]["meta"].alias("meta"),
@@ -120,10 +134,12 @@ def decode_spider_log(messages: DataFrame, strict: bool = False, value_col: str
         e["error"].alias("error"),
         e["score"].alias("score"),
         e["schedule"].alias("schedule"),
-        e["job_id"].cast("bigint").alias("job_id"),
-        e["partition_id"].cast("int").alias("partition_id"),
-        e["offset"].cast("bigint").alias("event_offset"),
+        ids["job_id"].alias("job_id"),
+        ids["partition_id"].cast("int").alias("partition_id"),
+        ids["offset"].alias("event_offset"),
         e["stats"].alias("stats"),
+        variant("$.r.meta").alias("meta_all"),
+        variant("$.stats").alias("stats_all"),
     )
     return good, bad
 
@@ -132,15 +148,15 @@ def events_of(decoded: DataFrame, event_type: str) -> DataFrame:
     """The typed view of one event kind, with only its own columns."""
     base = [c for c in decoded.columns if c not in
             ("type", "url", "method", "status_code", "body", "headers", "cookies", "meta", "links", "error",
-             "score", "schedule", "job_id", "partition_id", "event_offset", "stats")]
+             "score", "schedule", "job_id", "partition_id", "event_offset", "stats", "meta_all", "stats_all")]
     cols = {
-        "page_crawled": ["url", "status_code", "body", "meta"],
-        "links_extracted": ["url", "method", "headers", "cookies", "meta", "links"],
-        "request_error": ["url", "method", "headers", "cookies", "meta", "error"],
-        "update_score": ["url", "method", "meta", "score", "schedule"],
+        "page_crawled": ["url", "status_code", "body", "meta", "meta_all"],
+        "links_extracted": ["url", "method", "headers", "cookies", "meta", "meta_all", "links"],
+        "request_error": ["url", "method", "headers", "cookies", "meta", "meta_all", "error"],
+        "update_score": ["url", "method", "meta", "meta_all", "score", "schedule"],
         "new_job_id": ["job_id"],
         "offset": ["partition_id", "event_offset"],
-        "stats": ["stats"],
+        "stats": ["stats", "stats_all"],
     }[event_type]
     return decoded.where(F.col("type") == event_type).select(*base, *cols)
 
@@ -176,6 +192,17 @@ def crawl_stats(decoded: DataFrame, interval: str = "10 seconds", ts_col: str =
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "type", "n_events")
 
 
+def carried_stats(decoded: DataFrame, ts_col: str = "ts") -> DataFrame:
+    """A4, the numbers that ``stats`` events carry: per name their number, sum,
+    and latest value (by time, then value). Values that are no numbers count in
+    ``n_events`` only."""
+    rows = events_of(decoded, "stats").select(F.col(ts_col).alias("_ts"), F.explode_outer("stats").alias("name", "_v"))
+    rows = rows.where(F.col("name").isNotNull()).withColumn("_v", F.col("_v").try_cast("double"))
+    return rows.groupBy("name").agg(
+        F.count(F.lit(1)).alias("n_events"), F.sum("_v").alias("total"),
+        F.max(F.when(F.col("_v").isNotNull(), F.struct("_ts", "_v"))).getField("_v").alias("latest"))
+
+
 # ------------------------------------------------------------------ encoding
 def request_struct(url: Column, meta: Column, method: Column | None = None) -> Column:
     return F.struct(url.alias("url"), (method if method is not None else F.lit("GET")).alias("method"),

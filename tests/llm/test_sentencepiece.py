@@ -74,4 +74,6 @@ def test_columns_nulls_and_round_trip(spark, documents):
         assert r.back == (r.text or "").replace("▁", " ")
         assert r.exact == (r.doc_id != 4)
     assert {r.doc_id: len(r.ids) for r in got}[2] == 0
+    whole = sp.encode_rows(df.withColumnRenamed("ids", "lang2")).collect()
+    assert sorted((r.doc_id, r.ids, r.exact) for r in whole) == sorted((r.doc_id, r.ids, r.exact) for r in got)
     assert spark.createDataFrame([], "t string").select(sp.encode(spark, "t")).count() == 0
