@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlframe.llm import subword, text
+from crawlframe.llm.components import _written
 
 SAMPLE_PER_CLASS = 600
 SAMPLE_BYTES_PER_CLASS = 4 << 20
@@ -58,6 +59,16 @@ def labelled_sample(df: DataFrame, text_col: str, label_col: str, per_class: int
     return rows["text"].to_pylist(), rows["label"].to_pylist()
 
 
+def sampled_labels(labels: DataFrame, id_col: str, label_col: str, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+    """At most ``4 * per_class`` ids of each label, in order of a hash of the id: to be joined with texts.
+
+    The written table has a row bound that does not depend on the data, so it may be broadcast.
+    """
+    order = Window.partitionBy(label_col).orderBy(F.xxhash64(id_col), id_col)
+    rows = labels.select(id_col, label_col).where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).distinct()
+    return _written(rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 4 * per_class).drop("_n"), "labels")
+
+
 def fit(df: DataFrame, text_col: str, label_col: str, params: subword.Params = subword.Params(),
         per_class: int = SAMPLE_PER_CLASS, bytes_per_class: int = SAMPLE_BYTES_PER_CLASS) -> subword.Model:
     """Train on the bounded sample of labelled rows."""
@@ -67,6 +78,7 @@ def fit(df: DataFrame, text_col: str, label_col: str, params: subword.Params = s
 def with_probabilities(df: DataFrame, model: subword.Model, text_col: str = "text", out: str = "probabilities") -> DataFrame:
     """Add an array column with the probability of each class of ``model.classes`` for the whole text."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    text.bound_batches(df.sparkSession)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def score(column: pa.Array) -> pa.Array:

@@ -14,14 +14,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return (docs.select("doc_id", sentencepiece.encode(spark, "text").alias("e"))
-            .select("doc_id", F.size("e.ids").cast("long").alias("n_tokens"), "e.ids", "e.n_best", "e.best_score", "e.exact"))
+    return (sentencepiece.encode_rows(docs)
+            .select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "n_best", "best_score", "exact"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    learn = (docs.where(classify.bucket_of("doc_id", 5) != 0)
-             .join(_table(spark, sf_dir, "labels").select("doc_id", "quality").where("quality is not null"), "doc_id"))
+    labels = _table(spark, sf_dir, "labels").where(classify.bucket_of("doc_id", 5) != 0)
+    learn = docs.join(F.broadcast(classify.sampled_labels(labels, "doc_id", "quality")), "doc_id")
     model = classify.fit(learn, "text", "quality", classify.QUALITY)
     return (classify.quality(docs, model, 1)
             .select("doc_id", (classify.bucket_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted"))
