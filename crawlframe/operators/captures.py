@@ -16,6 +16,7 @@ from ..functions.common import col_of
 from ..functions.urls import url_host
 from ..session import scratch_path
 
+HEAD = 8
 SURT_PATH_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^#]*)"
 
 
@@ -43,17 +44,18 @@ def capture_index(captures: DataFrame, n_parts: int | None = None, url_col: str
 def scope_filter(urls: DataFrame, prefixes: DataFrame, url_col: str = "url", prefix_col: str = "prefix"):
     """Split URLs into (in_scope, out_of_scope) by SURT-prefix match.
 
-    Plain string-prefix semantics, made an equi-join: the distinct prefix
-    lengths (at most the longest key, collected once) cut each URL key into
-    its candidate prefixes, which are joined against the prefix table.
+    Plain string-prefix semantics, made an equi-join: each URL key offers its
+    prefixes at the lengths of those scope prefixes that begin like it (in
+    their first ``HEAD`` characters), and these are joined with the prefix
+    table. Null prefixes match nothing, the empty one everything.
     """
     keyed = urls.withColumn("_k", surt_key(F.col(url_col)))
-    lengths = sorted(r[0] for r in prefixes.select(F.length(prefix_col).alias("n")).distinct().collect()
-                     if r[0] is not None)
-    if not lengths:
-        return keyed.limit(0).drop("_k"), keyed.drop("_k")
-    cands = keyed.select("*", F.explode(F.array_distinct(F.array(
-        *[F.substr(F.col("_k"), F.lit(1), F.lit(n)) for n in lengths]))).alias("_p"))
+    lengths = prefixes.where(F.col(prefix_col).isNotNull()).groupBy(F.substr(prefix_col, F.lit(1), F.lit(HEAD)).alias("_head")) \
+        .agg(F.collect_set(F.length(prefix_col)).alias("_lengths"))
+    heads = F.array_distinct(F.array(*[F.substr(F.col("_k"), F.lit(1), F.lit(n)) for n in range(HEAD + 1)]))
+    cands = keyed.select("_k").distinct().select("_k", F.explode(heads).alias("_head")).join(lengths, "_head") \
+        .select("_k", F.explode("_lengths").alias("_n")).where(F.length("_k") >= F.col("_n")) \
+        .select("_k", F.substr("_k", F.lit(1), F.col("_n")).alias("_p"))
     p = prefixes.select(F.col(prefix_col).alias("_p")).distinct()
     hit_keys = cands.join(p, "_p", "left_semi").select("_k").distinct()
     ins = keyed.join(hit_keys, "_k", "left_semi").drop("_k")
@@ -63,10 +65,13 @@ def scope_filter(urls: DataFrame, prefixes: DataFrame, url_col: str = "url", pre
 
 def dedupe_digests(captures: DataFrame, key_cols=("url", "digest"), order_cols=("ts", "capture_id")) -> DataFrame:
     """The first capture of each (url, digest) is the original; later ones
-    are revisits pointing at it. A per-key min (partial aggregate) joined back;
-    a hot key is split by AQE's skew join, never collected in one task."""
+    are revisits pointing at it. A per-key min (partial aggregate), written as a
+    table and joined back: with a plain scan on that side Spark can split a hot
+    key's captures over many tasks."""
     keys = list(key_cols)
-    first = captures.groupBy(*keys).agg(F.min(F.struct(*order_cols)).alias("_first"))
+    path = scratch_path(captures.sparkSession, "first-captures")
+    captures.groupBy(*keys).agg(F.min(F.struct(*order_cols)).alias("_first")).write.parquet(path)
+    first = captures.sparkSession.read.parquet(path)
     j = captures.join(first, keys)
     is_rev = F.struct(*order_cols) != F.col("_first")
     return j.select(*captures.columns, is_rev.alias("is_revisit"),
@@ -106,14 +111,15 @@ def capture_lookup(requests: DataFrame, captures: DataFrame, key: str = "key", a
     reqs = requests.select(F.col(key).alias("_key"), F.col(asked).alias("_ts"), *[
         F.col(c) for c in requests.columns if c not in (key, asked)])
     extra = [c for c in requests.columns if c not in (key, asked)]
-    cap_rows = caps.select("_key", "_ts", F.lit(1).alias("_kind"), F.struct(F.col("_ts").alias("ts"),
+    # captures of the same instant follow each other by id
+    cap_rows = caps.select("_key", "_ts", F.lit(1).alias("_kind"), "_cid", F.struct(F.col("_ts").alias("ts"),
                                                                             F.col("_cid").alias("id")).alias("_cap"),
                            *[F.lit(None).alias(c) for c in extra])
-    req_rows = reqs.select("_key", "_ts", F.lit(0).alias("_kind"), F.lit(None).cast(cap_rows.schema["_cap"].dataType)
+    req_rows = reqs.select("_key", "_ts", F.lit(0).alias("_kind"), F.lit(None).cast(cap_rows.schema["_cid"].dataType).alias("_cid"), F.lit(None).cast(cap_rows.schema["_cap"].dataType)
                            .alias("_cap"), *extra)
-    u = range_slices(cap_rows.unionByName(req_rows), ["_key", "_ts", "_kind"], n_parts)
+    u = range_slices(cap_rows.unionByName(req_rows), ["_key", "_ts", "_kind", "_cid"], n_parts)
     # requests sort before captures of the same instant: "on or after" includes it
-    w_same = Window.partitionBy("_key", "_b").orderBy("_ts", "_kind").rowsBetween(0, Window.unboundedFollowing)
+    w_same = Window.partitionBy("_key", "_b").orderBy("_ts", "_kind", "_cid").rowsBetween(0, Window.unboundedFollowing)
     same = u.withColumn("_hit", F.first("_cap", ignorenulls=True).over(w_same)).where(F.col("_kind") == 0)
     firsts = u.where(F.col("_kind") == 1).groupBy("_key", "_b").agg(F.min("_cap").alias("_first"))
     req_b = same.select("_key", "_b").distinct().select("_key", "_b", F.lit(0).alias("_kind"),

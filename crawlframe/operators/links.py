@@ -169,14 +169,18 @@ def minimal_domains(domains: DataFrame, domain_col: str = "domain") -> DataFrame
 
 
 def filter_onsite(links: DataFrame, domains: DataFrame, url_col: str = "target_url",
-                  domain_col: str = "domain") -> DataFrame:
-    """Keep links whose host is an allowed domain or a subdomain of one.
+                  domain_col: str = "domain", seed_col: str | None = None) -> DataFrame:
+    """Keep links whose host is an allowed domain or a subdomain of one;
+    rows whose ``seed_col`` is true are seeds, which are exempt.
 
     An equi-join on the host's dot-suffixes (at most one per label), so Spark
     may broadcast a small allow-list (AQE checks its size at run time) or
     sort-merge a large one; with the minimal domain set each link matches at
     most one suffix, so no row is duplicated.
     """
+    if seed_col:
+        is_seed = F.coalesce(F.col(seed_col), F.lit(False))
+        return links.where(is_seed).unionByName(filter_onsite(links.where(~is_seed), domains, url_col, domain_col))
     allowed = minimal_domains(domains, domain_col).withColumnRenamed("domain", "_sfx")
     exploded = links.withColumn("_sfx", F.explode(domain_suffixes(url_host(F.col(url_col)))))
     return exploded.join(allowed, "_sfx", "left_semi").drop("_sfx")

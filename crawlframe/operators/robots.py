@@ -17,6 +17,7 @@ from ..functions.common import col_of
 from ..functions.urls import url_host
 
 IGNORED_STATUS = -9998
+WILDCARDS = 1000
 _PATH_QUERY_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^#]*)"
 
 
@@ -43,13 +44,12 @@ def apply_robots(urls: DataFrame, rules: DataFrame, agent: str, url_col: str = "
 
     Decided once per distinct (host, path). Plain prefix rules -- nearly all
     of them -- match through an equi-join on (host, path prefix): each path
-    offers its prefixes at the distinct rule lengths (a bounded list,
-    collected once), so no path is paired with every rule of its host. Only
-    wildcard rules (``*`` or a final ``$``) are tested by regex against the
-    paths of their own host; a host's rule list is capped by the robots file
-    size limit.
+    offers its prefixes at the lengths that rules of its own host have, so no
+    path is paired with every rule. The wildcard rules of a host (``*`` or a
+    final ``$``) come to its paths as arrays of at most about ``WILDCARDS``
+    rules, and a path is tested once against each array.
     """
-    eff = effective_rules(rules, agent).select(F.lower("host").alias("_h"), "allow", "pattern")
+    eff = effective_rules(rules, agent).select(F.lower("host").alias("_h"), "allow", "pattern").where(F.col("pattern").isNotNull())
     wild = F.col("pattern").contains("*") | F.col("pattern").endswith("$")
     plain = eff.where(~wild)
     wildcard = eff.where(wild).withColumn("_re", pattern_regex(F.col("pattern")))
@@ -57,18 +57,17 @@ def apply_robots(urls: DataFrame, rules: DataFrame, agent: str, url_col: str = "
         "_pq", F.regexp_extract(F.col(url_col), _PATH_QUERY_RE, 1))
     u = u.withColumn("_pq", F.when(F.col("_pq") == "", F.lit("/")).otherwise(F.col("_pq")))
     paths = u.select("_h", "_pq").distinct()
-    lengths = sorted(r[0] for r in plain.select(F.length("pattern")).distinct().collect() if r[0] is not None)
-    matches = []
-    if lengths:
-        cands = paths.select("_h", "_pq", F.explode(F.array_distinct(F.array(
-            *[F.substr(F.col("_pq"), F.lit(1), F.lit(n)) for n in lengths]))).alias("pattern"))
-        # a prefix shorter than asked (short path) only equals a rule of that length
-        matches.append(cands.join(plain, ["_h", "pattern"]).select("_h", "_pq", "allow", "pattern"))
-    matches.append(paths.join(wildcard, "_h").where(F.regexp_like(F.col("_pq"), F.col("_re")))
-                   .select("_h", "_pq", "allow", "pattern"))
-    hit = matches[0] if len(matches) == 1 else matches[0].unionByName(matches[1])
-    decided = hit.groupBy("_h", "_pq").agg(
-        F.max_by(F.col("allow"), F.struct(F.length("pattern"), F.col("allow"))).alias("_allow"))
+    lengths = plain.groupBy("_h").agg(F.collect_set(F.length("pattern")).alias("_lengths"))
+    cands = paths.join(lengths, "_h").select("_h", "_pq", F.explode("_lengths").alias("_n")) \
+        .where(F.length("_pq") >= F.col("_n")).select("_h", "_pq", F.substr("_pq", F.lit(1), F.col("_n")).alias("pattern"))
+    exact = cands.join(plain, ["_h", "pattern"]).select("_h", "_pq", F.struct(F.length("pattern").alias("n"), "allow").alias("_rule"))
+    parts = wildcard.groupBy("_h").agg(F.ceil(F.count(F.lit(1)) / WILDCARDS).alias("_parts"))
+    arrays = wildcard.join(parts, "_h").groupBy("_h", F.pmod(F.xxhash64("pattern"), F.col("_parts")).alias("_part")).agg(
+        F.collect_list(F.struct(F.length("pattern").alias("n"), "allow", "_re")).alias("_rules"))
+    best = F.array_max(F.transform(F.filter("_rules", lambda r: F.regexp_like(F.col("_pq"), r["_re"])),
+                                   lambda r: F.struct(r["n"].alias("n"), r["allow"].alias("allow"))))
+    loose = paths.join(arrays, "_h").select("_h", "_pq", best.alias("_rule")).where(F.col("_rule").isNotNull())
+    decided = exact.unionByName(loose).groupBy("_h", "_pq").agg(F.max("_rule").getField("allow").alias("_allow"))
     out = u.join(decided, ["_h", "_pq"], "left")
     allowed = F.coalesce(F.col("_allow"), F.lit(True))
     return out.select(*urls.columns, allowed.alias("allowed"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.digest import content_digest
 from ..functions.urls import url_host
 from ..operators import captures as X
+from ..operators.discovery import DEFAULT_WELL_KNOWN_URIS
 from . import inputs as I
 from . import sqlgen as sg
 from .catalog import register
@@ -116,13 +117,49 @@ def x5_host_quota(spark, sf_dir):
     return X.quota_per_host(r, QUOTA).select("id", "host", "running_bytes")
 
 
-@register("x8_domain_scan", f"""
+_WK_IN = ", ".join(sg.q(u) for u in DEFAULT_WELL_KNOWN_URIS)
+_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)"
+
+
+def _scan_sql(log: str) -> str:
+    return f"""
 SELECT {sg.host('url')} AS host, bool_or(status_code = 200) AS serving,
        count(*) FILTER (WHERE status_code = 200) AS n_ok, count(*) AS n_fetched,
-       coalesce(string_agg(DISTINCT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1), ',')
-         FILTER (WHERE status_code = 200 AND regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)
-                 IN ('/humans.txt', '/ads.txt', '/sellers.json', '/.well-known/security.txt', '/.well-known/host-meta',
-                     '/.well-known/host-meta.json', '/.well-known/dat', '/.well-known/nodeinfo')), '') AS well_known
-FROM ({I.RESPONSES_SQL}) GROUP BY 1""")
+       coalesce(string_agg(DISTINCT {_PATH}, ',' ORDER BY {_PATH}) FILTER (WHERE status_code = 200 AND {_PATH} IN ({_WK_IN})), '') AS well_known
+FROM ({log}) GROUP BY 1"""
+
+
+@register("x8_domain_scan", _scan_sql(I.RESPONSES_SQL))
 def x8_domain_scan(spark, sf_dir):
     return X.domain_scan_report(I.responses(spark, sf_dir))
+
+
+# The pages and one well-known URL of each page's host, found or not by turns.
+_WK_LIST = "[" + _WK_IN + "]"
+
+
+@register("x8_well_known_found", _scan_sql(f"""
+SELECT url, status_code FROM ({I.RESPONSES_SQL})
+UNION ALL SELECT 'http://' || {sg.host('url')} || {_WK_LIST}[CAST(page_id % {len(DEFAULT_WELL_KNOWN_URIS)} + 1 AS INTEGER)] || '?r=' || page_id,
+                 CASE WHEN page_id % 3 = 0 THEN 404 ELSE 200 END FROM pages"""))
+def x8_well_known_found(spark, sf_dir):
+    pages = I.table(spark, sf_dir, "pages")
+    uris = F.array(*[F.lit(u) for u in DEFAULT_WELL_KNOWN_URIS])
+    uri = F.element_at(uris, (F.col("page_id") % len(DEFAULT_WELL_KNOWN_URIS) + 1).cast("int"))
+    probes = pages.select(F.concat(F.lit("http://"), url_host("url"), uri, F.lit("?r="), F.col("page_id").cast("string")).alias("url"),
+                          F.when(F.col("page_id") % 3 == 0, 404).otherwise(200).alias("status_code"))
+    log = I.responses(spark, sf_dir).select("url", F.col("status_code").cast("int").alias("status_code"))
+    return X.domain_scan_report(log.unionByName(probes))
+
+
+# The same captures by day only: many share their time, the smallest id wins.
+@register("x1_tied_times", f"""
+SELECT r.key, r.asked, min(c.ts) AS capture_ts, arg_min(c.id, (c.ts, c.id)) AS capture_id,
+       CASE WHEN min(c.ts) IS NULL THEN 'fetch' ELSE 'reuse' END AS action
+FROM ({_REQ_SQL}) r LEFT JOIN (SELECT user_id % 50 AS user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, event_id AS id FROM events) c
+  ON r.key = c.user_id AND r.asked <= c.ts
+GROUP BY r.key, r.asked""")
+def x1_tied_times(spark, sf_dir):
+    caps = I.table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("key"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"),
+                                                   F.col("event_id").alias("capture_id"))
+    return X.capture_lookup(_requests(spark, sf_dir), caps)

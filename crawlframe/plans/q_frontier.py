@@ -180,6 +180,23 @@ def f10_peek_metadata(spark, sf_dir):
     return Q.peek(metadata(spark, sf_dir), 10, ["fingerprint", "url"])
 
 
+# A frontier database with a stale table is reset and gets the queue as its only table.
+@register("k3_reset_frontier", f"SELECT partition_id, fingerprint, url, score, 1 AS n_tables FROM ({QUEUE_SQL})")
+def k3_reset_frontier(spark, sf_dir):
+    import uuid
+    db = f"crawlframe_k3_{uuid.uuid4().hex[:8]}"
+    q = queue(spark, sf_dir)
+    Q.reset_frontier(spark, db, {"stale": q.select("url"), "queue": q.limit(1)})
+    Q.reset_frontier(spark, db, {"queue": q})
+    n = len(spark.catalog.listTables(db))
+    rows = spark.table(f"{db}.queue").select("partition_id", "fingerprint", "url", "score", F.lit(n).alias("n_tables"))
+    from ..session import scratch_path
+    path = scratch_path(spark, "k3")
+    rows.write.parquet(path)
+    spark.sql(f"DROP DATABASE {db} CASCADE")
+    return spark.read.parquet(path)
+
+
 # Robots rules for every page host: '*' disallows /fr/ except /fr/8..., and
 # any path with ?page=; hosts of even name length also have a group of their
 # own that disallows /en/ (and so ignores the '*' group).

@@ -115,6 +115,21 @@ def t6_onsite_links(spark, sf_dir):
     return L.filter_onsite(links, domains)
 
 
+# Seeds (the page URLs themselves) pass whatever their host; their links do not.
+@register("t6_seeds_exempt", f"""
+WITH d AS (SELECT DISTINCT {sg.host('url')} AS domain FROM pages WHERE len(string_split({sg.host('url')}, '.')) = 4),
+l AS (SELECT page_id, target_url, FALSE AS is_seed FROM ({RESOLVED}) UNION ALL SELECT page_id, url, TRUE FROM pages)
+SELECT page_id, target_url, is_seed FROM l
+WHERE is_seed OR EXISTS (SELECT 1 FROM d WHERE {sg.host('target_url')} = d.domain OR ends_with({sg.host('target_url')}, '.' || d.domain))""")
+def t6_seeds_exempt(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    h = url_host("url")
+    domains = pages.where(F.size(F.split(h, r"\.")) == 4).select(h.alias("domain"))
+    links = L.resolve_links(L.extract_links(pages)).select("page_id", "target_url", F.lit(False).alias("is_seed"))
+    seeds = pages.select("page_id", F.col("url").alias("target_url"), F.lit(True).alias("is_seed"))
+    return L.filter_onsite(links.unionByName(seeds), domains, seed_col="is_seed")
+
+
 @register("t7_max_body", """
 SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes FROM pages
 WHERE octet_length(encode(html)) <= 20000""")
@@ -246,6 +261,14 @@ def s2_seed_csv(spark, sf_dir):
     return read_seeds(spark, path)
 
 
+@register("s3_no_seeds", "SELECT url, CAST(page_id AS VARCHAR) AS source_page FROM pages")
+def s3_no_seeds(spark, sf_dir):
+    """A job without a seed list starts from the URLs it knows: reading no list adds no rows and fails nothing."""
+    from ..sources.seeds import read_seeds
+    known = _pages(spark, sf_dir).select("url", F.col("page_id").cast("string").alias("source_page"))
+    return known.unionByName(read_seeds(spark, None))
+
+
 @register("s4_read_responses", """
 SELECT page_id, url, CAST(200 AS INTEGER) AS status_code, 'text/html' AS content_type,
        CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes FROM pages""")
