@@ -24,10 +24,6 @@ DEFAULT_WELL_KNOWN_URIS = [
     "/.well-known/nodeinfo",
 ]
 
-# Hop codes of a discovery path.
-HOP_CODES = {"L": "link", "R": "redirect", "E": "embed", "X": "speculative",
-             "P": "prerequisite", "I": "inferred", "M": "manifest", "S": "synthesized"}
-
 _HOMEPAGE_SPLIT = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)/(.*)$"
 
 
@@ -126,12 +122,12 @@ def discovery_paths(spark: SparkSession, seeds: DataFrame, edges: DataFrame, max
 
     Breadth-first, one join per hop: frontier x edges, first arrival per child
     by (hop_path, via, seed) through a group-by whose partial aggregate runs
-    map-side, minus everything already reached. Edges and reached URLs are
-    tables bucketed by URL, so a hop shuffles the frontier and its children
-    only. The edges of a parent with more than ``hub_edges`` of them are cut
+    map-side, minus everything already reached. Edges and paths are tables
+    bucketed by URL, so a hop shuffles the frontier and its children only. The edges of a parent with more than ``hub_edges`` of them are cut
     into salted parts in different buckets, and only its own frontier row is
-    repeated for each. Every level is a table under the shared checkpoint
-    folder, so lineage stays one hop deep; its row count comes with the write.
+    repeated for each. Every level is a partition of the paths table under the
+    shared checkpoint folder, so lineage stays one hop deep; its row count comes
+    with the write.
 
     seeds: (url[, source, *carry]); edges: (parent_url, child_url, hop).
     Output: (url, depth, hop_path, via, seed, *carry). Of one URL's equal
@@ -141,14 +137,13 @@ def discovery_paths(spark: SparkSession, seeds: DataFrame, edges: DataFrame, max
     carry = list(carry)
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     suffix = root.rstrip("/").rsplit("-", 1)[-1]
-    edge_table, seen_table = f"crawlframe_edges_{suffix}", f"crawlframe_seen_{suffix}"
+    edge_table, path_table = f"crawlframe_edges_{suffix}", f"crawlframe_paths_{suffix}"
 
     def persist(df: DataFrame, depth: int) -> tuple[DataFrame, int]:
-        path, rows = f"{root}/level={depth}", Observation()
-        df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
-        level = spark.read.schema(df.schema).parquet(path)
-        level.select("url").write.mode("append").bucketBy(n_buckets, "url").option("path", f"{root}/seen").saveAsTable(seen_table)
-        return level, rows.get["n"]
+        rows = Observation()
+        (df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("depth").bucketBy(n_buckets, "url")
+         .option("path", f"{root}/paths").saveAsTable(path_table))
+        return spark.table(path_table).where(F.col("depth") == depth).select(*df.columns), rows.get["n"]
 
     src = F.col("source") if "source" in seeds.columns else F.lit(None).cast("string")
     level = (seeds.select(F.col("url"), F.coalesce(src, F.col("url")).alias("seed"), *carry)
@@ -172,17 +167,16 @@ def discovery_paths(spark: SparkSession, seeds: DataFrame, edges: DataFrame, max
             depth += 1
             parts = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_salt")
             front = level.join(hubs, "url", "left").select(*level.columns, parts)
-            spark.catalog.refreshTable(seen_table)
             cand = front.join(e, ["url", "_salt"]).select(
                 F.col("child_url").alias("url"),
                 F.struct(F.concat("hop_path", "hop").alias("hop_path"), F.col("url").alias("via"),
                          "seed", *carry).alias("_c"))
             nxt = (cand.groupBy("url").agg(F.min_by("_c", F.struct("_c.hop_path", "_c.via", "_c.seed")).alias("_c"))
-                   .join(spark.table(seen_table), "url", "left_anti")
+                   .join(spark.table(path_table).select("url"), "url", "left_anti")
                    .select("url", F.lit(depth).alias("depth"), "_c.hop_path", "_c.via", "_c.seed",
                            *[F.col(f"_c.{c}").alias(c) for c in carry]))
             level, rows = persist(nxt, depth)
-    finally:  # the result reads the levels; both helper tables leave the catalog
-        for name in (edge_table, seen_table):
+    finally:  # the result reads the files; both tables leave the catalog
+        for name in (edge_table, path_table):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return spark.read.option("basePath", root).parquet(f"{root}/level=*").select(*level.columns)
+    return spark.read.parquet(f"{root}/paths").select(*level.columns)
