@@ -75,3 +75,58 @@ def test_stream_matches_batch(spark):
     s = sorted(tuple(r) for r in q["e7_stream_stats"](spark, d).collect())
     b = sorted(tuple(r) for r in q["a4_crawl_stats"](spark, d).collect())
     assert s == b
+
+
+def _feed(spark, tmp_path, batches, schema):
+    """One parquet file per micro-batch, read one at a time in order."""
+    import os
+    path = str(tmp_path / "feed")
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        for f in (tmp_path / "feed").glob("*.parquet"):
+            if not (tmp_path / f"seen-{f.name}").exists():
+                os.utime(f, (1_700_000_000 + k * 100,) * 2)
+                (tmp_path / f"seen-{f.name}").touch()
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_stream_stats_count_late_events_and_compact(spark, tmp_path):
+    import datetime as dt
+    from crawlframe.streaming import jobs
+    t = lambda h: dt.datetime(2024, 1, 1, h)
+    stream = _feed(spark, tmp_path, [[("a", t(9)), ("a", t(10))], [("a", t(9)), ("b", t(1)), ("a", t(11))], [("b", t(1))]],
+                   "type string, ts timestamp_ntz")
+    out = str(tmp_path / "out")
+    jobs.stream_crawl_stats(stream, out, str(tmp_path / "ckpt"), "1 hour", "1 hour").awaitTermination()
+    want = {(9, "a"): (2, 0), (10, "a"): (1, 0), (11, "a"): (1, 0), (1, "b"): (2, 2)}
+    read = lambda: {(r.window_start.hour, r.type): (r.n_events, r.n_late) for r in jobs.read_stats(spark, out).collect()}
+    assert read() == want
+    jobs.compact(spark, out, "stats")
+    assert read() == want
+    jobs._empty(spark, str(tmp_path / "other"), "x int")  # a snapshot and a later batch add up
+    spark.read.parquet(out).where("batch_id = 0").drop("batch_id").write.parquet(f"{out}/batch_id=99")
+    assert read()[(9, "a")] == (3, 0)
+
+
+def test_unseen_stream_survives_a_retry_and_fails_on_an_unreadable_seen_set(spark, tmp_path):
+    import pytest
+    from crawlframe.streaming import jobs
+    schema = "fingerprint string, url string, created_at timestamp_ntz"
+    import datetime as dt
+    d = dt.datetime(2024, 1, 1)
+    stream = _feed(spark, tmp_path, [[("f1", "u1", d), ("f2", "u2", d)], [("f1", "u1", d), ("f3", "u3", d)]], schema)
+    added, out = str(tmp_path / "added"), str(tmp_path / "out")
+    seen = spark.createDataFrame([("f2",)], "fingerprint string")
+    jobs.stream_unseen(stream, seen, added, out, str(tmp_path / "ckpt")).awaitTermination()
+    assert sorted(r.fingerprint for r in jobs.read_batches(spark, out).collect()) == ["f1", "f3"]
+    # the last batch again, as after a crash before its commit
+    commits = sorted((tmp_path / "ckpt" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (tmp_path / "ckpt" / "commits" / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    jobs.stream_unseen(stream, seen, added, out, str(tmp_path / "ckpt")).awaitTermination()
+    assert sorted(r.fingerprint for r in jobs.read_batches(spark, out).collect()) == ["f1", "f3"]
+    for f in (tmp_path / "added").rglob("*.parquet"):
+        f.write_bytes(b"damaged")
+    spark.createDataFrame([("f4", "u4", d)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    with pytest.raises(Exception):
+        jobs.stream_unseen(stream, seen, added, out, str(tmp_path / "ckpt")).awaitTermination()
