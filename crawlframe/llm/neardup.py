@@ -236,6 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component; among themselves all are kept. Rows that repeat an id and text get equal results; rows that repeat an id
     with other texts are documents of their own that share the id. Other columns are ignored.
     """
+    text.bound_batches(docs.sparkSession)
     rows = _written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
                     .withColumn("f", features("t", shingle))
                     .select("doc_id", F.xxhash64("t").alias("text_key"), "f.*"), "neardup-rows")

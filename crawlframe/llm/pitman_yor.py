@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from crawlframe.llm import text
 from crawlframe.llm.components import _written
 
-CHUNK_BYTES, SHARD_BYTES = 24 << 20, 32 << 20
+CHUNK_BYTES, SHARD_BYTES = 12 << 20, 6 << 20
 BURN_IN, SAMPLES = 1, 2
 THETA_CONTEXT, THETA_ROOT = 1.0, 10.0
 END = np.uint64(0xE7D5A1C39B2F6E41)
@@ -86,17 +86,43 @@ def _shard(short: np.ndarray, shards: int) -> np.ndarray:
     return (short % np.uint64(shards)).astype(np.int64)
 
 
+def _words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending distinct word hashes (with the end's), and code and row of each word; tokenized in small slices."""
+    hashes, rows, first = [], [], 0
+    for piece in text.slices(part, "t"):
+        row, code, words = text.tokens(piece.column("t"))
+        hashes.append(text.hash_words(words)[code])
+        rows.append((row + first).astype(np.int32))
+        first += piece.num_rows
+    pa.default_memory_pool().release_unused()
+    g, code = np.unique(np.concatenate([*hashes, [END]]).astype(np.uint64), return_inverse=True)
+    return g, code[:-1], np.concatenate(rows) if rows else np.zeros(0, np.int32)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold about ``CHUNK_BYTES``."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= CHUNK_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     n = 0
-    for batch in batches:
-        for part in text.slices(batch, "t", CHUNK_BYTES):
-            row, code, words = text.tokens(part.column("t"))
-            g = np.r_[text.hash_words(words), END]
+    for batch in _gathered(batches):
+        for part in text.slices(batch, "t", 2 * CHUNK_BYTES):
+            g, code, row = _words(part)
             order = np.lexsort((g, _shard(g >> np.uint64(16), shards)))
             place = np.empty(len(g), dtype=np.int64)
             place[order] = np.arange(len(g))
+            end = place[np.searchsorted(g, END)]
             lens = np.bincount(row, minlength=part.num_rows) + 1
-            codes = np.full(int(lens.sum()), place[-1])
+            codes = np.full(int(lens.sum()), end)
             is_word = np.ones(len(codes), dtype=bool)
             is_word[np.cumsum(lens) - 1] = False
             codes[is_word] = place[code]
@@ -104,7 +130,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Recor
             counts = np.bincount(codes[np.repeat(train, lens)], minlength=len(g))
             yield pa.record_batch([
                 pa.array([(TaskContext.get().partitionId() << 32) + n]), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                pa.array([_small(train)]), pa.array([_small(lens)]), pa.array([_small(codes)]), pa.array([int(place[-1])]),
+                pa.array([_small(train)]), pa.array([_small(lens)]), pa.array([_small(codes)]), pa.array([int(end)]),
                 pa.array([len(g)]), pa.array([g[order].tobytes()]), pa.array([_small(counts)])], names=[c.split()[0] for c in _CHUNK.split(", ")])
             n += 1
 
@@ -250,15 +276,21 @@ def _root(sweep: int, seed: int, theta: float, state: dict):
     def run(own: pa.Table, sent: pa.Table) -> pa.Table:
         if own.num_rows == 0:
             return _rows([])
-        held = own.to_pylist()[0]
+        held = next(r for r in own.to_pylist() if r["kind"] == "words")
         words, shard = np.frombuffer(held["a"], "<u8"), held["shard"]
-        customers = np.zeros(len(words), dtype=np.int64)
+        alone = {r["kind"]: r for r in own.to_pylist()}.get("alone")
+        customers = _large(alone["a"]) if alone else np.zeros(len(words), dtype=np.int64)
         messages = sorted(sent.to_pylist(), key=lambda r: (r["source"], r["kind"]))
         places = [_find(words, _of_six(r["a"])) for r in messages]
         for r, at in zip(messages, places):
             np.add.at(customers, at, _large(r["b"]))
-        if d is None:  # the first time only counts are wanted
-            return _rows([{"kind": "root", "shard": shard, "x": float((customers == 1).sum()), "y": float((customers == 2).sum())}])
+        if d is None:  # the first time: sums for the discount, and the customers of pairs that have one table for good
+            alone = np.zeros(len(words), dtype=np.int64)
+            for r, at in zip(messages, places):
+                if r["kind"] == "single":
+                    np.add.at(alone, at, _large(r["b"]))
+            return _rows([{"kind": "root", "shard": shard, "x": float((customers == 1).sum()), "y": float((customers == 2).sum())},
+                          {"kind": "alone", "shard": shard, "a": _small(alone)}])
         rng = np.random.default_rng([seed, sweep, shard])
         weight = np.full(len(words), theta + d * max(0.0, others - 1))
         tables = seat(customers, weight, customers, np.full(len(words), 1 / (v + 1)), d, rng)
@@ -368,6 +400,7 @@ def _score(n: int, v: int, theta: float, n_samples: int):
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", seed: int = 5,
           burn_in: int = BURN_IN, samples: int = SAMPLES, theta: float = THETA_CONTEXT, theta_root: float = THETA_ROOT) -> DataFrame:
     """Learn from the rows where ``held_out`` is false, score all: see the module's text for the columns' meaning."""
+    text.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"),
                        (~F.coalesce(held_out, F.lit(False))).alias("train"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -391,25 +424,32 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         """The same columns as new attributes: both sides of a cogroup read the same table."""
         return df.select(*[F.col(c).alias(c) for c in df.columns])
 
+    def only(df: DataFrame, *lists: str) -> DataFrame:
+        """The rows with these packed lists alone: state is dealt out anew for every exchange."""
+        return df.select(*[F.lit(None).cast("binary").alias(c) if c in "abcd" and c not in lists else F.col(c) for c in _NAMES])
+
     def exchange(own: DataFrame, other: DataFrame, run, name: str) -> DataFrame:
         return _written(own.groupBy("shard").cogroup(renewed(other).groupBy("shard")).applyInArrow(run, _ROW), name)
 
     def total(root: DataFrame) -> tuple[float, float]:
         return tuple(float(x or 0) for x in root.where("kind = 'root'").agg(F.sum("x"), F.sum("y")).first())
 
-    state["d_root"] = discount(*total(exchange(words, single.union(tables), _root(0, seed, theta_root, state), "lm-counts")))
+    counts = exchange(only(words, "a"), single.union(tables), _root(0, seed, theta_root, state), "lm-counts")
+    state["d_root"] = discount(*total(counts))
+    rooted = only(words, "a").union(counts.where("kind = 'alone'"))
+    seated = only(words, "b", "c").union(pairs)
     state["root_tables"] = float(v)
     kept, held, seats = [], [], None
     for sweep in range(burn_in + samples):
-        root = exchange(words, single.union(tables), _root(sweep, seed, theta_root, dict(state)), "lm-root")
+        root = exchange(rooted, tables, _root(sweep, seed, theta_root, dict(state)), "lm-root")
         state["root_customers"], state["root_tables"] = total(root)
-        own = words.union(pairs) if seats is None else words.union(pairs).union(seats)
+        own = seated if seats is None else seated.union(only(seats, "a"))
         after = exchange(own, root.where("kind = 'back'"), _contexts(sweep, seed, theta, theta_root, dict(state), shards), "lm-seats")
         seats, tables = after.where("kind = 'seats'"), after.where("kind = 'tables'")
         if sweep >= burn_in:
             kept.append((sweep, dict(state)))
             held += [root.where("kind = 'root'").withColumn("source", F.lit(sweep).cast("long")), seats]
-    own = words.union(pairs)
+    own = only(words, "b").union(only(pairs, "c"))
     for x in held:
         own = own.union(x)
     answers = own.groupBy("shard").cogroup(renewed(first.where("kind = 'asked'")).groupBy("shard")).applyInArrow(_answers(kept, theta, theta_root), _ROW)

@@ -23,14 +23,14 @@ Viterbi paths with equal scores, the one whose last differing piece is longest w
 from __future__ import annotations
 
 import re
-from itertools import chain
+from array import array
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +39,7 @@ from crawlframe.llm import text
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6  # fixed values of the model format
-CACHED_UNITS = 350_000  # of each of two generations; bounds memory only
+CACHED_UNITS = 300_000  # bounds memory only
 _NEVER = float("-inf")
 
 
@@ -92,8 +92,12 @@ class Segmenter:
         self.known = {p for p in self.ids if len(p) == 1}
         self.follows: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
-        self.cache: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start an empty store: number of each unit, and per number its ids (one flat array) and facts."""
+        self.number: dict[str, int] = {}
+        self.flat, self.size, self.facts = array("i"), array("i"), array("d")
 
     def _merged(self, joined: str) -> list[str]:
         """Pieces left when the best-scored neighbouring pair (the leftmost of equals) is merged until none can be."""
@@ -119,7 +123,7 @@ class Segmenter:
         key = (a << 32) | b
         ok = self.follows.get(key)
         if ok is None:
-            if len(self.follows) >= 1_000_000:
+            if len(self.follows) >= 500_000:
                 self.follows.clear()
             ok = self.follows[key] = self._merged(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
         return ok
@@ -182,29 +186,15 @@ class Segmenter:
     def _joined(self, ids) -> bytes:
         return b"".join([self.surface[i] for i in ids])
 
-    def _found(self, unit: str) -> tuple:
-        found = self.cache.get(unit)
-        if found is None:
-            found = self.older.get(unit) or self.segment(unit)
-            if len(unit) < 64:
-                if len(self.cache) >= CACHED_UNITS:
-                    self.older, self.cache = self.cache, {}
-                self.cache[unit] = found
-        return found
-
-    def _word(self, word: str) -> tuple:
-        """As ``segment``, of a run of text that begins with the dummy mark or a space."""
-        marked = self.prefix + word.replace(" ", MARK)
-        if not marked:
-            return (), 0, 0.0, True
-        units = [marked] if self.unit is None else self.unit.findall(marked)
-        if len(units) == 1:
-            ids, n, score, exact = self._found(units[0])
-        else:
-            parts = [self._found(u) for u in units]
-            ids, n, score = tuple(chain.from_iterable(p[0] for p in parts)), sum(p[1] for p in parts), sum(p[2] for p in parts)
-            exact = all(p[3] for p in parts)
-        return ids, n, score, exact
+    def _numbered(self, unit: str) -> int:
+        number = self.number.get(unit)
+        if number is None:
+            ids, n, score, exact = self.segment(unit)
+            number = self.number[unit] = len(self.size)
+            self.flat.extend(ids)
+            self.size.append(len(ids))
+            self.facts.extend((n, score, exact))
+        return number
 
     def encode(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         """Per whole text (null: empty) its ids, pieces and score of the best path by scores, and exactness."""
@@ -227,31 +217,40 @@ class Segmenter:
                 row, words = row[order], words.take(pa.array(order))
         coded = words.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
-        empty = ((), 0, 0.0, True)
-        own = [self._word(w) if w or self.unit is not None else empty for w in coded.dictionary.to_pylist()]
-        ids = _gathered([f[0] for f in own], code, np.searchsorted(row, np.arange(len(texts) + 1)))
-        n, score, exact = (np.array([f[k] for f in own], dtype=float)[code] if own else np.zeros(0) for k in (1, 2, 3))
+        if len(self.number) > CACHED_UNITS:
+            self._forget()
+        units, per_word, find = [], [], self.unit.findall if self.unit else (lambda marked: [marked] if marked else [])
+        for w in coded.dictionary.to_pylist():
+            own = find(self.prefix + w.replace(" ", MARK)) if w or self.unit else []
+            per_word.append(len(own))
+            units += map(self._numbered, own)
+        # words -> units -> ids, as runs of the stored arrays
+        size, facts = np.array(self.size, dtype=np.int64), np.array(self.facts).reshape(-1, 3)
+        units, per_word = np.array(units, dtype=np.int64), np.array(per_word, dtype=np.int64)
+        word_first = np.cumsum(per_word) - per_word
+        each = per_word[code] if len(code) else np.zeros(0, dtype=np.int64)
+        unit = units[_runs(word_first[code] if len(code) else each, each)]
+        owner = np.repeat(row, each)
+        unit_first = np.cumsum(size) - size
+        ids = np.array(self.flat, dtype=np.int32)[_runs(unit_first[unit], size[unit])]
+        end = np.r_[0, np.cumsum(np.bincount(owner, weights=size[unit], minlength=len(texts)).astype(np.int64))]
+        ids = pa.ListArray.from_arrays(pa.array(end.astype(np.int32)), pa.array(ids))
 
         def total(x: np.ndarray) -> np.ndarray:
-            return np.bincount(row, weights=x, minlength=len(texts))
+            return np.bincount(owner, weights=x[unit], minlength=len(texts))
 
         plain_marks = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False)
-        return ids, total(n).astype(np.int64), total(score), (total(1 - exact) == 0) & ~plain_marks
+        return ids, total(facts[:, 0]).astype(np.int64), total(facts[:, 1]), (total(1 - facts[:, 2]) == 0) & ~plain_marks
 
     def decode(self, ids: list[int]) -> str:
         out = self._joined(ids).decode("utf-8", "replace")
         return out[1:] if self.prefix and out.startswith(" ") else out
 
 
-def _gathered(segments: list[tuple[int, ...]], code: np.ndarray, row_end: np.ndarray) -> pa.Array:
-    """Lists per row of the ids of its words; ``row_end`` counts words."""
-    size = np.array([len(x) for x in segments], dtype=np.int64)
-    flat = np.fromiter(chain.from_iterable(segments), np.int32, int(size.sum()))
-    first = np.cumsum(size) - size
-    each = size[code] if len(code) else np.zeros(0, dtype=np.int64)
-    end = np.r_[0, np.cumsum(each)]
-    at = np.repeat((first[code] if len(code) else each) - end[:-1], each) + np.arange(end[-1])
-    return pa.ListArray.from_arrays(pa.array(end[row_end].astype(np.int32)), pa.array(flat[at]))
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of runs that begin at ``first`` and are ``size`` long, one after the other."""
+    end = np.cumsum(size)
+    return np.repeat(first - (end - size), size) + np.arange(end[-1] if len(end) else 0)
 
 
 _built: dict[tuple, Segmenter] = {}
@@ -266,6 +265,7 @@ def _segmenter(shared) -> Segmenter:
 
 
 def _shared(spark: SparkSession, model_path: str | None, by: str = "model"):
+    text.bound_batches(spark)
     with open(model_path or default_model(), "rb") as f:
         return spark.sparkContext.broadcast((f.read(), by))
 
@@ -286,7 +286,7 @@ def encode(spark: SparkSession, column: str, model_path: str | None = None, by:
     def run(texts: pa.Array) -> pa.Array:
         own = _segmenter(shared)
         batch = pa.record_batch([text.plain(texts)], names=["t"])
-        parts = [own.encode(part.column(0)) for part in [*text.slices(batch, "t", 12 << 20)] or [batch]]
+        parts = [own.encode(part.column(0)) for part in [*text.slices(batch, "t", 4 << 20)] or [batch]]
         return pa.StructArray.from_arrays(
             [pa.concat_arrays([p[0] for p in parts]), *(pa.array(np.concatenate([p[k] for p in parts])) for k in (1, 2, 3))],
             names=_ENCODED.fieldNames())
@@ -294,6 +294,29 @@ def encode(spark: SparkSession, column: str, model_path: str | None = None, by:
     return run(F.col(column))
 
 
+def encode_rows(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, model_path: str | None = None,
+                by: str = "model") -> DataFrame:
+    """Columns ``keep`` (all but the text by default) with ids, n_best, best_score and exact, as ``encode`` gives them.
+
+    Rows leave the task in batches of a few MB of text, so ids of many long texts are never held together. Kept columns
+    of these four names are left out.
+    """
+    shared = _shared(df.sparkSession, model_path, by)
+    names = _ENCODED.fieldNames()
+    keep = [c for c in (df.columns if keep is None else keep) if c != text_col and c not in names]
+    schema = T.StructType([df.schema[c] for c in keep] + _ENCODED.fields)
+
+    def run(batches):
+        own = _segmenter(shared)
+        for batch in batches:
+            for part in text.slices(batch, "_text", 8 << 20):
+                ids, *rest = own.encode(part.column("_text"))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, *map(pa.array, rest)], names=[*keep, *names])
+            pa.default_memory_pool().release_unused()
+
+    return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+
+
 def decode(spark: SparkSession, column: str, model_path: str | None = None) -> Column:
     """Text of a column of id lists (null for null); ids outside the model fail the job."""
     shared = _shared(spark, model_path)

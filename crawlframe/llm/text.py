@@ -7,14 +7,29 @@ in total.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
+    """Let Spark hand over texts in Arrow batches of at most ``limit`` bytes (a smaller setting of the session stays).
+
+    Spark's own bound is 64 MB, which long texts reach; both sides hold a batch more than once.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([bkmg]?)b?", spark.conf.get(key).lower()).groups()
+    now = int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[unit]
+    if now <= 0 or now > limit:
+        spark.conf.set(key, str(limit))
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlframe.llm.components import _written
+from crawlframe.llm.text import bound_batches
 from crawlframe.session import scratch_path
 
 VERSION = b"WARC/1.1"
@@ -90,6 +91,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     Payloads of fewer than ``min_bytes`` bytes are always responses. Only digests are shuffled; the table of those that
     repeat is broadcast by Spark if it is small and joined with skewed keys split if not.
     """
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"),
                         F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
