@@ -88,7 +88,8 @@ def with_probabilities(df: DataFrame, model: subword.Model, text_col: str = "tex
         offsets = np.arange(len(prob) + 1, dtype=np.int32) * prob.shape[1]
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(prob.ravel()))
 
-    return df.withColumn(out, score(F.col(text_col)))
+    # marked non-deterministic so that a filter on the result does not compute it a second time
+    return df.withColumn(out, score.asNondeterministic()(F.col(text_col)))
 
 
 def quality(df: DataFrame, model: subword.Model, good, text_col: str = "text", threshold: float = 0.3) -> DataFrame:

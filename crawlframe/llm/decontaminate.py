@@ -259,7 +259,7 @@ def _searcher(shared, threshold: float):
         return pa.array(out, pa.list_(pa.struct([("item", pa.int32()), ("score", pa.float64()),
                                                  ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])))
 
-    return run
+    return run.asNondeterministic()  # or the filter on its result would search again
 
 
 @F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
@@ -272,6 +272,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
             shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Every retrieved (document, item): doc_id, text_key (xxhash64 of the text), item_id, score (BM25 over the
     chunk's own), question_overlap, answer_overlap, and whether it is ``leaked`` (both overlaps >= ``overlap``)."""
+    text.bound_batches(docs.sparkSession)
     items = (benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item")).where("item is not null")
              .withColumn("chunks", _chunks("item")).where(F.size("chunks") > 0))
     sums = items.agg(F.sum(F.octet_length("item")), F.sum(F.size("chunks")),

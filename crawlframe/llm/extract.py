@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlframe.llm.components import _written
-from crawlframe.llm.text import plain
+from crawlframe.llm.text import bound_batches, plain
 
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
@@ -234,7 +234,8 @@ def host_of(url: Column) -> Column:
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = 0.1) -> DataFrame:
     """(host, paths): each host's winning paths, most votes first (ties: by path), as a written table."""
-    votes = (pages.select(host_of(F.col(url_col)).alias("host"), _vote(html_col).alias("path")).where("path != ''")
+    # non-deterministic: else the filter on the path would parse every page again
+    votes = (pages.select(host_of(F.col(url_col)).alias("host"), _vote.asNondeterministic()(html_col).alias("path")).where("path != ''")
              .groupBy("host", "path").count())
     total = votes.groupBy("host").agg(F.sum("count").alias("total"))
     won = votes.join(total, "host").where(F.col("count") >= F.col("total") * share)
@@ -244,6 +245,7 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", s
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = 0.1) -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` (code points)."""
+    bound_batches(pages.sparkSession)
     winners = host_paths(pages, url_col, html_col, share).withColumnRenamed("host", "_host").withColumnRenamed("paths", "_paths")
     rows = pages.withColumn("_host", host_of(F.col(url_col))).join(winners, "_host", "left")
     return rows.withColumn("text", _extract(html_col, "_paths")).withColumn("n_chars", F.length("text").cast("long")).drop("_host", "_paths")
