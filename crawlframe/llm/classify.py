@@ -85,6 +85,7 @@ def with_probabilities(df: DataFrame, model: subword.Model, text_col: str = "tex
         batch = pa.record_batch([text.plain(column)], names=["t"])
         parts = [subword.probabilities(s.column(0), shared.value) for s in text.slices(batch, "t")]
         prob = np.concatenate(parts) if parts else np.zeros((0, len(shared.value.classes)))
+        text.release()
         offsets = np.arange(len(prob) + 1, dtype=np.int32) * prob.shape[1]
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(prob.ravel()))
 

@@ -125,6 +125,7 @@ def features(column: str, size: int) -> Column:
             bands += [k if f else [] for k, f in zip(key.view(np.int64), full)]
             bits.append(packed)
         bits = np.concatenate(bits) if bits else np.zeros((0, 2), dtype=np.int64)
+        text.release()
         return pa.StructArray.from_arrays(
             [pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
              pa.array(bits[:, 0]), pa.array(bits[:, 1])], names=[f.name for f in _FEATURES])

@@ -94,7 +94,6 @@ def _words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         hashes.append(text.hash_words(words)[code])
         rows.append((row + first).astype(np.int32))
         first += piece.num_rows
-    pa.default_memory_pool().release_unused()
     g, code = np.unique(np.concatenate([*hashes, [END]]).astype(np.uint64), return_inverse=True)
     return g, code[:-1], np.concatenate(rows) if rows else np.zeros(0, np.int32)
 
@@ -132,6 +131,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Recor
                 pa.array([(TaskContext.get().partitionId() << 32) + n]), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                 pa.array([_small(train)]), pa.array([_small(lens)]), pa.array([_small(codes)]), pa.array([int(end)]),
                 pa.array([len(g)]), pa.array([g[order].tobytes()]), pa.array([_small(counts)])], names=[c.split()[0] for c in _CHUNK.split(", ")])
+            del g, code, row, codes, is_word, counts
+            text.release()
             n += 1
 
 
@@ -168,6 +169,8 @@ def _send_pairs(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.R
                     yield pa.record_batch([pa.array([s]), pa.array([r["chunk"]]), pa.array([vocab[a:b].tobytes()]), pa.array([_small(counts[a:b])]),
                                            pa.array([_small(runs[a:b])]), pa.array([_six(word[own])], pa.binary()), pa.array([_small(seen[own])])],
                                           names=[c.split()[0] for c in _SENT.split(", ")])
+            del uniq, word, seen
+            text.release()
 
 
 # rows of a shard: kind, the shard (or chunk) they are for, the shard they are from, packed lists, sums
@@ -230,6 +233,8 @@ def _add_up(shards: int):
                     "x": float(len(one)), "y": float((count == 2).sum())})
         out += _by_word(shard, word[one], np.ones(len(one)), "single", shards)
         out += _by_word(shard, word[f], np.ones(len(f)), "tables", shards)
+        del rows, slices, inverse, context, word, seen, first, pair, count, status, number
+        text.release()
         return _rows(out)
 
     return run
@@ -391,6 +396,8 @@ def _score(n: int, v: int, theta: float, n_samples: int):
         score = np.add.reduceat(np.log10(p)[inverse], start)
         known = np.add.reduceat((total > 0)[codes].astype(np.int64), start)
         base = np.add.reduceat(np.log10((total + 1) / (n + v + 1))[codes], start)
+        del rows, root, weight, value, codes, uniq, inverse, context, word, p
+        text.release()
         return pa.table({"doc_id": pa.array(r["ids"], pa.int64()), "held_out": pa.array(_large(r["train"]) == 0), "n_tokens": lens,
                          "n_known": known, "train_tokens": np.full(len(lens), n), "base_score": base, "score": score})
 

@@ -312,7 +312,7 @@ def encode_rows(df: DataFrame, text_col: str = "text", keep: list[str] | None =
             for part in text.slices(batch, "_text", 8 << 20):
                 ids, *rest = own.encode(part.column("_text"))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, *map(pa.array, rest)], names=[*keep, *names])
-            pa.default_memory_pool().release_unused()
+            text.release()
 
     return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
