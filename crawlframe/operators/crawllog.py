@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import col_of
+from ..functions.common import col_of, once
 from ..functions.digest import content_digest
 from ..functions.timefmt import format_fetch_time, format_log_ts
 from ..functions.urls import url_host
@@ -169,11 +169,11 @@ def parse_h3_line(lines: DataFrame, line_col: str = "line"):
     status or size that is neither '-' nor readable, go to ``bad``. Times are
     read with and without fractional seconds (writers drop zero microseconds).
     """
-    df = lines.withColumn("_p", F.split(F.col(line_col), " ", -1))
+    df = lines.select("*", once(F.split(F.col(line_col), " ", -1)).alias("_p"))
     g = lambda i: F.get("_p", F.lit(i - 1))
     time = F.when(g(1).rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,6})?$"), g(1).try_cast("timestamp_ntz"))
     number = lambda i, kind: F.when(g(i).rlike(r"^-?\d+$"), g(i).try_cast(kind))
-    df = df.withColumn("_v", F.struct(time.alias("ts"), number(2, "int").alias("status"), number(3, "bigint").alias("size")))
+    df = df.select("*", once(F.struct(time.alias("ts"), number(2, "int").alias("status"), number(3, "bigint").alias("size"))).alias("_v"))
     readable = [(1, "ts"), (2, "status"), (3, "size")]
     ok = F.size("_p") == H3_FIELDS
     for i, name in readable:

@@ -165,6 +165,36 @@ def t18_bad_h3(spark, sf_dir):
     return bad
 
 
+# The lines as a careless writer leaves them: every 5th without fraction of a second, every 7th with a status that is no
+# number, every 11th with an impossible date, every 13th cut short.
+_ODD_KIND = """CASE WHEN page_id % 13 = 0 THEN 'cut' WHEN page_id % 11 = 0 THEN 'date' WHEN page_id % 7 = 0 THEN 'status'
+     WHEN page_id % 5 = 0 THEN 'second' ELSE 'plain' END"""
+
+
+def _odd_lines(spark, sf_dir):
+    line, kind = F.col("line"), F.expr(_ODD_KIND)
+    odd = (F.when(kind == "cut", F.substring_index(line, " ", 5))
+           .when(kind == "date", F.concat(F.lit("2024-02-31T00:00:00.000000"), F.substr(line, F.instr(line, " "))))
+           .when(kind == "status", F.regexp_replace(line, r"^(\S+) (\S+)", r"$1 2x$2"))
+           .when(kind == "second", F.regexp_replace(line, r"^([^ .]+)\.\d+", "$1")).otherwise(line))
+    return C.to_h3_line(all_outcomes_log(spark, sf_dir), keep=["page_id"]).withColumn("line", odd)
+
+
+@register("t18_parse_odd_lines", f"""
+SELECT page_id, CASE WHEN {_ODD_KIND} = 'second' THEN date_trunc('second', timestamp) ELSE timestamp END AS timestamp,
+       status_code, CAST(content_length AS BIGINT) AS content_length
+FROM ({ALL_LOG}) WHERE {_ODD_KIND} IN ('plain', 'second') AND len(string_split({_H3}, ' ')) = 12""")
+def t18_parse_odd_lines(spark, sf_dir):
+    return C.parse_h3_line(_odd_lines(spark, sf_dir))[0].select("page_id", "timestamp", "status_code", "content_length")
+
+
+@register("t18_bad_odd_lines", f"""
+SELECT page_id, {_ODD_KIND} AS kind FROM ({ALL_LOG})
+WHERE {_ODD_KIND} IN ('cut', 'date', 'status') OR len(string_split({_H3}, ' ')) <> 12""")
+def t18_bad_odd_lines(spark, sf_dir):
+    return C.parse_h3_line(_odd_lines(spark, sf_dir))[1].select("page_id", F.expr(_ODD_KIND).alias("kind"))
+
+
 @register("j2_all_outcomes", f"SELECT {', '.join(LOG_COLS)} FROM ({ALL_LOG})")
 def j2_all_outcomes(spark, sf_dir):
     return all_outcomes_log(spark, sf_dir).select(*LOG_COLS)
@@ -190,6 +220,17 @@ def k1_crawl_log_lines(spark, sf_dir):
     return crawl_log_partitions(all_outcomes_log(spark, sf_dir))
 
 
+@register("k1_written_log", f"""
+SELECT CAST(timestamp AS DATE) AS log_date, {_H3} AS line FROM ({ALL_LOG})""")
+def k1_written_log(spark, sf_dir):
+    """The files that the sink wrote, read back."""
+    from ..session import scratch_path
+    from ..sinks.files import write_crawl_log
+    path = scratch_path(spark, "crawl-log")
+    write_crawl_log(all_outcomes_log(spark, sf_dir), path)
+    return spark.read.text(path).select(F.col("log_date").cast("date").alias("log_date"), F.col("value").alias("line"))
+
+
 def _item_json_sql() -> str:
     from ..sinks.files import ITEM_LINE_ORDER, NUMERIC_FIELDS
     parts = []

@@ -58,3 +58,19 @@ def test_sinks(spark):
     write_items_jsonl(items_feed(log), items)
     j = spark.read.json(items)
     assert j.count() == items_feed(log).count() and "content_digest" in j.columns
+
+
+def test_crawl_log_of_one_hot_day_is_several_files(spark, tmp_path):
+    from crawlframe.sinks.files import crawl_log_partitions, write_crawl_log
+    log = spark.range(60_000).select(
+        F.lit("2024-01-02T03:04:05").cast("timestamp_ntz").alias("timestamp"), F.lit(200).alias("status_code"), F.lit(1).alias("content_length"),
+        F.concat(F.lit("http://h/"), F.sha2(F.col("id").cast("string"), 256)).alias("url"), *[F.lit("-").alias(c) for c in (
+            "hop_path", "via", "mimetype", "thread", "start_time_plus_duration", "content_digest", "seed", "annotations")])
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        write_crawl_log(log.repartition(6), str(tmp_path / "log"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    (day,) = [p for p in (tmp_path / "log").iterdir() if p.name == "log_date=2024-01-02"]
+    assert len(list(day.glob("*.txt"))) > 1
+    assert spark.read.text(str(tmp_path / "log")).count() == crawl_log_partitions(log).count() == 60_000
