@@ -39,7 +39,7 @@ from crawlframe.llm import text
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6  # fixed values of the model format
-CACHED_UNITS = 300_000  # bounds memory only
+CACHED_UNITS = 200_000  # bounds memory only
 _NEVER = float("-inf")
 
 
@@ -123,7 +123,7 @@ class Segmenter:
         key = (a << 32) | b
         ok = self.follows.get(key)
         if ok is None:
-            if len(self.follows) >= 500_000:
+            if len(self.follows) >= 300_000:
                 self.follows.clear()
             ok = self.follows[key] = self._merged(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
         return ok
@@ -309,7 +309,7 @@ def encode_rows(df: DataFrame, text_col: str = "text", keep: list[str] | None =
     def run(batches):
         own = _segmenter(shared)
         for batch in batches:
-            for part in text.slices(batch, "_text", 8 << 20):
+            for part in text.slices(batch, "_text", 4 << 20):
                 ids, *rest = own.encode(part.column("_text"))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, *map(pa.array, rest)], names=[*keep, *names])
             text.release()
