@@ -83,5 +83,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_near_duplicates": neardup.oracle_sql(),
+    "op6_warc": warc.oracle_sql(),
     "op7_line_dedup": linedup.oracle_sql(),
 }

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from crawlframe.llm.components import _written
 from crawlframe.llm.text import bound_batches
+from crawlframe.plans.sqlgen import base32_sha1 as base32_sha1_sql
 from crawlframe.session import scratch_path
 
 VERSION = b"WARC/1.1"
@@ -265,3 +266,12 @@ _SCHEMA = pa.schema([("path", pa.string()), ("position", pa.int64()), ("record_t
 def archive_folder(spark: SparkSession) -> str:
     """A new folder under the shared checkpoint folder."""
     return scratch_path(spark, "warc")
+
+
+def oracle_sql() -> str:
+    """What the archives of ``pages`` must hold, in DuckDB."""
+    payload = "coalesce(html, '')"
+    return f"""
+SELECT page_id, CAST(strlen({payload}) AS BIGINT) AS payload_bytes, {base32_sha1_sql(payload)} AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM (SELECT page_id, html, min(page_id) OVER (PARTITION BY {payload}) AS first FROM pages)"""
