@@ -63,16 +63,14 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     full = np.flatnonzero(row[: max(0, len(row) - size + 1)] == row[size - 1:])
     rows.append(row[full])
     hashes.append(chain(full, size))
-    order = None
     for n in range(1, size):
         few = np.flatnonzero(count == n)
         if len(few):
             rows.append(few)
             hashes.append(chain(start[few], n))
     rows, hashes = np.concatenate(rows), np.concatenate(hashes)
-    if size > 1:
-        order = np.argsort(rows, kind="stable")
-        rows, hashes = rows[order], hashes[order]
+    order = np.argsort(rows, kind="stable")
+    rows, hashes = rows[order], hashes[order]
     bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
     return [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
 
@@ -309,7 +307,8 @@ def oracle_sql(percent: int = 80) -> str:
     return rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                   '[ 	-]+'), lambda x: x <> '') AS ws FROM documents),
+                                                   '[ 	-
+]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))
                                  ELSE ws END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
