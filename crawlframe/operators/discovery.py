@@ -156,8 +156,9 @@ def discovery_paths(spark: SparkSession, seeds: DataFrame, edges: DataFrame, max
         level, rows = persist(level, 0)
         hubs = e.groupBy("url").count().where(F.col("count") > hub_edges) \
             .select("url", F.ceil(F.col("count") / hub_edges).cast("int").alias("_parts"))
-        hubs.write.parquet(f"{root}/hubs")
-        hubs = spark.read.parquet(f"{root}/hubs")
+        found = Observation()
+        hubs.observe(found, F.count(F.lit(1)).alias("n")).write.parquet(f"{root}/hubs")
+        hubs = spark.read.schema("url string, _parts int").parquet(f"{root}/hubs")
         salt = F.pmod(F.xxhash64("child_url"), F.coalesce("_parts", F.lit(1))).cast("int").alias("_salt")
         e.join(hubs, "url", "left").select("url", salt, "child_url", "hop").write.mode("overwrite") \
             .bucketBy(n_buckets, "url", "_salt").sortBy("url").option("path", f"{root}/edges").saveAsTable(edge_table)
@@ -165,8 +166,11 @@ def discovery_paths(spark: SparkSession, seeds: DataFrame, edges: DataFrame, max
         depth = 0
         while rows and (max_hops is None or depth < max_hops):
             depth += 1
-            parts = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_salt")
-            front = level.join(hubs, "url", "left").select(*level.columns, parts)
+            if found.get["n"]:
+                parts = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_salt")
+                front = level.join(hubs, "url", "left").select(*level.columns, parts)
+            else:  # every edge has salt 0
+                front = level.withColumn("_salt", F.lit(0))
             cand = front.join(e, ["url", "_salt"]).select(
                 F.col("child_url").alias("url"),
                 F.struct(F.concat("hop_path", "hop").alias("hop_path"), F.col("url").alias("via"),

@@ -39,3 +39,15 @@ def test_paths_with_cycles(spark):
     got = {r.url: (r.depth, r.hop_path, r.via, r.seed) for r in D.discovery_paths(spark, seeds, edges).collect()}
     assert got == {"a": (0, "", None, "a"), "b": (1, "L", "a", "a"), "c": (1, "E", "a", "a"), "d": (2, "EL", "c", "a")}
     assert D.limit_hop_path(D.discovery_paths(spark, seeds, edges), 1).count() == 3
+
+
+def test_paths_through_a_hub_in_salted_parts(spark):
+    from crawlframe.operators.discovery import discovery_paths
+    edges = [("s", "hub", "L")] + [("hub", f"c{k}", "E") for k in range(300)] + [(f"c{k}", f"d{k}", None) for k in range(300)]
+    e = spark.createDataFrame(edges, "parent_url string, child_url string, hop string")
+    seeds = spark.createDataFrame([("s", {"a": 1})], "url string, extra map<string,int>")
+    for size in (20, 100_000):
+        got = {r.url: (r.depth, r.hop_path, r.via, r.extra) for r in discovery_paths(spark, seeds, e, carry=("extra",), hub_edges=size).collect()}
+        assert len(got) == 602 and got["c299"] == (2, "LE", "hub", {"a": 1}) and got["d7"] == (3, "LEL", "c7", {"a": 1})
+    assert {r.url for r in discovery_paths(spark, seeds, e, max_hops=1).collect()} == {"s", "hub"}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("crawlframe_")]
