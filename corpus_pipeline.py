@@ -58,8 +58,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
-    encoded = docs.select("doc_id", "lang", "source", sentencepiece.encode(spark, "text").alias("e"))
-    return encoded.select("doc_id", "lang", "source", "e.ids", F.size("e.ids").cast("long").alias("n_tokens"), "e.exact")
+    encoded = sentencepiece.encode_rows(docs.select("doc_id", "lang", "source", "text"))
+    return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "exact")
 
 
 STAGES = [
