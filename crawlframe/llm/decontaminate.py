@@ -8,7 +8,8 @@
   largest impacts sum to less than the threshold in every group can reach no chunk and is passed over (WAND's bound,
   taken for all passages of a batch at once); the others run block-max WAND, which returns all chunks at or above the
   threshold.
-* A retrieved item is a leak if enough of the 3-word sequences of both its question and its answer stand in the text.
+* A retrieved item is a leak if enough of the 3-word sequences of both its question and its answer stand in the text;
+  a part of one or two words is one sequence of that length.
 
 Words are white-space separated, lower-cased, with everything but letters and digits removed; a word without any is
 skipped. The answer is what follows a marker ``answer:`` or ``a:`` on its own, else the last sentence, else the last
@@ -89,6 +90,12 @@ def _hashes(part: str) -> np.ndarray:
     return text.hash_words(words)[code] if len(code) else np.zeros(0, dtype=np.uint64)
 
 
+def _part(part: str) -> tuple[int, np.ndarray]:
+    """Words per sequence of a question or answer, and the hashes of its distinct sequences."""
+    h = _hashes(part)
+    return min(GRAM, len(h)), np.unique(grams(h))
+
+
 @dataclass
 class Index:
     terms: pa.Array
@@ -101,7 +108,7 @@ class Index:
     group_top: np.ndarray  # largest impact per term and group of chunks
     item_of: np.ndarray  # item position by chunk
     item_ids: list
-    question: list  # gram hashes
+    question: list  # (words per sequence, hashes)
     answer: list
 
 
@@ -110,8 +117,8 @@ def build(items: list[tuple], df: dict[str, int], n_chunks: int, mean: float) ->
     rows, lengths, item_of, question, answer = [], [], [], [], []
     for k, (_, item) in enumerate(items):
         q, a = question_and_answer(item)
-        question.append(np.unique(grams(_hashes(q))))
-        answer.append(np.unique(grams(_hashes(a))))
+        question.append(_part(q))
+        answer.append(_part(a))
         for words in chunks(item):
             for w, tf in pd.Series(words).value_counts().items():
                 rows.append((w, len(lengths), tf))
@@ -230,14 +237,17 @@ def search(index: Index, texts: pa.Array, threshold: float) -> list[tuple[int, i
         for c, score in wand(index, query, threshold):
             key = (int(r), int(index.item_of[c]))
             best[key] = max(best.get(key, 0.0), score)
-    out, hashes, held = [], None, (-1, None)
+    out, hashes, held = [], None, (-1, None, {})
     for (r, item), score in sorted(best.items()):
         if hashes is None:
             hashes = text.hash_words(words)
         if held[0] != r:
             end = begin[r + 1] if r + 1 < len(texts) else len(row)
-            held = (r, grams(hashes[code[begin[r]:end]]))
-        q, a = (float(np.isin(g, held[1]).mean()) if len(g) else 1.0 for g in (index.question[item], index.answer[item]))
+            held = (r, hashes[code[begin[r]:end]], {})
+        for n, _ in (index.question[item], index.answer[item]):
+            if n not in held[2]:
+                held[2][n] = grams(held[1], n)
+        q, a = (float(np.isin(g, held[2][n]).mean()) if len(g) else 1.0 for n, g in (index.question[item], index.answer[item]))
         out.append((r, item, score, q, a))
     return out
 

@@ -67,6 +67,20 @@ def test_planted_items_are_found_and_clean_texts_left_alone(spark, documents):
         assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
 
 
+def test_planted_short_questions_and_answers_are_found(spark, documents):
+    long = " ".join(f"w{k}" for k in range(12))
+    items = [(1, f"{long} one? Answer: 42"), (2, f"{long} two? Forty two."), (3, f"Why? {long} three"), (4, f"Why so? {long} four"),
+             (5, f"{long} five? Answer: Ñ."), (6, "Who? Him.")]
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(i, f"{other} {t} {other}") for i, t in items] + [(10, f"{other} {long} one? Answer: 43"), (11, f"{long} two? Two forty."), (12, "42")]
+    want = {(i, i) for i, _ in items}
+    for shard_bytes in (dc.SHARD_BYTES, 100):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        got = {(r.doc_id, r.item_id) for r in dc.matches(documents(rows), bench, shard_bytes=shard_bytes).where("leaked").collect()}
+        assert want <= got and not {d for d, _ in got} & {12}
+        assert (10, 1) not in got and (11, 2) not in got
+
+
 def test_empty_tables(spark, documents):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert dc.matches(documents([(1, "a b c")]), bench).count() == 0
