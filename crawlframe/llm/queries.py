@@ -54,6 +54,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.remove_spread_lines(docs).drop("source")
 
 
+def op7_line_dedup_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return linedup.remove_spread_lines(docs, by_words=linedup.BY_WORDS).drop("source")
+
+
 def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_warc": op6_warc,
     "op7_line_dedup": op7_line_dedup,
+    "op7_line_dedup_by_words": op7_line_dedup_by_words,
     "op8_extraction": op8_extraction,
     "op9_language_id": op9_language_id,
     "op10_nearest": op10_nearest,
@@ -86,4 +92,5 @@ ORACLES: dict[str, str] = {
     "op5_near_duplicates": neardup.oracle_sql(),
     "op6_warc": warc.oracle_sql(),
     "op7_line_dedup": linedup.oracle_sql(),
+    "op7_line_dedup_by_words": linedup.oracle_sql_by_words(),
 }

@@ -57,6 +57,22 @@ def test_all_occurrences_and_odd_tables(spark, documents):
     assert linedup.remove_spread_lines(documents([])).count() == 0
 
 
+def test_required_spread_falls_with_length(spark, documents):
+    words = lambda name, n: " ".join([name] * n)
+    rule = {n: next(s for w, s in reversed(linedup.BY_WORDS) if n >= w) for n in (1, 2, 3, 9, 10, 19, 20, 49, 50, 80)}
+    rows, want = [], {}
+    for n, sites in rule.items():
+        for spread in (sites - 1, sites):
+            for k in range(spread):
+                rows.append((len(rows), f"{words(f'line{n}of{spread}', n)}\n", None, f"s{k}"))
+                want[rows[-1][0]] = int(spread == sites and k > 0)
+    docs = documents(rows)
+    got = {r.doc_id: r.n_removed for r in linedup.remove_spread_lines(docs, by_words=linedup.BY_WORDS).collect()}
+    assert got == want
+    few = {r.doc_id: r.n_removed for r in linedup.remove_spread_lines(docs).collect()}
+    assert sum(few.values()) < sum(want.values())
+
+
 def test_main_path_is_native(spark, documents, capsys):
     linedup.remove_spread_lines(documents(made())).explain()
     assert not any(w in capsys.readouterr().out for w in ("Python", "Arrow", "Pandas"))
