@@ -1,11 +1,12 @@
-"""The registered queries of the operators in this subpackage (op1_ to op10_) and their DuckDB SQL."""
+"""The registered queries of the operators in this subpackage (op1_ to op13_) and their DuckDB SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm import ann, classify, decontaminate, extract, linedup, neardup, pitman_yor, sentencepiece, warc
+from crawlframe.llm import (
+    ann, classify, decontaminate, exactdup, extract, linedup, neardup, pitman_yor, sentencepiece, spelling, tokenpairs, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +75,19 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(_table(spark, sf_dir, "documents"), typo_every=199)
+    return spelling.variants(words)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenpairs.alignment(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
@@ -86,6 +100,9 @@ QUERIES = {
     "op8_extraction": op8_extraction,
     "op9_language_id": op9_language_id,
     "op10_nearest": op10_nearest,
+    "op11_spelling": op11_spelling,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
@@ -93,4 +110,6 @@ ORACLES: dict[str, str] = {
     "op6_warc": warc.oracle_sql(),
     "op7_line_dedup": linedup.oracle_sql(),
     "op7_line_dedup_by_words": linedup.oracle_sql_by_words(),
+    "op11_spelling": spelling.oracle_sql(),
+    "op12_exact_dedup": exactdup.oracle_sql(),
 }
