@@ -30,4 +30,4 @@ def register(name: str, sql: str | None = None):
 
 
 # The catalog modules register themselves on import.
-from . import q_links, q_crawllog, q_discovery, q_frontier, q_events, q_captures  # noqa: E402,F401
+from . import q_links, q_crawllog, q_discovery, q_frontier, q_events, q_captures, q_store  # noqa: E402,F401

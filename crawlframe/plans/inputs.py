@@ -208,3 +208,16 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(spider_log_key(F.col("type"), hfp).alias("key"), cut.cast("binary").alias("value"),
                     (F.col("user_id") % 2).cast("int").alias("partition"), F.col("event_id").alias("offset"),
                     F.col("ts").alias("ts"))
+
+
+# -------------------------------------------------------------------- feeds
+def feed_in_order(spark: SparkSession, df: DataFrame, order_col: str, parts: int) -> str:
+    """``df`` as a folder of files that arrive in order of ``order_col``, in ``parts`` steps (stands in for a live feed)."""
+    from ..session import scratch_path
+    path, staged = scratch_path(spark, "feed"), scratch_path(spark, "feed-parts")
+    ranged = df.repartitionByRange(parts, order_col).withColumn("_part", F.spark_partition_id())
+    ranged.write.partitionBy("_part").parquet(staged)
+    for k in range(parts):  # each reads its own folder only
+        part = spark.read.parquet(staged).where(F.col("_part") == k)
+        part.drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return path

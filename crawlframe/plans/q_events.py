@@ -183,17 +183,6 @@ def a4_carried_stats(spark, sf_dir):
     return S.carried_stats(_odd(spark, sf_dir)[0])
 
 
-@register("k4_spider_log_values", f"""
-SELECT event_id AS offset, CASE type
-  WHEN 'offset' THEN '{{"type":"offset","partition_id":' || user_id % 2 || ',"offset":' || event_id || '}}'
-  WHEN 'request_error' THEN '{{"type":"request_error","r":{{"url":"' || url || '","method":"GET","headers":{{}},"cookies":{{}},"meta":{{"domain":{{"fingerprint":"'
-       || sha1(host) || '"}}}}}},"error":"err' || event_id % 4 || '"}}' END AS value
-FROM ({GOOD}) WHERE type IN ('offset', 'request_error')""")
-def k4_spider_log_values(spark, sf_dir):
-    m = I.messages(spark, sf_dir).where("offset % 97 != 0").select("offset", F.col("value").cast("string").alias("value"))
-    return m.where(F.get_json_object("value", "$.type").isin("offset", "request_error"))
-
-
 # Bare requests on the feed: the request part of every message, every 97th cut.
 def _request_feed(spark, sf_dir):
     r = I.event_rows(spark, sf_dir)
@@ -301,43 +290,52 @@ def j5_apply_events(spark, sf_dir):
     return Q.apply_event_facts(None, facts).drop("error_at")
 
 
+def j5_batches_sql(batch: str, base: str | None = None) -> str:
+    """Metadata after batches of facts, numbered by the expression ``batch`` in the order they come. The first batch that
+    names a URL which ``base`` does not know creates it, by that batch's own facts; later ones change its fetch and error."""
+    base = base or "SELECT NULL::VARCHAR AS fingerprint, NULL::VARCHAR AS url, NULL AS depth, NULL::DOUBLE AS score, NULL::TIMESTAMP AS created_at, " \
+        "NULL::TIMESTAMP AS fetched_at, NULL::INTEGER AS status_code WHERE FALSE"
+    status = "CAST(CASE WHEN CAST(floor(value) AS BIGINT) % 5 = 0 THEN 500 ELSE 200 END AS INTEGER)"
+    return f"""
+WITH b AS ({base}),
+f AS (SELECT {_FPX('url')} AS fingerprint, 'link' AS kind, url, NULL::INTEGER AS status, NULL::VARCHAR AS error, ts FROM ({LINKS_SQL})
+      UNION ALL SELECT {_FPX('url')}, 'crawl', url, {status}, NULL, ts FROM ({GOOD}) WHERE type = 'page_crawled'
+      UNION ALL SELECT {_FPX('url')}, 'error', url, NULL, 'err' || CAST(event_id % 4 AS VARCHAR), ts FROM ({GOOD}) WHERE type = 'request_error'),
+n AS (SELECT *, {batch} AS batch FROM f),
+first AS (SELECT fingerprint, min(batch) AS batch FROM n GROUP BY fingerprint),
+made AS (SELECT fingerprint,
+    coalesce(arg_min(url, (ts, url)) FILTER (kind = 'link'), arg_max(url, (ts, status, url)) FILTER (kind = 'crawl'), arg_max(url, (ts, error, url)) FILTER (kind = 'error')) AS url,
+    CASE WHEN bool_or(kind = 'link') THEN 1 ELSE 0 END AS depth,
+    coalesce(min(ts) FILTER (kind = 'link'), max(ts) FILTER (kind = 'crawl'), max(ts) FILTER (kind = 'error')) AS created_at
+  FROM n JOIN first USING (fingerprint, batch) GROUP BY fingerprint),
+latest AS (SELECT fingerprint, max(ts) FILTER (kind = 'crawl') AS crawl_at, arg_max(status, (ts, status)) FILTER (kind = 'crawl') AS status,
+    max(ts) FILTER (kind = 'error') AS error_at, arg_max(error, (ts, error)) FILTER (kind = 'error') AS error FROM n GROUP BY fingerprint),
+j AS (SELECT coalesce(b.fingerprint, made.fingerprint) AS fingerprint, coalesce(b.url, made.url) AS url, coalesce(b.depth, made.depth) AS depth, b.score,
+    coalesce(b.created_at, made.created_at) AS created_at,
+    CASE WHEN crawl_at IS NULL OR b.fetched_at > crawl_at THEN b.fetched_at ELSE crawl_at END AS fetched_at,
+    CASE WHEN crawl_at IS NULL OR b.fetched_at > crawl_at THEN b.status_code ELSE status END AS status_code, error_at, error
+  FROM b FULL OUTER JOIN made USING (fingerprint) LEFT JOIN latest ON latest.fingerprint = coalesce(b.fingerprint, made.fingerprint))
+SELECT fingerprint, url, CAST(depth AS INTEGER) AS depth{', score' if 'WHERE FALSE' not in base else ''}, created_at, fetched_at, CAST(status_code AS INTEGER) AS status_code,
+       CASE WHEN fetched_at IS NULL OR error_at >= fetched_at THEN error END AS error
+FROM j"""
+
+
 # A table that knows the URL of every third event, with a score and a fetch in the middle of the period; then the
 # events in two batches out of order: first the later two thirds, then all (the overlap counts once).
 MID = "2024-01-16 00:00:00"
-J5_MERGE_SQL = f"""
-WITH b AS (SELECT DISTINCT {_FPX('url')} AS fingerprint, url, CAST(user_id % 10 AS DOUBLE) AS score FROM ({GOOD}) WHERE user_id % 3 = 0 AND type <> 'offset'),
-ev AS ({J5_SQL}),
-raw_c AS (SELECT {_FPX('url')} AS fingerprint, max(ts) AS ts FROM ({GOOD}) WHERE type = 'page_crawled' GROUP BY 1),
-raw_e AS (SELECT {_FPX('url')} AS fingerprint, max(ts) AS ts, arg_max('err' || CAST(event_id % 4 AS VARCHAR), ts) AS error
-          FROM ({GOOD}) WHERE type = 'request_error' GROUP BY 1),
-m AS (SELECT coalesce(b.fingerprint, ev.fingerprint) AS fingerprint, coalesce(b.url, ev.url) AS url,
-             CASE WHEN b.fingerprint IS NOT NULL THEN 5 ELSE ev.depth END AS depth, b.score,
-             CASE WHEN b.fingerprint IS NOT NULL THEN TIMESTAMP '2024-01-01 00:00:00' ELSE ev.created_at END AS created_at,
-             CASE WHEN b.fingerprint IS NOT NULL AND (raw_c.ts IS NULL OR raw_c.ts < TIMESTAMP '{MID}') THEN TIMESTAMP '{MID}' ELSE raw_c.ts END AS fetched_at,
-             CASE WHEN b.fingerprint IS NOT NULL AND (raw_c.ts IS NULL OR raw_c.ts < TIMESTAMP '{MID}') THEN 299 ELSE ev.status_code END AS status_code,
-             raw_e.ts AS error_at, raw_e.error AS err
-      FROM b FULL OUTER JOIN ev ON b.fingerprint = ev.fingerprint
-      LEFT JOIN raw_c ON coalesce(b.fingerprint, ev.fingerprint) = raw_c.fingerprint
-      LEFT JOIN raw_e ON coalesce(b.fingerprint, ev.fingerprint) = raw_e.fingerprint)
-SELECT fingerprint, url, CAST(depth AS INTEGER) AS depth, score, created_at, fetched_at, CAST(status_code AS INTEGER) AS status_code,
-       CASE WHEN fetched_at IS NULL OR error_at >= fetched_at THEN err END AS error
-FROM m"""
-
-
-@register("j5_two_batches", J5_MERGE_SQL)
+LATER = "2024-01-10"
+_BASE_SQL = f"""SELECT DISTINCT {_FPX('url')} AS fingerprint, url, 5 AS depth, CAST(user_id % 10 AS DOUBLE) AS score, TIMESTAMP '2024-01-01 00:00:00' AS created_at,
+       TIMESTAMP '{MID}' AS fetched_at, 299 AS status_code FROM ({GOOD}) WHERE user_id % 3 = 0 AND type <> 'offset'"""
+
+
+@register("j5_two_batches", j5_batches_sql(f"(CASE WHEN ts >= TIMESTAMP '{LATER}' THEN 0 ELSE 1 END)", _BASE_SQL))
 def j5_two_batches(spark, sf_dir):
-    d = decoded(spark, sf_dir)
-    facts = S.event_facts(d, url_fingerprint).where(F.col("kind") != "queued")
+    facts = S.event_facts(decoded(spark, sf_dir), url_fingerprint).where(F.col("kind") != "queued")
     base = I.event_rows(spark, sf_dir).where("event_id % 97 != 0 and user_id % 3 = 0 and type != 'offset'").select(
         _fp("url").alias("fingerprint"), "url", (F.col("user_id") % 10).cast("double").alias("score")).distinct().select(
         "*", F.lit(5).alias("depth"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"),
         F.lit(MID).cast("timestamp_ntz").alias("fetched_at"), F.lit(299).alias("status_code"), F.lit(None).cast("string").alias("error"))
-    # a link's first sight is the earliest of the batch that brings it, so links come with the second batch only
-    later = facts.where((F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")) & (F.col("kind") != "link"))
-    first = Q.apply_event_facts(base, later)
-    known = base.select("fingerprint")
-    # URLs that only the first batch brought are created by it; the oracle creates every unknown URL from all events
-    first = first.join(known, "fingerprint", "left_semi")
+    first = Q.apply_event_facts(base, facts.where(F.col("ts") >= F.lit(LATER).cast("timestamp_ntz")))
     return Q.apply_event_facts(first, facts).select("fingerprint", "url", "depth", "score", "created_at", "fetched_at",
                                                     "status_code", "error")
 
@@ -402,8 +400,7 @@ def f9_queue_appended(spark, sf_dir):
 
 # ---------------------------------------------------------------- streaming
 def _message_stream(spark, sf_dir, n_files: int, per_trigger: int | None):
-    from ..streaming.jobs import write_message_files
-    path = write_message_files(spark, I.messages(spark, sf_dir), n_files)
+    path = I.feed_in_order(spark, I.messages(spark, sf_dir), "offset", n_files)
     schema = spark.read.parquet(path).schema
     return S.read_messages(spark, path, schema=schema, max_files_per_trigger=per_trigger)
 

@@ -37,13 +37,16 @@ def stream_crawl_stats(decoded: DataFrame, out_path: str, checkpoint: str, inter
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = spark.read.parquet(out_path).where(F.col("batch_id") < batch_id).agg(F.max("max_ts")).first()[0]
+        earlier = spark.read.parquet(f"{out_path}-newest/batch_id={batch_id - 1}").first()[0]
         ts = F.col("ts").cast("timestamp")
         limit = F.lit(earlier).cast("timestamp") - F.expr(f"INTERVAL {late_after}")
         counts = batch.groupBy(F.window(ts, interval).alias("w"), "type").agg(
             F.count(F.lit(1)).alias("n_events"), F.count_if(F.coalesce(ts < limit, F.lit(False))).alias("n_late"), F.max(ts).alias("max_ts"))
         counts.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        newest = spark.read.parquet(f"{out_path}/batch_id={batch_id}").agg(F.max("max_ts").alias("ts"))
+        newest.select(F.greatest("ts", F.lit(earlier).cast("timestamp")).alias("ts")).write.mode("overwrite").parquet(f"{out_path}-newest/batch_id={batch_id}")
 
+    decoded.sparkSession.createDataFrame([(None,)], "ts timestamp").write.mode("ignore").parquet(f"{out_path}-newest/batch_id=-1")
     _empty(decoded.sparkSession, out_path,
            "w struct<start:timestamp,end:timestamp>, type string, n_events bigint, n_late bigint, max_ts timestamp")
     return _start(decoded.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step), trigger)
@@ -111,27 +114,57 @@ def read_states(spark: SparkSession, out_path: str) -> DataFrame:
     return df.groupBy("fingerprint").agg(F.max_by("state", "batch_id").cast("smallint").alias("state"))
 
 
+PUSHED_KEYS = 1000  # keys of a micro-batch that may be looked up by value, so that Bloom filters and sorted files prune
+
+
+def seen_store(spark: SparkSession, root: str, key_type: str = "string", key: str = "fingerprint", groups: int = 16, spread: int = 1):
+    """The seen keys: buckets with few sorted files each, newer ones in small generations, older ones compacted."""
+    from ..sinks.store import BucketStore
+
+    return BucketStore(spark, root, {"seen": f"{key} {key_type}"}, key, groups, spread, bloom=True)
+
+
+def read_seen(store, candidates: DataFrame, manifest=None) -> DataFrame:
+    """Of the seen keys, at least those among the (distinct) ``candidates``: their buckets only, and of few
+    candidates only the row groups that may hold them."""
+    known = store.read("seen", store.touched(candidates), manifest)
+    few = candidates.select(store.key).limit(PUSHED_KEYS + 1).collect()
+    if len(few) > PUSHED_KEYS:
+        return known
+    return known.where(F.col(store.key).isin([r[0] for r in few]))
+
+
 def stream_unseen(candidates: DataFrame, seen: DataFrame | None, added_path: str, out_path: str, checkpoint: str,
-                  key: str = "fingerprint", order=("created_at", "url"), trigger: dict | None = None):
-    """J1 continuously: each micro-batch keeps its first row per key and drops
-    keys already seen -- the static seen table plus every key an earlier batch
-    let through (a stream-static anti-join against the whole, unbounded seen
-    set, never a watermark). Survivors are written under ``batch_id=N`` and
-    their keys appended to ``added_path``; a retried batch ignores its own
-    earlier keys and overwrites its output, so retries are exact."""
+                  key: str = "fingerprint", order=("created_at", "url"), trigger: dict | None = None, groups: int = 16, spread: int = 1):
+    """J1 continuously: each micro-batch keeps its first row per key and drops keys already seen -- the ``seen`` table
+    the store at ``added_path`` was begun with, plus every key an earlier batch let through. The seen set is unbounded,
+    so it is a bucketed store: a micro-batch reads the buckets of its own keys and writes its keys beside them.
+    Survivors are written under ``batch_id=N`` before their keys are published; a retried batch overwrites its output
+    if its keys are not in yet, and leaves it if they are, so retries are exact."""
     from ..operators.frontier import filter_unseen
 
+    spark = candidates.sparkSession
+    store = seen_store(spark, added_path, candidates.schema[key].dataType.simpleString(), key, groups, spread)
+    begun = seen if seen is not None else spark.createDataFrame([], store.tables["seen"])
+    store.update("begun", 0, lambda m: {"seen": store.appended("seen", begun.select(key).distinct(), m)})
+
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = spark.read.parquet(added_path).where(F.col("batch_id") != batch_id).select(key)
-        if seen is not None:
-            known = known.unionByName(seen.select(key))
-        new = filter_unseen(batch, known, key, order)
-        new.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-        spark.read.parquet(f"{out_path}/batch_id={batch_id}").select(key) \
-            .write.mode("overwrite").parquet(f"{added_path}/batch_id={batch_id}")
-
-    _empty(candidates.sparkSession, added_path, candidates.select(key).schema)
+        out = f"{out_path}/batch_id={batch_id}"
+
+        def work(m):
+            staged = scratch_path(spark, "unseen-candidates")
+            filter_unseen(batch, batch.select(key).limit(0), key, order).write.parquet(staged)
+            firsts = spark.read.parquet(staged)
+            firsts.join(read_seen(store, firsts, m), key, "left_anti").write.mode("overwrite").parquet(out)
+            return {"seen": store.appended("seen", spark.read.parquet(out).select(key), m)}
+
+        before = spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold")
+        spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", PUSHED_KEYS)
+        try:
+            store.update("stream", batch_id, work)
+        finally:
+            spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", before)
+
     w = candidates.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
     return _start(w, trigger)
 
@@ -139,23 +172,3 @@ def stream_unseen(candidates: DataFrame, seen: DataFrame | None, added_path: str
 def read_batches(spark: SparkSession, out_path: str) -> DataFrame:
     """All rows a foreachBatch sink wrote, without the batch id."""
     return spark.read.parquet(out_path).drop("batch_id")
-
-
-def write_files_by_day(spark: SparkSession, df: DataFrame, ts_col: str) -> str:
-    """Drop ``df`` as one set of files per day of ``ts_col``, day after day, so
-    a file stream reads them in time order (a stand-in for an arriving feed)."""
-    path, staged = scratch_path(spark, "feed"), scratch_path(spark, "feed-days")
-    df.withColumn("_day", F.to_date(ts_col)).write.partitionBy("_day").parquet(staged)
-    by_day = spark.read.parquet(staged)
-    days = [r[0] for r in by_day.select("_day").distinct().orderBy("_day").collect()]  # folder names: one per day of the span
-    for d in days:  # each reads its own folder only
-        by_day.where(F.col("_day").eqNullSafe(F.lit(d))).drop("_day").write.mode("append").parquet(path)
-    return path
-
-
-def write_message_files(spark: SparkSession, messages: DataFrame, n_files: int, order_col: str = "offset") -> str:
-    """Drop messages as ``n_files`` parquet files in offset order under the
-    shared checkpoint folder (a stand-in for a topic in tests and local runs)."""
-    path = scratch_path(spark, "messages")
-    messages.repartitionByRange(n_files, order_col).write.parquet(path)
-    return path

@@ -70,18 +70,26 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "parquet", max_file
     return r.load(path)
 
 
-def read_topic(spark: SparkSession, servers: str, topic: str, partitions=None,
-               max_offsets_per_trigger: int = 2048) -> DataFrame:
-    """S5 on a message bus (needs the Kafka connector on the classpath): one
-    topic, optionally only some partitions, at most N offsets per batch."""
-    r = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-         .option("maxOffsetsPerTrigger", max_offsets_per_trigger))
-    if partitions is None:
-        r = r.option("subscribe", topic)
-    else:
-        import json
-        r = r.option("assign", json.dumps({topic: list(partitions)}))
-    return r.load().select("key", "value", "partition", "offset", "timestamp")
+def read_log(spark: SparkSession, path: str, partitions=None, max_messages: int | None = 2048, starting="earliest") -> DataFrame:
+    """A stream of keyed messages from a message log: all or some partitions, at most N messages per poll, offsets
+    per partition kept in the query's checkpoint."""
+    from ..sources.message_log import MessageLog
+
+    spark.dataSource.register(MessageLog)
+    r = spark.readStream.format("message_log").option("path", path).option("startingOffsets", starting)
+    if partitions is not None:
+        r = r.option("partitions", ",".join(str(p) for p in partitions))
+    if max_messages:
+        r = r.option("maxMessages", max_messages)
+    return r.load()
+
+
+def read_whole_log(spark: SparkSession, path: str) -> DataFrame:
+    """All messages of a log, as a batch."""
+    from ..sources.message_log import MessageLog
+
+    spark.dataSource.register(MessageLog)
+    return spark.read.format("message_log").option("path", path).load()
 
 
 # ------------------------------------------------------------------ decoding
@@ -253,11 +261,17 @@ def spider_log_key(event_type: Column, host_fp: Column) -> Column:
     return F.when(event_type == "offset", F.lit(OFFSET_KEY)).otherwise(host_fp).cast("binary")
 
 
-def write_spider_log(messages: DataFrame, servers: str, topic: str, checkpoint: str):
-    """K4 to a message bus (Kafka connector required): (key, value) rows."""
-    return (messages.select("key", "value").writeStream.format("kafka")
-            .option("kafka.bootstrap.servers", servers).option("topic", topic)
-            .option("checkpointLocation", checkpoint).start())
+def write_spider_log(messages: DataFrame, path: str, checkpoint: str, partitions: int, writer: str = "writer", trigger: dict | None = None):
+    """K4: a stream of messages (key, value, partition, and ``sequence`` to order them by) appended to a message log.
+
+    A partition's messages go through one task of each micro-batch, which keeps them in order; more partitions are
+    more parallel. Each micro-batch comes in whole, and once.
+    """
+    from ..sources.message_log import MessageLog
+
+    messages.sparkSession.dataSource.register(MessageLog)
+    w = messages.repartition(partitions, "partition").writeStream.format("message_log").option("path", path).option("writer", writer)
+    return w.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def event_facts(decoded: DataFrame, fingerprint) -> DataFrame:
