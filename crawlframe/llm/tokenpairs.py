@@ -34,6 +34,7 @@ import json
 import os
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ RUN_DOCS = 100_000
 CHUNK = 1 << 20  # records in one row of a run
 FAN = 64  # segments merged at once
 BLOCK = 1 << 16
-CACHED_UNITS, CACHED_LINKS = 200_000, 2_000_000  # bound memory only
+CACHED_UNITS, CACHED_LINKS = 400_000, 4_000_000  # bound memory only
 MARK = "▁"
 # the characters with the White_Space property
 _STARTS_WITH_SPACE = r"^[\t-\r \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|^$"
@@ -86,13 +87,17 @@ class Pair:
         if (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec.get("normalizer") or not spec["pre_tokenizer"].get("use_regex"):
             raise ValueError("tokenizer A must be a byte-level BPE without normalizer")
         bytes_of = byte_alphabet()
-        self.a_bytes = {i: bytes(bytes_of[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+        self.a_bytes = {i: bytes(bytes_of.get(c, 0) for c in t) for t, i in spec["model"]["vocab"].items()}
         b = self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         self.b_bytes = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else
                         b"" if b.is_control(i) or b.is_unknown(i) else b.id_to_piece(i).replace(MARK, " ").encode() for i in range(len(b))]
         pieces = [b.id_to_piece(i) for i in range(len(b)) if not (b.is_byte(i) or b.is_control(i) or b.is_unknown(i))]
         self.by_words = not any(MARK in p.lstrip(MARK) for p in pieces)
         self.a_bits = max(self.a_bytes).bit_length()
+        a_table = [self.a_bytes.get(i, b"") for i in range(max(self.a_bytes) + 1)]
+        self.a_table, self.b_table = pa.array(a_table, pa.large_binary()), pa.array(self.b_bytes, pa.large_binary())
+        self.a_len, self.b_len = (np.array([len(x) for x in t], dtype=np.int64) for t in (a_table, self.b_bytes))
+        self.signs = pa.array([f"{i}{sign}" for n, signs in ((len(a_table), ",|"), (len(self.b_bytes), ",;")) for sign in signs for i in range(n)], pa.large_string())
         self.radix, self.per_radix = radix, -(-len(b) // radix)
         if self.a_bits + (radix * self.per_radix).bit_length() + RUN_DOCS.bit_length() > 63:
             raise ValueError("the vocabularies are too large")
@@ -109,59 +114,81 @@ class Pair:
     def first_key(self, radix: int) -> int:
         return (radix * self.per_radix) << self.a_bits
 
-    def encode_a(self, units: list[str]) -> list[list[int]]:
-        """Ids of a space and each unit; units of one word share a call."""
-        short = [k for k, u in enumerate(units) if u and " " not in u and len(u) < 200 and not u[0].isspace()]
-        out: list = [None] * len(units)
+    def encode_a(self, short: list[str], long: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, their number per unit) of a space and each unit; short units share calls."""
+        ids, counts = [], []
         for at in range(0, len(short), 1000):
-            part = short[at:at + 1000]
-            ids = self.a.encode_batch_fast(["".join([" " + units[k] for k in part])], add_special_tokens=False)[0].ids
-            first = 0
-            for k in part:
-                left, end = len(units[k].encode()) + 1, first
-                while left > 0:
-                    left -= len(self.a_bytes[ids[end]])
-                    end += 1
-                if left:  # a token across the space: not one that words can share a call with
-                    break
-                out[k] = ids[first:end]
-                first = end
-        for k, u in enumerate(units):
-            if out[k] is None:
-                out[k] = self.a.encode_batch_fast([" " + u], add_special_tokens=False)[0].ids
-        return out
+            part = [" " + u for u in short[at:at + 1000]]
+            own = np.array(self.a.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            stop = np.cumsum(self.a_len[own])
+            ends = np.cumsum(pc.binary_length(pa.array(part)).to_numpy(zero_copy_only=False).astype(np.int64))
+            last = np.searchsorted(stop, ends)
+            if len(stop) and (last < len(stop)).all() and (stop[last] == ends).all():
+                ids.append(own)
+                counts.append(np.diff(last, prepend=-1))
+            else:  # a token across a space: not a tokenizer whose words can share a call
+                long_first = [self.a.encode_batch_fast([u], add_special_tokens=False)[0].ids for u in part]
+                ids += [np.array(x, dtype=np.int64) for x in long_first]
+                counts.append(np.array([len(x) for x in long_first]))
+        for u in long:
+            ids.append(np.array(self.a.encode_batch_fast([" " + u], add_special_tokens=False)[0].ids, dtype=np.int64))
+            counts.append(np.array([len(ids[-1])]))
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(ids or none), np.concatenate(counts or none)
 
     def add(self, units: list[str]) -> None:
-        """Encode and align units that are not in the store."""
-        for unit, a, b in zip(units, self.encode_a(units), self.b.encode(units, num_threads=1)):
-            whole = b" " + unit.encode()
-            self.number[unit] = len(self.groups)
-            a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if not unit or b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
-                self.facts.extend((0, 0, 0, 0, 0))
-                self.groups.append("")
-                continue
-            groups, before, n_groups = [], len(self.links), 0
-            i = j = i0 = j0 = 0
-            end_a, end_b = len(a_bytes[0]), len(b_bytes[0])
-            while True:  # each step ends an A token, a B token or both: one link each
-                self.links.append(self.key(a[i], b[j]))
-                if end_a == end_b:
-                    groups.append(",".join(map(str, a[i0:i + 1])) + "|" + ",".join(map(str, b[j0:j + 1])))
-                    i, j = i + 1, j + 1
-                    i0, j0 = i, j
-                    n_groups += 1
-                    if i == len(a):
-                        break
-                    end_a, end_b = end_a + len(a_bytes[i]), end_b + len(b_bytes[j])
-                elif end_a < end_b:
-                    i += 1
-                    end_a += len(a_bytes[i])
-                else:
-                    j += 1
-                    end_b += len(b_bytes[j])
-            self.facts.extend((1, len(a), len(b), n_groups, len(self.links) - before))
-            self.groups.append(";".join(groups) + ";")
+        """Encode and align units that are not in the store.
+
+        All units lie one after the other on one axis of bytes. Between two neighbouring token ends, of whichever side,
+        lies exactly one pair of overlapping tokens: one link. Groups end where tokens of both sides do.
+        """
+        short = [u for u in units if u and " " not in u and len(u) < 200 and not u[0].isspace()]
+        chosen = set(short)
+        long = [u for u in units if u not in chosen]
+        units = short + long
+        if not units:
+            return
+        for k, u in enumerate(units, len(self.groups)):
+            self.number[u] = k
+        a, n_a = self.encode_a(short, long)
+        b_lists = self.b.encode(units, num_threads=1)
+        n_b = np.fromiter(map(len, b_lists), dtype=np.int64, count=len(units))
+        b = np.fromiter(chain.from_iterable(b_lists), dtype=np.int64, count=int(n_b.sum()))
+        whole = pa.array([" " + u for u in units], pa.large_string())
+        size = pc.binary_length(whole).to_numpy(zero_copy_only=False).astype(np.int64)
+        own_a, own_b = np.repeat(np.arange(len(units)), n_a), np.repeat(np.arange(len(units)), n_b)
+        ok = (size > 1) & (np.bincount(own_a, self.a_len[a], len(units)) == size) & (np.bincount(own_b, self.b_len[b], len(units)) == size)
+        bytes_of = _bytes(whole.filter(pa.array(ok)))
+        unit_ends = np.cumsum(size[ok])
+        for ids, own, table in ((a, own_a, self.a_table), (b, own_b, self.b_table)):  # all of equal length: do they hold the same bytes?
+            off = np.flatnonzero(_bytes(table.take(pa.array(ids[ok[own]]))) != bytes_of)
+            bad = np.flatnonzero(ok)[np.unique(np.searchsorted(unit_ends, off, "right"))]
+            if len(bad):
+                keep = np.ones(len(units), dtype=bool)
+                keep[bad] = False
+                bytes_of = bytes_of[np.repeat(keep[ok], size[ok])]
+                ok &= keep
+                unit_ends = np.cumsum(size[ok])
+        n_a, n_b = n_a * ok, n_b * ok
+        a, b = a[ok[own_a]], b[ok[own_b]]
+        ends_a, ends_b = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        ends, shared = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
+        keys = self.key(a[np.searchsorted(ends_a, ends)], b[np.searchsorted(ends_b, ends)])
+        place = np.flatnonzero(ok)
+        n_links = np.bincount(place[np.searchsorted(unit_ends, ends)], minlength=len(units))
+        n_groups = np.bincount(place[np.searchsorted(unit_ends, shared)], minlength=len(units))
+        self.links.frombytes(keys.astype(np.int64).tobytes())
+        self.facts.frombytes(np.stack([ok, n_a, n_b, n_groups, n_links], axis=1).astype(np.int64).tobytes())
+        # the text of the groups: each side's ids with the sign that stands behind them
+        group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        text_of = np.empty(len(a) + len(b), dtype=np.int64)
+        ends_group = lambda g: np.r_[g[1:] != g[:-1], True][:len(g)]
+        text_of[np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")] = a + len(self.a_len) * ends_group(group_a)
+        text_of[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = b + 2 * len(self.a_len) + len(self.b_len) * ends_group(group_b)
+        strings = self.signs.take(pa.array(text_of))
+        data = _bytes(strings).tobytes()
+        stop = np.r_[0, np.cumsum(pc.binary_length(strings).to_numpy(zero_copy_only=False).astype(np.int64))][np.r_[0, np.cumsum(n_a + n_b)]].tolist()
+        self.groups += [data[i:j] for i, j in zip(stop, stop[1:])]
 
     def units(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         """(row of each unit, distinct units, which of them each is): words, or whole texts where white space runs."""
@@ -182,7 +209,7 @@ class Pair:
             code = coded.indices.to_numpy(zero_copy_only=False)
         return row, coded.dictionary, code
 
-    def align(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[str], np.ndarray, np.ndarray]:
+    def align(self, texts: pa.Array) -> tuple[np.ndarray, list[memoryview], list[str], np.ndarray, np.ndarray]:
         """Per text (n_a, n_b, n_groups, n_links), its groups as text and their digest; (row, pair key) of all links."""
         texts = text.plain(texts)
         n = len(texts)
@@ -198,23 +225,25 @@ class Pair:
         whole[row[facts[unit, 0] == 0]] = False
         keep = whole[row]
         row, unit, code = row[keep], unit[keep], code[keep]
-        counts = np.zeros((n, 4), dtype=np.int64)
-        for k in range(4):
-            np.add.at(counts[:, k], row, facts[unit, k + 1])
+        counts = np.stack([np.bincount(row, facts[unit, k], n) for k in range(1, 5)], axis=1).astype(np.int64)
         size = facts[unit, 4]
         first = (np.cumsum(facts[:, 4]) - facts[:, 4])[unit]
         end = np.cumsum(size)
         at = np.repeat(first - (end - size), size) + np.arange(end[-1] if len(end) else 0)
         keys = np.array(self.links, dtype=np.int64)[at]
         # the groups of a row's units stand one after the other, each with a ; behind it
-        strings = pa.array([self.groups[k] for k in place.tolist()], pa.large_string()).take(pa.array(code))
-        length = np.zeros(n, dtype=np.int64)
-        np.add.at(length, row, pc.binary_length(strings).to_numpy(zero_copy_only=False).astype(np.int64))
-        joined = "".join(strings.to_pylist()) if len(strings) else ""
-        stop = np.cumsum(length)
-        groups = [joined[e - s:e - 1] if s else "" for e, s in zip(stop.tolist(), length.tolist())]
-        digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
-        return counts, groups, digests, np.repeat(row, size), keys
+        strings = pa.array([self.groups[k] for k in place.tolist()], pa.large_binary()).take(pa.array(code))
+        length = np.bincount(row, pc.binary_length(strings).to_numpy(zero_copy_only=False), n).astype(np.int64)
+        data, stop = memoryview(_bytes(strings)), np.cumsum(length).tolist()
+        groups = [data[e - s:max(e - 1, e - s)] for e, s in zip(stop, length.tolist())]
+        return counts, groups, [hashlib.sha256(g).hexdigest() if len(g) else "" for g in groups], np.repeat(row, size), keys
+
+
+def _bytes(strings: pa.Array) -> np.ndarray:
+    """The bytes of a large_string or large_binary array without nulls, one value after the other."""
+    offsets = np.frombuffer(strings.buffers()[1], dtype=np.int64)[strings.offset:strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
+    data = strings.buffers()[2]
+    return np.frombuffer(data, dtype=np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -337,8 +366,8 @@ class _Run:
         self.pair, self.number, self.most = pair, number, most
         self.docs, self.links, self.n_docs, self.n_links = [], [], 0, 0
 
-    def add(self, ids: pa.Array, counts, groups, digests, row, keys) -> None:
-        self.docs.append((ids, counts, groups, digests))
+    def add(self, ids: pa.Array, counts, groups, digests, row, keys, with_groups: bool) -> None:
+        self.docs.append((ids, counts, [str(g, "ascii") for g in groups] if with_groups else None, digests))
         self.links.append(keys << RUN_DOCS.bit_length() | (row + self.n_docs))
         self.n_docs += len(ids)
         self.n_links += len(keys)
@@ -409,7 +438,7 @@ class Alignment:
                 for part in text.slices(batch, "text"):
                     for k in range(0, part.num_rows, RUN_DOCS // 4):
                         rows = part.slice(k, RUN_DOCS // 4)
-                        run.add(rows.column("id"), *own.align(rows.column("text")))
+                        run.add(rows.column("id"), *own.align(rows.column("text")), with_groups)
                         if run.full():
                             yield from run.rows(schema, with_groups)
                             n += 1
