@@ -40,12 +40,13 @@ def tag_attr_re(tag: str, attr: str) -> str:
     return r"(?i)<" + tag + _until(attr)
 
 
-# Anchors with an end of the start tag; links of both kinds in document order
-# (group 1: tag, 2: value), and the same with the text up to </a> as group 3,
-# looked at but not consumed, so that tags inside it are still found.
-LINK_RE = tag_attr_re("a", "href") + _ATTR + r"*+\s*+/?>"
-ANY_LINK_RE = r"(?i)<(a|area)" + _until("href") + _ATTR + r"*+\s*+/?>"
-ANY_LINK_TEXT_RE = ANY_LINK_RE + r"(?:(?=(" + _TEXT + r")</a\s*+>))?+"
+_END = _ATTR + r"*+\s*+/?>"
+# Anchors with an end of the start tag.
+LINK_RE = tag_attr_re("a", "href") + _END
+# Links of both kinds in document order, an anchor with all up to its </a>, if there is one (group 1: an anchor's raw
+# value, 2: its text, 3: an area's raw value). No anchor stands inside an anchor's text, but areas may.
+LINK_SPAN_RE = (r"(?i)<(?:a" + _until("href") + _END + r"(?:(" + _TEXT + r")</a\s*+>)?+|area" + _until("href") + _END + ")")
+AREA_RE = tag_attr_re("area", "href") + _END
 BASE_RE = tag_attr_re("base", "href")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import col_of, once
-from ..functions.html import (ANY_LINK_RE, ANY_LINK_TEXT_RE, anchor_text, base_href, embed_re, link_values,
+from ..functions.html import (AREA_RE, LINK_SPAN_RE, anchor_text, base_href, embed_re, link_values,
                               strip_inert, unquote_attr)
 from ..functions.urls import clean_reference, domain_suffixes, resolve_url, url_host
 
@@ -88,21 +88,24 @@ def extract_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     clean = clean.select(id_col, url_col, "_h", base_href("_h", stripped=True).alias("_b"))
     base = F.when(F.col("_b") == "", F.col(url_col)).otherwise(resolve_url(F.col(url_col), F.col("_b")))
     if include_area or with_text:
-        group = lambda re, k: F.regexp_extract_all(F.col("_h"), F.lit(re), F.lit(k))
-        both = [group(ANY_LINK_RE, 1).alias("tag"), group(ANY_LINK_RE, 2).alias("raw")]
-        both += [group(ANY_LINK_TEXT_RE, 3).alias("text")] if with_text else []
-        found = F.arrays_zip(*both)
-        if not include_area:
-            found = F.filter(found, lambda m: F.lower(m["tag"]) == "a")
+        # one pass over the page: each match is a link's start tag and, of an anchor, what stands before its </a>
+        spans = F.regexp_extract_all(F.col("_h"), F.lit(LINK_SPAN_RE), F.lit(0))
+        if include_area:  # those inside an anchor's text come after it
+            inner = lambda m: F.regexp_extract_all(F.regexp_extract(m, LINK_SPAN_RE, 2), F.lit(AREA_RE), F.lit(0))
+            found = F.flatten(F.transform(spans, lambda m: F.concat(F.array(m), inner(m))))
+        else:
+            found = F.filter(spans, lambda m: ~m.rlike("(?i)^<area"))
     else:
         found = F.transform(link_values("_h", stripped=True), lambda v: F.struct(v.alias("raw")))
     per_page = clean.select(id_col, url_col, once(base).alias("base_url"), found.alias("_ms"))
 
     def parse(m):
-        out = [unquote_attr(m["raw"], strip_href).alias("href")]
+        if not (include_area or with_text):
+            return F.struct(unquote_attr(m["raw"], strip_href).alias("href"))
+        raw = F.concat(F.regexp_extract(m, LINK_SPAN_RE, 1), F.regexp_extract(m, LINK_SPAN_RE, 3))
+        out = [unquote_attr(raw, strip_href).alias("href")]
         if with_text:
-            text = F.when(F.lower(m["tag"]) == "a", anchor_text(m["text"])).otherwise("")
-            out.append(text.alias("link_text"))
+            out.append(anchor_text(F.regexp_extract(m, LINK_SPAN_RE, 2)).alias("link_text"))
         return F.struct(*out)
 
     parsed = F.transform("_ms", parse)
@@ -199,10 +202,11 @@ def extract_embeds(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         r"(?is)(<script\b[^>]*>).*?</script\s*>", "$1")
     per_page = pages.select(F.col(id_col), F.col(url_col), cleaned.alias("_c"), base_href(html_col).alias("_b"))
     base = F.when(F.col("_b") == "", F.col(url_col)).otherwise(resolve_url(F.col(url_col), F.col("_b")))
-    pattern = F.lit(embed_re([t for t, a in EMBED_TAGS if a == "src"], [t for t, a in EMBED_TAGS if a == "href"]))
-    src_tag, src, href_tag, href = (F.regexp_extract_all(F.col("_c"), pattern, F.lit(k)) for k in (1, 2, 3, 4))
-    found = F.transform(F.arrays_zip(src_tag.alias("t"), src.alias("v"), href_tag.alias("ht"), href.alias("hv")),
-                        lambda m: F.struct(F.lower(F.concat(m["t"], m["ht"])).alias("tag"), F.concat(m["v"], m["hv"]).alias("raw")))
+    pattern = embed_re([t for t, a in EMBED_TAGS if a == "src"], [t for t, a in EMBED_TAGS if a == "href"])
+    # one pass over the page; its matches are short, and read group by group
+    part = lambda m, k: F.regexp_extract(m, pattern, k)
+    found = F.transform(F.regexp_extract_all(F.col("_c"), F.lit(pattern), F.lit(0)), lambda m: F.struct(
+        F.lower(F.concat(part(m, 1), part(m, 3))).alias("tag"), F.concat(part(m, 2), part(m, 4)).alias("raw")))
     df = per_page.select(id_col, url_col, once(base).alias("base_url"), found.alias("_es")) \
         .select(id_col, url_col, "base_url", F.posexplode_outer("_es").alias("pos", "_e")) \
         .where(F.col("pos").isNotNull())

@@ -68,21 +68,21 @@ def e2_bad_messages(spark, sf_dir):
 SELECT event_id AS offset, url, 'err' || CAST(event_id % 4 AS VARCHAR) AS error
 FROM ({GOOD}) WHERE type = 'request_error'""")
 def e4_request_errors(spark, sf_dir):
-    return S.events_of(decoded(spark, sf_dir), "request_error").select("offset", "url", "error")
+    return S.decode_events(I.messages(spark, sf_dir), "request_error").select("offset", "url", "error")
 
 
 @register("e4_update_scores", f"""
 SELECT event_id AS offset, url, value / 100.0 AS score, event_id % 2 = 0 AS schedule
 FROM ({GOOD}) WHERE type = 'update_score'""")
 def e4_update_scores(spark, sf_dir):
-    return S.events_of(decoded(spark, sf_dir), "update_score").select("offset", "url", "score", "schedule")
+    return S.decode_events(I.messages(spark, sf_dir), "update_score").select("offset", "url", "score", "schedule")
 
 
 @register("e4_offsets", f"""
 SELECT event_id AS offset, CAST(user_id % 2 AS INTEGER) AS partition_id, event_id AS event_offset
 FROM ({GOOD}) WHERE type = 'offset'""")
 def e4_offsets(spark, sf_dir):
-    return S.events_of(decoded(spark, sf_dir), "offset").select("offset", "partition_id", "event_offset")
+    return S.decode_events(I.messages(spark, sf_dir), "offset").select("offset", "partition_id", "event_offset")
 
 
 # Messages of every kind with odd parts: extra meta keys, ids as text, stats events, bodies that are no base64 (every
@@ -221,7 +221,7 @@ def a1_links_per_host(spark, sf_dir):
 SELECT CAST(user_id % 2 AS INTEGER) AS partition_id, arg_max(event_id, (ts, event_id)) AS offset, max(ts) AS ts
 FROM ({GOOD}) WHERE type = 'offset' GROUP BY user_id % 2""")
 def a3_latest_offsets(spark, sf_dir):
-    off = S.events_of(decoded(spark, sf_dir), "offset").select("partition_id", F.col("event_offset").alias("offset"),
+    off = S.decode_events(I.messages(spark, sf_dir), "offset").select("partition_id", F.col("event_offset").alias("offset"),
                                                                  "ts")
     return Q.latest_offsets(off)
 

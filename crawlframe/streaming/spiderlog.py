@@ -35,20 +35,23 @@ REQUEST = T.StructType([
 ])
 RESPONSE_OR_REQUEST = T.StructType(REQUEST.fields + [
     T.StructField("status_code", T.IntegerType()), T.StructField("body", T.StringType())])
-EVENT = T.StructType([
-    T.StructField("type", T.StringType()),
-    T.StructField("r", RESPONSE_OR_REQUEST),
-    T.StructField("links", T.ArrayType(REQUEST)),
-    T.StructField("error", T.StringType()),
-    T.StructField("score", T.DoubleType()),
-    T.StructField("schedule", T.BooleanType()),
+def _schema(*fields: T.StructField) -> T.StructType:
+    return T.StructType([*fields, T.StructField("_corrupt_record", T.StringType())])
+
+
+_R = T.StructField("r", REQUEST)
+# what a message of each type is parsed into, and nothing else
+SCHEMAS = {
+    "page_crawled": _schema(T.StructField("r", RESPONSE_OR_REQUEST)),
+    "links_extracted": _schema(_R, T.StructField("links", T.ArrayType(REQUEST))),
+    "request_error": _schema(_R, T.StructField("error", T.StringType())),
+    "update_score": _schema(_R, T.StructField("score", T.DoubleType()), T.StructField("schedule", T.BooleanType())),
     # ids come as numbers or as their text
-    T.StructField("job_id", T.StringType()),
-    T.StructField("partition_id", T.StringType()),
-    T.StructField("offset", T.StringType()),
-    T.StructField("stats", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("_corrupt_record", T.StringType()),
-])
+    "new_job_id": _schema(T.StructField("job_id", T.StringType())),
+    "offset": _schema(T.StructField("partition_id", T.StringType()), T.StructField("offset", T.StringType())),
+    "stats": _schema(T.StructField("stats", T.MapType(T.StringType(), T.StringType()))),
+}
+_TYPE_FIRST_RE = r'^\s*\{\s*"type"\s*:\s*"([a-z_]+)"'
 REQUEST_MSG = T.StructType(REQUEST.fields + [T.StructField("_corrupt_record", T.StringType())])
 MESSAGE = T.StructType([
     T.StructField("key", T.BinaryType()), T.StructField("value", T.BinaryType()),
@@ -93,9 +96,35 @@ def read_whole_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ decoding
+def type_of(raw) -> Column:
+    """The type of a message: read off its beginning where it comes first, else looked up; null if there is none or the
+    message is cut. Only a whole message's type counts, which the parse that follows checks."""
+    first = F.regexp_extract(raw, _TYPE_FIRST_RE, 1)
+    return F.when(first != "", first).otherwise(F.get_json_object(raw, "$.type"))
+
+
+def _typed(raw: Column, kind: Column) -> Column:
+    """Struct with a field per event type, parsed with that type's schema for messages of the type and null for others."""
+    return F.struct(*[F.when(kind == t, F.from_json(raw, s, _JSON_OPTS)).alias(t) for t, s in SCHEMAS.items()])
+
+
+def _numbers(parsed: Column, names: list[str]) -> tuple[dict[str, Column], Column]:
+    """Ids as numbers, and whether one that is there is none."""
+    values = {n: parsed[n].try_cast("bigint") for n in names}
+    bad = F.lit(False)
+    for n, v in values.items():
+        bad = bad | (parsed[n].isNotNull() & v.isNull())
+    return values, bad
+
+
+def _variant(path: str) -> Column:
+    return F.try_parse_json(F.get_json_object(F.col("_raw"), path))
+
+
 def decode_spider_log(messages: DataFrame, strict: bool = False, value_col: str = "value"):
     """JSON bytes -> typed columns. Returns (good, bad).
 
+    A message is parsed once, with the narrow schema of its type, which is read first; a body is decoded once.
     Undecodable messages, bodies that are no base64, ids that are no numbers and
     unknown types go to ``bad`` with the raw text and a reason; the batch
     continues. With ``strict`` an unknown type fails the job, as the original
@@ -106,67 +135,109 @@ def decode_spider_log(messages: DataFrame, strict: bool = False, value_col: str
     (parsed from the message again, and only where they are selected).
     """
     raw = F.col(value_col).cast("string")
-    # parse once per message: filters and the many field reads below use the result
-    df = messages.select("*", raw.alias("_raw")).select(
-        "*", once(F.from_json(F.col("_raw"), EVENT, _JSON_OPTS)).alias("_e"))
-    corrupt = F.col("_e._corrupt_record").isNotNull() | F.col("_e").isNull()
-    known = F.col("_e.type").isin(EVENT_TYPES)
+    df = messages.select("*", raw.alias("_raw")).select("*", once(type_of(F.col("_raw"))).alias("_type"))
+    known = F.coalesce(F.col("_type").isin(EVENT_TYPES), F.lit(False))
+    df = df.select("*", once(_typed(F.col("_raw"), F.col("_type"))).alias("_e"))
+    e = {t: F.col("_e")[t] for t in EVENT_TYPES}
+    r = [e[t]["r"] for t in ("page_crawled", "links_extracted", "request_error", "update_score")]
+    broken = [e[t].isNull() | e[t]["_corrupt_record"].isNotNull() for t in EVENT_TYPES]
+    corrupt = F.lit(False)
+    for t, b in zip(EVENT_TYPES, broken):
+        corrupt = corrupt | ((F.col("_type") == t) & b)
+    # of an unknown or missing type: is it JSON at all?
+    whole = F.from_json(F.col("_raw"), _schema(T.StructField("type", T.StringType())), _JSON_OPTS)
+    corrupt = F.when(known, corrupt).otherwise(F.col("_raw").isNull() | whole.isNull() | whole["_corrupt_record"].isNotNull())
+    body = F.try_to_binary(e["page_crawled"]["r"]["body"], F.lit("base64"))
+    df = df.select("*", once(F.struct(corrupt.alias("corrupt"), body.alias("body"))).alias("_d"))
+    corrupt = F.col("_d.corrupt")
     if strict:
         known = F.when(corrupt | known, F.lit(True)).otherwise(
-            F.raise_error(F.concat(F.lit("Unknown message type: "), F.coalesce(F.col("_e.type"), F.lit("null"))))
+            F.raise_error(F.concat(F.lit("Unknown message type: "), F.coalesce(F.col("_type"), F.lit("null"))))
             .cast("boolean"))
+    jobs, bad_job = _numbers(e["new_job_id"], ["job_id"])
+    offsets, bad_offset = _numbers(e["offset"], ["partition_id", "offset"])
+    bad_body = e["page_crawled"]["r"]["body"].isNotNull() & F.col("_d.body").isNull()
+    reason = (F.when(corrupt, F.lit("undecodable")).when(~known, F.lit("unknown type"))
+              .when(bad_body, F.lit("undecodable body"))
+              .when(F.coalesce(bad_job, F.lit(False)) | F.coalesce(bad_offset, F.lit(False)), F.lit("id is no number")))
     keep = [c for c in messages.columns if c != value_col]
-    e = F.col("_e")
-    body = F.try_to_binary(e["r"]["body"], F.lit("base64"))
-    ids = {c: e[c].try_cast("bigint") for c in ("job_id", "partition_id", "offset")}
-    bad_body = e["r"]["body"].isNotNull() & body.isNull()
-    bad_id = F.lit(False)
-    for c, value in ids.items():
-        bad_id = bad_id | (e[c].isNotNull() & value.isNull())
-    reason = (F.when(corrupt, F.lit("undecodable")).when(~F.coalesce(known, F.lit(False)), F.lit("unknown type"))
-              .when(bad_body, F.lit("undecodable body")).when(bad_id, F.lit("id is no number")))
     df = df.select("*", once(reason).alias("_reason"))
     bad = df.where(F.col("_reason").isNotNull()).select(*keep, F.col("_raw").alias("raw"), F.col("_reason").alias("reason"))
-    variant = lambda path: F.try_parse_json(F.get_json_object(F.col("_raw"), path))
+    of_request = lambda field: F.coalesce(*[x[field] for x in r])
     good = df.where(F.col("_reason").isNull()).select(
         *keep,
-        e["type"].alias("type"),
-        e["r"]["url"].alias("url"),
-        e["r"]["method"].alias("method"),
-        e["r"]["status_code"].alias("status_code"),
-        body.alias("body"),
-        e["r"]["headers"].alias("headers"),
-        e["r"]["cookies"].alias("cookies"),
-        e["r"]["meta"].alias("meta"),
-        e["links"].alias("links"),
-        e["error"].alias("error"),
-        e["score"].alias("score"),
-        e["schedule"].alias("schedule"),
-        ids["job_id"].alias("job_id"),
-        ids["partition_id"].cast("int").alias("partition_id"),
-        ids["offset"].alias("event_offset"),
-        e["stats"].alias("stats"),
-        variant("$.r.meta").alias("meta_all"),
-        variant("$.stats").alias("stats_all"),
+        F.col("_type").alias("type"),
+        of_request("url").alias("url"),
+        of_request("method").alias("method"),
+        e["page_crawled"]["r"]["status_code"].alias("status_code"),
+        F.col("_d.body").alias("body"),
+        of_request("headers").alias("headers"),
+        of_request("cookies").alias("cookies"),
+        of_request("meta").alias("meta"),
+        e["links_extracted"]["links"].alias("links"),
+        e["request_error"]["error"].alias("error"),
+        e["update_score"]["score"].alias("score"),
+        e["update_score"]["schedule"].alias("schedule"),
+        jobs["job_id"].alias("job_id"),
+        offsets["partition_id"].cast("int").alias("partition_id"),
+        offsets["offset"].alias("event_offset"),
+        e["stats"]["stats"].alias("stats"),
+        _variant("$.r.meta").alias("meta_all"),
+        _variant("$.stats").alias("stats_all"),
     )
     return good, bad
 
 
+def decode_events(messages: DataFrame, event_type: str, value_col: str = "value") -> DataFrame:
+    """E4 straight from the messages: the good events of one type, as ``events_of`` gives them.
+
+    Messages of other types are not parsed; of those of the type only what the view returns (``decode_spider_log`` has
+    the ones that are set aside).
+    """
+    if event_type not in SCHEMAS:
+        raise ValueError(f"unknown event type {event_type}")
+    keep = [c for c in messages.columns if c != value_col]
+    df = messages.select(*keep, F.col(value_col).cast("string").alias("_raw"))
+    df = df.where(type_of(F.col("_raw")) == event_type).select("*", once(F.from_json(F.col("_raw"), SCHEMAS[event_type], _JSON_OPTS)).alias("_e"))
+    e = F.col("_e")
+    good = e.isNotNull() & e["_corrupt_record"].isNull()
+    own: dict[str, Column] = {"meta_all": _variant("$.r.meta"), "stats_all": _variant("$.stats")}
+    if event_type in ("new_job_id", "offset"):
+        names = [f for f in SCHEMAS[event_type].fieldNames() if f != "_corrupt_record"]
+        numbers, bad = _numbers(e, names)
+        good = good & ~bad
+        own |= {"job_id": numbers.get("job_id"), "event_offset": numbers.get("offset")}
+        own["partition_id"] = numbers["partition_id"].cast("int") if "partition_id" in numbers else None
+    df = df.where(good)
+    if event_type == "page_crawled":
+        df = df.select("*", once(F.try_to_binary(e["r"]["body"], F.lit("base64"))).alias("_body")).where(
+            e["r"]["body"].isNull() | F.col("_body").isNotNull())
+        own["body"] = F.col("_body")
+    top = SCHEMAS[event_type].fieldNames()
+    columns = []
+    for c in VIEWS[event_type]:
+        found = own.get(c)
+        columns.append((found if found is not None else e[c] if c in top else e["r"][c]).alias(c))
+    return df.select(*keep, *columns)
+
+
+VIEWS = {
+    "page_crawled": ["url", "status_code", "body", "meta", "meta_all"],
+    "links_extracted": ["url", "method", "headers", "cookies", "meta", "meta_all", "links"],
+    "request_error": ["url", "method", "headers", "cookies", "meta", "meta_all", "error"],
+    "update_score": ["url", "method", "meta", "meta_all", "score", "schedule"],
+    "new_job_id": ["job_id"],
+    "offset": ["partition_id", "event_offset"],
+    "stats": ["stats", "stats_all"],
+}
+
+
 def events_of(decoded: DataFrame, event_type: str) -> DataFrame:
     """The typed view of one event kind, with only its own columns."""
     base = [c for c in decoded.columns if c not in
             ("type", "url", "method", "status_code", "body", "headers", "cookies", "meta", "links", "error",
              "score", "schedule", "job_id", "partition_id", "event_offset", "stats", "meta_all", "stats_all")]
-    cols = {
-        "page_crawled": ["url", "status_code", "body", "meta", "meta_all"],
-        "links_extracted": ["url", "method", "headers", "cookies", "meta", "meta_all", "links"],
-        "request_error": ["url", "method", "headers", "cookies", "meta", "meta_all", "error"],
-        "update_score": ["url", "method", "meta", "meta_all", "score", "schedule"],
-        "new_job_id": ["job_id"],
-        "offset": ["partition_id", "event_offset"],
-        "stats": ["stats", "stats_all"],
-    }[event_type]
-    return decoded.where(F.col("type") == event_type).select(*base, *cols)
+    return decoded.where(F.col("type") == event_type).select(*base, *VIEWS[event_type])
 
 
 def decode_requests(messages: DataFrame, value_col: str = "value"):

@@ -127,6 +127,38 @@ def test_unseen_stream_survives_a_retry_and_fails_on_an_unreadable_seen_set(spar
     assert sorted(r.fingerprint for r in jobs.read_batches(spark, out).collect()) == ["f1", "f3"]
     for f in (tmp_path / "added").rglob("*.parquet"):
         f.write_bytes(b"damaged")
-    spark.createDataFrame([("f4", "u4", d)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    spark.createDataFrame([("f4", "u4", d), ("f1", "u1", d)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
     with pytest.raises(Exception):
         jobs.stream_unseen(stream, seen, added, out, str(tmp_path / "ckpt")).awaitTermination()
+
+
+def test_views_straight_from_messages_equal_the_decoded_ones(spark):
+    import datetime as dt
+    from crawlframe.plans import inputs as I
+    from crawlframe.plans.q_events import odd_messages
+    t0 = dt.datetime(2024, 1, 1)
+    cut = spark.createDataFrame([(-1, b'{"type":"offset","partition_id":1', t0), (-2, None, t0), (-3, b' {\n"type" : "offset","partition_id":2,"offset":"7"}', t0),
+                                 (-4, b'{"offset":5,"partition_id":"1","type":"offset"}', t0), (-5, b'{"partition_id":"1"}', t0)], "offset long, value binary, ts timestamp_ntz")
+    d = "/root/testdata/sf0.001"
+    for messages in (odd_messages(spark, d).select("offset", "value", "ts").unionByName(cut), I.messages(spark, d).select("offset", "value", "ts")):
+        good, bad = S.decode_spider_log(messages)
+        n = 0
+        for t in S.EVENT_TYPES:
+            plain = [c for c in S.events_of(good, t).columns if not c.endswith("_all")]
+            one, two = S.events_of(good, t).select(plain).collect(), S.decode_events(messages, t).select(plain).collect()
+            assert sorted(map(repr, one)) == sorted(map(repr, two))
+            n += len(one)
+        assert n + bad.count() == messages.count()
+    reasons = {r.offset: r.reason for r in S.decode_spider_log(cut)[1].collect()}
+    assert reasons == {-1: "undecodable", -2: "undecodable", -5: "unknown type"}
+    with pytest.raises(ValueError):
+        S.decode_events(cut, "surprise")
+
+
+def test_offsets_parse_no_link_list_and_decode_no_body(spark, capsys):
+    import __spark_entry__ as E
+    E.queries()["e4_offsets"](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out.split("from_json", 1)[1]
+    # the encoder of the query's input names links and bodies too; the decoder stands above it
+    parsed = "from_json" + plan.split("Generate", 1)[0]
+    assert "partition_id" in parsed and "links" not in parsed and "headers" not in parsed and "unbase64" not in parsed.lower()

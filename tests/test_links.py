@@ -115,3 +115,14 @@ def test_huge_and_unclosed_pages_keep_document_order(spark):
     embeds = L.extract_embeds(spark.createDataFrame([(1, "http://h/", "<img src=a><script src=b></script><img src=c><link href=d>")],
                                                     "page_id long, url string, html string"))
     assert [r.tag for r in embeds.orderBy("pos").collect()] == ["img", "script", "img", "link"]
+
+
+def test_areas_inside_and_beside_anchors_keep_document_order(spark):
+    from crawlframe.operators.links import extract_links
+    html = ('<AREA href=0><a href="1">one <area href="2" /> <b>x</b><area nohref><area href=3></a> text <area href=4> stray </a>'
+            '<a href=5>open <area href=6><a href="7">seven</a ><a name=n>no</a><a href=8 />eight</a>')
+    df = spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string")
+    got = extract_links(df, with_text=True, include_area=True).orderBy("pos").collect()
+    assert [(r.pos, r.href, r.link_text) for r in got] == [
+        (0, "0", ""), (1, "1", "one  x"), (2, "2", ""), (3, "3", ""), (4, "4", ""), (5, "5", ""), (6, "6", ""), (7, "7", "seven"), (8, "8", "eight")]
+    assert [r.href for r in extract_links(df, with_text=True).orderBy("pos").collect()] == ["1", "5", "7", "8"]
