@@ -9,7 +9,7 @@ small per-(key, slice) summary is scanned per key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import col_of
@@ -41,6 +41,38 @@ def capture_index(captures: DataFrame, n_parts: int | None = None, url_col: str
     return df.sortWithinPartitions("urlkey", ts_col)
 
 
+BLOCK_ROWS = 4096
+
+
+def write_capture_index(captures: DataFrame, path: str, n_parts: int | None = None, url_col: str = "url", ts_col: str = "ts",
+                        block_rows: int = BLOCK_ROWS) -> None:
+    """X4 stored: the sorted files, and beside them a sparse index with one row per block of ``block_rows`` captures
+    (first and last key, file, place), itself sorted by key."""
+    capture_index(captures, n_parts, url_col, ts_col).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/files")
+    rows = captures.sparkSession.read.parquet(f"{path}/files").select(
+        "urlkey", F.col("_metadata.file_path").alias("file"), F.floor(F.col("_metadata.row_index") / block_rows).alias("block"))
+    blocks = rows.groupBy("file", "block").agg(F.min("urlkey").alias("first_key"), F.max("urlkey").alias("last_key"), F.count("*").alias("n"))
+    blocks.repartitionByRange("first_key").sortWithinPartitions("first_key").write.mode("overwrite").parquet(f"{path}/blocks")
+
+
+def lookup_captures(spark: SparkSession, path: str, key: str | None = None, prefix: str | None = None) -> DataFrame:
+    """All captures of one key, or of all keys that begin with a prefix, from a stored index.
+
+    The block index names the files that may hold them; only those are read, and in them only row groups whose key
+    range fits.
+    """
+    if (key is None) == (prefix is None):
+        raise ValueError("give a key or a prefix")
+    low = prefix if key is None else key
+    begins = F.col("first_key").startswith(low) if key is None else F.lit(False)
+    blocks = spark.read.parquet(f"{path}/blocks").where((F.col("last_key") >= low) & ((F.col("first_key") <= low) | begins))
+    files = sorted(r[0] for r in blocks.select("file").distinct().collect())
+    if not files:
+        return spark.createDataFrame([], spark.read.parquet(f"{path}/files").schema)
+    found = spark.read.parquet(*files)
+    return found.where(F.col("urlkey") == key) if key is not None else found.where(F.col("urlkey").startswith(prefix))
+
+
 def scope_filter(urls: DataFrame, prefixes: DataFrame, url_col: str = "url", prefix_col: str = "prefix"):
     """Split URLs into (in_scope, out_of_scope) by SURT-prefix match.
 

@@ -135,6 +135,28 @@ def cap_per_host(df: DataFrame, n: int = PAGES_PER_HOST, host_col: str = "host",
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
+def fair_batch(queue: DataFrame, partitions, n: int = BATCH_SIZE, per_host: int = PAGES_PER_HOST, order: str | list = "score",
+               n_partitions: int = QUEUE_PARTITIONS, host_col: str = "host_crc32") -> DataFrame:
+    """F7 buffer limits: up to ``n`` rows of each partition, at most ``per_host`` of a host, and no host's second-best row
+    before every host's best (rank inside the host first, then ``order``).
+
+    Every limit is taken in two steps, over salted parts and then over the whole, each with a partial group limit before
+    its shuffle: of a host that holds most of the queue, each task hands on at most ``per_host`` rows per salt.
+    """
+    parts = check_partitions(partitions, n_partitions)
+    ords = _order(order)
+
+    def limited(df: DataFrame, keys: list[str], by: list, most: int, rank: str) -> DataFrame:
+        return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col(rank) <= most)
+
+    q = queue.where(F.col("partition_id").isin(parts)).withColumn("_salt", F.pmod(F.xxhash64("fingerprint"), F.lit(SALTS)))
+    q = limited(q, [host_col, "_salt"], ords, per_host, "_rank").drop("_rank")
+    q = limited(q, [host_col], ords, per_host, "_rank")
+    fair = [F.col("_rank").asc(), *ords]
+    q = limited(q, ["partition_id", "_salt"], fair, n, "_rn").drop("_rn")
+    return limited(q, ["partition_id"], fair, n, "_rn").drop("_rn", "_salt", "_rank")
+
+
 def due_for_revisit(metadata: DataFrame, now, interval: str = REVISIT_INTERVAL) -> DataFrame:
     """F8: never fetched, or fetched at least ``interval`` before ``now`` (a parameter)."""
     now_c = now if isinstance(now, Column) else F.lit(now)

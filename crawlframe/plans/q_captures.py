@@ -8,6 +8,7 @@ from ..functions.digest import content_digest
 from ..functions.urls import url_host
 from ..operators import captures as X
 from ..operators.discovery import DEFAULT_WELL_KNOWN_URIS
+from ..session import scratch_path
 from . import inputs as I
 from . import sqlgen as sg
 from .catalog import register
@@ -101,6 +102,23 @@ def x4_capture_index(spark, sf_dir):
     return X.capture_index(p).select("page_id", "url", "urlkey")
 
 
+# One key (of the first page) and one prefix (the second page's host) looked up in the stored index.
+@register("x4_lookup", f"""
+WITH k AS (SELECT page_id, url, {_surt_key_sql('url')} AS urlkey FROM pages),
+a AS (SELECT urlkey FROM k WHERE page_id = (SELECT min(page_id) FROM pages)),
+b AS (SELECT split_part(urlkey, ')', 1) || ')' AS prefix FROM k WHERE page_id = (SELECT max(page_id) FROM pages))
+SELECT 'key' AS found_by, page_id, url, urlkey FROM k WHERE urlkey IN (SELECT urlkey FROM a)
+UNION ALL SELECT 'prefix', page_id, url, urlkey FROM k WHERE starts_with(urlkey, (SELECT prefix FROM b))""")
+def x4_lookup(spark, sf_dir):
+    p = I.table(spark, sf_dir, "pages").select("page_id", "url", F.col("page_id").alias("ts"))
+    path = scratch_path(spark, "capture-index")
+    X.write_capture_index(p, path, 12)
+    ends = p.agg(F.min_by(X.surt_key("url"), "page_id"), F.max_by(X.surt_key("url"), "page_id")).first()
+    one = X.lookup_captures(spark, path, key=ends[0]).withColumn("found_by", F.lit("key"))
+    many = X.lookup_captures(spark, path, prefix=ends[1].split(")")[0] + ")").withColumn("found_by", F.lit("prefix"))
+    return one.unionByName(many).select("found_by", "page_id", "url", "urlkey")
+
+
 QUOTA = 200000
 
 

@@ -197,6 +197,17 @@ def k3_reset_frontier(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+PER_HOST = 3
+
+
+@register("f7_fair_batch", f"""
+WITH h AS (SELECT *, row_number() OVER (PARTITION BY host_crc32 ORDER BY score DESC, created_at, fingerprint) AS host_rank FROM ({QUEUE_SQL})),
+p AS (SELECT *, row_number() OVER (PARTITION BY partition_id ORDER BY host_rank, score DESC, created_at, fingerprint) AS place FROM h WHERE host_rank <= {PER_HOST})
+SELECT partition_id, fingerprint, url, score FROM p WHERE place <= {BATCH_N}""")
+def f7_fair_batch(spark, sf_dir):
+    return Q.fair_batch(queue(spark, sf_dir), [0, 1], BATCH_N, PER_HOST).select("partition_id", "fingerprint", "url", "score")
+
+
 # Robots rules for every page host: '*' disallows /fr/ except /fr/8..., and
 # any path with ?page=; hosts of even name length also have a group of their
 # own that disallows /en/ (and so ignores the '*' group).

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from ..functions.urls import url_fingerprint
 from ..operators import frontier as Q
 from ..operators import frontier_store as FS
+from ..operators import path_store as PS
 from ..session import scratch_path
 from ..streaming import spiderlog as S
 from . import inputs as I
 from . import sqlgen as sg
 from .catalog import register
+from .q_discovery import PATHS_SQL
 from .q_events import GOOD, J6_SQL, LINKS_SQL, decoded, j5_batches_sql
 
 FIRST_DAYS = ("2024-01-11", "2024-01-21")  # the events come in three batches
@@ -90,6 +92,19 @@ def f6_store_taken(spark, sf_dir):
     return taken.select("partition_id", "fingerprint", "url", "score").join(store.read("states").drop("ts"), "fingerprint")
 
 
+# Paths of the link tree, its edges in two batches: first those of every third child, most of them out of reach, then the
+# rest, which bring the reached part together.
+@register("j4_stored_paths", PATHS_SQL)
+def j4_stored_paths(spark, sf_dir):
+    pages = I.table(spark, sf_dir, "pages").select("page_id", "url")
+    edges = I.tree_edges(spark, sf_dir).join(pages.select(F.col("page_id").alias("child_id"), F.col("url").alias("child_url")), "child_url")
+    store = PS.open_paths(spark, scratch_path(spark, "path-store"), groups=8)
+    seeds = pages.where("page_id = 0").select("url")
+    PS.add_paths(store, seeds, edges.where("child_id % 3 = 0"), 0)
+    PS.add_paths(store, seeds.limit(0), edges.where("child_id % 3 != 0"), 1)
+    return PS.read_paths(store)
+
+
 # ------------------------------------------------------------- message log
 def _log(spark, sf_dir):
     """All messages through the sink, in three micro-batches."""

@@ -10,8 +10,8 @@ nothing. A lost executor or driver leaves at most files that no manifest names;
 
 A bucket is the key's first eight hex digits (the host's CRC-32 in URL fingerprints, so that a batch of few hosts
 touches few buckets, and each queue partition has buckets of its own) modulo ``groups``, cut into ``spread`` parts by
-the hash of the whole key, so that a host with most of the keys is still spread. Keys that don't begin with hex digits
-fall in one group. What passes through the driver is bounded by the number of buckets.
+the hash of the whole key, so that a host with most of the keys is still spread. With ``by_hash``, for keys that are no
+fingerprints, the hash alone decides. What passes through the driver is bounded by the number of buckets.
 """
 
 from __future__ import annotations
@@ -43,11 +43,11 @@ class Manifest:
 
 class BucketStore:
     def __init__(self, spark: SparkSession, root: str, tables: dict[str, str], key: str = "fingerprint",
-                 groups: int = GROUPS, spread: int = SPREAD, bloom: bool = False):
+                 groups: int = GROUPS, spread: int = SPREAD, bloom: bool = False, by_hash: bool = False):
         """``tables``: schema of each table (DDL); key and numbers of buckets must be the same at each opening.
         ``bloom``: files get Bloom filters on the key, for readers that look up few keys."""
         self.spark, self.root, self.tables, self.key = spark, root.rstrip("/"), tables, key
-        self.groups, self.spread, self.bloom = groups, spread, bloom
+        self.groups, self.spread, self.bloom, self.by_hash = groups, spread, bloom, by_hash
         jvm = spark._jvm.org.apache.hadoop.fs
         self._jvm, self._conf = jvm, spark._jsc.hadoopConfiguration()
         self._fs = self._path("").getFileSystem(self._conf)
@@ -91,6 +91,8 @@ class BucketStore:
 
     # ---------------------------------------------------------------- buckets
     def bucket_of(self, key: Column) -> Column:
+        if self.by_hash:
+            return F.pmod(F.xxhash64(key), F.lit(self.groups * self.spread)).cast("int")
         group = F.coalesce(F.conv(F.substring(key, 1, 8), 16, 10).try_cast("long"), F.lit(0)) % self.groups
         return (group * self.spread + F.pmod(F.xxhash64(key), F.lit(self.spread))).cast("int")
 

@@ -4,6 +4,8 @@ spread over several range slices (X1, X5), plus X2/X3/X8 goldens."""
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from crawlframe.operators import captures as X
@@ -70,3 +72,23 @@ def test_surt_and_scan(spark):
     assert df.select(X.surt_key("url")).first()[0] == "com,example)/a?b"
     rep = {r.host: (r.serving, r.well_known) for r in X.domain_scan_report(df).collect()}
     assert rep == {"www.example.com": (True, ""), "example.com": (True, "/humans.txt"), "x.org": (False, "")}
+
+
+def test_index_lookup_reads_matching_files_only(spark, tmp_path):
+    from crawlframe.operators.captures import lookup_captures, surt_key, write_capture_index
+    rows = [(k, f"http://www.h{k % 50:02d}.org/p{k // 50 % 6}", k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, url string, ts long")
+    path = str(tmp_path / "index")
+    write_capture_index(df, path, 10, block_rows=64)
+    assert len(spark.read.parquet(f"{path}/files").inputFiles()) == 10
+    want = {r.id: r.k for r in df.select("id", surt_key("url").alias("k")).collect()}
+    for key in ("org,h07)/p3", "org,h00)/p0", "org,h49)/p5"):
+        found = lookup_captures(spark, path, key=key)
+        assert len(found.inputFiles()) <= 2 and {r.id for r in found.collect()} == {i for i, k in want.items() if k == key} != set()
+    for prefix in ("org,h07)", "org,h1", "org,h33)/p5", "org,"):
+        found = lookup_captures(spark, path, prefix=prefix)
+        assert {r.id for r in found.collect()} == {i for i, k in want.items() if k.startswith(prefix)} != set()
+        assert len(found.inputFiles()) <= 2 or prefix in ("org,h1", "org,")
+    assert lookup_captures(spark, path, key="com,none)/").collect() == [] and lookup_captures(spark, path, prefix="zz").columns == ["id", "url", "ts", "urlkey"]
+    with pytest.raises(ValueError):
+        lookup_captures(spark, path)

@@ -146,3 +146,23 @@ def test_hot_partition_is_written_and_batched_by_several_tasks(spark, tmp_path):
     assert sorted(r.score for r in top.collect()) == [k / 7 for k in range(59_990, 60_000)]
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 4
+
+
+def test_fair_batch_when_one_host_holds_most_of_the_queue(spark):
+    import random
+    rng = random.Random(6)
+    rows = []
+    for k in range(1000):
+        host = 0 if k < 700 else rng.randrange(1, 60)
+        rows.append((host % 2, rng.randrange(100) / 100, f"http://h{host}/{k}", f"{host:08x}{k:032d}", T0 + dt.timedelta(seconds=k % 50), 0, host))
+    q = spark.createDataFrame(rows, "partition_id int, score double, url string, fingerprint string, created_at timestamp_ntz, depth int, host_crc32 long").repartition(7)
+    for n, per_host in ((20, 4), (200, 3), (10, 1000)):
+        got = Q.fair_batch(q, [0, 1], n, per_host).collect()
+        want, rank = set(), {}
+        for r in sorted(rows, key=lambda r: (-r[1], r[4], r[3])):
+            rank[r[6]] = rank.get(r[6], 0) + 1
+            if rank[r[6]] <= per_host:
+                want.add((rank[r[6]], -r[1], r[4], r[3], r[0]))
+        want = {x[3] for p in (0, 1) for x in sorted(w for w in want if w[4] == p)[:n]}
+        assert {r.fingerprint for r in got} == want and len(got) == len(want) and got[0].__fields__ == q.columns
+    assert Q.fair_batch(q, [1], 30, 5).where("partition_id = 0").count() == 0
