@@ -3,8 +3,10 @@
 1. Every page is parsed once into containers and text blocks, and its
    containers are scored: text outside links, full value for the nearest
    container, half and a quarter for the next two, doubled for containers that
-   declare the main content. The page votes for the generalised tag-class path
-   of its best container.
+   declare the main content. From the best container the page goes up to the
+   article it is part of, or to what else declares the main content; where
+   nothing does, to the smallest container with most of the page's text. It
+   votes for the generalised tag-class path of that.
 2. Votes are counted per host in Spark; paths with at least ``share`` of a
    host's votes win (so a host has at most 1 / share of them).
 3. Every page is extracted again with the winning path of its host that has the
@@ -12,8 +14,11 @@
    serves where none does.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are left out wherever they stand; of a header inside the
-content, headings stay. Nothing else is dropped.
+reader comments are left out wherever they stand, inline ones too; of a header
+inside the content, headings stay. An element is one of them by its tag or role,
+or if a class or its id is the name of one, alone or with words that say nothing
+(``ad-box``, ``site-footer``); a name with any other word in it (``alert-levels``)
+is not. Nothing else is dropped.
 
 Defined results: null, empty or unparsable html, and pages without text outside
 those parts, give the empty text; a page that ends inside a tag or reference
@@ -26,6 +31,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,32 +43,39 @@ from crawlframe.llm.text import bound_batches, plain
 
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|title|xmp)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|template|textarea|svg|iframe|title)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<close2>/?)(?P<name2>[a-z][^\s/>]*+)(?P<attrs2>[^>]*+)>"
     r"|<[!?][^>]*+>"
     r"|</?[a-z][^>]*+\Z", re.S | re.I)
-_ATTR = re.compile(r"(class|id|role|hidden|style|itemprop|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
+_ATTR = re.compile(r"(class|id|role|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th "
                    "thead tr ul".split())
 _CONTAINER = frozenset("article blockquote body center div main section td".split())
-_LEFT_OUT = frozenset("aside button canvas dialog fieldset footer form head input map menu nav object option search select".split())
+_LEFT_OUT = frozenset("aside button dialog fieldset footer form head input menu nav optgroup option search select".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ENDS_PARAGRAPH = _BLOCK - {"body", "html"}
-# words of class names and ids that mark what is not content
-_NOT_CONTENT = frozenset(
-    "ad ads adsense advert adverts advertisement advertising adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr "
-    "notice notices alert newsletter subscribe subscription signup popup modal overlay comment comments commentlist respond "
-    "disqus reply replies share sharing social related recommended recommendations sidebar widget widgets menu nav navbar navigation "
-    "breadcrumb breadcrumbs footer masthead toolbar pagination pager login search skip".split())
+# names of what is left out, by kind: menus, headers, footers, sidebars, notices, adverts, forms, comments
+_NAMES = frozenset(
+    "menu menus submenu nav navs navbar navigation breadcrumb breadcrumbs pagination pager header masthead footer colophon sidebar sidebars "
+    "cookie cookies consent gdpr notice notices alert alerts disclaimer ad ads adsense advert adverts advertisement advertisements "
+    "advertising adslot sponsor sponsored banner banners form forms searchform loginform comment comments commentlist respond disqus".split())
+# words that may stand beside such a name and change nothing
+_NEUTRAL = frozenset(
+    "a an the all area bar block bottom box center column container div footer global group header holder inner item items left list main "
+    "mobile my new of outer page panel primary right row secondary section site slot sticky sub the title top unit wrap wrapper zone "
+    "small large big first last js id class c l r x".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _CONTENT = frozenset("article articlebody content post entry story main text body".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+MOST = 2 / 3
+
+
 class Page:
     """Containers and text blocks of one page, in page order."""
 
@@ -86,11 +99,12 @@ class Page:
                 found.setdefault(key, m[2] or m[3] or m[4] or "")
             classes = found.get("class", "").split()
             name = "".join("." + re.sub(r"\d+", "0", c) for c in sorted(classes)) or ("#" + re.sub(r"\d+", "0", found["id"]) if found.get("id") else "")
-            words = {w.lower() for w in _WORD.findall(" ".join([*classes, found.get("id", "")]))}
+            named = [[w.lower() for w in _WORD.findall(n) if not w.isdigit()] for n in (*classes, found.get("id", ""))]
+            words = {w for n in named for w in n}
             if tag not in ("html", "body", "article", "main"):
-                out = out or bool(words & _NOT_CONTENT) or found.get("role", "").lower() in _ROLES
-                out = out or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-                out = out or "display:none" in found.get("style", "").replace(" ", "").lower()
+                out = out or found.get("role", "").lower() in _ROLES
+                # a header's or list's own name says no more than its tag
+                out = out or any(set(n) & _NAMES and set(n) <= _NAMES | _NEUTRAL for n in named if tag not in _HEADING)
             content = content or bool(words & _CONTENT) or found.get("role", "").lower() == "main" or found.get("itemprop") == "articleBody"
         self.parent.append(parent)
         self.tag.append(tag)
@@ -124,9 +138,10 @@ class Page:
         for m in _TAG.finditer(source):
             if m.start() > at:
                 piece = source[at:m.start()]
-                pieces.append(piece)
-                if links:
-                    linked += len(piece)
+                if not self.out[stack[-1]]:  # also of an inline element
+                    pieces.append(piece)
+                    if links:
+                        linked += len(piece)
             at = m.end()
             tag = m["name"] or m["name2"]
             if not tag:
@@ -167,7 +182,7 @@ class Page:
             stack.append(element)
             if attrs and attrs.endswith("/") and tag not in _BLOCK and tag != "a":
                 stack.pop()
-        if at < len(source):
+        if at < len(source) and not self.out[stack[-1]]:
             pieces.append(source[at:])
         flush()
 
@@ -184,20 +199,33 @@ class Page:
         return True
 
     def best_path(self) -> str:
-        """Path of the best-scored container ('' if the page has no content); the outermost of equals."""
+        """Path of the container with the main content ('' if the page has none); the outermost of equals."""
         score: dict[int, float] = {}
+        held: dict[int, float] = {}  # text value under each container
+        whole = 0.0
         for element, text, linked in self.blocks:
             if not self.shown(element):
                 continue
             value = max(0.0, len(text) - linked) * max(0.0, 1 - linked / len(text))
+            whole += value
             share, e = 1.0, element
-            while e and share > 0.2:
+            while e:
                 if self.tag[e] in _CONTAINER:
-                    score[e] = score.get(e, 0.0) + value * share
-                    share /= 2
+                    held[e] = held.get(e, 0.0) + value
+                    if share > 0.2:
+                        score[e] = score.get(e, 0.0) + value * share
+                        share /= 2
                 e = self.parent[e]
         best = max(score, key=lambda e: (score[e] * (2 if self.content[e] else 1), -e), default=0)
-        return self.path[best]
+        above = [e for e in self._upward(best) if self.tag[e] in _CONTAINER]
+        part_of = [e for e in above if self.tag[e] == "article"] or [e for e in above if self.content[e]]
+        part_of = part_of or [e for e in above if held.get(e, 0.0) >= MOST * whole]
+        return self.path[part_of[0] if part_of else best]
+
+    def _upward(self, element: int) -> Iterator[int]:
+        while element:
+            yield element
+            element = self.parent[element]
 
     def text_under(self, path: str) -> str | None:
         """Shown blocks of all containers with this path (None if there is no such container)."""
@@ -244,8 +272,11 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", s
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = 0.1) -> DataFrame:
-    """``pages`` with ``text`` and ``n_chars`` (code points)."""
+    """``pages`` with ``text`` and ``n_chars`` (code points), in place of columns of these names."""
     bound_batches(pages.sparkSession)
-    winners = host_paths(pages, url_col, html_col, share).withColumnRenamed("host", "_host").withColumnRenamed("paths", "_paths")
-    rows = pages.withColumn("_host", host_of(F.col(url_col))).join(winners, "_host", "left")
-    return rows.withColumn("text", _extract(html_col, "_paths")).withColumn("n_chars", F.length("text").cast("long")).drop("_host", "_paths")
+    winners = host_paths(pages, url_col, html_col, share)
+    # the input's columns stay inside a struct, so none can clash with a helper
+    rows = pages.select(F.struct("*").alias("page"), host_of(F.col(url_col)).alias("host")).join(winners, "host", "left")
+    found = rows.select("page", _extract(F.col("page")[html_col], F.col("paths")).alias("text"))
+    kept = [F.col("page")[c].alias(c) for c in pages.columns if c.lower() not in ("text", "n_chars")]
+    return found.select(*kept, "text", F.length("text").cast("long").alias("n_chars"))
