@@ -231,6 +231,22 @@ def k1_written_log(spark, sf_dir):
     return spark.read.text(path).select(F.col("log_date").cast("date").alias("log_date"), F.col("value").alias("line"))
 
 
+@register("k1_streamed_log", f"""
+SELECT CAST(timestamp AS DATE) AS log_date, {_H3} AS line FROM ({ALL_LOG})""")
+def k1_streamed_log(spark, sf_dir):
+    """The files that the streaming sink wrote in three micro-batches, stopped and started again in between."""
+    from ..session import scratch_path
+    from ..sinks.files import write_crawl_log_stream
+    path, ckpt = scratch_path(spark, "crawl-log"), scratch_path(spark, "crawl-log-ckpt")
+    log = all_outcomes_log(spark, sf_dir)
+    feed = I.feed_in_order(spark, log, "timestamp", 3)
+    for most in (1, None):  # one file, then, by a new query on the same checkpoint, the rest
+        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", most or 100).parquet(feed)
+        query = write_crawl_log_stream(stream, path, ckpt, {"once": True} if most else None)
+        query.awaitTermination()
+    return spark.read.text(path).select(F.col("log_date").cast("date").alias("log_date"), F.col("value").alias("line"))
+
+
 def _item_json_sql() -> str:
     from ..sinks.files import ITEM_LINE_ORDER, NUMERIC_FIELDS
     parts = []

@@ -9,6 +9,7 @@ from ..operators import frontier as Q
 from ..operators import frontier_store as FS
 from ..operators import path_store as PS
 from ..session import scratch_path
+from ..streaming import revisit as RV
 from ..streaming import spiderlog as S
 from . import inputs as I
 from . import sqlgen as sg
@@ -92,6 +93,19 @@ def f6_store_taken(spark, sf_dir):
     return taken.select("partition_id", "fingerprint", "url", "score").join(store.read("states").drop("ts"), "fingerprint")
 
 
+# Fetches of the event log as a feed in time order: at the end the watermark stands an hour before the last fetch.
+@register("f8_stream_due", f"""
+WITH f AS (SELECT {sg.url_fingerprint('url')} AS fingerprint, arg_max(url, (ts, url)) AS url, max(ts) AS fetched_at FROM ({GOOD}) WHERE type = 'page_crawled' GROUP BY 1)
+SELECT * FROM f WHERE fetched_at <= (SELECT max(fetched_at) FROM f) - INTERVAL 1 HOUR - INTERVAL 3 DAY""")
+def f8_stream_due(spark, sf_dir):
+    d = S.decode_events(I.messages(spark, sf_dir), "page_crawled")
+    fetches = d.select(url_fingerprint("url").alias("fingerprint"), "url", F.col("ts").cast("timestamp").alias("fetched_at"))
+    feed, out = I.feed_in_order(spark, fetches, "fetched_at", 3), scratch_path(spark, "due")
+    stream = spark.readStream.schema(fetches.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    RV.stream_due(stream, out, scratch_path(spark, "due-ckpt"), late_after="1 hour").awaitTermination()
+    return RV.read_due(spark, out).withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
+
+
 # Paths of the link tree, its edges in two batches: first those of every third child, most of them out of reach, then the
 # rest, which bring the reached part together.
 @register("j4_stored_paths", PATHS_SQL)

@@ -23,12 +23,15 @@ _DEFAULTS = {
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "crawlframe",
-                  extra: dict | None = None) -> SparkSession:
-    """A local session for tests and the benchmark (never used by the library itself)."""
+                  extra: dict | None = None, checkpoint_dir: str | None = None) -> SparkSession:
+    """A local session for tests and the benchmark (never used by the library itself). ``checkpoint_dir`` becomes
+    ``spark.checkpoint.dir``, where everything that is written on the way goes."""
     b = SparkSession.builder.master(f"local[{cores}]").appName(app)
     conf = dict(_DEFAULTS)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.driver.memory"] = os.environ.get("CRAWLFRAME_DRIVER_MEMORY", "16g")
+    if checkpoint_dir:
+        conf["spark.checkpoint.dir"] = checkpoint_dir
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
