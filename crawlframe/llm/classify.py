@@ -77,7 +77,7 @@ def fit(df: DataFrame, text_col: str, label_col: str, params: subword.Params = s
 
 def with_probabilities(df: DataFrame, model: subword.Model, text_col: str = "text", out: str = "probabilities") -> DataFrame:
     """Add an array column with the probability of each class of ``model.classes`` for the whole text."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = text.share(df.sparkSession, model)
     text.bound_batches(df.sparkSession)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
@@ -103,8 +103,9 @@ def quality(df: DataFrame, model: subword.Model, good, text_col: str = "text", t
     elif good not in model.classes:
         scored = df.withColumn("score", F.lit(0.0))
     else:
-        scored = (with_probabilities(df, model, text_col, "_probabilities")
-                  .withColumn("score", F.col("_probabilities")[model.classes.index(good)]).drop("_probabilities"))
+        name = text.free_name(df, "_probabilities")
+        scored = (with_probabilities(df, model, text_col, name)
+                  .withColumn("score", F.col(name)[model.classes.index(good)]).drop(name))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -119,11 +120,12 @@ def language(df: DataFrame, model: subword.Model, text_col: str = "text") -> Dat
     if model.classes == [None]:
         return df.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "rejected": F.lit(True)})
     names = F.array(*[F.lit(c) for c in model.classes])
-    best = F.array_max("_probabilities")
-    return (with_probabilities(df, model, text_col, "_probabilities")
-            .withColumn("_lettered", lettered)
-            .withColumn("lang_pred", F.when(F.col("_lettered"), F.element_at(
-                names, F.array_position("_probabilities", best).cast("int"))).otherwise("und"))
-            .withColumn("score", F.when(F.col("_lettered"), best).otherwise(0.0))
-            .withColumn("rejected", ~F.col("_lettered") | (F.col("score") < model.reject_below))
-            .drop("_probabilities", "_lettered"))
+    found, letters = text.free_name(df, "_probabilities"), text.free_name(df, "_lettered")
+    best = F.array_max(found)
+    return (with_probabilities(df, model, text_col, found)
+            .withColumn(letters, lettered)
+            .withColumn("lang_pred", F.when(F.col(letters), F.element_at(
+                names, F.array_position(found, best).cast("int"))).otherwise("und"))
+            .withColumn("score", F.when(F.col(letters), best).otherwise(0.0))
+            .withColumn("rejected", ~F.col(letters) | (F.col("score") < model.reject_below))
+            .drop(found, letters))

@@ -24,7 +24,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("a", "b")
     if large:
         both = both.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    # written, so that the join reads both sides by exchanges of its own and Spark can split a hub's links
+    least = _written(both.groupBy("a").agg(F.min("b").alias("m")), "components-least")
     if large:
         # of node a, with least neighbour min(m, a): its neighbours b > a link to that
         joined = both.where("b > a").join(least, "a").select(F.col("b").alias("x"), F.least("m", "a").alias("y"))

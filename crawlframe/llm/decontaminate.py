@@ -15,8 +15,9 @@ Words are white-space separated, lower-cased, with everything but letters and di
 skipped. The answer is what follows a marker ``answer:`` or ``a:`` on its own, else the last sentence, else the last
 fifth of the words.
 
-Items are indexed in shards of bounded text size, one pass over the texts each, so a broadcast index never exceeds
-that bound; document frequencies and mean length are those of all items.
+Equal items are one entry, whatever their number. Entries are indexed in shards of bounded index size, each built by
+one Spark task and broadcast for one pass over the texts; document frequencies and mean length are those of all
+entries. The ids of a found entry are joined back.
 
 Defined results: null or empty texts and items match nothing, an empty benchmark gives no rows; repeated rows give
 repeated results; items that share an id are separate entries under that id.
@@ -24,6 +25,7 @@ repeated results; items that share an id are separate entries under that id.
 
 from __future__ import annotations
 
+import pickle
 import re
 from bisect import bisect_left
 from dataclasses import dataclass
@@ -37,13 +39,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlframe.llm import text
+from crawlframe.llm.components import _written
 
 CHUNK, PASSAGE, STRIDE = 64, 96, 32  # PASSAGE >= CHUNK + STRIDE - 1
 K1, B = 1.2, 0.75
 BLOCK = 16
 GROUPS = 64
 GRAM = 3
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 16 << 20  # of an index, as estimated
+ENTRY_BYTES = GROUPS * 4 + 128  # of an index, per word of an item: largest impacts by group, posting, hash
 
 
 def normal_words(words: pa.Array) -> pa.Array:
@@ -253,7 +257,7 @@ def search(index: Index, texts: pa.Array, threshold: float) -> list[tuple[int, i
 
 
 _FOUND = T.ArrayType(T.StructType([
-    T.StructField("item", T.IntegerType()), T.StructField("score", T.DoubleType()),
+    T.StructField("item", T.LongType()), T.StructField("score", T.DoubleType()),
     T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType())]))
 
 
@@ -261,12 +265,13 @@ def _searcher(shared, threshold: float):
     @F.arrow_udf(_FOUND)
     def run(texts: pa.Array) -> pa.Array:
         out: list[list] = []
-        for part in text.slices(pa.record_batch([text.plain(texts)], names=["t"]), "t", 2 << 20):
+        for part in text.slices(pa.record_batch([text.plain(texts)], names=["t"]), "t", 1 << 20):
             rows: list[list] = [[] for _ in range(part.num_rows)]
             for r, item, score, q, a in search(shared.value, part.column(0), threshold):
-                rows[r].append({"item": item, "score": score, "question_overlap": q, "answer_overlap": a})
+                rows[r].append({"item": shared.value.item_ids[item], "score": score, "question_overlap": q, "answer_overlap": a})
             out += rows
-        return pa.array(out, pa.list_(pa.struct([("item", pa.int32()), ("score", pa.float64()),
+        text.release()
+        return pa.array(out, pa.list_(pa.struct([("item", pa.int64()), ("score", pa.float64()),
                                                  ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])))
 
     return run.asNondeterministic()  # or the filter on its result would search again
@@ -282,35 +287,38 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
             shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Every retrieved (document, item): doc_id, text_key (xxhash64 of the text), item_id, score (BM25 over the
     chunk's own), question_overlap, answer_overlap, and whether it is ``leaked`` (both overlaps >= ``overlap``)."""
-    text.bound_batches(docs.sparkSession)
-    items = (benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item")).where("item is not null")
-             .withColumn("chunks", _chunks("item")).where(F.size("chunks") > 0))
-    sums = items.agg(F.sum(F.octet_length("item")), F.sum(F.size("chunks")),
-                     F.sum(F.size(F.flatten("chunks")))).first()
+    spark = docs.sparkSession
+    text.bound_batches(spark)
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("item")).where("item is not null")
+    # equal items are one entry of the index; their ids are joined back at the end
+    texts = items.select("item").distinct().withColumn("chunks", _chunks("item")).where(F.size("chunks") > 0)
+    texts = _written(texts.withColumn("key", F.monotonically_increasing_id()), "leaks-items")
+    keyed = items.join(texts.select("key", "item"), "item").select("key", "item_id")
+    terms = texts.select("key", F.explode("chunks").alias("c")).select("key", F.explode(F.array_distinct("c")).alias("term"))
+    size = F.sum(F.octet_length("item") + F.size(F.flatten("chunks")) * ENTRY_BYTES)  # of the index, as if no two items shared a term
+    sums = texts.agg(size, F.sum(F.size("chunks")), F.sum(F.size(F.flatten("chunks")))).first()
+    shards = max(1, -(-int(sums[0] or 0) // shard_bytes))
+    df = terms.groupBy("term").agg(F.count("*").alias("n"))
+    freqs = terms.distinct().join(df, "term").groupBy("key").agg(F.collect_list(F.struct("term", "n")).alias("freqs"))
+    n_chunks, mean = int(sums[1] or 0), (sums[2] or 0) / (sums[1] or 1)
+
+    def packed(shard: pa.Table) -> pa.Table:
+        rows = sorted(shard.to_pylist(), key=lambda r: r["item"])
+        freq = {f["term"]: f["n"] for r in rows for f in r["freqs"]}
+        index = pickle.dumps(build([(r["key"], r["item"]) for r in rows], freq, n_chunks, mean))
+        return pa.table({"shard": shard["shard"].slice(0, 1), "index": pa.array([index], pa.binary())})
+
+    own = texts.join(freqs, "key").select(F.pmod(F.xxhash64("item"), F.lit(shards)).alias("shard"), "key", "item", "freqs")
+    indexes = _written(own.groupBy("shard").applyInArrow(packed, "shard long, index binary"), "leaks-index")
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("t"))
-    shards = max(1, -(-(sums[0] or 0) // shard_bytes))
-    items = items.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)))
-    df = (items.select(F.explode("chunks").alias("c")).select(F.explode(F.array_distinct("c")).alias("term"))
-          .groupBy("term").count())
     out = None
     for shard in range(shards):
-        own = items.where(F.col("shard") == shard)
-        rows = own.select("item_id", "item").sort("item_id", "item").collect()
-        terms = own.select(F.explode(F.flatten("chunks")).alias("term")).distinct()
-        freq = {r["term"]: r["count"] for r in terms.join(df, "term").collect()}
-        index = build([(r["item_id"], r["item"]) for r in rows], freq, sums[1] or 0, (sums[2] or 0) / (sums[1] or 1))
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        blob = indexes.where(F.col("shard") == shard).first()
+        shared = text.share(spark, pickle.loads(blob["index"]) if blob else build([], {}, 0, 0))
         found = (base.withColumn("found", _searcher(shared, threshold)("t")).drop("t")
-                 .where(F.size("found") > 0).select("doc_id", "text_key", F.explode("found").alias("f"))
-                 .select("doc_id", "text_key", _item_ids(index, benchmark.schema[item_col].dataType).alias("item_id"), "f.score",
-                         "f.question_overlap", "f.answer_overlap"))
+                 .where(F.size("found") > 0).select("doc_id", "text_key", F.explode("found").alias("f")))
         out = found if out is None else out.unionByName(found)
+    out = out.join(keyed, F.col("f.item") == F.col("key")).select(
+        "doc_id", "text_key", "item_id", "f.score", "f.question_overlap", "f.answer_overlap")
     return out.withColumn("leaked", (F.col("question_overlap") >= overlap) & (F.col("answer_overlap") >= overlap))
 
-
-def _item_ids(index: Index, kind: T.DataType):
-    """The id of item position ``f.item``; the ids of one shard are a bounded literal."""
-    if not index.item_ids:
-        return F.lit(None).cast(kind)
-    ids = F.split(F.lit("\x01".join("" if i is None else str(i) for i in index.item_ids)), "\x01")
-    return F.nullif(F.element_at(ids, F.col("f.item") + 1), F.lit("")).cast(kind)

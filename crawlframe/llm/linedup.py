@@ -19,7 +19,8 @@ Defined results: a null text stays null with no lines; null sites count as no
 site; rows that repeat an id and text get equal results; lines are told apart
 by a 64-bit hash; a document whose every line goes keeps its row with the empty
 text (``n_removed`` tells); blank lines and lines shorter than the rule's least
-words are never removed. Other columns pass through.
+words are never removed. Other columns pass through, whatever their names; columns ``n_lines`` and ``n_removed`` of the
+input give way to the result's.
 """
 
 from __future__ import annotations
@@ -77,14 +78,16 @@ def remove_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         first = _written(placed.groupBy("h").agg(F.min(at).alias("first")), "linedup-first")
         placed = placed.join(first, "h").where(~at.eqNullSafe(F.col("first")))
     cut = _written(placed.groupBy("id", "text_key").agg(F.collect_set("pos").alias("cut")), "linedup-cut")
-    rows = docs.withColumn("_key", F.xxhash64(text_col)).alias("d")
-    joined = rows.join(cut.alias("c"), F.col(f"d.{id_col}").eqNullSafe(F.col("c.id")) & (F.col("d._key") == F.col("c.text_key")), "left")
-    lines = F.split(F.col(f"d.{text_col}"), "\n")
+    # the input's columns stay inside a struct, so none can clash with a helper
+    rows = docs.select(F.struct("*").alias("d"), F.xxhash64(text_col).alias("key")).alias("r")
+    own = F.col("r.d")
+    joined = rows.join(cut.alias("c"), own[id_col].eqNullSafe(F.col("c.id")) & (F.col("r.key") == F.col("c.text_key")), "left")
+    lines = F.split(own[text_col], "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("c.cut"))
-    text = (F.when(F.col("c.cut").isNull(), F.col(f"d.{text_col}"))
+    text = (F.when(F.col("c.cut").isNull(), own[text_col])
             .otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")))
-    n_lines = F.when(F.col(f"d.{text_col}").isNull(), 0).otherwise(F.size(lines))
-    out = [text.alias(c) if c == text_col else F.col(f"d.{c}") for c in docs.columns]
+    n_lines = F.when(own[text_col].isNull(), 0).otherwise(F.size(lines))
+    out = [(text if c == text_col else own[c]).alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     return joined.select(*out, n_lines.alias("n_lines"), F.coalesce(F.size("c.cut"), F.lit(0)).alias("n_removed"))
 
 

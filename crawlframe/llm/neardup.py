@@ -144,7 +144,10 @@ def packed_sets(column: str, size: int) -> Column:
         out = []
         for part in text.slices(pa.record_batch([text.plain(texts)], names=["t"]), "t"):
             out += [s.tobytes() for s in shingle_sets(part.column(0), size)]
-        return pa.array(out, pa.binary())
+        packed = pa.array(out, pa.binary())
+        del out
+        text.release()
+        return packed
 
     return run(F.col(column))
 
@@ -241,7 +244,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     .select("doc_id", F.xxhash64("t").alias("text_key"), "f.*"), "neardup-rows")
     classes = _written(rows.where("n_shingles > 0").groupBy("cls").agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bits0").alias("x0"),
-        F.first("bits1").alias("x1"), F.first("bands").alias("bands"), F.min("text_key").alias("text_key")), "neardup-classes")
+        F.first("bits1").alias("x1"), F.first("bands").alias("bands"),
+        F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key")).alias("text_key")), "neardup-classes")
     member = classes.select(F.explode("bands").alias("key"), "cls", "n", "x0", "x1")
 
     # two centres per bucket, each the least under one of two orders of the classes
@@ -255,10 +259,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = (member.select("cls", "n_a", "x0", "x1", F.explode(F.array("c1", "c2")).alias("c"))
              .select(F.col("cls").alias("a"), "n_a", "x0", "x1", "c.*").where("a != b").where(_plausible(percent))
              .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    # full sets of the classes that share a bucket, computed anew from one text of each
-    chosen = member.select("cls").distinct().join(classes.select("cls", "text_key"), "cls")
-    texts = (docs.select(F.col(text_col).alias("t")).withColumn("text_key", F.xxhash64("t"))
-             .join(chosen, "text_key").dropDuplicates(["cls"]))
+    # full sets of the classes that share a bucket, computed anew from one text of each: that of the smallest id, so the
+    # other copies of a text are not shuffled
+    chosen = member.select("cls").distinct().join(classes.select("cls", "text_key", "first_id"), "cls")
+    texts = (docs.select(F.col(text_col).alias("t"), F.col(id_col).alias("own_id")).withColumn("own_key", F.xxhash64("t"))
+             .join(chosen, (F.col("own_key") == F.col("text_key")) & F.col("own_id").eqNullSafe(F.col("first_id"))).dropDuplicates(["cls"]))
     sets = _written(texts.select("cls", packed_sets("t", shingle).alias("items")), "neardup-sets")
     links = _written(_confirmed(first, sets, percent), "neardup-links")
     label = connected_components(links, "neardup-first")

@@ -16,7 +16,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return (sentencepiece.encode_rows(docs)
-            .select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "n_best", "best_score", "exact"))
+            .select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.size("best_ids").cast("long").alias("n_best"),
+                    "best_ids", "best_score", "exact"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +52,6 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return linedup.remove_spread_lines(docs).drop("source")
-
-
-def op7_line_dedup_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return linedup.remove_spread_lines(docs, by_words=linedup.BY_WORDS).drop("source")
 
@@ -96,7 +92,6 @@ QUERIES = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_warc": op6_warc,
     "op7_line_dedup": op7_line_dedup,
-    "op7_line_dedup_by_words": op7_line_dedup_by_words,
     "op8_extraction": op8_extraction,
     "op9_language_id": op9_language_id,
     "op10_nearest": op10_nearest,
@@ -108,8 +103,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op5_near_duplicates": neardup.oracle_sql(),
     "op6_warc": warc.oracle_sql(),
-    "op7_line_dedup": linedup.oracle_sql(),
-    "op7_line_dedup_by_words": linedup.oracle_sql_by_words(),
+    "op7_line_dedup": linedup.oracle_sql_by_words(),
     "op11_spelling": spelling.oracle_sql(),
     "op12_exact_dedup": exactdup.oracle_sql(),
 }

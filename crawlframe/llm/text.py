@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 2 << 20
 BATCH_BYTES = 8 << 20
@@ -41,6 +41,28 @@ def release() -> None:
         trim(0)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes to clash with no column of ``df``."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
+_shared: list = []
+
+
+def share(spark: SparkSession, value):
+    """Broadcast ``value``; ``unshare`` frees the executors' copies."""
+    _shared.append(spark.sparkContext.broadcast(value))
+    return _shared[-1]
+
+
+def unshare() -> None:
+    """Free what executors hold of all shared values, once results have been written. A plan that still needs one gets it again."""
+    while _shared:
+        _shared.pop().unpersist()
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose ``column`` holds about ``limit`` bytes (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

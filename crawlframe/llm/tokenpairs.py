@@ -422,7 +422,7 @@ class Alignment:
         self.radix = radix or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.pair = Pair(*files, self.radix)
         self.id_type, self.with_groups = docs.schema[id_col].dataType, with_groups
-        shared = spark.sparkContext.broadcast((*files, self.radix))
+        shared = text.share(spark, (*files, self.radix))
         longs = T.ArrayType(T.LongType())
         self.schema = T.StructType([
             T.StructField("run", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("blob", T.BinaryType()),

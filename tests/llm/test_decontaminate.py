@@ -93,3 +93,14 @@ def test_question_and_answer():
     assert dc.question_and_answer("How? Answer: so") == ("How?", " so")
     assert dc.question_and_answer("one two three four five six") == ("one two three four five", "six")
     assert dc.question_and_answer("one") == ("", "one")
+
+
+def test_ids_of_items_are_joined_back(spark, documents):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    items = [("", f"{words(1)}. {words(2)}."), ("k\x01z", f"{words(3)}. {words(4)}."), (None, f"{words(5)}. {words(6)}."),
+             ("b", f"{words(3)}. {words(4)}."), ("b", f"{words(3)}. {words(4)}."), ("null text", None), ("empty", "")]
+    docs = documents([(k, f"before {t} after") for k, (_, t) in enumerate(items[:3])] + [(9, words(9))])
+    for shard_bytes in (16 << 20, 20_000):
+        found = dc.matches(docs, spark.createDataFrame(items, "item_id string, text string"), shard_bytes=shard_bytes)
+        got = sorted(((r.doc_id, r.item_id) for r in found.where("leaked").collect()), key=repr)
+        assert got == sorted([(0, ""), (1, "k\x01z"), (1, "b"), (1, "b"), (2, None)], key=repr)

@@ -23,6 +23,23 @@ def brute(rows, min_sites, min_words=3):
     return out
 
 
+def brute_by_words(rows, rule=linedup.BY_WORDS):
+    need = lambda line: [sites for n, sites in sorted(rule) if len(line.split()) >= n][-1]
+    sites, first = defaultdict(set), {}
+    for d, t, _, s in rows:
+        for pos, raw in enumerate((t or "").split("\n")):
+            line = raw.strip(" ")
+            if line.split():
+                sites[line].add(s)
+                first[line] = min(first.get(line, (d, pos)), (d, pos))
+    out = {}
+    for d, t, _, s in rows:
+        lines = [] if t is None else t.split("\n")
+        gone = [bool(x.split()) and len(sites[x.strip(" ")] - {None}) >= need(x) and first[x.strip(" ")] != (d, pos) for pos, x in enumerate(lines)]
+        out[d] = (None if t is None else "\n".join(x for x, g in zip(lines, gone) if not g), len(lines), sum(gone))
+    return out
+
+
 def made(n_sites=40):
     rows = []
     for k in range(400):
@@ -73,6 +90,16 @@ def test_required_spread_falls_with_length(spark, documents):
     assert sum(few.values()) < sum(want.values())
 
 
+def test_rule_by_length_matches_brute_force_and_clashing_columns_pass(spark, documents):
+    rows = made() + [(2000 + k, "one\ntwo words\n" + " ".join(["long"] * (20 * (k % 4 + 1))), None, f"site{k % 12}") for k in range(60)]
+    docs = documents(rows).withColumnRenamed("lang", "_key").withColumnRenamed("n_chars", "n_removed").selectExpr("*", "7 AS key", "8 AS cut")
+    got = linedup.remove_spread_lines(docs, by_words=linedup.BY_WORDS)
+    assert got.columns == ["doc_id", "text", "_key", "source", "key", "cut", "n_lines", "n_removed"]
+    kept = {r.doc_id: r for r in got.collect()}
+    assert {d: (r.text, r.n_lines, r.n_removed) for d, r in kept.items()} == brute_by_words(rows)
+    assert all(kept[d]._key == lang and kept[d].source == s and kept[d].key == 7 for d, _, lang, s in rows)
+
+
 def test_main_path_is_native(spark, documents, capsys):
     linedup.remove_spread_lines(documents(made())).explain()
     assert not any(w in capsys.readouterr().out for w in ("Python", "Arrow", "Pandas"))

@@ -37,9 +37,9 @@ def test_near_dedup_and_leaks_against_brute_force(steps, spark):
 
 
 def test_line_dedup_against_brute_force(steps):
-    from tests.llm.test_linedup import brute
+    from tests.llm.test_linedup import brute_by_words
     _, before, after = steps[1]
-    want = brute(list(zip(before.doc_id, before.text, before.lang, before.source)), 5)
+    want = brute_by_words(list(zip(before.doc_id, before.text, before.lang, before.source)))
     kept = dict(zip(after.doc_id, after.text))
     assert kept == {d: t for d, (t, _, removed) in want.items() if not removed or t.strip(" ")}
     assert all(n == len(t) for t, n in zip(after.text, after.n_chars))
