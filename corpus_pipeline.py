@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlframe.llm import classify, decontaminate, linedup, neardup, sentencepiece
+from crawlframe.llm.text import unshare
 from crawlframe.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,6 +32,7 @@ def _without(spark: SparkSession, docs: DataFrame, gone: DataFrame, name: str) -
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose language is rejected; a null ``lang`` becomes the predicted one."""
+    unshare()  # every stage: the one before has been written
     model = classify.fit(docs, "text", "lang", classify.LANGUAGE)
     kept = classify.language(docs, model).where("not rejected")
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
@@ -38,7 +40,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut cross-site boilerplate lines; a document of nothing else goes. ``n_chars`` follows the text."""
-    cut = linedup.remove_spread_lines(docs)
+    unshare()
+    cut = linedup.remove_spread_lines(docs, by_words=linedup.BY_WORDS)
     left = (F.col("n_removed") == 0) | (F.trim("text") != "")
     return cut.where(left).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long"))
                                       .otherwise(F.col("n_chars"))).select(*COLUMNS)
@@ -46,18 +49,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each near-duplicate component (five words, similarity 0.8)."""
+    unshare()
     found = neardup.near_duplicates(docs, shingle=5, percent=80)
     return _without(spark, docs, found.where("not kept"), "copies")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
+    unshare()
     found = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(spark, docs, found.where("leaked"), "leaks")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
+    unshare()
     encoded = sentencepiece.encode_rows(docs.select("doc_id", "lang", "source", "text"))
     return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "exact")
 
