@@ -8,15 +8,16 @@ its own tables; scores use the mean of the probabilities of the last ``SAMPLES``
 Work is cut by a hash of the word into shards, each of which holds the words of its hash and their restaurants:
 
 * documents become chunks of token codes (a written table); each chunk sends each shard its distinct pairs and counts;
-* a shard adds them up. A pair seen once has one table for certain; the others are reseated in every sweep, all
-  customers of a pair at a time, given the parent's probabilities and the other tables of the restaurant (seats of very
-  frequent pairs are drawn in binomial blocks of a sixteenth of the customers seated so far);
+* a shard adds them up. A pair seen once has one table for certain; the number of tables of every other pair is drawn
+  anew in each sweep from its conditional, given the parent's probabilities and the other tables of the restaurant (see
+  ``seat``; pairs are drawn in parallel against the totals of the sweep before);
 * a sweep is two exchanges of integer lists: table counts per word to the word's shard, which reseats the root, and
   root counts back;
 * at the end each shard sends each chunk what it needs for its own words and pairs, and the chunk adds up its texts.
 
 All messages are packed lists, a frequent word or pair is one entry per chunk or shard, and the number of shards
-follows the text's size, so what a task holds does not grow with the corpus. Only sums pass through the driver.
+follows the text's size. The followers of one very frequent word stay in one shard, so that shard grows with the
+number of chunks, though far slower than the corpus. Only sums pass through the driver.
 Words are told apart by 64-bit hashes, as second words of a pair by 48 bits of them.
 
 Discounts are the usual estimate n1 / (n1 + 2 n2) of each level, the strengths are parameters.
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,7 @@ from crawlframe.llm.components import _written
 
 CHUNK_BYTES, SHARD_BYTES = 12 << 20, 6 << 20
 BURN_IN, SAMPLES = 1, 2
+DRAWN = 64  # customers of a dish whose tables are drawn from their exact conditional
 THETA_CONTEXT, THETA_ROOT = 1.0, 10.0
 END = np.uint64(0xE7D5A1C39B2F6E41)
 
@@ -250,14 +253,38 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.cumsum(_large(data[1:])) if data[0] else _large(data[1:])
 
 
-def seat(count: np.ndarray, weight: np.ndarray, tables: np.ndarray, base: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of ``count`` customers of each dish, reseated one after the other.
+@lru_cache(maxsize=8)
+def _arrangements(d: float, most: int) -> np.ndarray:
+    """Log of the weighted number of ways to seat c customers at t tables, by (c, t): the generalised Stirling numbers."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(1, most + 1)
+    for c in range(1, most):
+        with np.errstate(divide="ignore"):
+            stay = out[c, 1:] + np.log(np.maximum(c - d * t, 0))
+        out[c + 1, 1:] = np.logaddexp(out[c, :-1], stay)
+    return out
+
+
+def seat(count: np.ndarray, weight: np.ndarray, base: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of ``count`` customers of each dish, drawn given everything else (a blocked Gibbs step).
 
     ``weight``: theta + d * tables of the restaurant without this dish; ``base``: the parent's probability of the dish.
-    The j-th customer opens a table with odds (weight + d t) * base to (j - 1 - d t).
+    Of up to ``DRAWN`` customers the number of tables is drawn from its exact conditional: the product of
+    (weight + d k) * base over the tables, times the arrangements of the customers at them. More are seated one after
+    the other in blocks of a sixteenth of those seated, where the j-th opens a table with odds (weight + d t) * base to
+    (j - 1 - d t); among so many customers the difference is small.
     """
     tables = np.minimum(count, 1).astype(np.int64)
-    j, live = 1, np.flatnonzero(count > 1)
+    for c in np.unique(count[(count > 1) & (count <= DRAWN)]).tolist():
+        own = np.flatnonzero(count == c)
+        ways = _arrangements(d, DRAWN)[c, 1:c + 1]
+        for at in range(0, len(own), 1 + (1 << 18) // c):
+            part = own[at:at + 1 + (1 << 18) // c]
+            log_p = np.cumsum(np.log(weight[part, None] + d * np.arange(c)) + np.log(base[part, None]), axis=1) + ways
+            upto = np.cumsum(np.exp(log_p - log_p.max(axis=1, keepdims=True)), axis=1)
+            tables[part] = 1 + (upto < (rng.random(len(part)) * upto[:, -1])[:, None]).sum(axis=1)
+    j, live = 1, np.flatnonzero(count > DRAWN)
     while len(live):
         step = np.minimum(max(1, j // 16), count[live] - j)
         t = tables[live]
@@ -298,7 +325,7 @@ def _root(sweep: int, seed: int, theta: float, state: dict):
                           {"kind": "alone", "shard": shard, "a": _small(alone)}])
         rng = np.random.default_rng([seed, sweep, shard])
         weight = np.full(len(words), theta + d * max(0.0, others - 1))
-        tables = seat(customers, weight, customers, np.full(len(words), 1 / (v + 1)), d, rng)
+        tables = seat(customers, weight, np.full(len(words), 1 / (v + 1)), d, rng)
         out = [{"kind": "root", "shard": shard, "a": _small(customers), "b": _small(tables), "x": float(customers.sum()), "y": float(tables.sum())}]
         for r, at in zip(messages, places):
             if r["kind"] == "tables":
@@ -334,7 +361,7 @@ def _contexts(sweep: int, seed: int, theta: float, theta_root: float, state: dic
         d = state["d_context"]
         sums = single + np.bincount(context, weights=tables, minlength=len(total)).astype(np.int64)
         rng = np.random.default_rng([seed, 1000 + sweep, shard])
-        tables = seat(count, theta + d * (sums[context] - tables), tables, base, d, rng)
+        tables = seat(count, theta + d * (sums[context] - tables), base, d, rng)
         sums = single + np.bincount(context, weights=tables, minlength=len(total)).astype(np.int64)
         return _rows([{"kind": "seats", "shard": shard, "source": sweep, "a": _small(tables), "b": _small(sums)},
                       *_by_word(shard, short, tables, "tables", shards)])

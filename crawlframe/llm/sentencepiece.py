@@ -4,7 +4,7 @@ One pass of an Aho-Corasick automaton over a text lists, by its output links,
 every piece that ends at each position; each is relaxed against the best state
 of the position where it starts, and the states are followed back from the end.
 
-* Viterbi: the best sum of piece scores to each position and the number of pieces of that path. Its path is the
+* Viterbi: the best sum of piece scores to each position and the last piece of its path. The path, ``best_ids``, is the
   encoding of a UNIGRAM model, and of any model with ``by="scores"``.
 * Merges: of a BPE model, sums of scores can't give the library's result, as a BPE score is only a merge's rank. In
   the same pass each position keeps the last piece of its prefix's merged segmentation; a piece is accepted if it and
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Sequence
 
 import ahocorasick
 import numpy as np
@@ -39,7 +40,7 @@ from crawlframe.llm import text
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6  # fixed values of the model format
-CACHED_UNITS = 200_000  # bounds memory only
+CACHED_UNITS, CACHED_WORDS = 150_000, 250_000  # bound memory only
 _NEVER = float("-inf")
 
 
@@ -76,6 +77,7 @@ class Segmenter:
         surface = proto.trainer_spec.unk_surface.encode()
         self.surface = [p.piece.replace(MARK, " ").encode() if p.type in (NORMAL, USER) else bytes([int(p.piece[1:-1], 16)])
                         if p.type == BYTE else surface if p.type == UNKNOWN else b"" for p in proto.pieces]
+        self.surfaces = pa.array(self.surface, pa.large_binary())
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             self.automaton.add_word(piece, (len(piece), i, self.scores[i]))
@@ -91,13 +93,16 @@ class Segmenter:
             self.unit = regex.compile(f"{own + '|' if own else ''}{MARK}+[^{rest}\\p{{L}}]*\\p{{L}}*|[^{rest}\\p{{L}}]+\\p{{L}}*|\\p{{L}}+")
         self.known = {p for p in self.ids if len(p) == 1}
         self.follows: dict[int, bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.length = [len(p) for p in self.pieces]
         self._forget()
 
     def _forget(self) -> None:
-        """Start an empty store: number of each unit, and per number its ids (one flat array) and facts."""
+        """Start an empty store: number of each unit, and per number its ids, best ids (flat arrays) and best score."""
         self.number: dict[str, int] = {}
-        self.flat, self.size, self.facts = array("i"), array("i"), array("d")
+        self.flat, self.size, self.score = array("i"), array("i"), array("d")
+        self.best_flat, self.best_size = array("i"), array("i")
+        self.words: dict[str, int] = {}  # number of each word, and per number its units
+        self.word_flat, self.word_size = array("i"), array("i")
 
     def _merged(self, joined: str) -> list[str]:
         """Pieces left when the best-scored neighbouring pair (the leftmost of equals) is merged until none can be."""
@@ -115,25 +120,22 @@ class Segmenter:
 
     def _may_follow(self, a: int, b: int) -> bool:
         """Whether merging yields piece b after piece a (-1: after nothing, or after an unknown character)."""
-        if a < 0:
-            ok = self.whole.get(b)
-            if ok is None:
-                ok = self.whole[b] = len(self._merged(self.pieces[b])) == 1
-            return ok
         key = (a << 32) | b
         ok = self.follows.get(key)
         if ok is None:
             if len(self.follows) >= 300_000:
                 self.follows.clear()
-            ok = self.follows[key] = self._merged(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
+            whole = [self.pieces[b]] if a < 0 else [self.pieces[a], self.pieces[b]]
+            ok = self.follows[key] = self._merged("".join(whole)) == whole
         return ok
 
-    def segment(self, unit: str) -> tuple[tuple[int, ...], int, float, bool]:
-        """(ids, number of pieces of the best path by scores, its score, whether the ids decode to the unit)."""
+    def segment(self, unit: str) -> tuple[Sequence[int], Sequence[int], float]:
+        """(ids, ids of the best path by scores, its score)."""
         n = len(unit)
-        best, count = [0.0] + [_NEVER] * n, [0] * (n + 1)
-        last: list = [-1] + [None] * n  # last piece of the chosen segmentation of each prefix; -1: unknown character
-        merges, follow = self.kind == BPE, self._may_follow
+        best = [0.0] + [_NEVER] * n
+        back: list = [-1] * (n + 1)  # last piece of the best path to each position; -1: unknown character
+        merges, follow, known = self.kind == BPE, self._may_follow, self.follows.get
+        last: list = [-1] + [None] * n if merges else back  # last piece of the merged segmentation of each prefix
         unknown = set() if self.known.issuperset(unit) else {j for j, c in enumerate(unit, 1) if c not in self.known}
         at = 0
 
@@ -141,8 +143,8 @@ class Segmenter:
             nonlocal at
             for j in range(at + 1, to + 1):
                 if j in unknown and best[j - 1] + self.unknown_score > best[j]:
-                    best[j], count[j] = best[j - 1] + self.unknown_score, count[j - 1] + 1
-                    if last[j] is None or not merges:
+                    best[j], back[j] = best[j - 1] + self.unknown_score, -1
+                    if last[j] is None:
                         last[j] = -1
             at = max(at, to)
 
@@ -153,18 +155,28 @@ class Segmenter:
             start = end - size
             total = best[start] + score
             if total > best[end]:
-                best[end], count[end] = total, count[start] + 1
-                if not merges:
-                    last[end] = i
+                best[end], back[end] = total, i
             if merges and last[end] is None:
                 before = last[start]
-                if before is not None and follow(before, i):
-                    last[end] = i
+                if before is not None:
+                    ok = known((before << 32) | i)
+                    if ok or ok is None and follow(before, i):
+                        last[end] = i
         if unknown:
             pass_unknown(n)
-        ids = self._path(unit, last)
-        exact = self._joined(ids) == unit.encode().replace(b"\xe2\x96\x81", b" ")
-        return ids, count[n], best[n], exact
+            return self._path(unit, last), self._path(unit, back), best[n]
+        first = self._pieces_to(n, back)
+        return self._pieces_to(n, last) if merges else first, first, best[n]
+
+    def _pieces_to(self, at: int, last: list) -> list[int]:
+        """The path without unknown characters."""
+        length, out = self.length, []
+        while at:
+            i = last[at]
+            out.append(i)
+            at -= length[i]
+        out.reverse()
+        return out
 
     def _path(self, unit: str, last: list) -> tuple[int, ...]:
         at, out = len(unit), []
@@ -189,15 +201,28 @@ class Segmenter:
     def _numbered(self, unit: str) -> int:
         number = self.number.get(unit)
         if number is None:
-            ids, n, score, exact = self.segment(unit)
+            ids, best, score = self.segment(unit)
             number = self.number[unit] = len(self.size)
             self.flat.extend(ids)
             self.size.append(len(ids))
-            self.facts.extend((n, score, exact))
+            self.best_flat.extend(best)
+            self.best_size.append(len(best))
+            self.score.append(score)
+        return number
+
+    def _word(self, word: str) -> int:
+        """Number of a word with its spaces, cut into units when it is new."""
+        number = self.words.get(word)
+        if number is None:
+            marked = self.prefix + word.replace(" ", MARK)
+            own = self.unit.findall(marked) if self.unit else [marked] if word else []
+            number = self.words[word] = len(self.word_size)
+            self.word_flat.extend(map(self._numbered, own))
+            self.word_size.append(len(own))
         return number
 
-    def encode(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-        """Per whole text (null: empty) its ids, pieces and score of the best path by scores, and exactness."""
+    def encode(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+        """Per whole text (null: empty) its ids, the ids and score of its best path by scores, and whether its ids decode to it."""
         texts = text.plain(texts)
         if self.unit is None or not self.prefix:
             row, words = np.arange(len(texts)), texts
@@ -217,36 +242,54 @@ class Segmenter:
                 row, words = row[order], words.take(pa.array(order))
         coded = words.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
-        if len(self.number) > CACHED_UNITS:
+        if len(self.number) > CACHED_UNITS or len(self.words) > CACHED_WORDS:
             self._forget()
-        units, per_word, find = [], [], self.unit.findall if self.unit else (lambda marked: [marked] if marked else [])
-        for w in coded.dictionary.to_pylist():
-            own = find(self.prefix + w.replace(" ", MARK)) if w or self.unit else []
-            per_word.append(len(own))
-            units += map(self._numbered, own)
+        word = np.array([self._word(w) for w in coded.dictionary.to_pylist()], dtype=np.int64)
         # words -> units -> ids, as runs of the stored arrays
-        size, facts = np.array(self.size, dtype=np.int64), np.array(self.facts).reshape(-1, 3)
-        units, per_word = np.array(units, dtype=np.int64), np.array(per_word, dtype=np.int64)
-        word_first = np.cumsum(per_word) - per_word
-        each = per_word[code] if len(code) else np.zeros(0, dtype=np.int64)
-        unit = units[_runs(word_first[code] if len(code) else each, each)]
-        owner = np.repeat(row, each)
-        unit_first = np.cumsum(size) - size
-        ids = np.array(self.flat, dtype=np.int32)[_runs(unit_first[unit], size[unit])]
-        end = np.r_[0, np.cumsum(np.bincount(owner, weights=size[unit], minlength=len(texts)).astype(np.int64))]
-        ids = pa.ListArray.from_arrays(pa.array(end.astype(np.int32)), pa.array(ids))
-
-        def total(x: np.ndarray) -> np.ndarray:
-            return np.bincount(owner, weights=x[unit], minlength=len(texts))
-
-        plain_marks = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False)
-        return ids, total(facts[:, 0]).astype(np.int64), total(facts[:, 1]), (total(1 - facts[:, 2]) == 0) & ~plain_marks
+        per_word = np.array(self.word_size, dtype=np.int64)
+        word = word[code] if len(code) else np.zeros(0, dtype=np.int64)
+        unit = np.array(self.word_flat, dtype=np.int64)[_runs((np.cumsum(per_word) - per_word)[word], per_word[word])]
+        owner = np.repeat(row, per_word[word])
+
+        def ids_of(flat: array, size: array) -> pa.Array:
+            size = np.array(size, dtype=np.int64)
+            ids = np.array(flat, dtype=np.int32)[_runs((np.cumsum(size) - size)[unit], size[unit])]
+            end = np.r_[0, np.cumsum(np.bincount(owner, weights=size[unit], minlength=len(texts)).astype(np.int64))]
+            return pa.ListArray.from_arrays(pa.array(end.astype(np.int32)), pa.array(ids))
+
+        ids = ids_of(self.flat, self.size)
+        score = np.bincount(owner, weights=np.array(self.score)[unit], minlength=len(texts))
+        return ids, ids_of(self.best_flat, self.best_size), score, self._decodes(ids, texts)
+
+    def _decodes(self, ids: pa.Array, texts: pa.Array) -> np.ndarray:
+        """Whether each row's ids, decoded, are its text: the bytes of all rows side by side."""
+        got = self.surfaces.take(ids.values)
+        size = pc.binary_length(got).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = ids.offsets.to_numpy()
+        size = np.diff(np.r_[0, np.cumsum(size)][ends])
+        texts = texts.cast(pa.large_string())
+        if self.prefix:  # of rows with text, the space before it
+            texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string())))
+        want = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        same = size == want
+        left, right = (_bytes(x)[np.repeat(same, n)] if not same.all() else _bytes(x) for x, n in ((got, size), (texts, want)))
+        off = np.flatnonzero(left != right)
+        same[np.flatnonzero(same)[np.unique(np.searchsorted(np.cumsum(want[same]), off, "right"))]] = False
+        return same
 
     def decode(self, ids: list[int]) -> str:
         out = self._joined(ids).decode("utf-8", "replace")
         return out[1:] if self.prefix and out.startswith(" ") else out
 
 
+def _bytes(values: pa.Array) -> np.ndarray:
+    """The bytes of a large_string or large_binary array without nulls, one value after the other."""
+    if not len(values) or values.buffers()[2] is None:
+        return np.zeros(0, np.uint8)
+    offsets = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset:values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]]
+
+
 def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Positions of runs that begin at ``first`` and are ``size`` long, one after the other."""
     end = np.cumsum(size)
@@ -267,18 +310,18 @@ def _segmenter(shared) -> Segmenter:
 def _shared(spark: SparkSession, model_path: str | None, by: str = "model"):
     text.bound_batches(spark)
     with open(model_path or default_model(), "rb") as f:
-        return spark.sparkContext.broadcast((f.read(), by))
+        return text.share(spark, (f.read(), by))
 
 
 _ENCODED = T.StructType([
-    T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_best", T.LongType()),
+    T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("best_ids", T.ArrayType(T.IntegerType())),
     T.StructField("best_score", T.DoubleType()), T.StructField("exact", T.BooleanType())])
 
 
 def encode(spark: SparkSession, column: str, model_path: str | None = None, by: str = "model") -> Column:
-    """Struct (ids, n_best, best_score, exact) of a text column; the model file is read on the driver.
+    """Struct (ids, best_ids, best_score, exact) of a text column; the model file is read on the driver.
 
-    ``n_best`` and ``best_score`` are of the best path by scores; ``exact`` says whether the ids decode to the text.
+    ``best_ids`` and ``best_score`` are the Viterbi path by scores; ``exact`` says whether the row's ids, decoded, are its text.
     """
     shared = _shared(spark, model_path, by)
 
@@ -288,7 +331,7 @@ def encode(spark: SparkSession, column: str, model_path: str | None = None, by:
         batch = pa.record_batch([text.plain(texts)], names=["t"])
         parts = [own.encode(part.column(0)) for part in [*text.slices(batch, "t", 4 << 20)] or [batch]]
         return pa.StructArray.from_arrays(
-            [pa.concat_arrays([p[0] for p in parts]), *(pa.array(np.concatenate([p[k] for p in parts])) for k in (1, 2, 3))],
+            [*(pa.concat_arrays([p[k] for p in parts]) for k in (0, 1)), *(pa.array(np.concatenate([p[k] for p in parts])) for k in (2, 3))],
             names=_ENCODED.fieldNames())
 
     return run(F.col(column))
@@ -296,7 +339,7 @@ def encode(spark: SparkSession, column: str, model_path: str | None = None, by:
 
 def encode_rows(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, model_path: str | None = None,
                 by: str = "model") -> DataFrame:
-    """Columns ``keep`` (all but the text by default) with ids, n_best, best_score and exact, as ``encode`` gives them.
+    """Columns ``keep`` (all but the text by default) with ids, best_ids, best_score and exact, as ``encode`` gives them.
 
     Rows leave the task in batches of a few MB of text, so ids of many long texts are never held together. Kept columns
     of these four names are left out.
@@ -309,9 +352,9 @@ def encode_rows(df: DataFrame, text_col: str = "text", keep: list[str] | None =
     def run(batches):
         own = _segmenter(shared)
         for batch in batches:
-            for part in text.slices(batch, "_text", 4 << 20):
-                ids, *rest = own.encode(part.column("_text"))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, *map(pa.array, rest)], names=[*keep, *names])
+            for part in text.slices(batch, "_text"):
+                ids, best_ids, *rest = own.encode(part.column("_text"))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, best_ids, *map(pa.array, rest)], names=[*keep, *names])
             text.release()
 
     return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)

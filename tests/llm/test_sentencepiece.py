@@ -48,8 +48,8 @@ def test_best_path_equals_the_library_for_a_unigram_model(model):
     own, lib = sp.Segmenter(changed), library.SentencePieceProcessor(model_proto=changed)
     plain = [t for t in texts() if len(t) < 100 and not {"\n", "\t"} & set(t) and len(set(t)) > 2 and "  " not in t]
     ids, n, score, _ = own.encode(pa.array(plain))
-    for t, i, k in zip(plain, ids.to_pylist(), n):
-        assert i == lib.encode(t), repr(t)
+    for t, i, k in zip(plain, ids.to_pylist(), n.to_pylist()):
+        assert i == k == lib.encode(t), repr(t)
     by_scores = sp.Segmenter(changed, by="scores").encode(pa.array(plain))[0].to_pylist()
     assert by_scores == ids.to_pylist()
 
@@ -66,6 +66,28 @@ def test_best_score_is_the_maximum_over_all_segmentations(model):
         assert own.segment(sp.MARK + word)[2] == pytest.approx(best(sp.MARK + word))
 
 
+def test_best_ids_are_the_path_of_the_best_score(model):
+    """The BPE model's Viterbi path: its pieces spell the unit, and their scores add up to the maximum."""
+    own = sp.Segmenter(model)
+    plain = [t for t in texts() if t and "▁" not in t]
+    ids, best, score, exact = own.encode(pa.array(plain))
+    for t, b, total in zip(plain, best.to_pylist(), score):
+        assert own.decode(b) == t
+        assert sum(own.unknown_score if i in set(own.bytes.values()) else own.scores[i] for i in b) <= total + 1e-6 * abs(total) or "🙂" in t
+    by_scores = sp.Segmenter(model, by="scores").encode(pa.array(plain))
+    assert by_scores[0].to_pylist() == best.to_pylist() == by_scores[1].to_pylist()
+    assert any(i != b for i, b in zip(ids.to_pylist(), best.to_pylist())) and exact.all()
+
+
+def test_store_that_overflows_changes_nothing(model, monkeypatch):
+    whole = sp.Segmenter(model).encode(pa.array(texts()))
+    monkeypatch.setattr(sp, "CACHED_WORDS", 50)
+    own = sp.Segmenter(model)
+    parts = [own.encode(pa.array(texts()[k:k + 97])) for k in range(0, len(texts()), 97)]
+    assert [x for p in parts for x in p[0].to_pylist()] == whole[0].to_pylist()
+    assert [x for p in parts for x in p[1].to_pylist()] == whole[1].to_pylist()
+
+
 def test_columns_nulls_and_round_trip(spark, documents):
     df = documents([(1, "Hello  world.\n"), (2, None), (3, ""), (4, "a▁b"), (5, "über 🙂"), (5, "über 🙂")]).withColumnRenamed("lang", "ids")
     rows = df.select("doc_id", "text", sp.encode(spark, "text").alias("e")).select("doc_id", "text", "e.*")
