@@ -40,7 +40,7 @@ from crawlframe.llm import text
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6  # fixed values of the model format
-CACHED_UNITS, CACHED_WORDS = 150_000, 250_000  # bound memory only
+CACHED_UNITS = 500_000  # bounds memory only: about 150 bytes each, and as much for a word
 _NEVER = float("-inf")
 
 
@@ -54,7 +54,7 @@ def default_model() -> str:
 class Segmenter:
     """Encoder and decoder of one model, built from the bytes of a ``.model`` file."""
 
-    def __init__(self, model: bytes, by: str = "model"):
+    def __init__(self, model: bytes, by: str = "model", units: int = CACHED_UNITS):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -91,6 +91,9 @@ class Segmenter:
             self.unit = regex.compile(f"{own + '|' if own else ''}{MARK}+[^{rest}]*|[^{rest}]+")
         else:  # no piece goes on after a letter but with a letter
             self.unit = regex.compile(f"{own + '|' if own else ''}{MARK}+[^{rest}\\p{{L}}]*\\p{{L}}*|[^{rest}\\p{{L}}]+\\p{{L}}*|\\p{{L}}+")
+        # a word of letters alone, behind its mark, is then one unit
+        self.letters = self.prefix == MARK and self.unit is not None and "\\p{L}" in self.unit.pattern
+        self.units = units
         self.known = {p for p in self.ids if len(p) == 1}
         self.follows: dict[int, bool] = {}
         self.length = [len(p) for p in self.pieces]
@@ -199,26 +202,29 @@ class Segmenter:
         return b"".join([self.surface[i] for i in ids])
 
     def _numbered(self, unit: str) -> int:
-        number = self.number.get(unit)
-        if number is None:
-            ids, best, score = self.segment(unit)
-            number = self.number[unit] = len(self.size)
-            self.flat.extend(ids)
-            self.size.append(len(ids))
-            self.best_flat.extend(best)
-            self.best_size.append(len(best))
-            self.score.append(score)
+        """Number of a unit that is not in the store yet."""
+        ids, best, score = self.segment(unit)
+        number = self.number[unit] = len(self.size)
+        self.flat.extend(ids)
+        self.size.append(len(ids))
+        self.best_flat.extend(best)
+        self.best_size.append(len(best))
+        self.score.append(score)
         return number
 
     def _word(self, word: str) -> int:
-        """Number of a word with its spaces, cut into units when it is new."""
-        number = self.words.get(word)
-        if number is None:
+        """Number of a word that is not in the store yet, cut into units."""
+        if self.letters and word.isalpha():
+            own = [self.prefix + word]
+        else:
             marked = self.prefix + word.replace(" ", MARK)
             own = self.unit.findall(marked) if self.unit else [marked] if word else []
-            number = self.words[word] = len(self.word_size)
-            self.word_flat.extend(map(self._numbered, own))
-            self.word_size.append(len(own))
+        known = self.number.get
+        for unit in own:
+            number = known(unit)
+            self.word_flat.append(self._numbered(unit) if number is None else number)
+        number = self.words[word] = len(self.word_size)
+        self.word_size.append(len(own))
         return number
 
     def encode(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
@@ -242,9 +248,13 @@ class Segmenter:
                 row, words = row[order], words.take(pa.array(order))
         coded = words.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
-        if len(self.number) > CACHED_UNITS or len(self.words) > CACHED_WORDS:
+        if len(self.number) > self.units or len(self.words) > self.units * 3 // 2:
             self._forget()
-        word = np.array([self._word(w) for w in coded.dictionary.to_pylist()], dtype=np.int64)
+        known, word = self.words.get, []
+        for w in coded.dictionary.to_pylist():
+            number = known(w)
+            word.append(self._word(w) if number is None else number)
+        word = np.array(word, dtype=np.int64)
         # words -> units -> ids, as runs of the stored arrays
         per_word = np.array(self.word_size, dtype=np.int64)
         word = word[code] if len(code) else np.zeros(0, dtype=np.int64)
@@ -307,10 +317,10 @@ def _segmenter(shared) -> Segmenter:
     return _built[shared.value]
 
 
-def _shared(spark: SparkSession, model_path: str | None, by: str = "model"):
+def _shared(spark: SparkSession, model_path: str | None, by: str = "model", units: int = CACHED_UNITS):
     text.bound_batches(spark)
     with open(model_path or default_model(), "rb") as f:
-        return text.share(spark, (f.read(), by))
+        return text.share(spark, (f.read(), by, units))
 
 
 _ENCODED = T.StructType([
@@ -338,13 +348,13 @@ def encode(spark: SparkSession, column: str, model_path: str | None = None, by:
 
 
 def encode_rows(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, model_path: str | None = None,
-                by: str = "model") -> DataFrame:
+                by: str = "model", units: int = CACHED_UNITS) -> DataFrame:
     """Columns ``keep`` (all but the text by default) with ids, best_ids, best_score and exact, as ``encode`` gives them.
 
-    Rows leave the task in batches of a few MB of text, so ids of many long texts are never held together. Kept columns
+    ``units``: how many units a task remembers. Rows leave the task in batches of a few MB of text, so ids of many long texts are never held together. Kept columns
     of these four names are left out.
     """
-    shared = _shared(df.sparkSession, model_path, by)
+    shared = _shared(df.sparkSession, model_path, by, units)
     names = _ENCODED.fieldNames()
     keep = [c for c in (df.columns if keep is None else keep) if c != text_col and c not in names]
     schema = T.StructType([df.schema[c] for c in keep] + _ENCODED.fields)

@@ -79,10 +79,9 @@ def test_best_ids_are_the_path_of_the_best_score(model):
     assert any(i != b for i, b in zip(ids.to_pylist(), best.to_pylist())) and exact.all()
 
 
-def test_store_that_overflows_changes_nothing(model, monkeypatch):
+def test_store_that_overflows_changes_nothing(model):
     whole = sp.Segmenter(model).encode(pa.array(texts()))
-    monkeypatch.setattr(sp, "CACHED_WORDS", 50)
-    own = sp.Segmenter(model)
+    own = sp.Segmenter(model, units=40)
     parts = [own.encode(pa.array(texts()[k:k + 97])) for k in range(0, len(texts()), 97)]
     assert [x for p in parts for x in p[0].to_pylist()] == whole[0].to_pylist()
     assert [x for p in parts for x in p[1].to_pylist()] == whole[1].to_pylist()
