@@ -64,7 +64,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     unshare()
-    encoded = sentencepiece.encode_rows(docs.select("doc_id", "lang", "source", "text"))
+    encoded = sentencepiece.encode_rows(docs.select("doc_id", "lang", "source", "text"), units=150_000)  # earlier stages hold memory
     return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "exact")
 
 
