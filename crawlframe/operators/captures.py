@@ -134,8 +134,8 @@ def capture_lookup(requests: DataFrame, captures: DataFrame, key: str = "key", a
     """For each (key, asked) the first capture at or after ``asked``; none -> 'fetch'.
 
     Requests and captures are cut into range slices of (key, time). Inside a
-    slice: a window per (key, slice) in time order. Beyond it: the first
-    capture of each (key, slice), scanned per key in slice order -- that
+    slice: a running window per (key, slice), latest first. Beyond it: the first
+    capture of each (key, slice), scanned per key from the last slice on -- that
     summary has at most one row per slice, so no window ever holds a whole hot
     key and no request is paired with every capture of its key.
     """
@@ -150,15 +150,16 @@ def capture_lookup(requests: DataFrame, captures: DataFrame, key: str = "key", a
     req_rows = reqs.select("_key", "_ts", F.lit(0).alias("_kind"), F.lit(None).cast(cap_rows.schema["_cid"].dataType).alias("_cid"), F.lit(None).cast(cap_rows.schema["_cap"].dataType)
                            .alias("_cap"), *extra)
     u = range_slices(cap_rows.unionByName(req_rows), ["_key", "_ts", "_kind", "_cid"], n_parts)
-    # requests sort before captures of the same instant: "on or after" includes it
-    w_same = Window.partitionBy("_key", "_b").orderBy("_ts", "_kind", "_cid").rowsBetween(0, Window.unboundedFollowing)
-    same = u.withColumn("_hit", F.first("_cap", ignorenulls=True).over(w_same)).where(F.col("_kind") == 0)
+    # latest first, the last capture so far is the next one in time: a running frame, while one that ends at the last
+    # row is aggregated anew for every row. Requests come after captures of the same instant: "on or after" includes it
+    w_same = Window.partitionBy("_key", "_b").orderBy(*[F.col(c).desc() for c in ("_ts", "_kind", "_cid")]).rowsBetween(Window.unboundedPreceding, 0)
+    same = u.withColumn("_hit", F.last("_cap", ignorenulls=True).over(w_same)).where(F.col("_kind") == 0)
     firsts = u.where(F.col("_kind") == 1).groupBy("_key", "_b").agg(F.min("_cap").alias("_first"))
     req_b = same.select("_key", "_b").distinct().select("_key", "_b", F.lit(0).alias("_kind"),
                                                         F.lit(None).cast(firsts.schema["_first"].dataType).alias("_first"))
     ladder = firsts.select("_key", "_b", F.lit(1).alias("_kind"), "_first").unionByName(req_b)
-    w_next = Window.partitionBy("_key").orderBy("_b", F.col("_kind").desc()).rowsBetween(1, Window.unboundedFollowing)
-    nxt = ladder.withColumn("_next", F.first("_first", ignorenulls=True).over(w_next)).where(F.col("_kind") == 0) \
+    w_next = Window.partitionBy("_key").orderBy(F.col("_b").desc(), "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    nxt = ladder.withColumn("_next", F.last("_first", ignorenulls=True).over(w_next)).where(F.col("_kind") == 0) \
         .select("_key", "_b", "_next")
     j = same.join(nxt, ["_key", "_b"], "left")
     hit = F.coalesce(F.col("_hit"), F.col("_next"))

@@ -35,6 +35,20 @@ def test_capture_lookup_hot_key(spark):
         assert got[(k, a)] == want, (k, a)
 
 
+def test_capture_lookup_reads_no_slice_again_for_every_row(spark, capsys):
+    # two keys, all captures at few times, one slice: what a frame that ends at the last row makes quadratic
+    caps = spark.range(3000).select((F.col("id") % 2).alias("key"), F.timestamp_add("DAY", (F.col("id") * 7 % 30).cast("int"), F.lit(T0).cast("timestamp_ntz")).alias("ts"),
+                                    F.col("id").alias("capture_id"))
+    reqs = [(k, T0 + dt.timedelta(days=d, hours=h)) for k in (0, 1, 2) for d in (-1, 0, 7, 29, 30) for h in (0, 5)]
+    found = X.capture_lookup(spark.createDataFrame(reqs, "key long, asked timestamp_ntz"), caps, n_parts=1)
+    found.explain()
+    assert "unboundedfollowing" not in capsys.readouterr().out.lower()
+    rows = [(r.key, r.ts, r.capture_id) for r in caps.collect()]
+    for r in found.collect():
+        later = min(((t, i) for k, t, i in rows if k == r.key and t >= r.asked), default=(None, None))
+        assert (r.capture_ts, r.capture_id, r.action) == (*later, "reuse" if later[0] else "fetch")
+
+
 def test_quota_hot_key(spark):
     rows = _rows(11)
     df = spark.createDataFrame([(f"h{k}", t, i, b) for k, t, i, b in rows],
