@@ -15,7 +15,10 @@ With ``availableNow`` a run is one poll of at most ``maxMessages``; with a proce
 ``spark.read.format("message_log")`` reads everything at once.
 
 Writing: ``df.writeStream.format("message_log")`` with columns ``key``, ``value``, ``partition`` and optionally
-``timestamp``, ``sequence`` (the order of messages within a micro-batch; else they keep the order they come in). It is a
+``timestamp``, ``sequence`` (the order of messages within a micro-batch; else they keep the order they come in). A task
+holds all its messages to sort them by ``sequence``, unless Spark has: with ``inOrder`` (messages come sorted by partition
+and sequence) it writes them as they come. A stream cannot be sorted, a micro-batch can: written in ``foreachBatch``, as
+``write_spider_log`` does, it takes the option ``batch``, the micro-batch's number. Either way it is a
 commit in two phases. Tasks write whole files under names that no reader looks at. When all have ended, the driver
 records which file becomes which segment, then renames them. A lost task leaves no part of a segment, a failed batch
 none at all; a batch that is repeated after its record was written only finishes the renames. One query at a time may
@@ -27,6 +30,8 @@ shared folder.
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import json
 import os
 import re
@@ -39,12 +44,14 @@ import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage)
+    DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, InputPartition,
+    WriterCommitMessage)
 
 SCHEMA = "key binary, value binary, partition int, offset bigint, timestamp timestamp"
 _STORED = pa.schema([("key", pa.binary()), ("value", pa.binary()), ("timestamp", pa.timestamp("us", "UTC"))])
 _SEGMENT = re.compile(r"(\d{20})-(\d{20})\.parquet")
 READ_ROWS = 1 << 14
+GROUP_ROWS = 1 << 16
 
 
 @dataclass
@@ -208,26 +215,36 @@ class Staged(WriterCommitMessage):
 class MessageLogWriter(DataSourceStreamArrowWriter):
     def __init__(self, options: dict):
         self.path, self.writer = options["path"], options.get("writer", "writer")
+        self.in_order = options.get("inorder", "false").lower() == "true"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
-        """The messages of one task, a file for each partition; a task holds its part of one micro-batch."""
-        batches = list(iterator)
-        if not batches:
-            return Staged([])
-        log, table, files = Log(self.path), pa.Table.from_batches(batches), []
-        order = [(c, "ascending") for c in ("partition", "sequence") if c in table.column_names]
-        table = table.sort_by(order) if "sequence" in table.column_names else table
-        stamps = table.column("timestamp") if "timestamp" in table.column_names else pa.nulls(table.num_rows)
-        stored = pa.table([table.column("key"), table.column("value"), stamps], names=_STORED.names).cast(_STORED)
-        log.fs.create_dir(f"{log.root}/_staged")
-        number = table.column("partition")
-        for p in sorted(number.unique().to_pylist()):
-            own = stored.filter(pc.equal(number, p))
-            path = f"{log.root}/_staged/{uuid.uuid4().hex}.parquet"
-            with log.fs.open_output_stream(path) as f:
-                pq.write_table(own, f, compression="zstd")
-            files.append((p, path, own.num_rows))
-        return Staged(files)
+        """The messages of one task, a file for each partition. A task holds one record batch at a time; only messages with
+        a ``sequence`` that do not come in order are held together, to sort them."""
+        log, open_files = Log(self.path), {}
+        with contextlib.ExitStack() as opened:
+            for batch in iterator if self.in_order else self._sorted(iterator):
+                if not batch.num_rows:
+                    continue
+                stamps = batch.column("timestamp") if "timestamp" in batch.schema.names else pa.nulls(batch.num_rows)
+                stored = pa.table([batch.column("key"), batch.column("value"), stamps], names=_STORED.names).cast(_STORED)
+                number = batch.column("partition")
+                for p in sorted(number.unique().to_pylist()):
+                    if p not in open_files:
+                        log.fs.create_dir(f"{log.root}/_staged")
+                        path = f"{log.root}/_staged/{uuid.uuid4().hex}.parquet"
+                        f = opened.enter_context(log.fs.open_output_stream(path))
+                        open_files[p] = [path, opened.enter_context(pq.ParquetWriter(f, _STORED, compression="zstd")), 0]
+                    own = stored.filter(pc.equal(number, p))
+                    open_files[p][1].write_table(own, row_group_size=GROUP_ROWS)
+                    open_files[p][2] += own.num_rows
+        return Staged([(p, path, n) for p, (path, _, n) in sorted(open_files.items())])
+
+    def _sorted(self, iterator: Iterator[pa.RecordBatch]) -> Iterator:
+        first = next(iterator, None)
+        if first is None or "sequence" not in first.schema.names:
+            return iterator if first is None else itertools.chain([first], iterator)
+        table = pa.Table.from_batches([first, *iterator])
+        return iter([table.sort_by([("partition", "ascending"), ("sequence", "ascending")])])
 
     def commit(self, messages: list, batchId: int) -> None:
         log, record = Log(self.path), f"_commits/{self.writer}-{batchId}.json"
@@ -261,6 +278,22 @@ def _delete(log: Log, paths: list[str]) -> None:
             log.fs.delete_file(path)
 
 
+class MessageLogBatchWriter(DataSourceArrowWriter):
+    """The same commit for one micro-batch that is written as a batch; its number is an option."""
+
+    def __init__(self, options: dict):
+        self.batch, self.to = int(options["batch"]), MessageLogWriter(options)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
+        return self.to.write(iterator)
+
+    def commit(self, messages: list) -> None:
+        self.to.commit(messages, self.batch)
+
+    def abort(self, messages: list) -> None:
+        self.to.abort(messages, self.batch)
+
+
 class MessageLog(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -276,11 +309,21 @@ class MessageLog(DataSource):
         return MessageLogReader(_lower(self.options))
 
     def streamWriter(self, schema, overwrite: bool) -> MessageLogWriter:
-        missing = {"key", "value", "partition"} - set(schema.fieldNames())
-        if missing:
-            raise ValueError(f"a message log needs the columns {sorted(missing)}")
+        _check(schema)
         return MessageLogWriter(_lower(self.options))
 
+    def writer(self, schema, overwrite: bool) -> MessageLogBatchWriter:
+        _check(schema)
+        if overwrite or "batch" not in _lower(self.options):
+            raise ValueError("a message log is appended to, with the number of the micro-batch as the option batch")
+        return MessageLogBatchWriter(_lower(self.options))
+
+
+def _check(schema) -> None:
+    missing = {"key", "value", "partition"} - set(schema.fieldNames())
+    if missing:
+        raise ValueError(f"a message log needs the columns {sorted(missing)}")
+
 
 def _lower(options) -> dict:
     return {k.lower(): v for k, v in options.items()}

@@ -336,13 +336,21 @@ def write_spider_log(messages: DataFrame, path: str, checkpoint: str, partitions
     """K4: a stream of messages (key, value, partition, and ``sequence`` to order them by) appended to a message log.
 
     A partition's messages go through one task of each micro-batch, which keeps them in order; more partitions are
-    more parallel. Each micro-batch comes in whole, and once.
+    more parallel. Spark sorts a micro-batch (and spills), so that the tasks write messages as they come. Each
+    micro-batch comes in whole, and once.
     """
     from ..sources.message_log import MessageLog
 
+    order = [F.asc_nulls_last(c) for c in ("partition", "sequence") if c in messages.columns]
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.repartition(partitions, "partition")
+        rows = rows.sortWithinPartitions(*order) if "sequence" in batch.columns else rows
+        rows.write.format("message_log").mode("append").options(path=path, writer=writer, batch=batch_id, inOrder=True).save()
+
     messages.sparkSession.dataSource.register(MessageLog)
-    w = messages.repartition(partitions, "partition").writeStream.format("message_log").option("path", path).option("writer", writer)
-    return w.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    w = messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def event_facts(decoded: DataFrame, fingerprint) -> DataFrame:

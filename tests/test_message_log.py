@@ -64,6 +64,34 @@ def test_continuous_polls_reach_the_end(spark, tmp_path):
     assert sum(sizes) == 30 and max(sizes) <= 8
 
 
+def test_a_task_holds_one_record_batch_of_messages_in_order(tmp_path):
+    import pyarrow as pa
+    alive = []
+
+    def batches():
+        for k in range(40):
+            values = pa.array([b"%08d" % (k * 1000 + i) * 100 for i in range(1000)], pa.binary())  # 0.8 MB
+            alive.append(pa.total_allocated_bytes())
+            yield pa.record_batch({"key": [b"k"] * 1000, "value": values, "partition": pa.array([k // 20] * 1000, pa.int32()), "sequence": range(k * 1000, k * 1000 + 1000)})
+
+    writer = MessageLogWriter({"path": str(tmp_path / "log"), "inorder": "True"})
+    before = pa.total_allocated_bytes()
+    writer.commit([writer.write(batches())], 0)
+    assert max(alive) - before < 16e6  # of 32 MB
+    log = Log(str(tmp_path / "log"))
+    got = [v for p in (0, 1) for s in log.plan({}, {p: log.bounds(p)[1]}) for b in log.read(s) for v in b.column("value").to_pylist()]
+    assert [int(v[:8]) for v in got] == list(range(40000)) and log.bounds(0) == log.bounds(1) == (0, 20000)
+
+
+def test_spark_sorts_the_messages_of_a_micro_batch(spark, tmp_path, monkeypatch):
+    from crawlframe.sources import message_log as L
+    held = []
+    monkeypatch.setattr(L.MessageLog, "streamWriter", lambda *a: held.append(a))  # the sink that sorts in Python
+    _write(spark, tmp_path, 25)
+    assert not held and [(r.partition, bytes(r.value).decode()) for r in S.read_whole_log(spark, str(tmp_path / "log")).orderBy("partition", "offset").collect()] == [
+        (p, f"v{k}") for p in range(3) for k in range(p, 25, 3)]
+
+
 def test_a_repeated_commit_changes_nothing_and_a_broken_one_is_finished(spark, tmp_path):
     import pyarrow as pa
     writer = MessageLogWriter({"path": str(tmp_path / "log")})
