@@ -211,13 +211,19 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -------------------------------------------------------------------- feeds
+FEED_ROW_GROUP = 1 << 20
+
+
 def feed_in_order(spark: SparkSession, df: DataFrame, order_col: str, parts: int) -> str:
-    """``df`` as a folder of files that arrive in order of ``order_col``, in ``parts`` steps (stands in for a live feed)."""
+    """``df`` as a folder of files that arrive in order of ``order_col``, in ``parts`` steps (stands in for a live feed).
+
+    A step is one file of small row groups, so that the tasks of a micro-batch share it: Spark splits a file by its size
+    and the cores, but each row group goes to one task."""
     from ..session import scratch_path
     path, staged = scratch_path(spark, "feed"), scratch_path(spark, "feed-parts")
     ranged = df.repartitionByRange(parts, order_col).withColumn("_part", F.spark_partition_id())
     ranged.write.partitionBy("_part").parquet(staged)
     for k in range(parts):  # each reads its own folder only
         part = spark.read.parquet(staged).where(F.col("_part") == k)
-        part.drop("_part").coalesce(1).write.mode("append").parquet(path)
+        part.drop("_part").coalesce(1).write.mode("append").option("parquet.block.size", FEED_ROW_GROUP).parquet(path)
     return path

@@ -74,3 +74,14 @@ def test_crawl_log_of_one_hot_day_is_several_files(spark, tmp_path):
     (day,) = [p for p in (tmp_path / "log").iterdir() if p.name == "log_date=2024-01-02"]
     assert len(list(day.glob("*.txt"))) > 1
     assert spark.read.text(str(tmp_path / "log")).count() == crawl_log_partitions(log).count() == 60_000
+
+
+def test_a_feed_step_is_one_file_that_many_tasks_share(spark):
+    import pyarrow.parquet as pq
+    from crawlframe.plans.inputs import feed_in_order
+    rows = spark.range(60000).select(F.col("id").alias("n"), F.concat(*[F.sha2(F.concat("id", F.lit(f"/{k}")), 512) for k in range(2)]).alias("value"))
+    path = feed_in_order(spark, rows, "n", 2)
+    files = sorted(f.split(":", 1)[1].replace("///", "/") for f in spark.read.parquet(path).inputFiles())
+    assert len(files) == 2 and all(pq.ParquetFile(f).num_row_groups > 3 for f in files)  # a row group goes to one task
+    ends = sorted((pq.read_table(f)["n"].to_pylist() for f in files), key=min)
+    assert max(ends[0]) < min(ends[1]) and sorted(ends[0] + ends[1]) == list(range(60000))
