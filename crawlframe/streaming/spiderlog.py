@@ -198,7 +198,8 @@ def decode_events(messages: DataFrame, event_type: str, value_col: str = "value"
         raise ValueError(f"unknown event type {event_type}")
     keep = [c for c in messages.columns if c != value_col]
     df = messages.select(*keep, F.col(value_col).cast("string").alias("_raw"))
-    df = df.where(type_of(F.col("_raw")) == event_type).select("*", once(F.from_json(F.col("_raw"), SCHEMAS[event_type], _JSON_OPTS)).alias("_e"))
+    df = df.select("*", once(type_of(F.col("_raw"))).alias("_type")).where(F.col("_type") == event_type)
+    df = df.select("*", once(F.from_json(F.col("_raw"), SCHEMAS[event_type], _JSON_OPTS)).alias("_e"))
     e = F.col("_e")
     good = e.isNotNull() & e["_corrupt_record"].isNull()
     own: dict[str, Column] = {"meta_all": _variant("$.r.meta"), "stats_all": _variant("$.stats")}
