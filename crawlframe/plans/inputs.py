@@ -212,18 +212,28 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -------------------------------------------------------------------- feeds
 FEED_ROW_GROUP = 1 << 20
+STAGED_ROW_GROUP = 8 << 20
+FEED_FILES = 24  # a step's files, which 2, 3, 4, 6, 8, 12 or 24 cores share evenly
 
 
-def feed_in_order(spark: SparkSession, df: DataFrame, order_col: str, parts: int) -> str:
+def feed_in_order(spark: SparkSession, df: DataFrame, order_col: str, parts: int, files: int = 1) -> str:
     """``df`` as a folder of files that arrive in order of ``order_col``, in ``parts`` steps (stands in for a live feed).
 
-    A step is one file of small row groups, so that the tasks of a micro-batch share it: Spark splits a file by its size
-    and the cores, but each row group goes to one task."""
+    A step is ``files`` files (fewer if it has hardly as many rows), written by as many tasks and of small row groups, so
+    that the tasks of a micro-batch share it: Spark splits a file by its size and the cores, but each row group goes to
+    one task. The steps' bounds come from ``order_col`` alone, so that ``df`` is computed once, by all of its tasks."""
     from ..session import scratch_path
     path, staged = scratch_path(spark, "feed"), scratch_path(spark, "feed-parts")
-    ranged = df.repartitionByRange(parts, order_col).withColumn("_part", F.spark_partition_id())
-    ranged.write.partitionBy("_part").parquet(staged)
+    kind = df.schema[order_col].dataType.simpleString()
+    cuts = F.percentile_approx(order_col, [k / parts for k in range(1, parts)])
+    bounds = df.select(order_col).agg(F.transform(cuts, lambda x: x.cast("string"))).first()[0] if parts > 1 else None
+    step = F.lit(0)
+    for b in bounds or []:
+        step = step + F.when(F.col(order_col) > F.lit(b).cast(kind), 1).otherwise(0)
+    steps = df.withColumn("_part", step)
+    steps.write.partitionBy("_part").option("parquet.block.size", STAGED_ROW_GROUP).parquet(staged)
     for k in range(parts):  # each reads its own folder only
-        part = spark.read.parquet(staged).where(F.col("_part") == k)
-        part.drop("_part").coalesce(1).write.mode("append").option("parquet.block.size", FEED_ROW_GROUP).parquet(path)
+        part = spark.read.schema(steps.schema).parquet(staged).where(F.col("_part") == k).drop("_part")
+        part = part.repartition(files) if files > 1 else part.coalesce(1)
+        part.write.mode("append").option("parquet.block.size", FEED_ROW_GROUP).parquet(path)
     return path

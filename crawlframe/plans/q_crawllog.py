@@ -239,9 +239,9 @@ def k1_streamed_log(spark, sf_dir):
     from ..sinks.files import write_crawl_log_stream
     path, ckpt = scratch_path(spark, "crawl-log"), scratch_path(spark, "crawl-log-ckpt")
     log = all_outcomes_log(spark, sf_dir)
-    feed = I.feed_in_order(spark, log, "timestamp", 3)
-    for most in (1, None):  # one file, then, by a new query on the same checkpoint, the rest
-        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", most or 100).parquet(feed)
+    feed = I.feed_in_order(spark, log, "timestamp", 3, I.FEED_FILES)
+    for most in (I.FEED_FILES, None):  # one step, then, by a new query on the same checkpoint, the rest
+        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", most or 100 * I.FEED_FILES).parquet(feed)
         query = write_crawl_log_stream(stream, path, ckpt, {"once": True} if most else None)
         query.awaitTermination()
     return spark.read.text(path).select(F.col("log_date").cast("date").alias("log_date"), F.col("value").alias("line"))

@@ -399,18 +399,19 @@ def f9_queue_appended(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- streaming
-def _message_stream(spark, sf_dir, n_files: int, per_trigger: int | None):
-    path = I.feed_in_order(spark, I.messages(spark, sf_dir), "offset", n_files)
+def _message_stream(spark, sf_dir, steps: int):
+    """The messages as a stream, a step of the feed per micro-batch."""
+    path = I.feed_in_order(spark, I.messages(spark, sf_dir), "offset", steps, I.FEED_FILES)
     schema = spark.read.parquet(path).schema
-    return S.read_messages(spark, path, schema=schema, max_files_per_trigger=per_trigger)
+    return S.read_messages(spark, path, schema=schema, max_files_per_trigger=I.FEED_FILES)
 
 
 @register("e7_stream_states", J6_SQL)
 def e7_stream_states(spark, sf_dir):
-    """J6 as a stream: four message files, one per micro-batch, folded in the state store."""
+    """J6 as a stream: four sets of message files, one per micro-batch, folded in the state store."""
     from ..session import scratch_path
     from ..streaming.jobs import read_states, stream_url_states
-    good, _ = S.decode_spider_log(_message_stream(spark, sf_dir, 4, 1))
+    good, _ = S.decode_spider_log(_message_stream(spark, sf_dir, 4))
     facts = S.event_facts(good, url_fingerprint).select("fingerprint", "state", "ts")
     out, ckpt = scratch_path(spark, "states-out"), scratch_path(spark, "states-ckpt")
     q = stream_url_states(facts, out, ckpt)
@@ -423,7 +424,7 @@ def e7_stream_stats(spark, sf_dir):
     """A4 as a stream: four micro-batches of partial window counts, added up by the reader."""
     from ..session import scratch_path
     from ..streaming.jobs import read_stats, stream_crawl_stats
-    good, _ = S.decode_spider_log(_message_stream(spark, sf_dir, 4, 1))
+    good, _ = S.decode_spider_log(_message_stream(spark, sf_dir, 4))
     out, ckpt = scratch_path(spark, "stats-out"), scratch_path(spark, "stats-ckpt")
     q = stream_crawl_stats(good, out, ckpt, interval="1 hour", late_after="1 hour")
     q.awaitTermination()

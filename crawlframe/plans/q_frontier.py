@@ -256,15 +256,15 @@ def t8_robots(spark, sf_dir):
 
 @register("e7_stream_unseen", J1_SQL)
 def e7_stream_unseen(spark, sf_dir):
-    """J1 as a stream: candidates arrive in ten or more sets of files, in time order; each micro-batch
+    """J1 as a stream: candidates arrive in ten sets of files, in time order; each micro-batch
     is filtered against the seen table and everything earlier batches let through."""
     from ..session import scratch_path
     from ..streaming.jobs import read_batches, stream_unseen
     seen = I.table(spark, sf_dir, "pages").where(F.col("page_id") % 3 == 0) \
         .select(url_fingerprint("url").alias("fingerprint"))
-    feed = I.feed_in_order(spark, candidates(spark, sf_dir), "created_at", 10)
+    feed = I.feed_in_order(spark, candidates(spark, sf_dir), "created_at", 10, I.FEED_FILES)
     schema = spark.read.parquet(feed).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", I.FEED_FILES).parquet(feed)
     out, added, ckpt = (scratch_path(spark, "unseen-out"), scratch_path(spark, "unseen-seen"),
                         scratch_path(spark, "unseen-ckpt"))
     stream_unseen(stream, seen, added, out, ckpt).awaitTermination()

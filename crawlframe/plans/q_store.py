@@ -100,8 +100,8 @@ SELECT * FROM f WHERE fetched_at <= (SELECT max(fetched_at) FROM f) - INTERVAL 1
 def f8_stream_due(spark, sf_dir):
     d = S.decode_events(I.messages(spark, sf_dir), "page_crawled")
     fetches = d.select(url_fingerprint("url").alias("fingerprint"), "url", F.col("ts").cast("timestamp").alias("fetched_at"))
-    feed, out = I.feed_in_order(spark, fetches, "fetched_at", 3), scratch_path(spark, "due")
-    stream = spark.readStream.schema(fetches.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    feed, out = I.feed_in_order(spark, fetches, "fetched_at", 3, I.FEED_FILES), scratch_path(spark, "due")
+    stream = spark.readStream.schema(fetches.schema).option("maxFilesPerTrigger", I.FEED_FILES).parquet(feed)
     RV.stream_due(stream, out, scratch_path(spark, "due-ckpt"), late_after="1 hour").awaitTermination()
     return RV.read_due(spark, out).withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
 
@@ -124,8 +124,8 @@ def _log(spark, sf_dir):
     """All messages through the sink, in three micro-batches."""
     path = scratch_path(spark, "log")
     m = I.messages(spark, sf_dir).select("key", "value", "partition", F.col("offset").alias("sequence"), F.col("ts").cast("timestamp").alias("timestamp"))
-    feed = I.feed_in_order(spark, m, "sequence", 3)
-    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    feed = I.feed_in_order(spark, m, "sequence", 3, I.FEED_FILES)
+    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", I.FEED_FILES).parquet(feed)
     S.write_spider_log(stream, path, scratch_path(spark, "log-ckpt"), 2).awaitTermination()
     return path
 

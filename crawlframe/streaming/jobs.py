@@ -49,7 +49,8 @@ def stream_crawl_stats(decoded: DataFrame, out_path: str, checkpoint: str, inter
     decoded.sparkSession.createDataFrame([(None,)], "ts timestamp").write.mode("ignore").parquet(f"{out_path}-newest/batch_id=-1")
     _empty(decoded.sparkSession, out_path,
            "w struct<start:timestamp,end:timestamp>, type string, n_events bigint, n_late bigint, max_ts timestamp")
-    return _start(decoded.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step), trigger)
+    # a micro-batch computes all columns it is handed, so it is handed no others
+    return _start(decoded.select("ts", "type").writeStream.option("checkpointLocation", checkpoint).foreachBatch(step), trigger)
 
 
 def _empty(spark: SparkSession, path: str, schema: str) -> None:

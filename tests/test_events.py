@@ -108,6 +108,16 @@ def test_stream_stats_count_late_events_and_compact(spark, tmp_path):
     assert read()[(9, "a")] == (3, 0)
 
 
+def test_stream_stats_compute_the_time_and_the_type_only(spark, tmp_path):
+    import datetime as dt
+    from crawlframe.streaming import jobs
+    stream = _feed(spark, tmp_path, [[("a", dt.datetime(2024, 1, 1))]], "type string, ts timestamp_ntz")
+    stream = stream.withColumn("body", F.raise_error(F.concat(F.lit("computed for "), "type")))
+    out = str(tmp_path / "out")
+    jobs.stream_crawl_stats(stream, out, str(tmp_path / "ckpt"), "1 hour").awaitTermination()
+    assert [(r.type, r.n_events) for r in jobs.read_stats(spark, out).collect()] == [("a", 1)]
+
+
 def test_unseen_stream_survives_a_retry_and_fails_on_an_unreadable_seen_set(spark, tmp_path):
     import pytest
     from crawlframe.streaming import jobs

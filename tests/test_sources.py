@@ -85,3 +85,34 @@ def test_a_feed_step_is_one_file_that_many_tasks_share(spark):
     assert len(files) == 2 and all(pq.ParquetFile(f).num_row_groups > 3 for f in files)  # a row group goes to one task
     ends = sorted((pq.read_table(f)["n"].to_pylist() for f in files), key=min)
     assert max(ends[0]) < min(ends[1]) and sorted(ends[0] + ends[1]) == list(range(60000))
+
+
+def test_a_feed_step_is_several_files_and_its_rows_are_computed_once(spark):
+    import os
+    import pyarrow.parquet as pq
+    from crawlframe.plans.inputs import feed_in_order
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(n):
+        seen.add(1)
+        return f"v{n}"
+
+    late = F.timestamp_add("SECOND", "id", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    rows = spark.range(3000, numPartitions=3).select(F.when(F.col("id") > 9, late).alias("t"), "id", costly("id").alias("value"))
+    path = feed_in_order(spark, rows, "t", 3, 4)
+    assert seen.value == 3000  # the bounds of the steps come from the column of the order alone
+    files = sorted((f.split(":", 1)[1].replace("///", "/") for f in spark.read.parquet(path).inputFiles()), key=lambda f: os.stat(f).st_mtime_ns)
+    ids = [pq.read_table(f)["id"].to_pylist() for f in files]
+    assert len(files) == 12 and all(len(x) > 200 for x in ids)
+    steps = [sum(ids[k:k + 4], []) for k in (0, 4, 8)]  # nulls come first
+    assert max(steps[0]) < min(steps[1]) and max(steps[1]) < min(steps[2]) and sorted(sum(steps, [])) == list(range(3000))
+
+
+def test_a_feed_of_no_rows_and_of_equal_times_is_whole(spark):
+    from crawlframe.plans.inputs import feed_in_order
+    rows = spark.range(50).select(F.lit(7).cast("long").alias("n"), "id")
+    assert spark.read.parquet(feed_in_order(spark, rows, "n", 3, 4)).count() == 50
+    nulls = rows.withColumn("n", F.lit(None).cast("long"))
+    assert spark.read.parquet(feed_in_order(spark, nulls, "n", 3, 4)).count() == 50
+    assert spark.read.parquet(feed_in_order(spark, rows.where("id < 0"), "n", 3, 4)).count() == 0
